@@ -1,0 +1,49 @@
+"""Written intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="graftline-")
+    return _local[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/graftline/{name}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs no recomputation of what stands before it.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    writer = df.write.option("compression", codec)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._graftline_path = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete stashed tables that no later plan reads."""
+    for df in stashed:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._graftline_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
