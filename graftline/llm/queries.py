@@ -4,23 +4,96 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import audio, chat, huffman, length_histogram, packing, secrets, tokens
 from .near_dedup import NearDedup, near_duplicates
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose two texts are control strings, formatted and read back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], turns.schema)
+    return chat.format_and_read_back(turns.unionByName(extra).withColumn("parts", chat.text_part()))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact histogram of encoded lengths of all documents with its suffix sums."""
+    return length_histogram.histogram(tokens.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as a stored 8-bit WAV file, read back, with a digest of its audio features."""
+    rows = audio.features(audio.media_table(_table(spark, sf_dir, "documents")))
+    bands = F.array_join(F.transform("mel_mean", lambda x: F.format_string("%.2f", x)), ",")
+    feature = F.concat_ws(";", F.col("n_frames"), F.size("tensors"), F.size("segments"), bands)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on distinct 4-word shingles at similarity 0.8."""
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDedup(width=4))
 
 
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as Huffman blocks in order of doc_id and read back."""
+    rows = huffman.round_trip(_table(spark, sf_dir, "documents"), WORD_BPE)
+    return rows.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def secret_model(spark: SparkSession, sf_dir: str) -> secrets.Markov:
+    """Markov models from random strings and from identifiers made of the benchmark's words (at most 20,000)."""
+    return secrets.fit(secrets.labelled_samples(secrets.training_words(_table(spark, sf_dir, "benchmark"))))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secret_model(spark, sf_dir)).drop("text")
+    base = F.filter("secret_spans", lambda s: s["kind"] != "markov")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("markov").alias("n_markov"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
+    "op7_audio_features": op7_audio_features,
     "op8_near_dedup": op8_near_dedup,
+    "op9_huffman_ids": op9_huffman_ids,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE: dict[str, str] = {}
+#: DuckDB's replace() has no patterns here, so each turn's formatted length is counted from its marks.
+ORACLE: dict[str, str] = {
+    "op1_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(text) + length(text) - length(replace(replace(text, '<', ''), '[', ''))
+                   + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 ELSE 7 END) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id""",
+}
