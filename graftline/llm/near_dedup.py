@@ -7,10 +7,11 @@ of two bitmaps estimates the similarity of a candidate pair, and pairs estimated
 far below the threshold go.  What is left is confirmed on the full shingle sets.
 
 Equal shingle sets are one class from the start, so copies never make pairs.  In
-each bucket every class is first compared with the smallest class only; a second
-round compares, in bounded blocks, just those members of a bucket which the first
-round has left in different components.  So a large group of near copies costs
-one comparison a member and bucket, and no link that joins components is lost.
+each bucket every class is first compared with one center only: the member that
+meets the most others over all buckets.  A second round compares, in bounded
+blocks, just those members around a center which the first round has left in
+different components, and gives only links that join components.  So a large group
+of near copies makes about one row a member, and no joining link is lost.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class NearDedup:
     sketch_words: int = 8
     #: Similarity estimated by the odd sketch below which a candidate goes (five standard errors under 0.8).
     estimate: float = 0.62
-    #: Members of a bucket that are compared in one block.
+    #: Members around a center that are compared in one block.
     block: int = 1024
 
     @property
@@ -149,52 +150,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long").distinct()
 
 
-def _across(members: DataFrame, p: NearDedup) -> DataFrame:
-    """Pairs of a bucket's members from different components whose sketches are near enough.
+def _blocks(members: DataFrame, p: NearDedup, extra: list[str]) -> DataFrame:
+    """Members (center, rep, label, sketch, ...) dealt to pairs of blocks of a center's members.
 
-    Input: key, n (members of the bucket), rep, label, sketch.  A bucket of over
-    ``block`` members is cut into blocks; each pair of blocks is compared in a
-    task of its own, so no task holds more than two blocks.
+    A center with over ``block`` members has several blocks; each pair of them is a
+    group of its own, so no group holds more than about two blocks.
     """
-    cut = F.ceil(F.col("n") / p.block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), cut).cast("int")
-    dealt = members.withColumn("cut", cut).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "sketch")
-
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = rows[0][1], rows[0][2]
-        own = np.array([r[3] for r in rows])
-        rep = np.array([r[4] for r in rows], np.int64)
-        label = np.array([r[5] for r in rows], np.int64)
-        sketch = np.array([r[6] for r in rows], np.int64)
-        u, v = [], []
-        left = np.flatnonzero(own == i)
-        right = left if i == j else np.flatnonzero(own == j)
-        for x in left:
-            far = np.bitwise_count(sketch[right] ^ sketch[x]).sum(axis=1)
-            y = right[(far <= p.most_flips) & (label[right] != label[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            u.append(np.minimum(rep[x], rep[y]))
-            v.append(np.maximum(rep[x], rep[y]))
-        return np.concatenate(u) if u else np.zeros(0, np.int64), np.concatenate(v) if v else np.zeros(0, np.int64)
+    sizes = members.groupBy("center").agg(F.ceil(F.count("*") / p.block).cast("int").alias("cut"))
+    own = F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
+    dealt = members.join(sizes, "center").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    dealt = dealt.select("center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "sketch", *extra)
+    return dealt.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j")
+
+
+class _Group:
+    """One pair of blocks in memory."""
+
+    def __init__(self, rows: list[tuple], p: NearDedup):
+        self.p, (self.center, self.i, self.j) = p, rows[0][:3]
+        self.own = np.array([r[3] for r in rows])
+        self.rep = np.array([r[4] for r in rows], np.int64)
+        self.label = np.array([r[5] for r in rows], np.int64)
+        self.sketch = np.array([r[6] for r in rows], np.int64)
+        self.sets = [np.frombuffer(r[7], np.uint64) for r in rows] if len(rows[0]) > 7 else []
+
+    def near(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each left member with the right members of other labels whose sketches are near enough."""
+        left = np.flatnonzero(self.own == self.i)
+        right = left if self.i == self.j else np.flatnonzero(self.own == self.j)
+        for k, x in enumerate(left):
+            y = right[k + 1 :] if self.i == self.j else right
+            y = y[self.label[y] != self.label[x]]
+            far = np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(axis=1)
+            if (far <= self.p.most_flips).any():
+                yield x, y[far <= self.p.most_flips]
+
+    def flagged(self) -> list[tuple[int, int]]:
+        hit = np.zeros(len(self.rep), bool)
+        for x, y in self.near():
+            hit[x] = True
+            hit[y] = True
+        return [(self.center, int(r)) for r in self.rep[hit]]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Confirmed links that join labels which nothing in the group has joined before."""
+        out, size = [], np.array([len(s) for s in self.sets])
+        for x, y in self.near():
+            y = y[(self.label[y] != self.label[x]) & (100 * np.minimum(size[y], size[x]) >= self.p.percent * np.maximum(size[y], size[x]))]
+            for a in range(0, len(y), 256):
+                part = y[a : a + 256]
+                own = self.sets[x]
+                values = np.concatenate([self.sets[k] for k in part])
+                at = np.searchsorted(own, values)
+                same = own[np.minimum(at, len(own) - 1)] == values
+                both = np.add.reduceat(same, np.concatenate([[0], np.cumsum(size[part])[:-1]]), dtype=np.int64)
+                for k in part[100 * both >= self.p.percent * (size[part] + size[x] - both)]:
+                    if self.label[k] != self.label[x]:
+                        out.append((int(self.rep[x]), int(self.rep[k])))
+                        self.label[self.label == self.label[k]] = self.label[x]
+        return out
+
+
+def _compare(members: DataFrame, p: NearDedup, exact: bool) -> DataFrame:
+    """exact: links (u, v); else the members (u: center, v: rep) that have a near sketch under another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def close() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            group = _Group(held, p)
+            return group.links() if exact else group.flagged()
+
+        def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            both = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
         for batch in batches:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            done: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][:3] != row[:3]:
-                    if len(held) > 1:
-                        u, v = compare(held)
-                        us.append(u)
-                        vs.append(v)
+                    done += close()
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-        if len(held) > 1:
-            u, v = compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield made(done)
+        yield made(close())
+
+    return _blocks(members, p, ["set"] if exact else []).mapInArrow(run, "u long, v long").distinct()
+
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,26 +261,26 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     buckets = stash(reps.select("rep", F.explode("bands").alias("key")).distinct(), "buckets")
     sketches = reps.select("rep", "sketch")
 
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    met = stash(buckets.join(shared, "key"), "met")
-    star = met.filter("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
-    star = stash(_similar(star, sketches, p).distinct(), "star")
-    ids = star.select(F.col("u").alias("rep")).unionByName(star.select(F.col("v").alias("rep"))).distinct()
-    sets = stash(shingle_sets(docs, ids, p, id_col, text_col), "sets")
+    # A bucket's center is the member that meets the most others over all buckets: the likely hub of a group.
+    met = stash(buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "met")
+    degree = met.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("degree"))
+    centers = met.join(degree, "rep").groupBy("key").agg((-F.max(F.struct("degree", -F.col("rep")))["col2"]).alias("center"))
+    around = stash(met.join(centers, "key").select("center", "rep").distinct(), "around")
+    star = stash(_similar(around.filter("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")), sketches, p).distinct(), "star")
+    sets = stash(shingle_sets(docs, _ends(star), p, id_col, text_col), "sets")
     # Rows of one id with different texts are one document.
     same = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
     linked = stash(confirmed(star, sets, p).unionByName(same), "links")
     first = stash(components(linked), "components")
 
-    labelled = met.join(first, met.rep == first.node, "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("label"))
-    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    members = labelled.join(split, "key").join(sketches, "rep").select("key", "n", "rep", "label", "sketch")
-    more = stash(_across(members, p).join(star, ["u", "v"], "left_anti"), "across")
-    ids = more.select(F.col("u").alias("rep")).unionByName(more.select(F.col("v").alias("rep"))).distinct()
-    sets2 = stash(shingle_sets(docs, ids, p, id_col, text_col), "sets")
-    links = linked.unionByName(confirmed(more, sets2, p))
-    comp = stash(components(links), "components")
-    discard(buckets, met, star, sets, linked, first, more, sets2)
+    labelled = around.join(first, around.rep == first.node, "left").select("center", "rep", F.coalesce("component", "rep").alias("label"))
+    split = labelled.groupBy("center").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("center")
+    members = stash(labelled.join(split, "center").join(sketches, "rep").select("center", "rep", "label", "sketch"), "split")
+    flagged = stash(_compare(members, p, exact=False).select(F.col("u").alias("center"), F.col("v").alias("rep")), "flagged")
+    sets2 = stash(shingle_sets(docs, flagged.select("rep").distinct(), p, id_col, text_col), "sets")
+    more = _compare(members.join(flagged, ["center", "rep"]).join(sets2, "rep"), p, exact=True)
+    comp = stash(components(linked.unionByName(more)), "components")
+    discard(buckets, met, around, star, sets, linked, first, members, flagged, sets2)
 
     found = member.join(comp, member.rep == comp.node, "left").select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
     found = found.groupBy("doc_id", "n").agg(F.min("component_id").alias("component_id"))
