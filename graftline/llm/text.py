@@ -25,6 +25,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII bytes that are no letters: with these as breaks, words are runs of letters.
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[np.r_[65:91, 97:123, 128:256]] = False
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -72,11 +75,11 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, word starts, word ends, words before each document and in all)."""
     low = _LOWER[data]
     inside = np.zeros(len(low) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[low]
+    inside[1:-1] = ~breaks[low]
     step = np.diff(inside)
     starts = step[:-1] == 1
     ends = step[1:] == -1
