@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, huffman, length_histogram, packing, secrets, tokens
+from . import audio, chat, decontam, huffman, length_histogram, packing, secrets, tokens, toxicity
 from .near_dedup import NearDedup, near_duplicates
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read_back(turns.unionByName(extra).withColumn("parts", chat.text_part()))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts found in the documents: a row for each document and benchmark text."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of encoded lengths of all documents with its suffix sums."""
     return length_histogram.histogram(tokens.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE))
@@ -38,6 +43,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, from an ordinal regression on the labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as a stored 8-bit WAV file, read back, with a digest of its audio features."""
     rows = audio.features(audio.media_table(_table(spark, sf_dir, "documents")))
@@ -74,8 +85,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_audio_features": op7_audio_features,
     "op8_near_dedup": op8_near_dedup,
     "op9_huffman_ids": op9_huffman_ids,
