@@ -173,6 +173,41 @@ def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray)
                 yield y, int(index.item[x]), max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e
 
 
+class _Finder:
+    """Benchmark texts in the texts of a column."""
+
+    def __init__(self, index: Index):
+        self.index = index
+        bits = max(16, int(np.ceil(np.log2(len(index.grams) * 32))))
+        self.maybe = np.zeros(1 << bits, bool)
+        self.maybe[index.grams & np.uint64((1 << bits) - 1)] = True
+
+    def __call__(self, column: pa.Array) -> dict[tuple[int, int], list[int]]:
+        """(row, item): [regions, start, end, edits], in code points."""
+        found: dict[tuple[int, int], list[int]] = {}
+        for a, _, data, off in tx.chunks(column):
+            letter = None
+            for d, item, start, end, e in _regions(_BLANK[data], off, self.index, self.maybe):
+                if letter is None:
+                    letter = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                s, t = (int(letter[x] - letter[off[d]]) for x in (start, end))
+                was = found.setdefault((a + d, item), [0, s, t, e])
+                was[:] = [was[0] + 1, min(was[1], s), max(was[2], t), min(was[3], e)]
+        return found
+
+
+def _indexes(benchmark: DataFrame, p: Decontam) -> Iterator[Index]:
+    """An index of each block of the benchmark, of at most about ``block_chars`` characters."""
+    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null and item_id is not null")
+    total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // p.block_chars))
+    for block in range(blocks):
+        own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
+        index = Index.build([(r["item_id"], r["text"]) for r in own.collect()], p)
+        if index.text:
+            yield index
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, regions, start, end, edits): one row for each document row and benchmark text found in it.
 
@@ -181,38 +216,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
     nothing; repeated rows give repeated results; a null id stays null.
     """
     spark = docs.sparkSession
-    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null and item_id is not null")
-    total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // p.block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, item_id long, regions long, start long, end long, edits int"
-    out = None
-    for block in range(blocks):
-        own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
-        index = Index.build([(r["item_id"], r["text"]) for r in own.collect()], p)
-        if not index.text:
-            continue
-        held = spark.sparkContext.broadcast(index)  # at most about block_chars characters
+    out = spark.createDataFrame([], schema)
+    for index in _indexes(benchmark, p):
+        held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            bits = max(16, int(np.ceil(np.log2(len(index.grams) * 32))))
-            maybe = np.zeros(1 << bits, bool)
-            maybe[index.grams & np.uint64((1 << bits) - 1)] = True
+            find = _Finder(held.value)
             for batch in tx.pieces(batches, 1024):
-                found: dict[tuple[int, int], list[int]] = {}
-                for a, _, data, off in tx.chunks(batch.column(1)):
-                    letter = None
-                    for d, item, start, end, e in _regions(_BLANK[data], off, index, maybe):
-                        if letter is None:
-                            letter = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                        s, t = (int(letter[x] - letter[off[d]]) for x in (start, end))
-                        was = found.setdefault((a + d, item), [0, s, t, e])
-                        was[:] = [was[0] + 1, min(was[1], s), max(was[2], t), min(was[3], e)]
+                found = find(batch.column(1))
                 at = pa.array([k for k, _ in found], pa.int64())
                 columns = [batch.column(0).take(at), pa.array([i for _, i in found], pa.int64()), *(pa.array([v[k] for v in found.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32())))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "regions", "start", "end", "edits"])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark text, all columns as they are."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(benchmark, p):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            find = _Finder(held.value)
+            for batch in tx.pieces(batches, 1024):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[k for k, _ in find(batch.column(at))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

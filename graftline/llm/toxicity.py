@@ -147,29 +147,48 @@ def train(docs: DataFrame, labels: DataFrame, p: Ordinal = Ordinal()) -> Model:
     return fit(*labelled_sample(docs, labels, p), p)
 
 
+class _Scorer:
+    """P(grade >= k) of the texts of a column, with a bitmap before the look-up of features."""
+
+    def __init__(self, model: Model):
+        self.model, self.mask = model, np.uint64((1 << 22) - 1)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[model.features & self.mask] = True
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        m, f = self.model, np.zeros(len(column))
+        for k, x in row_features(column, m.p.prefix):
+            x = x[self.maybe[x & self.mask]]
+            if len(x):
+                at = np.minimum(np.searchsorted(m.features, x), len(m.features) - 1)
+                f[k] = m.weights[at[m.features[at] == x]].sum()
+        return m.at_least(f)
+
+
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_toxic, expected_severity, toxic), one row for each input row.
 
     Null and empty texts have no features and get the labels' own shares.  Equal
     texts get equal scores.  An empty table gives an empty result.
     """
-    mask = np.uint64((1 << 22) - 1)
-    known = np.zeros(1 << 22, bool)
-    known[model.features & mask] = True
-    packed = np.packbits(known)
-    del known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.unpackbits(packed).view(bool)
+        score = _Scorer(model)
         for batch in tx.pieces(batches, 512):
-            f = np.zeros(batch.num_rows)
-            for k, x in row_features(batch.column(1), model.p.prefix):
-                x = x[maybe[x & mask]]
-                if len(x):
-                    at = np.minimum(np.searchsorted(model.features, x), len(model.features) - 1)
-                    f[k] = model.weights[at[model.features[at] == x]].sum()
-            over = model.at_least(f)
+            over = score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(over[:, 0]), pa.array(over.sum(axis=1)), pa.array(over[:, 0] >= model.p.threshold)], names=["doc_id", "p_toxic", "expected_severity", "toxic"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, p_toxic double, expected_severity double, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't call toxic, all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _Scorer(model)
+        for batch in tx.pieces(batches, 512):
+            yield batch.filter(pa.array(score(batch.column(at))[:, 0] < model.p.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
