@@ -1,7 +1,7 @@
 """Whole-text encoding with a public tokenizer, one dictionary lookup a piece.
 
-A text is cut at spaces that the tokenizer's own splitting never joins across, so
-the ids of a text are the ids of its pieces in order.  Each worker keeps a bounded
+A text is cut at blanks and line ends that the tokenizer's own splitting never
+joins across, so the ids of a text are the ids of its pieces in order.  Each worker keeps a bounded
 dictionary of pieces; new pieces go through the tokenizers library in batches.
 Strings of special tokens inside a text are ordinary text.
 """
@@ -21,13 +21,26 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-#: Pieces that a worker's dictionary holds before it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces that a worker's dictionary holds since it was last full; as many older ones may stay.
+CACHE_PIECES = 500_000
 #: Characters of one batch of texts.
 BATCH_CHARS = 1 << 20
 END_ID = 1
 
-_UNSAFE = re.compile(r"\s\s|\A\s|\s\Z|᠎")
+#: A word of letters that are such in every version of Unicode, and ASCII marks after it.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: White space but blank and line end.
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable ones as they are, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -51,19 +64,32 @@ class PieceEncoder:
             self.kind = "led"
         elif parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and "[^\\s\\p{L}\\p{N}]+" in parts[0]["pattern"].get("Regex", ""):
             self.kind = "dropped"
-        self.cache: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        #: Ids of pieces by what stands before them: nothing, or a blank.
+        self.known = {"": _Recent(), " ": _Recent()}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], new: set[str], lead: str) -> None:
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        if lead:
-            cache.update(zip(new, self._ids([lead + x for x in new]), strict=True))
-        else:
-            cache.update(zip(new, self._ids(list(new)), strict=True))
+    def _word_ids(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of single words of letters, from the merges alone."""
+        merge = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in merge((lead + w).encode().decode("latin-1").translate(_LETTERS))]).tobytes() for w in words]
+
+    def _learn(self, need: set[str], lead: str) -> dict[str, bytes]:
+        """The ids of all pieces needed.  A word with marks after it has the ids of the word, then of the marks."""
+        known = self.known[lead]
+        new = known.missing(need)
+        if new:
+            parts = {x: (m[1].lower() if self.kind == "dropped" else m[1], m[2]) for x in new if (m := _MARKED.fullmatch(x))}
+            whole = [x for x in new if x not in parts]
+            words = list(known.missing({w for w, _ in parts.values()}))
+            marks = list(self.known[""].missing({m for _, m in parts.values() if m}))
+            known.now |= zip(whole, self._ids([lead + x for x in whole]), strict=True)
+            known.now |= zip(words, self._word_ids(words, lead), strict=True)
+            self.known[""].now |= zip(marks, self._ids(marks), strict=True)
+            get, mark = known.now, self.known[""].now
+            known.now |= {x: get[w] + (mark[m] if m else b"") for x, (w, m) in parts.items()}
+        return known.now
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -79,31 +105,47 @@ class PieceEncoder:
         return out + self._encode(run)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "whole":
-            return self._ids(texts)
+        for known in self.known.values():
+            known.turn()
         if self.kind == "dropped":
             cut = [t.replace("\n", " ").split(" ") for t in texts]
-            need: set[str] = set().union(*cut)
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-            if new := need.difference(self.cache):
-                self._learn(self.cache, new, "")
-            get = self.cache.__getitem__
+            get = self._learn(set().union(*cut), "").__getitem__
             return [b"".join(map(get, p)) for p in cut]
-        whole = [k for k, t in enumerate(texts) if _UNSAFE.search(t)]
-        odd = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        cut = [[] if k in odd else t.split(" ") for k, t in enumerate(texts)]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        if len(self.heads) > CACHE_PIECES:
-            self.heads.clear()
-        if new := {p[0] for p in cut if p}.difference(self.heads):
-            self._learn(self.heads, new, "")
-        first = [p.pop(0) if p else "" for p in cut]
-        if new := set().union(*cut).difference(self.cache):
-            self._learn(self.cache, new, " ")
-        get = self.cache.__getitem__
-        return [odd[k] if k in odd else self.heads[first[k]] + b"".join(map(get, p)) for k, p in enumerate(cut)]
+        whole = range(len(texts)) if self.kind == "whole" else [k for k, t in enumerate(texts) if _unsafe(t)]
+        out = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
+        lines = [[] if k in out else [x.split(" ") for x in t.split("\n")] for k, t in enumerate(texts)]
+        first = self._learn({x[0] for t in lines for x in t} | {"\n"}, "")
+        heads = [[first[x.pop(0)] for x in t] for t in lines]
+        get = self._learn(set().union(*(x for t in lines for x in t)), " ").__getitem__
+        line = first["\n"]
+        return [out[k] if k in out else line.join(h + b"".join(map(get, x)) for h, x in zip(heads[k], t, strict=True)) for k, t in enumerate(lines)]
+
+
+def _unsafe(t: str) -> bool:
+    """Whether a blank or line end stands at an end, or white space beside white space, or any other kind occurs."""
+    return t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or _OTHER_SPACE.search(t) is not None
+
+
+class _Recent:
+    """A dictionary of bounded size: what was used since it last filled up, and what was before."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.now) > CACHE_PIECES:
+            self.now, self.before = {}, self.now
+
+    def missing(self, need: set[str]) -> set[str]:
+        """Those not known; what was known before moves to the present."""
+        new = need.difference(self.now)
+        if self.before and new:
+            before = self.before
+            old = {x: before[x] for x in new if x in before}
+            self.now |= old
+            new.difference_update(old)
+        return new
 
 
 def encoder(path: str) -> PieceEncoder:
