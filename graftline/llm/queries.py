@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, huffman, length_histogram, packing, secrets, tokens, toxicity
+from . import audio, chat, decontam, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity
 from .near_dedup import NearDedup, near_duplicates
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a hidden Markov model and under the base."""
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of encoded lengths of all documents with its suffix sums."""
     return length_histogram.histogram(tokens.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE))
@@ -86,6 +91,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
+    "op3_hmm_score": op3_hmm_score,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
