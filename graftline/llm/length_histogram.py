@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stash
+
 #: Lengths in one coarse bin; within a bin and over bins the sums run apart.
 BIN = 1024
 
@@ -24,6 +26,7 @@ def histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     Null lengths are left out.  An empty table gives an empty result.
     """
     by = lengths.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("long").alias("n_tokens")).agg(F.count("*").alias("docs"))
+    by = stash(by, "lengths")  # one row for each length; what follows reads it several times
     by = by.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("bin", F.floor(F.col("n_tokens") / BIN))
     bins = by.groupBy("bin").agg(F.sum("docs").alias("bin_docs"), F.sum("tokens").alias("bin_tokens"))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
