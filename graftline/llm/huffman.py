@@ -2,22 +2,21 @@
 
 Code lengths come from global counts by package-merge, so no code is longer than
 ``LIMIT`` bits; the code table is stored as lengths alone.  A block holds the ids
-of whole documents:
+of whole documents, with the documents' ids and lengths beside it:
 
-    4 bytes  "GHC1"
-    u32 LE   ids in the block
+    4 bytes  "GHC2"
     u32 LE   ids between checkpoints
     u32 LE   checkpoints, then as many u32 LE bit offsets into the stream
-    bytes    code words, most significant bit first, zero filled to whole 32-bit words
+    bytes    code words, most significant bit first; every document starts at a 32-bit word
 
-Blocks are independent, and every checkpoint is a place to start: decoding runs
-over all checkpoints of a block at once, one table look-up for each id.
+Blocks are independent.  Every document, and every so many ids within it, has a
+checkpoint, and decoding runs over all checkpoints of a block at once, one table
+look-up for each id.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, stash
-from .tokens import END_ID, encoded
+from . import text as tx
+from .store import discard, new_path, stash
+from .tokens import END_ID, encoded, encoder
 
 LIMIT = 16
-MAGIC = b"GHC1"
+MAGIC = b"GHC2"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -94,57 +94,85 @@ class Code:
         return symbol, length
 
 
-def encode_block(ids: np.ndarray, words: np.ndarray, lengths: np.ndarray, step: int) -> bytes:
-    """One block of ids."""
-    n = len(ids)
+def encode_documents(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, lengths: np.ndarray, step: int) -> list[tuple[bytes, bytes]]:
+    """(checkpoints, stream) of each document; ids has the documents one after the other."""
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     bits = lengths[ids].astype(np.int64)
-    at = np.zeros(n + 1, np.int64)
-    np.cumsum(bits, out=at[1:])
-    if n and not bits.all():
+    if not bits.all():
         raise ValueError("an id without a code")
-    checkpoints = at[:n:step].astype("<u4")
-    stream = np.zeros(int(at[-1] + 31) // 32 + 1, np.uint64)
-    if n:
-        placed = words[ids].astype(np.uint64) << (64 - (at[:-1] & 31) - bits).astype(np.uint64)
-        word = at[:-1] >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        stream[word[first]] += np.add.reduceat(placed >> np.uint64(32), first)
+    total = np.concatenate([[0], np.cumsum(bits)])
+    own_words = (total[first[1:]] - total[first[:-1]] + 31) // 32
+    base = np.concatenate([[0], np.cumsum(own_words)])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    inner = total[:-1] - total[first[doc]]
+    at = inner + 32 * base[doc]
+    stream = np.zeros(base[-1] + 1, np.uint64)
+    if len(ids):
+        placed = words[ids].astype(np.uint64) << (64 - (at & 31) - bits).astype(np.uint64)
+        word = at >> 5
+        run = np.flatnonzero(np.diff(word, prepend=-1))
+        stream[word[run]] += np.add.reduceat(placed >> np.uint64(32), run)
         low = placed & np.uint64(0xFFFFFFFF)
         over = np.flatnonzero(low)
         stream[word[over] + 1] += low[over]
-    return MAGIC + struct.pack("<III", n, step, len(checkpoints)) + checkpoints.tobytes() + stream.astype(">u4").tobytes()
+    data = stream.astype(">u4")
+    marks = np.flatnonzero((np.arange(len(ids)) - first[doc]) % step == 0)
+    mark_at = np.concatenate([[0], np.cumsum(-(-sizes // step))]).astype(np.int64)
+    marks = inner[marks].astype("<u4")
+    return [(marks[mark_at[k] : mark_at[k + 1]].tobytes(), data[base[k] : base[k + 1]].tobytes()) for k in range(len(sizes))]
 
 
-def decode_block(block: bytes, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The ids of one block, all its checkpoints in step."""
+def join_block(records: list[tuple[bytes, bytes]], step: int) -> bytes:
+    """One block of documents' records."""
+    base, marks = 0, []
+    for m, stream in records:
+        marks.append(np.frombuffer(m, "<u4") + np.uint32(base))
+        base += 8 * len(stream)
+    checkpoints = np.concatenate(marks).astype("<u4") if marks else np.zeros(0, "<u4")
+    return MAGIC + struct.pack("<II", step, len(checkpoints)) + checkpoints.tobytes() + b"".join(s for _, s in records)
+
+
+def decode_block(block: bytes, sizes: np.ndarray, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ids of one block's documents, one after the other, all checkpoints in step."""
     if block[:4] != MAGIC:
         raise ValueError("not a block of this format")
-    n, step, lanes = struct.unpack_from("<III", block, 4)
-    at = np.frombuffer(block, "<u4", lanes, 16).astype(np.int64)
-    data = np.frombuffer(block, np.uint8, -1, 16 + 4 * lanes).astype(np.uint32)
+    step, lanes = struct.unpack_from("<II", block, 4)
+    at = np.frombuffer(block, "<u4", lanes, 12).astype(np.int64)
+    data = np.frombuffer(block, np.uint8, -1, 12 + 4 * lanes).astype(np.uint32)
     data = np.concatenate([data, np.zeros(3, np.uint32)])
     window = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    out = np.zeros((step, lanes), np.uint32)
-    for k in range(min(step, n)):
-        if k and n - (lanes - 1) * step <= k and len(at) == lanes:
-            at = at[:-1]  # the last lane is shorter
+    sizes = np.asarray(sizes, np.int64)
+    per = -(-sizes // step)
+    doc = np.repeat(np.arange(len(sizes)), per)
+    start = (np.arange(lanes) - np.concatenate([[0], np.cumsum(per)])[doc]) * step
+    count = np.minimum(step, sizes[doc] - start)
+    to = start + np.concatenate([[0], np.cumsum(sizes)])[doc]
+    order = np.argsort(-count, kind="stable")
+    at, to, count = at[order], to[order], count[order]
+    out = np.zeros(int(sizes.sum()), np.uint32)
+    live = len(count) - np.searchsorted(count[::-1], np.arange(step), "right")
+    for k, n in enumerate(live.tolist()):
+        if not n:
+            break
+        at, to = at[:n], to[:n]
         v = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32((1 << LIMIT) - 1)
-        out[k, : len(at)] = symbol[v]
+        out[to + k] = symbol[v]
         at = at + length[v]
-    return out.T.ravel()[:n] if lanes else np.zeros(0, np.uint32)
+    return out
 
 
-def count_ids(ids: DataFrame, vocab_size: int) -> np.ndarray:
-    """Global counts of a column of little-endian ids; at most ``vocab_size`` rows reach the driver."""
+def _unpack(x: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind)
+
+
+def count_ids(ids: DataFrame, vocab_size: int, kind: str) -> np.ndarray:
+    """Global counts of a column of packed ids; at most ``vocab_size`` rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=vocab_size) if len(x.as_buffer()) > vocab_size else 0
-            small = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0) if len(x.as_buffer()) <= vocab_size]
-            if small:
-                total += np.bincount(np.concatenate(small), minlength=vocab_size)
+            for part in tx.pieces(iter([batch]), 1024):
+                total += np.bincount(np.concatenate([_unpack(x, kind) for x in part.column(0)]), minlength=vocab_size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["symbol", "n"])
 
@@ -154,64 +182,85 @@ def count_ids(ids: DataFrame, vocab_size: int) -> np.ndarray:
     return counts
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = 1 << 17, step: int = 128) -> None:
-    """Write all documents' ids as blocks under ``path``/blocks in ascending id order, with ``path``/code and ``path``/parts.
+def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = 1 << 17, step: int = 128, part_ids: int = 1 << 23) -> None:
+    """Write all documents' ids as blocks under ``path``/blocks in ascending id order, and the code under ``path``/code.
 
-    A block closes with the document that brings it to ``block_ids``.  Null and
-    empty texts are one end id; null document ids come first; rows that share an
-    id are ordered by their ids' bytes.  An empty table gives no blocks.
+    A part holds a range of document ids, of about ``part_ids`` token ids; a block
+    closes with the document that brings it to ``block_ids``.  Documents are coded
+    before they are dealt to their parts, so only code words are shuffled.  Null
+    and empty texts are one end id; null document ids come first; rows that share
+    an id are ordered by their code.  An empty table gives no blocks.
     """
     spark = docs.sparkSession
+    vocab = encoder(tokenizer).vocab_size
+    short = vocab <= 1 << 16
+    kind = "<u2" if short else "<u4"
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded(batches, tokenizer, end_id):
+        for batch, ids in encoded(batches, tokenizer, end_id, short=short):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = stash(source.mapInArrow(tokenise, "doc_id long, ids binary"), "ids")
-    from .tokens import encoder
-
-    lengths = code_lengths(count_ids(ids.select("ids"), encoder(tokenizer).vocab_size))
+    counts = count_ids(ids.select("ids"), vocab, kind)
+    lengths = code_lengths(counts)
     words = Code(lengths).words()
+    parts = max(1, -(-int(counts.sum()) // part_ids))
+    bounds = np.unique(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)) if parts > 1 else np.zeros(0)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.pieces(batches, 256):
+            own = [_unpack(x, kind) for x in batch.column(1)]
+            sizes = np.array([len(x) for x in own], np.int64)
+            records = encode_documents(np.concatenate(own), sizes, words, lengths, step)
+            doc = batch.column(0)
+            part = np.where(doc.is_null().to_numpy(False), 0, np.searchsorted(bounds, doc.fill_null(0).to_numpy(False), "right"))
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), doc, pa.array(sizes), pa.array([m for m, _ in records], pa.binary()), pa.array([x for _, x in records], pa.binary())], names=["part", "doc_id", "n", "marks", "stream"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, before = TaskContext.get().partitionId(), 0, 0
+        now, number, before, size = None, 0, 0, 0
         doc: list[int | None] = []
-        held: list[np.ndarray] = []
-        size = 0
+        sizes: list[int] = []
+        records: list[tuple[bytes, bytes]] = []
 
         def close() -> pa.RecordBatch:
             nonlocal number, before, size
-            payload = encode_block(np.concatenate(held), words, lengths, step)
-            columns = [pa.array([part]), pa.array([number]), pa.array([before]), pa.array([doc], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
+            columns = [pa.array([now]), pa.array([number]), pa.array([before]), pa.array([doc], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([join_block(records, step)], pa.binary())]
             number, before, size = number + 1, before + size, 0
-            doc.clear()
-            held.clear()
+            for held in (doc, sizes, records):
+                held.clear()
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "ids_before", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, d, n, marks, stream in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if part != now:
+                    if doc:
+                        yield close()
+                    now, number, before = part, 0, 0
                 doc.append(d)
-                held.append(np.frombuffer(x.as_buffer(), "<u4"))
-                size += len(held[-1])
+                sizes.append(n)
+                records.append((marks, stream))
+                size += n
                 if size >= block_ids:
                     yield close()
-        if held:
+        if doc:
             yield close()
 
-    parts = max(1, ids.rdd.getNumPartitions())
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, "part long, block long, ids_before long, doc_ids array<long>, lengths array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    coded = ids.mapInArrow(code, "part long, doc_id long, n long, marks binary, stream binary")
+    dealt = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "stream")
+    dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(ids)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code")
 
 
+BLOCKS = "part long, block long, ids_before long, doc_ids array<long>, lengths array<long>, payload binary"
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): each document decoded from its block; start counts the ids of all documents before it."""
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()["lengths"], np.uint8)
-    blocks = spark.read.schema("part long, block long, ids_before long, doc_ids array<long>, lengths array<long>, payload binary").parquet(f"{path}/blocks")
-    # One row for each part, a number that the writer's task count bounds.
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    # One row for each part: one for every part_ids token ids.
     ends = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
     base, total = {}, 0
     for r in ends:
@@ -222,9 +271,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         symbol, length = Code(lengths).tables()
         for batch in batches:
             for part, before, doc, n, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                ids = decode_block(payload.as_buffer().to_pybytes(), symbol, length)
+                ids = decode_block(payload.as_buffer().to_pybytes(), n, symbol, length).astype("<u4")
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-                own = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                own = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at[:-1] + (base[part] + before)), pa.array(own, pa.binary())], names=["doc_id", "start", "ids"])
 
     return blocks.select("part", "ids_before", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
@@ -235,7 +284,3 @@ def round_trip(docs: DataFrame, tokenizer: str, **names: str) -> DataFrame:
     path = new_path(docs.sparkSession, "huffman")
     write_ids(docs, path, tokenizer, **names)
     return read_ids(docs.sparkSession, path)
-
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)

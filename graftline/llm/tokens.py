@@ -2,19 +2,19 @@
 
 A text is cut at blanks and line ends that the tokenizer's own splitting never
 joins across, so the ids of a text are the ids of its pieces in order.  Each worker keeps a bounded
-dictionary of pieces; new pieces go through the tokenizers library in batches.
+dictionary of pieces; new pieces go through the tokenizers library.
 Strings of special tokens inside a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 #: Pieces that a worker's dictionary holds since it was last full; as many older ones may stay.
-CACHE_PIECES = 500_000
-#: Characters of one batch of texts.
-BATCH_CHARS = 1 << 20
+CACHE_PIECES = 400_000
 END_ID = 1
 
 #: A word of letters that are such in every version of Unicode, and ASCII marks after it.
@@ -41,13 +39,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian bytes of unsigned 32-bit numbers, or of 16-bit ones if ``short``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, short: bool = False):
+        self.code = "H" if short else "I"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,61 +63,58 @@ class PieceEncoder:
             self.kind = "led"
         elif parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and "[^\\s\\p{L}\\p{N}]+" in parts[0]["pattern"].get("Regex", ""):
             self.kind = "dropped"
-        #: Ids of pieces by what stands before them: nothing, or a blank.
-        self.known = {"": _Recent(), " ": _Recent()}
+        merge, code = self.tokenizer.model.tokenize, self.code
+        whole, lower = self._ids, self.kind == "dropped"
+
+        def learn(known: _Known, lead: str, x: str) -> bytes:
+            """A word of letters goes through the merges alone; marks after it have ids of their own."""
+            m = _MARKED.fullmatch(x)
+            if m is None:
+                return whole([lead + x])[0]
+            word, marks = m.groups()
+            if lower:
+                word = word.lower()
+            if marks:
+                return known[word] + self.heads[marks]
+            if word != x:
+                return known[word]
+            return array(code, [t.id for t in merge((lead + x).encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+
+        #: Ids of pieces that nothing, or a blank, stands before.
+        self.heads, self.tails = _Known(learn, ""), _Known(learn, " ")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of single words of letters, from the merges alone."""
-        merge = self.tokenizer.model.tokenize
-        return [array("I", [t.id for t in merge((lead + w).encode().decode("latin-1").translate(_LETTERS))]).tobytes() for w in words]
-
-    def _learn(self, need: set[str], lead: str) -> dict[str, bytes]:
-        """The ids of all pieces needed.  A word with marks after it has the ids of the word, then of the marks."""
-        known = self.known[lead]
-        new = known.missing(need)
-        if new:
-            parts = {x: (m[1].lower() if self.kind == "dropped" else m[1], m[2]) for x in new if (m := _MARKED.fullmatch(x))}
-            whole = [x for x in new if x not in parts]
-            words = list(known.missing({w for w, _ in parts.values()}))
-            marks = list(self.known[""].missing({m for _, m in parts.values() if m}))
-            known.now |= zip(whole, self._ids([lead + x for x in whole]), strict=True)
-            known.now |= zip(words, self._word_ids(words, lead), strict=True)
-            self.known[""].now |= zip(marks, self._ids(marks), strict=True)
-            get, mark = known.now, self.known[""].now
-            known.now |= {x: get[w] + (mark[m] if m else b"") for x, (w, m) in parts.items()}
-        return known.now
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        out: list[bytes] = []
-        run: list[str] = []
-        size = 0
-        for t in texts:
-            run.append(t)
-            size += len(t)
-            if size >= BATCH_CHARS:
-                out += self._encode(run)
-                run, size = [], 0
-        return out + self._encode(run)
+        collects = gc.isenabled()
+        gc.disable()  # many new strings, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        for known in self.known.values():
-            known.turn()
+        if self.kind == "whole":
+            return self._ids(texts)
+        self.heads.turn()
+        self.tails.turn()
+        head, tail = self.heads.__getitem__, self.tails.__getitem__
         if self.kind == "dropped":
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-            get = self._learn(set().union(*cut), "").__getitem__
-            return [b"".join(map(get, p)) for p in cut]
-        whole = range(len(texts)) if self.kind == "whole" else [k for k, t in enumerate(texts) if _unsafe(t)]
-        out = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        lines = [[] if k in out else [x.split(" ") for x in t.split("\n")] for k, t in enumerate(texts)]
-        first = self._learn({x[0] for t in lines for x in t} | {"\n"}, "")
-        heads = [[first[x.pop(0)] for x in t] for t in lines]
-        get = self._learn(set().union(*(x for t in lines for x in t)), " ").__getitem__
-        line = first["\n"]
-        return [out[k] if k in out else line.join(h + b"".join(map(get, x)) for h, x in zip(heads[k], t, strict=True)) for k, t in enumerate(lines)]
+            return [b"".join(map(head, t.replace("\n", " ").split(" "))) for t in texts]
+        out = []
+        for t in texts:
+            if _unsafe(t):
+                out += self._ids([t])
+                continue
+            ids = []
+            for line in t.split("\n"):
+                first, *rest = line.split(" ")
+                ids.append(head(first) + b"".join(map(tail, rest)))
+            out.append(ids[0] if len(ids) == 1 else head("\n").join(ids))
+        return out
 
 
 def _unsafe(t: str) -> bool:
@@ -126,39 +122,37 @@ def _unsafe(t: str) -> bool:
     return t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or _OTHER_SPACE.search(t) is not None
 
 
-class _Recent:
-    """A dictionary of bounded size: what was used since it last filled up, and what was before."""
+class _Known(dict):
+    """Ids of pieces, of bounded number: those used since it last filled up, and as a reserve those before."""
 
-    def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+    def __init__(self, learn: Callable[[_Known, str, str], bytes], lead: str):
+        super().__init__()
+        self.learn, self.lead, self.before = learn, lead, {}
 
-    def turn(self) -> None:
-        if len(self.now) > CACHE_PIECES:
-            self.now, self.before = {}, self.now
+    def __missing__(self, x: str) -> bytes:
+        ids = self.before.get(x)
+        if ids is None:
+            ids = self.learn(self, self.lead, x)
+        self[x] = ids
+        return ids
 
-    def missing(self, need: set[str]) -> set[str]:
-        """Those not known; what was known before moves to the present."""
-        new = need.difference(self.now)
-        if self.before and new:
-            before = self.before
-            old = {x: before[x] for x in new if x in before}
-            self.now |= old
-            new.difference_update(old)
-        return new
+    def turn(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.before = dict(self)
+            self.clear()
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, short: bool = False) -> PieceEncoder:
     """This worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, short) not in _encoders:
+        _encoders[path, short] = PieceEncoder(path, short)
+    return _encoders[path, short]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = END_ID, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = END_ID, rows: int = 256, short: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the ids of its column 1; nulls are empty, ``end_id`` closes each text."""
-    enc = encoder(path)
-    end = b"" if end_id is None else np.uint32(end_id).tobytes()
+    enc = encoder(path, short)
+    end = b"" if end_id is None else array(enc.code, [end_id]).tobytes()
     for batch in tx.pieces(batches, rows):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         yield batch, [x + end for x in enc.encode(texts)]
