@@ -1,8 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(cut_k - w . x): one weight vector is shared by all ordered
-cuts.  x marks the distinct words (runs of letters) and word
-beginnings of the whole text.  The
+cuts.  x marks the distinct words (runs of letters) and word beginnings of the whole
+text that the model knows, over the root of their number, so that long texts score
+little higher.  The model knows words that lean to toxic rows.  The
 expected severity is the sum over k >= 1 of P(grade >= k).
 
 The fit uses a bounded sample of labelled rows (``per_grade`` rows of each toxic
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .store import discard, stash
 
 
 @dataclass(frozen=True)
@@ -31,12 +33,13 @@ class Ordinal:
     clean_rows: int = 12_000
     #: Bytes of a word's beginning that make a feature of their own.
     prefix: int = 5
-    #: Features kept: those whose log-likelihood ratio against the toxic share is so high, the highest first.
+    #: Features kept: those that lean to toxic rows with so high a log-likelihood ratio, the highest first.
     least_ratio: float = 12.0
     most_features: int = 60_000
-    l2: float = 1e-4
-    steps: int = 150
-    rate: float = 0.08
+    #: Weight of the penalty on squared weights, against one sampled row.
+    l2: float = 0.2
+    steps: int = 500
+    rate: float = 0.1
     #: P(grade >= 1) from which a document is toxic.
     threshold: float = 0.4
 
@@ -67,8 +70,8 @@ def row_features(column: pa.Array, prefix: int) -> Iterator[tuple[int, np.ndarra
             yield a + k, np.unique(np.concatenate([whole[i:j], begun[at[i] : at[j]]]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ordinal) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(features of each sampled row, grades, weights).
+def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ordinal) -> tuple[DataFrame, dict[int, float]]:
+    """((grade, features) of the sampled rows, written; the labelled rows that each row of a grade stands for).
 
     Grade 0 is not toxic, 1 toxic, 2 toxic and of poor quality; rows without a
     toxic label are left out, a null quality counts as good.
@@ -83,17 +86,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ordinal) -> tuple[lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.pieces(batches, 512):
-            found = [f.tobytes() for _, f in row_features(batch.column(1), p.prefix)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["grade", "features"])
+            found = [f.view(np.int64) for _, f in row_features(batch.column(1), p.prefix)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["grade", "features"])
 
     # The sample has at most clean_rows + (grades - 1) * per_grade rows of two numbers, so it can be broadcast.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
-    rows = texts.mapInArrow(run, "grade int, features binary").toArrow()
-    grades = rows["grade"].to_numpy()
-    seen = np.bincount(grades, minlength=p.grades)
-    share = np.array([totals.get(g, 0) / max(1, seen[g]) for g in range(p.grades)])
-    weights = share[grades] if len(grades) else np.zeros(0)
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["features"]], grades, weights / max(weights.sum(), 1e-9)
+    sample = stash(texts.mapInArrow(run, "grade int, features array<long>"), "sample")
+    seen = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    return sample, {g: totals[g] / n for g, n in seen.items()}
+
+
+def telling_features(sample: DataFrame, p: Ordinal) -> np.ndarray:
+    """The sorted hashes of the features kept: at most ``most_features``, by log-likelihood ratio against the toxic share."""
+    rows = sample.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("grade") > 0).cast("int")), F.lit(0.0)).alias("r")).first()
+    rate = min(max(rows["r"], 1e-6), 1 - 1e-6)
+    by = sample.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("features").alias("h")).groupBy("h").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).filter("n > 1")
+    part = lambda k, share: k * F.log(F.greatest(k, F.lit(1e-9)) / (F.col("n") * share))
+    ratio = 2 * (part(F.col("k").cast("double"), rate) + part((F.col("n") - F.col("k")).cast("double"), 1 - rate))
+    kept = by.select("h", ratio.alias("ratio"), (F.col("k") > rate * F.col("n")).alias("over")).filter((F.col("ratio") >= p.least_ratio) & F.col("over")).orderBy(F.desc("ratio"), "h").limit(p.most_features).select("h").toArrow()
+    return np.sort(kept["h"].to_numpy().view(np.uint64))
 
 
 def _loss_gradient(f: np.ndarray, grades: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,42 +120,55 @@ def _loss_gradient(f: np.ndarray, grades: np.ndarray, weights: np.ndarray, cuts:
     return by_f, by_cut
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, p: Ordinal) -> Model:
-    """Full-batch Adam on the sampled rows; with no rows, nothing is toxic."""
+def fit(values: np.ndarray, index: np.ndarray, row: np.ndarray, grades: np.ndarray, weights: np.ndarray, p: Ordinal) -> Model:
+    """Full-batch Adam on the sampled rows; with no rows, nothing is toxic.
+
+    Entry k says that row ``row[k]`` has feature ``values[index[k]]``.
+    """
     if not len(grades):
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(p.grades - 1, 30.0), p)
-    values, index, count = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(features)), [len(x) for x in features])
-    toxic = np.bincount(index, (grades > 0)[row], len(values))
-    rate = np.clip((grades > 0).mean(), 1e-6, 1 - 1e-6)
-    clean = count - toxic
-    ratio = 2 * (toxic * np.log(np.maximum(toxic, 1e-9) / (count * rate)) + clean * np.log(np.maximum(clean, 1e-9) / (count * (1 - rate))))
-    keep = np.flatnonzero(ratio >= p.least_ratio)
-    keep = np.sort(keep[np.argsort(-ratio[keep], kind="stable")[: p.most_features]])
-    new = np.full(len(values), -1)
-    new[keep] = np.arange(len(keep))
-    index, row = new[index][new[index] >= 0], row[new[index] >= 0]
+    n, l2 = len(values), p.l2 / len(grades)
+    share = np.bincount(row, minlength=len(grades))[row] ** -0.5
     above = np.array([weights[grades > k].sum() for k in range(p.grades - 1)])
     above = np.clip(above, 1e-6, 1 - 1e-6) * np.geomspace(1, 0.999, p.grades - 1)
     cuts = -np.log(above / (1 - above))
-    state = np.concatenate([np.zeros(len(keep)), [cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-3))])
+    state = np.concatenate([np.zeros(n), [cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-3))])
     m, v = np.zeros_like(state), np.zeros_like(state)
     for t in range(1, p.steps + 1):
-        w, cut = state[: len(keep)], state[len(keep)] + np.concatenate([[0], np.cumsum(np.exp(state[len(keep) + 1 :]))])
-        f = np.bincount(row, w[index], len(grades))
+        w, cut = state[: n], state[n] + np.concatenate([[0], np.cumsum(np.exp(state[n + 1 :]))])
+        f = np.bincount(row, w[index] * share, len(grades))
         by_f, by_cut = _loss_gradient(f, grades, weights, cut)
         g = np.empty_like(state)
-        g[: len(keep)] = np.bincount(index, by_f[row], len(keep)) + p.l2 * w
-        g[len(keep)] = by_cut.sum()
-        g[len(keep) + 1 :] = np.cumsum(by_cut[:0:-1])[::-1] * np.exp(state[len(keep) + 1 :])
+        g[: n] = np.bincount(index, by_f[row] * share, n) + l2 * w
+        g[n] = by_cut.sum()
+        g[n + 1 :] = np.cumsum(by_cut[:0:-1])[::-1] * np.exp(state[n + 1 :])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         state = state - p.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    cut = state[len(keep)] + np.concatenate([[0], np.cumsum(np.exp(state[len(keep) + 1 :]))])
-    return Model(values[keep], state[: len(keep)], cut, p)
+    cut = state[n] + np.concatenate([[0], np.cumsum(np.exp(state[n + 1 :]))])
+    return Model(values, state[: n], cut, p)
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Ordinal = Ordinal()) -> Model:
-    return fit(*labelled_sample(docs, labels, p), p)
+    sample, share = labelled_sample(docs, labels, p)
+    values = telling_features(sample, p)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for x in batch.column(1):
+                h = x.values.to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(values, h), max(0, len(values) - 1))
+                own.append(at[values[at] == h].astype(np.int32) if len(values) else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["grade", "at"])
+
+    rows = sample.select("grade", "features").mapInArrow(places, "grade int, at array<int>").toArrow()
+    discard(sample)
+    grades = rows["grade"].to_numpy()
+    lists = rows["at"].combine_chunks()
+    index = np.asarray(lists.flatten(), np.int64)
+    row = np.repeat(np.arange(len(grades)), np.diff(np.asarray(lists.offsets))) if len(grades) else np.zeros(0, np.int64)
+    weights = np.array([share[g] for g in grades.tolist()])
+    return fit(values, index, row, grades, weights / max(weights.sum(), 1e-9), p)
 
 
 class _Scorer:
@@ -161,7 +185,8 @@ class _Scorer:
             x = x[self.maybe[x & self.mask]]
             if len(x):
                 at = np.minimum(np.searchsorted(m.features, x), len(m.features) - 1)
-                f[k] = m.weights[at[m.features[at] == x]].sum()
+                at = at[m.features[at] == x]
+                f[k] = m.weights[at].sum() / max(1, len(at)) ** 0.5
         return m.at_least(f)
 
 

@@ -67,5 +67,6 @@ def test_sample_is_bounded(spark):
     data = rows(300, 2)
     docs = spark.createDataFrame([(d, t) for d, t, _, _ in data], "doc_id long, text string")
     labels = spark.createDataFrame([(d, q, y) for d, _, y, q in data], "doc_id long, quality int, toxic int")
-    _, grades, weights = toxicity.labelled_sample(docs, labels, Ordinal(per_grade=10, clean_rows=20))
-    assert np.bincount(grades).tolist()[:2] == [20, 10] and abs(weights.sum() - 1) < 1e-9
+    sample, share = toxicity.labelled_sample(docs, labels, Ordinal(per_grade=10, clean_rows=20))
+    seen = {r.grade: r["count"] for r in sample.groupBy("grade").count().collect()}
+    assert (seen[0], seen[1]) == (20, 10) and abs(sum(seen[g] * share[g] for g in seen) - 300) < 1e-6
