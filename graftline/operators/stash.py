@@ -21,11 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/graftline/{name}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
