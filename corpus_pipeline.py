@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftline.llm import decontam, near_dedup, packing, queries, secrets, toxicity
-from graftline.llm.store import stash
+from graftline.operators.stash import stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stash import discard, new_path, stash
 from . import text as tx
-from .store import discard, new_path, stash
 from .tokens import END_ID, encoded, encoder
 
 LIMIT = 16

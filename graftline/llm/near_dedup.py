@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
+from ..operators.stash import discard, stash
 from . import text as tx
-from .components import components
-from .store import discard, stash
 
 _rng = np.random.Generator(np.random.PCG64(77041))
 
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     # Rows of one id with different texts are one document.
     same = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u <> v").select("u", "v")
     linked = stash(confirmed(star, sets, p).unionByName(same), "links")
-    first = stash(components(linked), "components")
+    first = stash(connected_components(linked), "components")
 
     labelled = around.join(first, around.rep == first.node, "left").select("center", "rep", F.coalesce("component", "rep").alias("label"))
     split = labelled.groupBy("center").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("center")
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     flagged = stash(_compare(members, p, exact=False).select(F.col("u").alias("center"), F.col("v").alias("rep")), "flagged")
     sets2 = stash(shingle_sets(docs, flagged.select("rep").distinct(), p, id_col, text_col), "sets")
     more = _compare(members.join(flagged, ["center", "rep"]).join(sets2, "rep"), p, exact=True)
-    comp = stash(components(linked.unionByName(more)), "components")
+    comp = stash(connected_components(linked.unionByName(more)), "components")
     discard(buckets, met, around, star, sets, linked, first, members, flagged, sets2)
 
     found = member.join(comp, member.rep == comp.node, "left").select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))

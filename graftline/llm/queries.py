@@ -115,4 +115,20 @@ ORACLE: dict[str, str] = {
                CAST(sum(length(text) + length(text) - length(replace(replace(text, '<', ''), '[', ''))
                    + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 ELSE 7 END) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op8_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        links AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+        reach(node, label) AS (
+            SELECT doc_id, doc_id FROM s
+            UNION SELECT b.v, r.label FROM reach r JOIN both_ways b ON b.u = r.node WHERE r.label < b.v)
+        SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept
+        FROM s JOIN (SELECT node, min(label) AS c FROM reach GROUP BY node) ON node = s.doc_id""",
 }

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stash import discard, stash
 from . import text as tx
-from .store import discard, stash
 
 
 @dataclass(frozen=True)

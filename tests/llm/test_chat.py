@@ -1,8 +1,11 @@
 import hashlib
 import random
 
+import duckdb
+import pytest
+
 from graftline.llm import chat
-from graftline.llm.queries import ORACLE, op1_chat_format
+from graftline.llm.queries import ORACLE, QUERIES
 
 
 def test_escape_round_trip():
@@ -37,12 +40,11 @@ def test_parts_and_roles(spark):
     assert chat.digests(turns.limit(0)).collect() == []
 
 
-def test_query_equals_sql(spark):
-    import duckdb
-
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.001"
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-    rows = op1_chat_format(spark, sf)
-    want = con.sql(ORACLE["op1_chat_format"]).fetchall()
-    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    for t in ("conversations", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(ORACLE[name]).fetchall()
+    assert sorted(map(tuple, QUERIES[name](spark, sf).collect())) == sorted(want)
