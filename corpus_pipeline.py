@@ -28,11 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are in no group and stay.
     """
     found = near_dedup.near_duplicates(docs, near_dedup.NearDedup(width=5))
-    gone = found.filter("not kept").select("doc_id").distinct()
-    one = found.filter("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = left.join(one, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(one, "doc_id", "left_anti").select(COLUMNS).unionByName(repeated.select(COLUMNS))
+    # Only ids that go, or that several rows with words share, are joined with the texts.
+    flags = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("_gone"), F.count_if(F.col("n_shingles") > 0).alias("_rows")).filter("_gone or _rows > 1")
+    seen = docs.select(COLUMNS).join(flags, "doc_id", "left")
+    once = seen.filter("_gone is null").select(COLUMNS)
+    return once.unionByName(seen.filter("not _gone").select(COLUMNS).dropDuplicates(["doc_id"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
