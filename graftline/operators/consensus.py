@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .unions import union_all
+
 
 def unique_argmax(keyed: DataFrame, keys: list[str], value: str, weight: Column, out: str = "consensus", tie: str = "N") -> DataFrame:
     """For each key the value of the greatest summed weight, ``tie`` where several have it; with the number of rows as ``support``."""
@@ -30,7 +32,7 @@ def positional_consensus(bases: DataFrame, keys: list[str], pos: str, base: str,
     """
     rows = bases.select(*keys, pos, F.col(base).alias("_b"), F.col(weight).cast("long").alias("_w"), F.lit(0).alias("_ref"))
     if reference is not None:
-        rows = rows.unionByName(reference.select(*keys, pos, F.col(base).alias("_b"), F.lit(1).cast("long").alias("_w"), F.lit(1).alias("_ref")))
+        rows = union_all([rows, reference.select(*keys, pos, F.col(base).alias("_b"), F.lit(1).cast("long").alias("_w"), F.lit(1).alias("_ref"))])
     by = rows.groupBy(*keys, pos, "_b").agg(F.sum("_w").alias("_w"), F.max("_ref").alias("_ref"))
     best = by.groupBy(*keys, pos).agg(F.min(F.struct((-F.col("_w")).alias("w"), (-F.col("_ref")).alias("r"), F.col("_b").alias("b"))).alias("_best"))
     return best.select(*keys, pos, F.col("_best.b").alias(base))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stash import discard, stash
+from .unions import union_all
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is joined to the smallest of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = union_all([edges, edges.select(F.col("v").alias("u"), F.col("u").alias("v"))])
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
@@ -20,7 +21,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    return union_all([moved, least.select("u", F.col("m").alias("v"))]).filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
     else:
         raise RuntimeError("components did not converge")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    found = union_all([found, found.select(F.col("component").alias("node"), "component").distinct()])
     if nodes is None:
         return found
     return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -56,7 +57,7 @@ def greedy_cover(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> Data
     neighbour before it is settled and none of these is a representative.
     ``nodes``: node, rank (a total order); ``edges``: u, v, each pair once.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct()
+    both = union_all([edges.select("u", "v"), edges.select(F.col("v").alias("u"), F.col("u").alias("v"))]).filter("u <> v").distinct()
     a = nodes.select(F.col("node").alias("u"), F.col("rank").alias("ru"))
     b = nodes.select(F.col("node").alias("v"), F.col("rank").alias("rv"))
     # v stands before u.

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .unions import apart
+
 
 def _fresh(*frames: DataFrame) -> str:
     """A column prefix that no frame uses."""
@@ -91,7 +93,7 @@ def asof(probe: DataFrame, build: DataFrame, keys: list[str], probe_pos: str, bu
     best = build.groupBy(*keys, F.col(build_pos).alias(at)).agg(F.max_by(F.struct(build_pos, *values), F.struct(*([tie] if tie else []), *values)).alias(held))
     left = probe.select(*keys, F.col(probe_pos).alias(at), F.lit(0).alias(side), F.struct(*probe.columns).alias("_row"))
     right = best.select(*keys, at, F.lit(1).alias(side), held)
-    both = left.unionByName(right, allowMissingColumns=True)
+    both = left.unionByName(apart(right), allowMissingColumns=True)
     # At one position probes come before build rows, so that only strictly nearer ones count.
     order = F.col(at).asc() if direction == "backward" else F.col(at).desc()
     window = Window.partitionBy(*keys).orderBy(order, F.col(side)).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,6 +12,7 @@ from ..operators import matching
 from ..operators.dedupe import Identity, identity_clusters
 from ..operators.graph import connected_components
 from ..operators.stash import stash
+from ..operators.unions import union_all
 from ..params import ClusterSeq, Genotype, MakeDatabase
 from ..schemas import CLUSTERSEQ, CONF_OF_METHOD, CONFS, FULL_CONTEXT, GENOTYPES, HALF_CONTEXT, NO_CONTEXT, STRICT_CONFS
 
@@ -20,7 +21,7 @@ PAIR = ["sample", "pair_id"]
 
 def union_inferred(frames: list[DataFrame], least: int, most: int) -> DataFrame:
     """All inferred sequences of the size window, of every input alike."""
-    return reduce(DataFrame.unionByName, frames).filter(F.col("inferred_seq_length").between(least, most))
+    return union_all(frames).filter(F.col("inferred_seq_length").between(least, most))
 
 
 # --- clustering ------------------------------------------------------------------------------------------------------
@@ -123,13 +124,13 @@ def resolve(rows: DataFrame) -> DataFrame:
     rest = seen.filter("_ns <> 1 and _nl <> 1").select(keep)
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(c, ";"))))), ";")
     combined = rest.groupBy(*PAIR, *place, "group").agg(joined("seqid").alias("seqid"), joined("cluster").alias("cluster")).withColumn("conf", F.lit("A"))
-    return reduce(DataFrame.unionByName, [clear, by_support, by_strict, by_lenient, combined])
+    return union_all([clear, by_support, by_strict, by_lenient, combined])
 
 
 def genotype(pairs: list[DataFrame], clusterseq: DataFrame, p: Genotype = Genotype()) -> DataFrame:
     """The genotypes table; always its nine columns, empty in, empty out."""
     held = clusterseq.join(assembly_clusters(clusterseq), "cluster", "left_semi") if p.filter_clusters_inferred_assembly else clusterseq
-    rows = best_evidence(reduce(DataFrame.unionByName, pairs), held)
+    rows = best_evidence(union_all(pairs), held)
     return resolve(rows).select([F.col(f"`{f.name}`").cast(f.dataType) for f in GENOTYPES])
 
 

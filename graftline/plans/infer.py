@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar as cg
 from ..functions import sequence as sq
 from ..operators import matching
+from ..operators.unions import union_all
 from ..params import InferAligned, InferDatabase, InferOverlap
 from ..schemas import DATABASE, FULL_CONTEXT, HALF_CONTEXT, INFERRED, NO_CONTEXT, OVERLAP, REFERENCE
 from .pairs import region_consensus
@@ -29,7 +30,7 @@ def flank_sequences(pairs: DataFrame) -> DataFrame:
     """(sample, name, seq): flanks without their uncertain ends, the 3p flank reverse-complemented."""
     one = pairs.select("sample", F.concat(F.col("pair_id").cast("string"), F.lit("_1")).alias("name"), sq.strip_flank("seq_5p", "5p").alias("seq"))
     two = pairs.select("sample", F.concat(F.col("pair_id").cast("string"), F.lit("_2")).alias("name"), sq.revcomp(sq.strip_flank("seq_3p", "3p")).alias("seq"))
-    return one.unionByName(two)
+    return union_all([one, two])
 
 
 def flank_sequences_in_context(pairs: DataFrame, alignments: DataFrame, genome: DataFrame, p: InferAligned = InferAligned()) -> DataFrame:
@@ -113,7 +114,7 @@ def nearest_pairs(rows: DataFrame, shift: int = 0) -> DataFrame:
     found = base.withColumn("_above", F.last(F.when(F.col("reverse"), F.col("best")), ignorenulls=True).over(up)).withColumn("_below", F.last(F.when(~F.col("reverse"), F.col("best")), ignorenulls=True).over(down))
     ahead = found.filter("not reverse and _above is not null").select(*keys, F.col("x").alias("f"), F.col("_above").alias("r"), F.col("lane").alias("mate"))
     behind = found.filter("reverse and _below is not null").select(*keys, F.col("_below").alias("f"), F.col("x").alias("r"), F.col("lane").alias("mate"))
-    return ahead.unionByName(behind).dropDuplicates([*keys, "f", "r"])
+    return union_all([ahead, behind]).dropDuplicates([*keys, "f", "r"])
 
 
 def smallest_windows(pairs: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def infer_in_context(alignments: DataFrame, targets: DataFrame, p: InferAligned
 
 def infer_assembly(with_context: DataFrame, without_context: DataFrame, targets: DataFrame, p: InferAligned = InferAligned()) -> DataFrame:
     """Both assembly methods, from alignments of flanks with and without context."""
-    return infer_in_context(with_context, targets, p).unionByName(infer_reference(without_context, targets, p, NO_CONTEXT))
+    return union_all([infer_in_context(with_context, targets, p), infer_reference(without_context, targets, p, NO_CONTEXT)])
 
 
 # --- database -------------------------------------------------------------------------------------------------------

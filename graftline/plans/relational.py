@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from ..operators import consensus, dedupe, graph, joins, matching
+from ..operators.unions import union_all
 
 MATE_DISTANCE = 22
 MAX_REPEAT = 21
@@ -257,7 +258,7 @@ def semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts of three tables within the size window, by digest."""
     parts = [table(spark, sf_dir, n).select(F.col(c).alias("s")) for n, c in (("documents", "text"), ("pages", "html"), ("benchmark", "text"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.length("s").between(70, 200_000))
+    rows = union_all(parts).filter(F.length("s").between(70, 200_000))
     return rows.select(F.md5(F.col("s").cast("binary")).alias("text_md5"), F.length("s").alias("n_chars")).distinct()
 
 

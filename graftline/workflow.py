@@ -1,8 +1,8 @@
 """The whole cohort as one lazy plan, and a command line for single stages.
 
 Every stage is a function of DataFrames; ``run`` chains them over all samples at
-once, so what was a process and a file for each sample is one plan here.  External
-aligners are not part of this library: flank alignments come in as tables.
+once, so what was a process and a file for each sample is one plan here.  Flanks
+are aligned by ``operators.align``; alignments of another aligner can be given instead.
 """
 
 from __future__ import annotations
@@ -15,15 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from . import schemas
+from .operators.align import Aligner, align
 from .operators.stash import stash
 from .params import Workflow
 from .plans import cohort, flanks, infer, pairs
 from .sources import files
 
 
+#: Elements are looked for with a lower least score.
+DATABASE_ALIGNER = Aligner(slope=5.0)
+
+
 @dataclass(frozen=True)
 class Inputs:
-    """Tables of a run.  The flank alignments may be missing; their methods are then left out."""
+    """Tables of a run.  Flank alignments that are not given are made here."""
 
     alignments: DataFrame
     genome: DataFrame
@@ -51,15 +56,14 @@ def run(x: Inputs, w: Workflow = Workflow()) -> Outputs:
     """All stages, from alignments to the final FASTA table."""
     found = stash(flanks.find_flanks(x.alignments, w.findflanks, files.contigs_of(x.genome)), "flanks")
     paired = stash(pairs.pair_flanks(found, x.alignments, x.genome, w.pairflanks), "pairs")
-    parts = [infer.infer_overlap(paired, w.inferseq_overlap)]
-    if x.to_reference is not None:
-        parts.append(infer.infer_reference(x.to_reference, x.genome, w.inferseq))
-    if x.assembly is not None and x.to_assembly is not None:
-        parts.append(infer.infer_reference(x.to_assembly, x.assembly, w.inferseq, schemas.NO_CONTEXT))
-    if x.assembly is not None and x.to_assembly_in_context is not None:
-        parts.append(infer.infer_in_context(x.to_assembly_in_context, x.assembly, w.inferseq))
-    if x.database is not None and x.to_database is not None:
-        parts.append(infer.infer_database(x.to_database, x.database, w.inferseq_database))
+    plain = infer.flank_sequences(paired)
+    aligned = lambda given, queries, targets: given if given is not None else stash(align(queries, targets), "aligned")
+    parts = [infer.infer_overlap(paired, w.inferseq_overlap), infer.infer_reference(aligned(x.to_reference, plain, x.genome), x.genome, w.inferseq)]
+    if x.assembly is not None:
+        in_context = infer.flank_sequences_in_context(paired, x.alignments, x.genome, w.inferseq)
+        parts.append(infer.infer_assembly(aligned(x.to_assembly_in_context, in_context, x.assembly), aligned(x.to_assembly, plain, x.assembly), x.assembly, w.inferseq))
+    if x.database is not None:
+        parts.append(infer.infer_database(x.to_database if x.to_database is not None else stash(align(plain, x.database, DATABASE_ALIGNER), "aligned"), x.database, w.inferseq_database))
     parts = [stash(p, "inferred") for p in parts]
     clustered = stash(cohort.cluster_sequences(parts, w.clusterseq), "clusterseq")
     typed = stash(cohort.genotype([paired], clustered, w.genotype), "genotypes")
@@ -94,9 +98,9 @@ def main(argv: Sequence[str] | None = None) -> None:
         "recall": ["sites", "alignments"],
         "pairflanks": ["flanks", "alignments", "genome"],
         "inferseq-overlap": ["pairs"],
-        "inferseq-reference": ["flank_alignments", "genome"],
-        "inferseq-assembly": ["context_alignments", "flank_alignments", "assembly"],
-        "inferseq-database": ["flank_alignments", "database"],
+        "inferseq-reference": ["pairs", "genome"],
+        "inferseq-assembly": ["pairs", "alignments", "assembly", "genome"],
+        "inferseq-database": ["pairs", "database"],
         "formatbam": ["alignments"],
         "makedatabase": ["inferred+"],
         "clusterseq": ["inferred+"],
@@ -126,11 +130,15 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif a.command == "inferseq-overlap":
         tsv(infer.infer_overlap(table(a.pairs, s.PAIRS), w.inferseq_overlap))
     elif a.command == "inferseq-reference":
-        tsv(infer.infer_reference(aligned(a.flank_alignments), fasta(a.genome), w.inferseq))
+        genome = fasta(a.genome)
+        tsv(infer.infer_reference(align(infer.flank_sequences(table(a.pairs, s.PAIRS)), genome), genome, w.inferseq))
     elif a.command == "inferseq-assembly":
-        tsv(infer.infer_assembly(aligned(a.context_alignments), aligned(a.flank_alignments), fasta(a.assembly), w.inferseq))
+        paired, contigs = table(a.pairs, s.PAIRS), fasta(a.assembly)
+        context = infer.flank_sequences_in_context(paired, aligned(a.alignments), fasta(a.genome), w.inferseq)
+        tsv(infer.infer_assembly(align(context, contigs), align(infer.flank_sequences(paired), contigs), contigs, w.inferseq))
     elif a.command == "inferseq-database":
-        tsv(infer.infer_database(aligned(a.flank_alignments), fasta(a.database), w.inferseq_database))
+        known = fasta(a.database)
+        tsv(infer.infer_database(align(infer.flank_sequences(table(a.pairs, s.PAIRS)), known, DATABASE_ALIGNER), known, w.inferseq_database))
     elif a.command == "formatbam":
         files.write_alignments(files.format_alignments(aligned(a.alignments)), a.output)
     elif a.command == "makedatabase":

@@ -244,14 +244,30 @@ def test_summaries(spark):
 
 def test_workflow(spark, tables):
     alignments, genome = tables
-    rows = [placed("1_1", 10, 80, False, contig="as"), placed("1_2", 10 + 30, 10 + len(ELEMENT), True, contig="as")]
-    contig = GENOME[:10] + ELEMENT + GENOME[20:60]
-    to_assembly = spark.createDataFrame([("a", *r[1:]) for r in rows], schemas.ALIGNMENTS)
-    out = workflow.run(workflow.Inputs(alignments, genome, assembly=spark.createDataFrame([("as", contig)], schemas.SEQUENCES), to_assembly=to_assembly))
+    end = SITE + REPEAT
+    assembly = spark.createDataFrame([("as", GENOME[:end] + ELEMENT + GENOME[SITE:])], schemas.SEQUENCES)
+    out = workflow.run(workflow.Inputs(alignments, genome, assembly=assembly, database=spark.createDataFrame([("e", ELEMENT)], schemas.SEQUENCES)))
     assert out.pairs.count() == 2
-    typed = {(r.sample, r.conf) for r in out.genotypes.collect()}
-    assert ("a", "IO") in typed or ("a", "IAwoC") in typed
-    assert out.clusters.count() >= 1 and out.fasta.count() >= 1 and out.groups.count() >= 1
+    found = {(r.sample, r.method): r.inferred_seq for r in out.inferred.collect()}
+    assert {s for s, m in found if m == schemas.FULL_CONTEXT} == {"a", "b"}
+    assert found["a", schemas.FULL_CONTEXT] == ELEMENT == found["a", schemas.NO_CONTEXT] == found["a", schemas.DATABASE]
+    assert {(r.sample, r.conf) for r in out.genotypes.collect()} == {("a", "IAwFC"), ("b", "IAwFC")}
+    c = out.clusters.collect()
+    assert len(c) == 1 and (c[0].num_samples, c[0].IAwFC, c[0].repr_seq) == (2, 2, ELEMENT)
+    assert out.groups.count() == 1 and [r.seq for r in out.fasta.collect()] == [ELEMENT]
+
+
+def test_command_line(spark, tables, tmp_path):
+    alignments, genome = tables
+    alignments.write.parquet(str(tmp_path / "reads.parquet"))
+    files.write_fasta(genome, str(tmp_path / "genome.fna"))
+    at = lambda x: str(tmp_path / x)
+    workflow.main(["--output", at("flanks"), "findflanks", at("reads.parquet")])
+    workflow.main(["--output", at("pairs"), "pairflanks", at("flanks"), at("reads.parquet"), at("genome.fna")])
+    files.write_fasta(spark.createDataFrame([("e", ELEMENT)], schemas.SEQUENCES), str(tmp_path / "db.fna"))
+    workflow.main(["--output", at("inferred"), "inferseq-database", at("pairs"), at("db.fna")])
+    workflow.main(["--output", at("clusterseq"), "clusterseq", at("inferred")])
+    assert files.read_tsv(spark, at("clusterseq"), schemas.CLUSTERSEQ).count() == 2
 
 
 def test_clip_filters(spark):
