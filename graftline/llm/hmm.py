@@ -32,19 +32,19 @@ CLASSES = 128
 
 @dataclass(frozen=True)
 class Hmm:
-    states: int = 8
+    states: int = 16
     #: Words, seen twice at least, that are observations of their own, at most.
     vocabulary: int = 32_000
     #: Words whose counts every task holds, at most.
     held_words: int = 400_000
     #: Training rows of the first guess, and Baum-Welch rounds on them.
     first_rows: int = 256
-    first_rounds: int = 25
+    first_rounds: int = 30
     #: Baum-Welch rounds over all training rows.
     rounds: int = 3
     #: Tokens of a training segment, and of a batch that is computed at once.
     segment: int = 1024
-    batch_tokens: int = 1 << 20
+    batch_tokens: int = 1 << 19
     #: Weight of the overall distribution in each state's own.
     smoothing: float = 50.0
 
