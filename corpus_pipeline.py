@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graftline.llm import decontam, near_dedup, packing, queries, secrets, toxicity
 from graftline.operators.stash import stash
+from graftline.operators.unions import union_all
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     flags = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("_gone"), F.count_if(F.col("n_shingles") > 0).alias("_rows")).filter("_gone or _rows > 1")
     seen = docs.select(COLUMNS).join(flags, "doc_id", "left")
     once = seen.filter("_gone is null").select(COLUMNS)
-    return once.unionByName(seen.filter("not _gone").select(COLUMNS).dropDuplicates(["doc_id"]))
+    return union_all([once, seen.filter("not _gone").select(COLUMNS).dropDuplicates(["doc_id"])])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
