@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 #: Pieces that a worker's dictionary holds since it was last full; as many older ones may stay.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 END_ID = 1
 
 #: A word of letters that are such in every version of Unicode, and ASCII marks after it.
