@@ -18,7 +18,7 @@ from . import schemas
 from .operators.align import Aligner, align
 from .operators.stash import stash
 from .params import Workflow
-from .plans import cohort, flanks, infer, pairs
+from .plans import cohort, extend, flanks, infer, pairs
 from .sources import files
 
 
@@ -107,6 +107,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         "genotype": ["clusterseq", "pairs+"],
         "summarize": ["clusterseq", "genotypes"],
         "makefasta": ["clusterseq", "genotypes"],
+        "extendpairs": ["pairs", "alignments"],
     }.items():
         one = sub.add_parser(name)
         for a in args:
@@ -139,6 +140,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif a.command == "inferseq-database":
         known = fasta(a.database)
         tsv(infer.infer_database(align(infer.flank_sequences(table(a.pairs, s.PAIRS)), known, DATABASE_ALIGNER), known, w.inferseq_database))
+    elif a.command == "extendpairs":
+        tsv(extend.extend_pairs(table(a.pairs, s.PAIRS), aligned(a.alignments)))
     elif a.command == "formatbam":
         files.write_alignments(files.format_alignments(aligned(a.alignments)), a.output)
     elif a.command == "makedatabase":
