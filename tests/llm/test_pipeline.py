@@ -62,3 +62,16 @@ def test_filters_agree_with_reports(spark, tmp_path):
     toxic = {r.doc_id for r in toxicity.severity(docs, model).filter("toxic").collect()}
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in toxicity.without_toxic(docs, model).collect()} == toxic
     assert secrets.KINDS[0] == "assign"
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows, bench in (("empty", [], []), ("odd", [(None, None, None, None, None), (1, None, None, None, None), (1, "x " * 40_000, None, None, None), (2, "a b c", None, "s", 5), (2, "a b c", None, "s", 5)], [(None, None), (1, "")])):
+        at = str(tmp_path / name)
+        odd = spark.createDataFrame([(*r, 1, "z", 2) for r in rows], schema + ", toxic int, component_id string, ids int")
+        odd.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(None, None, None), (1, None, 0), (2, 1, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, at).collect()
+        assert {r.doc_id for r in pieces} == ({None, 1, 2} if rows else set())
+        assert sum(r.length for r in pieces if r.doc_id == 2) == (4 if rows else 0)
