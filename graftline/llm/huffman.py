@@ -17,6 +17,7 @@ look-up for each id.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -165,18 +166,21 @@ def _unpack(x: pa.Scalar, kind: str) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), kind)
 
 
-def count_ids(ids: DataFrame, vocab_size: int, kind: str) -> np.ndarray:
-    """Global counts of a column of packed ids; at most ``vocab_size`` rows reach the driver."""
+def _packed_counts(total: np.ndarray) -> bytes:
+    seen = np.flatnonzero(total)
+    return seen.astype("<i8").tobytes() + total[seen].astype("<i8").tobytes()
+
+
+def sum_counts(partial: DataFrame, vocab_size: int) -> np.ndarray:
+    """Global counts from the tasks' packed counts; at most ``vocab_size`` rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocab_size, np.int64)
         for batch in batches:
-            for part in tx.pieces(iter([batch]), 1024):
-                total += np.bincount(np.concatenate([_unpack(x, kind) for x in part.column(0)]), minlength=vocab_size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["symbol", "n"])
+            for x in batch.column(0):
+                symbol, n = _unpack(x, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(symbol.astype(np.int32)), pa.array(n)], names=["symbol", "n"])
 
-    rows = ids.mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    rows = partial.mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocab_size, np.int64)
     counts[rows["symbol"].to_numpy()] = rows["n"].to_numpy()
     return counts
@@ -197,12 +201,17 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     kind = "<u2" if short else "<u4"
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task's counts are a row of their own, so they are committed with its ids and read without them.
+        total, names = np.zeros(vocab, np.int64), ["doc_id", "ids", "counts"]
         for batch, ids in encoded(batches, tokenizer, end_id, short=short):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocab)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_packed_counts(total)], pa.binary())], names=names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = stash(source.mapInArrow(tokenise, "doc_id long, ids binary"), "ids")
-    counts = count_ids(ids.select("ids"), vocab, kind)
+    both = stash(source.mapInArrow(tokenise, "doc_id long, ids binary, counts binary"), "ids")
+    counts = sum_counts(both.select("counts").filter("counts is not null"), vocab)
+    ids = both.filter("counts is null").select("doc_id", "ids")
     lengths = code_lengths(counts)
     words = Code(lengths).words()
     parts = max(1, -(-int(counts.sum()) // part_ids))
@@ -249,15 +258,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     coded = ids.mapInArrow(code, "part long, doc_id long, n long, marks binary, stream binary")
     dealt = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "stream")
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
-    discard(ids)
+    discard(both)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code")
 
 
 BLOCKS = "part long, block long, ids_before long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): each document decoded from its block; start counts the ids of all documents before it."""
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): each document decoded from its block; start counts the ids of all documents before it.
+
+    With ``digest``, ids_crc32 (of the decoded ids) stands in place of ids.
+    """
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()["lengths"], np.uint8)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     # One row for each part: one for every part_ids token ids.
@@ -274,13 +286,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 ids = decode_block(payload.as_buffer().to_pybytes(), n, symbol, length).astype("<u4")
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
                 own = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at[:-1] + (base[part] + before)), pa.array(own, pa.binary())], names=["doc_id", "start", "ids"])
+                last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array(own, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at[:-1] + (base[part] + before)), pa.array(n, pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return blocks.select("part", "ids_before", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, start long, ids binary")
+    last = "ids_crc32 long" if digest else "ids binary"
+    return blocks.select("part", "ids_before", "doc_ids", "lengths", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, **names: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, digest: bool = False, **options: str | int) -> DataFrame:
     """Write ``docs`` to a new place in the shared folder and read it back."""
     path = new_path(docs.sparkSession, "huffman")
-    write_ids(docs, path, tokenizer, **names)
-    return read_ids(docs.sparkSession, path)
+    write_ids(docs, path, tokenizer, **options)
+    return read_ids(docs.sparkSession, path, digest)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 #: Pieces that a worker's dictionary holds since it was last full; as many older ones may stay.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 END_ID = 1
 
 #: A word of letters that are such in every version of Unicode, and ASCII marks after it.
@@ -68,6 +68,8 @@ class PieceEncoder:
 
         def learn(known: _Known, lead: str, x: str) -> bytes:
             """A word of letters goes through the merges alone; marks after it have ids of their own."""
+            if x.isascii() and x.islower() and x.isalpha():  # bytes are written as the letters that they are
+                return array(code, [t.id for t in merge((_LETTERS[32] + x) if lead else x)]).tobytes()
             m = _MARKED.fullmatch(x)
             if m is None:
                 return whole([lead + x])[0]

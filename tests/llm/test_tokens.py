@@ -150,4 +150,6 @@ def test_huffman_files(spark):
     for (start, d, ids), (e, x) in zip(got, want, strict=True):
         assert (start, d, zlib.crc32(bytes(ids))) == (at, e, zlib.crc32(x))
         at += len(x) // 4
+    short = huffman.round_trip(docs(spark), WORD, digest=True).collect()
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in short) == sorted((a, len(x) // 4, zlib.crc32(bytes(x))) for a, _, x in got)
     assert huffman.round_trip(docs(spark).limit(0), WORD).collect() == []
