@@ -31,6 +31,8 @@ from . import text as tx
 from .tokens import END_ID, encoded, encoder
 
 LIMIT = 16
+#: Pieces that a worker's dictionary holds; this tokenizer fills one dictionary, not two.
+KNOWN_PIECES = 400_000
 MAGIC = b"GHC2"
 
 
@@ -203,7 +205,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's counts are a row of their own, so they are committed with its ids and read without them.
         total, names = np.zeros(vocab, np.int64), ["doc_id", "ids", "counts"]
-        for batch, ids in encoded(batches, tokenizer, end_id, short=short):
+        for batch, ids in encoded(batches, tokenizer, end_id, short=short, pieces=KNOWN_PIECES):
             total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocab)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_packed_counts(total)], pa.binary())], names=names)

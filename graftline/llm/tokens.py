@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 #: Pieces that a worker's dictionary holds since it was last full; as many older ones may stay.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 END_ID = 1
 
 #: A word of letters that are such in every version of Unicode, and ASCII marks after it.
@@ -39,13 +39,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
 class PieceEncoder:
     """Ids of texts as little-endian bytes of unsigned 32-bit numbers, or of 16-bit ones if ``short``."""
 
-    def __init__(self, path: str, short: bool = False):
+    def __init__(self, path: str, short: bool = False, pieces: int = CACHE_PIECES):
         self.code = "H" if short else "I"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -83,7 +83,7 @@ class PieceEncoder:
             return array(code, [t.id for t in merge((lead + x).encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
         #: Ids of pieces that nothing, or a blank, stands before.
-        self.heads, self.tails = _Known(learn, ""), _Known(learn, " ")
+        self.heads, self.tails = _Known(learn, "", pieces), _Known(learn, " ", pieces)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -127,9 +127,9 @@ def _unsafe(t: str) -> bool:
 class _Known(dict):
     """Ids of pieces, of bounded number: those used since it last filled up, and as a reserve those before."""
 
-    def __init__(self, learn: Callable[[_Known, str, str], bytes], lead: str):
+    def __init__(self, learn: Callable[[_Known, str, str], bytes], lead: str, pieces: int):
         super().__init__()
-        self.learn, self.lead, self.before = learn, lead, {}
+        self.learn, self.lead, self.pieces, self.before = learn, lead, pieces, {}
 
     def __missing__(self, x: str) -> bytes:
         ids = self.before.get(x)
@@ -139,21 +139,22 @@ class _Known(dict):
         return ids
 
     def turn(self) -> None:
-        if len(self) > CACHE_PIECES:
+        if len(self) > self.pieces:
             self.before = dict(self)
             self.clear()
 
 
-def encoder(path: str, short: bool = False) -> PieceEncoder:
+def encoder(path: str, short: bool = False, pieces: int = CACHE_PIECES) -> PieceEncoder:
     """This worker's encoder of a tokenizer file."""
-    if (path, short) not in _encoders:
-        _encoders[path, short] = PieceEncoder(path, short)
-    return _encoders[path, short]
+    key = (path, short, pieces)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = END_ID, rows: int = 256, short: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = END_ID, rows: int = 256, short: bool = False, pieces: int = CACHE_PIECES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the ids of its column 1; nulls are empty, ``end_id`` closes each text."""
-    enc = encoder(path, short)
+    enc = encoder(path, short, pieces)
     end = b"" if end_id is None else array(enc.code, [end_id]).tobytes()
     for batch in tx.pieces(batches, rows):
         texts = [t or "" for t in batch.column(1).to_pylist()]
