@@ -35,7 +35,7 @@ class Decontam:
     #: Shorter benchmark texts can't be told from chance and are left out.
     least_chars: int = 40
     #: Characters of benchmark text whose index is broadcast at once.
-    block_chars: int = 8_000_000
+    block_chars: int = 1_000_000
 
     def edits(self, n: int) -> int:
         """The edit budget of a window of n characters; smaller where q-grams would bound nothing."""
