@@ -171,7 +171,8 @@ class _Group:
         self.own = np.array([r[3] for r in rows])
         self.rep = np.array([r[4] for r in rows], np.int64)
         self.label = np.array([r[5] for r in rows], np.int64)
-        self.sketch = np.array([r[6] for r in rows], np.int64)
+        # Unsigned, because bitwise_count counts the bits of the absolute value.
+        self.sketch = np.array([r[6] for r in rows], np.int64).view(np.uint64)
         self.sets = [np.frombuffer(r[7], np.uint64) for r in rows] if len(rows[0]) > 7 else []
 
     def near(self) -> Iterator[tuple[int, np.ndarray]]:

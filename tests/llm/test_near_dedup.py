@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from graftline.llm.near_dedup import NearDedup, near_duplicates
+from graftline.llm.near_dedup import NearDedup, _Group, near_duplicates, odd_sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,3 +74,32 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = near_duplicates(spark.createDataFrame([(1, "x " * 50000)], "doc_id long, text string")).collect()
     assert [tuple(r) for r in got] == [(1, 1, 1, True)]
+
+
+def test_near_counts_all_flips():
+    rng, p = np.random.Generator(np.random.PCG64(4)), NearDedup()
+    base = rng.integers(0, 2**32, p.samples, dtype=np.uint32)
+    rows = []
+    for k in range(80):
+        own = np.where(rng.random(p.samples) < 0.1, rng.integers(0, 2**32, p.samples, dtype=np.uint32), base)
+        rows.append((0, 0, 0, 0, k, k, odd_sketch(own, p.sketch_words).tolist()))
+    got = {(int(x), int(k)) for x, y in _Group(rows, p).near() for k in y}
+    flips = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(rows[x][6], rows[y][6], strict=True))
+    assert got == {(x, y) for y in range(80) for x in range(y) if flips(x, y) <= p.most_flips}
+
+
+def test_many_near_copies(spark):
+    """Copies of one template at similarities around 0.8, whose links lie mostly apart from the center."""
+    rng = random.Random(0)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randint(2, 8)):
+            words[rng.randrange(150)] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates(docs, NearDedup(width=4)).collect()
+    want = brute(rows, 4, 80)
+    assert len({r[2] for r in want}) > 20
+    assert sorted(map(tuple, got), key=str) == want
