@@ -3,8 +3,10 @@
 Benchmark texts are cut into overlapping windows (a short text is one window).  A
 place of a document that matches a window of n characters with at most e edits
 shares at least n - q + 1 - q * e of its q-grams, all within e diagonals of each
-other.  So the shared q-grams are counted in overlapping diagonal bands; bands that
-reach the bound are regions, and each region is verified by banded alignment.
+other.  So the q-grams shared with a text are counted in overlapping diagonal bands
+and there for each window; windows that reach the bound are regions, and each region
+is verified by banded alignment.  Any excerpt of window + stride - 1 characters holds
+a whole window, so it is found wherever in the benchmark text it begins.
 
 Characters are bytes of the UTF-8 text, with A-Z in lower case and each white space
 as one blank.  The query set (the benchmark) is held in blocks of bounded size, and
@@ -29,7 +31,7 @@ class Decontam:
     q: int = 10
     #: Characters of a window, and from one window to the next.
     window: int = 96
-    stride: int = 48
+    stride: int = 8
     #: Edits for each character of a window.
     edit_share: float = 0.08
     #: Shorter benchmark texts can't be told from chance and are left out.
@@ -57,36 +59,58 @@ def _qgrams(low: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Windows of one block of benchmark texts and the places of their q-grams."""
+    """Benchmark texts of one block, the starts of their windows, and the places of their q-grams."""
 
     p: Decontam
-    item: np.ndarray
-    text: list[np.ndarray]
+    ids: list[int]
+    body: list[np.ndarray]
+    #: Characters of each text's windows, and q-grams that a match of one shares.
+    size: np.ndarray
+    bound: np.ndarray
+    #: Text and start of each window.
+    source: np.ndarray
+    begin: np.ndarray
     grams: np.ndarray
     first: np.ndarray
-    window: np.ndarray
+    owner: np.ndarray
     place: np.ndarray
 
+    @property
+    def item(self) -> np.ndarray:
+        """The item of each window."""
+        return np.array(self.ids, np.int64)[self.source]
+
+    def window(self, w: int) -> np.ndarray:
+        t, a = self.source[w], self.begin[w]
+        return self.body[t][a : a + self.size[t]]
+
+    @property
+    def text(self) -> list[np.ndarray]:
+        return [self.window(w) for w in range(len(self.source))]
+
     @staticmethod
     def build(items: list[tuple[int, str]], p: Decontam) -> Index:
-        item, text, grams, window, place = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, body = [], []
+        grams, owner, place, source, begin = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))
         for i, t in items:
             low = _BLANK[np.frombuffer(t.encode(), np.uint8)]
             if len(low) < p.least_chars:
                 continue
             starts = [0] if len(low) <= p.window else sorted({*range(0, len(low) - p.window + 1, p.stride), len(low) - p.window})
-            for a in starts:
-                own = low[a : a + p.window]
-                h = _qgrams(own, p.q)
-                grams.append(h)
-                window.append(np.full(len(h), len(item)))
-                place.append(np.arange(len(h)))
-                item.append(i)
-                text.append(own)
-        h, w, at = (np.concatenate(x) for x in (grams, window, place))
+            h = _qgrams(low, p.q)
+            grams.append(h)
+            owner.append(np.full(len(h), len(ids)))
+            place.append(np.arange(len(h)))
+            source.append(np.full(len(starts), len(ids)))
+            begin.append(np.array(starts, np.int64))
+            ids.append(i)
+            body.append(low)
+        h, own, at, of, starts = (np.concatenate(x) for x in (grams, owner, place, source, begin))
         order = np.argsort(h, kind="stable")
         values, first = np.unique(h[order], return_index=True)
-        return Index(p, np.array(item, np.int64), text, values, np.append(first, len(h)), w[order], at[order])
+        size = np.array([min(len(x), p.window) for x in body], np.int64)
+        bound = np.array([p.bound(n) for n in size.tolist()], np.int64)
+        return Index(p, ids, body, size, bound, of, starts, values, np.append(first, len(h)), own[order], at[order])
 
 
 def _align(windows: list[np.ndarray], texts: list[np.ndarray], band: int) -> np.ndarray:
@@ -134,43 +158,54 @@ def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray)
     doc = np.searchsorted(off, at, "right") - 1
     inside = at + p.q <= off[doc + 1]
     at, k, doc = at[inside], k[inside], doc[inside]
-    # A document must have enough hits for the smallest bound before its hits are spread over windows.
-    least = min(p.bound(len(t)) for t in index.text)
-    enough = np.bincount(doc, minlength=len(off) - 1)[doc] >= least
+    # A document must have enough hits for the smallest bound before its hits are spread over texts.
+    enough = np.bincount(doc, minlength=len(off) - 1)[doc] >= index.bound.min(initial=1 << 62)
     at, k, doc = at[enough], k[enough], doc[enough]
     if not len(at):
         return
     size = index.first[k + 1] - index.first[k]
     post = np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    at, doc, window = np.repeat(at, size), np.repeat(doc, size), index.window[post]
-    diagonal = at - index.place[post] + p.window  # not negative
+    at, doc, text, place = np.repeat(at, size), np.repeat(doc, size), index.owner[post], index.place[post]
+    shift = max(map(len, index.body))
+    diagonal = at - place + shift  # not negative
     reach = max(p.edits(p.window), 1)
     # Bands of 2 * reach diagonals, one every reach diagonals: drift of up to reach lies whole in one of them.
     band = np.concatenate([diagonal // reach, diagonal // reach - 1])
-    # One number for (document, window, band): documents and windows of a chunk are few.
-    packed = ((np.tile(doc, 2) * len(index.text) + np.tile(window, 2)) << np.int64(32)) | (band + 1)
-    place = np.tile(index.place[post], 2)
+    # One number for (document, text, band): documents and texts of a chunk are few.
+    packed = (np.tile(doc * len(index.body) + text, 2) << np.int64(32)) | (band + 1)
+    place = np.tile(place, 2)
     order = np.lexsort((place, packed))
     packed, place = packed[order], place[order]
     new = np.ones(len(packed), bool)
     new[1:] = (packed[1:] != packed[:-1]) | (place[1:] != place[:-1])
-    groups, counts = np.unique(packed[new], return_counts=True)
-    pair = groups >> np.int64(32)
-    d, w, b = pair // len(index.text), pair % len(index.text), (groups & np.int64((1 << 32) - 1)) - 1
-    bounds = np.array([p.bound(len(t)) for t in index.text])
-    keep = counts >= bounds[w]
-    d, w, b = d[keep], w[keep], b[keep]
+    packed, place = packed[new], place[new]
+    groups, head, counts = np.unique(packed, return_index=True, return_counts=True)
+    keep = counts >= index.bound[(groups >> np.int64(32)) % len(index.body)]
+    place, groups, lowest, highest = place[np.repeat(keep, counts)], groups[keep], place[head[keep]], place[(head + counts - 1)[keep]]
+    t, rank = (groups >> np.int64(32)) % len(index.body), np.arange(len(groups)) << np.int64(32)
+    # The windows of the text between a band's first and last hit; a window's hits are counted in the sorted places.
+    key = (index.source << np.int64(32)) + index.begin
+    inner = index.size[t] - p.q
+    w0 = np.searchsorted(key, (t << np.int64(32)) + np.maximum(lowest - inner, 0))
+    n = np.searchsorted(key, (t << np.int64(32)) + highest, "right") - w0
+    w = np.repeat(w0 - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    hits = np.repeat(rank, counts[keep]) + place
+    low_key = np.repeat(rank, n) + index.begin[w]
+    shared = np.searchsorted(hits, low_key + np.repeat(inner, n), "right") - np.searchsorted(hits, low_key)
+    near = shared >= np.repeat(index.bound[t], n)
+    pair, w = np.repeat(groups, n)[near], w[near]
+    d, b = (pair >> np.int64(32)) // len(index.body), (pair & np.int64((1 << 32) - 1)) - 1
     width = 4 * reach + 1
     for a in range(0, len(d), 4096):
         dd, ww = d[a : a + 4096], w[a : a + 4096]
-        start = b[a : a + 4096] * reach - p.window - reach
-        texts = [_cut(low, s, s + len(index.text[x]) + width, off[y], off[y + 1]) for s, x, y in zip(start, ww, dd, strict=True)]
-        edits = _align([index.text[x] for x in ww], texts, width)
-        for y, x, s, e in zip(dd.tolist(), ww.tolist(), start.tolist(), edits.tolist(), strict=True):
-            n = len(index.text[x])
+        start = (b[a : a + 4096] - 1) * reach - shift + index.begin[ww]
+        own = [index.window(x) for x in ww]
+        texts = [_cut(low, s, s + len(x) + width, off[y], off[y + 1]) for s, x, y in zip(start, own, dd, strict=True)]
+        edits = _align(own, texts, width)
+        for y, x, s, e, n in zip(dd.tolist(), index.source[ww].tolist(), start.tolist(), edits.tolist(), map(len, own), strict=True):
             if e <= p.edits(n):
                 s += reach
-                yield y, int(index.item[x]), max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e
+                yield y, index.ids[x], max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e
 
 
 class _Finder:
@@ -178,7 +213,7 @@ class _Finder:
 
     def __init__(self, index: Index):
         self.index = index
-        bits = max(16, int(np.ceil(np.log2(len(index.grams) * 32))))
+        bits = max(16, int(np.ceil(np.log2(max(1, len(index.grams)) * 32))))
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[index.grams & np.uint64((1 << bits) - 1)] = True
 
@@ -204,7 +239,7 @@ def _indexes(benchmark: DataFrame, p: Decontam) -> Iterator[Index]:
     for block in range(blocks):
         own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
         index = Index.build([(r["item_id"], r["text"]) for r in own.collect()], p)
-        if index.text:
+        if index.ids:
             yield index
 
 

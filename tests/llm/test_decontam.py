@@ -72,3 +72,16 @@ def test_band_edges():
         text = decontam._cut(decontam.np.array(t), -8, len(t), 0, len(t))
         got = decontam._align([decontam.np.array(w)], [text], len(text))
         assert min(got[0], 9) == min(semi_global(w, t), 9)
+
+
+def test_excerpts_wherever_they_begin(spark):
+    """Every verbatim excerpt of window + stride - 1 = 103 bytes is found."""
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n))
+    item, p = prose(233), Decontam()
+    size = p.window + p.stride - 1
+    assert size == 103
+    docs = [(a, prose(150) + item[a : a + size] + prose(150)) for a in range(len(item) - size + 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, item), (2, prose(400))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()} == {(a, 1) for a, _ in docs}
