@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ class Decontam:
     stride: int = 8
     #: Edits for each character of a window.
     edit_share: float = 0.08
-    #: Shorter benchmark texts can't be told from chance and are left out.
+    #: Shorter benchmark texts are matched exactly, as whole words.
     least_chars: int = 40
     #: Characters of benchmark text whose index is broadcast at once.
     block_chars: int = 1_000_000
@@ -50,6 +51,9 @@ class Decontam:
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[9, 10, 11, 12, 13]] = 32
 _BLANK[65:91] += 32
+#: Bytes of words in lower case: ASCII letters and digits, and all of longer characters.
+_LETTER = np.zeros(256, bool)
+_LETTER[np.r_[48:58, 97:123, 128:256]] = True
 
 
 def _qgrams(low: np.ndarray, q: int) -> np.ndarray:
@@ -62,7 +66,7 @@ class Index:
     """Benchmark texts of one block, the starts of their windows, and the places of their q-grams."""
 
     p: Decontam
-    ids: list[int]
+    ids: list[int | None]
     body: list[np.ndarray]
     #: Characters of each text's windows, and q-grams that a match of one shares.
     size: np.ndarray
@@ -74,11 +78,15 @@ class Index:
     first: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    #: The items of each short text, and the sorted hashes and distinct lengths of the short texts.
+    short: dict[bytes, list[int | None]]
+    short_hashes: np.ndarray
+    short_lengths: list[int]
 
     @property
     def item(self) -> np.ndarray:
         """The item of each window."""
-        return np.array(self.ids, np.int64)[self.source]
+        return np.array(self.ids, object)[self.source]
 
     def window(self, w: int) -> np.ndarray:
         t, a = self.source[w], self.begin[w]
@@ -89,12 +97,14 @@ class Index:
         return [self.window(w) for w in range(len(self.source))]
 
     @staticmethod
-    def build(items: list[tuple[int, str]], p: Decontam) -> Index:
-        ids, body = [], []
+    def build(items: list[tuple[int | None, str]], p: Decontam) -> Index:
+        ids, body, short = [], [], {}
         grams, owner, place, source, begin = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))
         for i, t in items:
             low = _BLANK[np.frombuffer(t.encode(), np.uint8)]
-            if len(low) < p.least_chars:
+            if len(low) < max(p.least_chars, p.q):
+                if own := low.tobytes().strip():
+                    short.setdefault(own, []).append(i)
                 continue
             starts = [0] if len(low) <= p.window else sorted({*range(0, len(low) - p.window + 1, p.stride), len(low) - p.window})
             h = _qgrams(low, p.q)
@@ -110,7 +120,8 @@ class Index:
         values, first = np.unique(h[order], return_index=True)
         size = np.array([min(len(x), p.window) for x in body], np.int64)
         bound = np.array([p.bound(n) for n in size.tolist()], np.int64)
-        return Index(p, ids, body, size, bound, of, starts, values, np.append(first, len(h)), own[order], at[order])
+        brief, ends = np.frombuffer(b"".join(short), np.uint8), np.cumsum([0, *map(len, short)])
+        return Index(p, ids, body, size, bound, of, starts, values, np.append(first, len(h)), own[order], at[order], short, np.unique(tx.span_hashes(brief, ends[:-1], ends[1:])), sorted({*map(len, short)}))
 
 
 def _align(windows: list[np.ndarray], texts: list[np.ndarray], band: int) -> np.ndarray:
@@ -146,7 +157,7 @@ def _cut(low: np.ndarray, start: int, end: int, least: int, most: int) -> np.nda
     return np.concatenate([np.full(least - start, -1, np.int16), body]) if start < least else body
 
 
-def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int]]:
     """(document, item, start, end, edits) of verified regions of a chunk."""
     p, mask = index.p, np.uint64(len(maybe) - 1)
     h = _qgrams(low, p.q)
@@ -208,6 +219,31 @@ def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray)
                 yield y, index.ids[x], max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e
 
 
+def _exact(low: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int, int | None, int, int, int]]:
+    """(document, item, start, end, 0) of the places of short benchmark texts, which no letter or digit goes on."""
+    if not index.short or not len(low):
+        return
+    letter = _LETTER[low]
+    free = np.ones(len(low) + 1, bool)
+    free[1:-1] = ~(letter[1:] & letter[:-1])
+    free[off] = True
+    starts = np.flatnonzero(free[:-1])
+    doc = np.searchsorted(off, starts, "right") - 1
+    limit = off[doc + 1]
+    for n in index.short_lengths:
+        fits = starts + n <= limit
+        fits[fits] = free[starts[fits] + n]
+        at, own = starts[fits], doc[fits]
+        if not len(at):
+            continue
+        h = tx.span_hashes(low, at, at + n)
+        k = np.minimum(np.searchsorted(index.short_hashes, h), len(index.short_hashes) - 1)
+        hit = index.short_hashes[k] == h
+        for d, a in zip(own[hit].tolist(), at[hit].tolist(), strict=True):
+            for item in index.short.get(low[a : a + n].tobytes(), ()):
+                yield d, item, a, a + n, 0
+
+
 class _Finder:
     """Benchmark texts in the texts of a column."""
 
@@ -217,12 +253,13 @@ class _Finder:
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[index.grams & np.uint64((1 << bits) - 1)] = True
 
-    def __call__(self, column: pa.Array) -> dict[tuple[int, int], list[int]]:
+    def __call__(self, column: pa.Array) -> dict[tuple[int, int | None], list[int]]:
         """(row, item): [regions, start, end, edits], in code points."""
-        found: dict[tuple[int, int], list[int]] = {}
+        found: dict[tuple[int, int | None], list[int]] = {}
         for a, _, data, off in tx.chunks(column):
             letter = None
-            for d, item, start, end, e in _regions(_BLANK[data], off, self.index, self.maybe):
+            low = _BLANK[data]
+            for d, item, start, end, e in chain(_regions(low, off, self.index, self.maybe), _exact(low, off, self.index)):
                 if letter is None:
                     letter = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 s, t = (int(letter[x] - letter[off[d]]) for x in (start, end))
@@ -233,13 +270,13 @@ class _Finder:
 
 def _indexes(benchmark: DataFrame, p: Decontam) -> Iterator[Index]:
     """An index of each block of the benchmark, of at most about ``block_chars`` characters."""
-    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null and item_id is not null")
+    texts = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null")
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // p.block_chars))
     for block in range(blocks):
         own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
         index = Index.build([(r["item_id"], r["text"]) for r in own.collect()], p)
-        if index.ids:
+        if index.ids or index.short:
             yield index
 
 
@@ -247,8 +284,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
     """(doc_id, item_id, regions, start, end, edits): one row for each document row and benchmark text found in it.
 
     start and end span the matched windows in code points (to within the edit
-    budget), edits is the best window's.  Null and empty texts on either side match
-    nothing; repeated rows give repeated results; a null id stays null.
+    budget), edits is the best window's.  A benchmark text under ``least_chars`` bytes
+    is found where it stands exactly (letter case and kind of white space aside) and no
+    letter, digit or byte over 127 goes on at its ends.  Null, empty and blank texts on
+    either side match nothing; repeated rows give repeated results; a null id of either
+    side stays null.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -270,7 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark text, all columns as they are."""
+    """The rows of ``docs`` that hold no benchmark text by the rules of ``leaks``, all columns as they are."""
     at = docs.columns.index(text_col)
     for index in _indexes(benchmark, p):
         held = docs.sparkSession.sparkContext.broadcast(index)

@@ -1,7 +1,7 @@
 import random
 
 from graftline.llm import decontam
-from graftline.llm.decontam import Decontam, leaks
+from graftline.llm.decontam import Decontam, leaks, without_leaks
 
 
 def semi_global(pattern, text):
@@ -85,3 +85,18 @@ def test_excerpts_wherever_they_begin(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([(1, item), (2, prose(400))], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in leaks(df, bench).collect()} == {(a, 1) for a, _ in docs}
+
+
+def test_short_and_nameless_items(spark):
+    long = "the quick brown fox jumps over the lazy dog while nine wizards box"
+    items = [(1, "How far is Mars?"), (2, " x=7\n"), (3, "cat"), (4, "cat"), (5, " \n"), (6, "né"), (None, long), (None, "zebra crossing")]
+    docs = [(1, "Q: how far\tis MARS?No"), (2, "how far is marsh?"), (3, "cats, bobcat, né9"), (4, "a cat."), (5, "x=7"), (6, "cat"), (7, long.upper()), (8, "a Zebra crossing"), (9, "zebra"), (10, None), (11, "n"), (12, "ééé cat né")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1), (4, 3), (4, 4), (5, 2), (6, 3), (6, 4), (7, None), (8, None), (12, 3), (12, 4), (12, 6)}
+    for p in (Decontam(), Decontam(block_chars=20)):
+        got = leaks(df, bench, p).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+        place = next(r for r in got if (r.doc_id, r.item_id) == (12, 6))
+        assert (place.start, place.end, place.edits) == (8, 10, 0)
+        assert {r.doc_id for r in without_leaks(df, bench, p).collect()} == {2, 3, 9, 10, 11}
