@@ -3,7 +3,7 @@
 A text is cut at blanks and line ends that the tokenizer's own splitting never
 joins across, so the ids of a text are the ids of its pieces in order.  Each worker keeps a bounded
 dictionary of pieces; new pieces go through the tokenizers library.
-Strings of special tokens inside a text are ordinary text.
+A text that may hold the string of an added token is encoded whole, as the library does by default.
 """
 
 from __future__ import annotations
@@ -43,9 +43,12 @@ _encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian bytes of unsigned 32-bit numbers, or of 16-bit ones if ``short``."""
+    """Ids of texts as little-endian bytes of unsigned 32-bit numbers, or of 16-bit ones if ``short``.
 
-    def __init__(self, path: str, short: bool = False, pieces: int = CACHE_PIECES):
+    Strings of special tokens give these tokens' ids if ``special``, else the ids of ordinary text.
+    """
+
+    def __init__(self, path: str, short: bool = False, pieces: int = CACHE_PIECES, special: bool = False):
         self.code = "H" if short else "I"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -53,7 +56,7 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.vocab_size = self.tokenizer.get_vocab_size()
         split = spec.get("pre_tokenizer") or {}
         parts = split.get("pretokenizers", [])
@@ -63,6 +66,10 @@ class PieceEncoder:
             self.kind = "led"
         elif parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and "[^\\s\\p{L}\\p{N}]+" in parts[0]["pattern"].get("Regex", ""):
             self.kind = "dropped"
+        #: How strings of added tokens begin; a text without these holds none.
+        self.marks = sorted({t["content"][:2] for t in spec.get("added_tokens", [])}) if special else []
+        if any(c.isalpha() or not c.isascii() for m in self.marks for c in m):  # a normalizer may make them
+            self.kind = "whole"
         merge, code = self.tokenizer.model.tokenize, self.code
         whole, lower = self._ids, self.kind == "dropped"
 
@@ -85,6 +92,9 @@ class PieceEncoder:
         #: Ids of pieces that nothing, or a blank, stands before.
         self.heads, self.tails = _Known(learn, "", pieces), _Known(learn, " ", pieces)
 
+    def _marked(self, t: str) -> bool:
+        return any(m in t for m in self.marks)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -105,10 +115,10 @@ class PieceEncoder:
         self.tails.turn()
         head, tail = self.heads.__getitem__, self.tails.__getitem__
         if self.kind == "dropped":
-            return [b"".join(map(head, t.replace("\n", " ").split(" "))) for t in texts]
+            return [self._ids([t])[0] if self._marked(t) else b"".join(map(head, t.replace("\n", " ").split(" "))) for t in texts]
         out = []
         for t in texts:
-            if _unsafe(t):
+            if _unsafe(t) or self._marked(t):
                 out += self._ids([t])
                 continue
             ids = []
@@ -148,7 +158,7 @@ def encoder(path: str, short: bool = False, pieces: int = CACHE_PIECES) -> Piece
     """This worker's encoder of a tokenizer file."""
     key = (path, short, pieces)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(*key)
+        _encoders[key] = PieceEncoder(*key, special=True)
     return _encoders[key]
 
 

@@ -153,3 +153,13 @@ def test_huffman_files(spark):
     short = huffman.round_trip(docs(spark), WORD, digest=True).collect()
     assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in short) == sorted((a, len(x) // 4, zlib.crc32(bytes(x))) for a, _, x in got)
     assert huffman.round_trip(docs(spark).limit(0), WORD).collect() == []
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_strings_of_added_tokens(spark, path):
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|startoftext|>of the<|endoftext|>\n", "<|ENDOFTEXT|> a", "<| endoftext|>", "a <b |> c", "plain words"]
+    t = Tokenizer.from_file(path)
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(map(tuple, tokens.token_counts(docs, path).collect())) == {k: len(x) + 1 for k, x in enumerate(want)}
