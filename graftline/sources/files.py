@@ -21,7 +21,7 @@ def read_path_list(spark: SparkSession, paths: list[str]) -> list[str]:
     """A single argument that is a text file of existing paths, one a line, stands for these."""
     if len(paths) != 1:
         return paths
-    lines = [r.value.strip() for r in spark.read.text(paths[0]).limit(100_000).collect() if r.value.strip()]
+    rows = spark.read.text(paths[0]).select(F.trim("value").alias("value")).filter("value <> ''")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
 
@@ -32,7 +32,14 @@ def read_path_list(spark: SparkSession, paths: list[str]) -> list[str]:
         except Exception:  # a line that is no path at all
             return False
 
-    return lines if lines and all("\t" not in x and exists(x) for x in lines) else paths
+    def listed(lines: list[str]) -> bool:
+        return bool(lines) and all("\t" not in x and exists(x) for x in lines)
+
+    # Only a file that begins as a list is read to its end: others are data of any size.
+    if not listed([r.value.strip() for r in rows.limit(100).collect()]):
+        return paths
+    lines = [x for r in rows.collect() if (x := r.value.strip())]
+    return lines if listed(lines) else paths
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -107,3 +107,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from windows").first()[0] == events.count()
+
+
+def test_long_path_list(spark, tmp_path):
+    one = tmp_path / "a.sam"
+    one.write_text("x\n")
+    listing = tmp_path / "list.txt"
+    listing.write_text(f"{one}\n" * 100_001)
+    assert len(files.read_path_list(spark, [str(listing)])) == 100_001
