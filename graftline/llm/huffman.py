@@ -4,14 +4,16 @@ Code lengths come from global counts by package-merge, so no code is longer than
 ``LIMIT`` bits; the code table is stored as lengths alone.  A block holds the ids
 of whole documents, with the documents' ids and lengths beside it:
 
-    4 bytes  "GHC2"
+    4 bytes  "GHC3"
     u32 LE   ids between checkpoints
-    u32 LE   checkpoints, then as many u32 LE bit offsets into the stream
+    u32 LE   bytes of a bit offset, 4 or 8
+    u32 LE   checkpoints, then as many little-endian bit offsets into the stream
     bytes    code words, most significant bit first; every document starts at a 32-bit word
 
 Blocks are independent.  Every document, and every so many ids within it, has a
-checkpoint, and decoding runs over all checkpoints of a block at once, one table
-look-up for each id.
+checkpoint, and decoding runs over many checkpoints of a block at once, one table
+look-up for each id.  Coding and decoding work on bounded runs of ids, however long
+a document is.
 """
 
 from __future__ import annotations
@@ -23,17 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stash import discard, new_path, stash
-from . import text as tx
-from .tokens import END_ID, encoded, encoder
+from .tokens import END_ID, binary, encoded, encoder
 
 LIMIT = 16
-#: Pieces that a worker's dictionary holds; this tokenizer fills one dictionary, not two.
-KNOWN_PIECES = 400_000
-MAGIC = b"GHC2"
+#: Ids that are coded at once.
+RUN_IDS = 1 << 17
+#: Parts of a file set at most; past it parts grow, so that a row for each fits into the driver.
+MOST_PARTS = 100_000
+MAGIC = b"GHC3"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -97,70 +101,74 @@ class Code:
         return symbol, length
 
 
-def encode_documents(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, lengths: np.ndarray, step: int) -> list[tuple[bytes, bytes]]:
-    """(checkpoints, stream) of each document; ids has the documents one after the other."""
+def _encode_runs(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, lengths: np.ndarray, step: int) -> tuple[np.ndarray, bytes]:
+    """(bit offsets of the checkpoints, stream) of runs of ids, each of which starts at a 32-bit word."""
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     bits = lengths[ids].astype(np.int64)
     if not bits.all():
         raise ValueError("an id without a code")
     total = np.concatenate([[0], np.cumsum(bits)])
-    own_words = (total[first[1:]] - total[first[:-1]] + 31) // 32
-    base = np.concatenate([[0], np.cumsum(own_words)])
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    inner = total[:-1] - total[first[doc]]
-    at = inner + 32 * base[doc]
+    base = np.concatenate([[0], np.cumsum((total[first[1:]] - total[first[:-1]] + 31) // 32)])
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    at = total[:-1] - total[first[run]] + 32 * base[run]
     stream = np.zeros(base[-1] + 1, np.uint64)
     if len(ids):
         placed = words[ids].astype(np.uint64) << (64 - (at & 31) - bits).astype(np.uint64)
         word = at >> 5
-        run = np.flatnonzero(np.diff(word, prepend=-1))
-        stream[word[run]] += np.add.reduceat(placed >> np.uint64(32), run)
+        new = np.flatnonzero(np.diff(word, prepend=-1))
+        stream[word[new]] += np.add.reduceat(placed >> np.uint64(32), new)
         low = placed & np.uint64(0xFFFFFFFF)
         over = np.flatnonzero(low)
         stream[word[over] + 1] += low[over]
-    data = stream.astype(">u4")
-    marks = np.flatnonzero((np.arange(len(ids)) - first[doc]) % step == 0)
-    mark_at = np.concatenate([[0], np.cumsum(-(-sizes // step))]).astype(np.int64)
-    marks = inner[marks].astype("<u4")
-    return [(marks[mark_at[k] : mark_at[k + 1]].tobytes(), data[base[k] : base[k + 1]].tobytes()) for k in range(len(sizes))]
-
-
-def join_block(records: list[tuple[bytes, bytes]], step: int) -> bytes:
-    """One block of documents' records."""
-    base, marks = 0, []
-    for m, stream in records:
-        marks.append(np.frombuffer(m, "<u4") + np.uint32(base))
-        base += 8 * len(stream)
-    checkpoints = np.concatenate(marks).astype("<u4") if marks else np.zeros(0, "<u4")
-    return MAGIC + struct.pack("<II", step, len(checkpoints)) + checkpoints.tobytes() + b"".join(s for _, s in records)
-
-
-def decode_block(block: bytes, sizes: np.ndarray, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The ids of one block's documents, one after the other, all checkpoints in step."""
+    return at[(np.arange(len(ids)) - first[run]) % step == 0], stream[: base[-1]].astype(">u4").tobytes()
+
+
+def encode_block(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, lengths: np.ndarray, step: int) -> bytes:
+    """One block of documents, whose ids stand one after the other; a long one is coded in runs of ``RUN_IDS``."""
+    run = max(1, RUN_IDS // step) * step
+    runs = np.array([min(run, n - a) for n in np.asarray(sizes).tolist() for a in range(0, n, run)], np.int64)
+    first = np.concatenate([[0], np.cumsum(runs)]).astype(np.int64)
+    marks, streams, base, a = [], [], 0, 0
+    while a < len(runs):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + run, "right")) - 1)
+        own, stream = _encode_runs(ids[first[a] : first[b]], runs[a:b], words, lengths, step)
+        marks.append(own + base)
+        streams.append(stream)
+        base, a = base + 8 * len(stream), b
+    offsets = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+    width = 4 if base < 1 << 32 else 8
+    return MAGIC + struct.pack("<III", step, width, len(offsets)) + offsets.astype(f"<u{width}").tobytes() + b"".join(streams)
+
+
+def decode_block(block: bytes, sizes: np.ndarray, symbol: np.ndarray, length: np.ndarray, lanes_at_once: int = 8192) -> np.ndarray:
+    """The ids of one block's documents, one after the other, so many checkpoints in step."""
     if block[:4] != MAGIC:
         raise ValueError("not a block of this format")
-    step, lanes = struct.unpack_from("<II", block, 4)
-    at = np.frombuffer(block, "<u4", lanes, 12).astype(np.int64)
-    data = np.frombuffer(block, np.uint8, -1, 12 + 4 * lanes).astype(np.uint32)
-    data = np.concatenate([data, np.zeros(3, np.uint32)])
-    window = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+    step, width, lanes = struct.unpack_from("<III", block, 4)
+    marks = np.frombuffer(block, f"<u{width}", lanes, 16).astype(np.int64)
+    data = np.frombuffer(block, np.uint8, -1, 16 + width * lanes)
     sizes = np.asarray(sizes, np.int64)
     per = -(-sizes // step)
     doc = np.repeat(np.arange(len(sizes)), per)
     start = (np.arange(lanes) - np.concatenate([[0], np.cumsum(per)])[doc]) * step
-    count = np.minimum(step, sizes[doc] - start)
-    to = start + np.concatenate([[0], np.cumsum(sizes)])[doc]
-    order = np.argsort(-count, kind="stable")
-    at, to, count = at[order], to[order], count[order]
+    counts = np.minimum(step, sizes[doc] - start)
+    places = start + np.concatenate([[0], np.cumsum(sizes)])[doc]
     out = np.zeros(int(sizes.sum()), np.uint32)
-    live = len(count) - np.searchsorted(count[::-1], np.arange(step), "right")
-    for k, n in enumerate(live.tolist()):
-        if not n:
-            break
-        at, to = at[:n], to[:n]
-        v = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32((1 << LIMIT) - 1)
-        out[to + k] = symbol[v]
-        at = at + length[v]
+    for a in range(0, lanes, lanes_at_once):
+        b = min(lanes, a + lanes_at_once)
+        lo, hi = int(marks[a]) >> 3, len(data) if b == lanes else (int(marks[b]) >> 3) + 1
+        part = np.concatenate([data[lo:hi], np.zeros(3, np.uint8)]).astype(np.uint32)
+        window = (part[:-2] << 16) | (part[1:-1] << 8) | part[2:]
+        order = np.argsort(-counts[a:b], kind="stable")
+        at, to, count = marks[a:b][order] - 8 * lo, places[a:b][order], counts[a:b][order]
+        live = len(count) - np.searchsorted(count[::-1], np.arange(step), "right")
+        for k, n in enumerate(live.tolist()):
+            if not n:
+                break
+            at, to = at[:n], to[:n]
+            v = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32((1 << LIMIT) - 1)
+            out[to + k] = symbol[v]
+            at = at + length[v]
     return out
 
 
@@ -188,14 +196,14 @@ def sum_counts(partial: DataFrame, vocab_size: int) -> np.ndarray:
     return counts
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = 1 << 17, step: int = 128, part_ids: int = 1 << 23) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = 1 << 17, step: int = 128, part_ids: int = 1 << 24) -> None:
     """Write all documents' ids as blocks under ``path``/blocks in ascending id order, and the code under ``path``/code.
 
-    A part holds a range of document ids, of about ``part_ids`` token ids; a block
-    closes with the document that brings it to ``block_ids``.  Documents are coded
-    before they are dealt to their parts, so only code words are shuffled.  Null
-    and empty texts are one end id; null document ids come first; rows that share
-    an id are ordered by their code.  An empty table gives no blocks.
+    A part is a file and holds a range of documents, of about ``part_ids`` token ids;
+    files, and blocks within them, are in order of document id.  A block closes with
+    the document that brings it to ``block_ids``.  Null and empty texts are one end
+    id; null document ids come first; rows that share an id are ordered by their
+    length, then by a hash of their ids, and may lie in several parts.  An empty table gives no blocks.
     """
     spark = docs.sparkSession
     vocab = encoder(tokenizer).vocab_size
@@ -204,61 +212,49 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task's counts are a row of their own, so they are committed with its ids and read without them.
-        total, names = np.zeros(vocab, np.int64), ["doc_id", "ids", "counts"]
-        for batch, ids in encoded(batches, tokenizer, end_id, short=short, pieces=KNOWN_PIECES):
-            total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocab)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_packed_counts(total)], pa.binary())], names=names)
+        total, names = np.zeros(vocab, np.int64), ["doc_id", "n", "ids", "counts"]
+        for batch, ids, at in encoded(batches, tokenizer, end_id, short=short):
+            total += np.bincount(ids, minlength=vocab)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), binary(ids, at), pa.nulls(len(at) - 1, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_packed_counts(total)], pa.binary())], names=names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = stash(source.mapInArrow(tokenise, "doc_id long, ids binary, counts binary"), "ids")
+    both = stash(source.mapInArrow(tokenise, "doc_id long, n long, ids binary, counts binary"), "ids")
     counts = sum_counts(both.select("counts").filter("counts is not null"), vocab)
-    ids = both.filter("counts is null").select("doc_id", "ids")
     lengths = code_lengths(counts)
     words = Code(lengths).words()
-    parts = max(1, -(-int(counts.sum()) // part_ids))
-    bounds = np.unique(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)) if parts > 1 else np.zeros(0)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.pieces(batches, 256):
-            own = [_unpack(x, kind) for x in batch.column(1)]
-            sizes = np.array([len(x) for x in own], np.int64)
-            records = encode_documents(np.concatenate(own), sizes, words, lengths, step)
-            doc = batch.column(0)
-            part = np.where(doc.is_null().to_numpy(False), 0, np.searchsorted(bounds, doc.fill_null(0).to_numpy(False), "right"))
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), doc, pa.array(sizes), pa.array([m for m, _ in records], pa.binary()), pa.array([x for _, x in records], pa.binary())], names=["part", "doc_id", "n", "marks", "stream"])
+    total = int(counts.sum())
+    parts = max(1, min(MOST_PARTS, -(-total // part_ids)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, before, size = None, 0, 0, 0
+        part, number, before, size = TaskContext.get().partitionId(), 0, 0, 0
         doc: list[int | None] = []
-        sizes: list[int] = []
-        records: list[tuple[bytes, bytes]] = []
+        held: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
             nonlocal number, before, size
-            columns = [pa.array([now]), pa.array([number]), pa.array([before]), pa.array([doc], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([join_block(records, step)], pa.binary())]
+            sizes = np.array([len(x) for x in held], np.int64)
+            payload = encode_block(np.concatenate(held), sizes, words, lengths, step)
+            columns = [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([doc], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
             number, before, size = number + 1, before + size, 0
-            for held in (doc, sizes, records):
-                held.clear()
+            doc.clear()
+            held.clear()
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "ids_before", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for part, d, n, marks, stream in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if part != now:
-                    if doc:
-                        yield close()
-                    now, number, before = part, 0, 0
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc.append(d)
-                sizes.append(n)
-                records.append((marks, stream))
-                size += n
+                held.append(_unpack(x, kind))
+                size += len(held[-1])
                 if size >= block_ids:
                     yield close()
         if doc:
             yield close()
 
-    coded = ids.mapInArrow(code, "part long, doc_id long, n long, marks binary, stream binary")
-    dealt = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "stream")
+    # Ranges of the whole order, not of ids alone: an id that many rows share is split too.
+    order = ["doc_id", "n", "h"]
+    ids = both.filter("counts is null").select("doc_id", "n", F.xxhash64("ids").alias("h"), "ids")
+    dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     discard(both)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code")
@@ -274,7 +270,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()["lengths"], np.uint8)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # One row for each part: one for every part_ids token ids.
+    # One row for each part, of which there are at most MOST_PARTS.
     ends = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
     base, total = {}, 0
     for r in ends:
@@ -284,12 +280,12 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, length = Code(lengths).tables()
         for batch in batches:
-            for part, before, doc, n, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                ids = decode_block(payload.as_buffer().to_pybytes(), n, symbol, length).astype("<u4")
+            for k, (part, before) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                doc, n = batch.column(2)[k].values, batch.column(3)[k].values.to_numpy()
+                ids = decode_block(memoryview(batch.column(4)[k].as_buffer()), n, symbol, length).astype("<u4", copy=False)
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-                own = [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array(own, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at[:-1] + (base[part] + before)), pa.array(n, pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()) if digest else binary(ids, at)
+                yield pa.RecordBatch.from_arrays([doc, pa.array(at[:-1] + (base[part] + before)), pa.array(n), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     last = "ids_crc32 long" if digest else "ids binary"
     return blocks.select("part", "ids_before", "doc_ids", "lengths", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")

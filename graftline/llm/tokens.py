@@ -1,9 +1,10 @@
-"""Whole-text encoding with a public tokenizer, one dictionary lookup a piece.
+"""Whole-text encoding with a public tokenizer, one dictionary lookup for each distinct piece of a batch.
 
 A text is cut at blanks and line ends that the tokenizer's own splitting never
-joins across, so the ids of a text are the ids of its pieces in order.  Each worker keeps a bounded
-dictionary of pieces; new pieces go through the tokenizers library.
-A text that may hold the string of an added token is encoded whole, as the library does by default.
+joins across, so the ids of a text are the ids of its pieces in order.  Arrow finds
+a chunk's distinct pieces and gathers their ids; each worker keeps a bounded
+dictionary of pieces, and new ones go through the tokenizers library.  A text whose
+blanks the cut can't trust, or that may hold the string of an added token, is encoded whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +26,14 @@ from . import text as tx
 
 #: Pieces that a worker's dictionary holds since it was last full; as many older ones may stay.
 CACHE_PIECES = 250_000
+#: Bytes of text encoded at once; a longer single text forms a chunk of its own.
+CHUNK_BYTES = 8 << 20
 END_ID = 1
 
 #: A word of letters that are such in every version of Unicode, and ASCII marks after it.
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: White space but blank and line end.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A blank or line end at an end, white space beside white space, or any other kind of it.
+_UNSAFE = "^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,14 +47,34 @@ _LETTERS = _byte_letters()
 _encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
+class _Known(dict):
+    """Ids of pieces, of bounded number: those used since it last filled up, and as a reserve those before."""
+
+    def __init__(self, learn: Callable[[str], bytes], pieces: int):
+        super().__init__()
+        self.learn, self.pieces, self.before = learn, pieces, {}
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.before.get(x)
+        if ids is None:
+            ids = self.learn(x)
+        self[x] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > self.pieces:
+            self.before = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian bytes of unsigned 32-bit numbers, or of 16-bit ones if ``short``.
+    """Ids of texts as unsigned 32-bit numbers, or as 16-bit ones if ``short``.
 
     Strings of special tokens give these tokens' ids if ``special``, else the ids of ordinary text.
     """
 
-    def __init__(self, path: str, short: bool = False, pieces: int = CACHE_PIECES, special: bool = False):
-        self.code = "H" if short else "I"
+    def __init__(self, path: str, short: bool = False, pieces: int = CACHE_PIECES, special: bool = True):
+        self.code, self.kind = ("H", "<u2") if short else ("I", "<u4")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,121 +86,123 @@ class PieceEncoder:
         split = spec.get("pre_tokenizer") or {}
         parts = split.get("pretokenizers", [])
         #: "led": a piece keeps the space before it; "dropped": white space gives no ids; "whole": no cutting.
-        self.kind = "whole"
+        self.cut = "whole"
         if split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer"):
-            self.kind = "led"
+            self.cut = "led"
         elif parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and "[^\\s\\p{L}\\p{N}]+" in parts[0]["pattern"].get("Regex", ""):
-            self.kind = "dropped"
+            self.cut = "dropped"
         #: How strings of added tokens begin; a text without these holds none.
-        self.marks = sorted({t["content"][:2] for t in spec.get("added_tokens", [])}) if special else []
-        if any(c.isalpha() or not c.isascii() for m in self.marks for c in m):  # a normalizer may make them
-            self.kind = "whole"
-        merge, code = self.tokenizer.model.tokenize, self.code
-        whole, lower = self._ids, self.kind == "dropped"
-
-        def learn(known: _Known, lead: str, x: str) -> bytes:
-            """A word of letters goes through the merges alone; marks after it have ids of their own."""
-            if x.isascii() and x.islower() and x.isalpha():  # bytes are written as the letters that they are
-                return array(code, [t.id for t in merge((_LETTERS[32] + x) if lead else x)]).tobytes()
-            m = _MARKED.fullmatch(x)
-            if m is None:
-                return whole([lead + x])[0]
-            word, marks = m.groups()
-            if lower:
-                word = word.lower()
-            if marks:
-                return known[word] + self.heads[marks]
-            if word != x:
-                return known[word]
-            return array(code, [t.id for t in merge((lead + x).encode().decode("latin-1").translate(_LETTERS))]).tobytes()
-
-        #: Ids of pieces that nothing, or a blank, stands before.
-        self.heads, self.tails = _Known(learn, "", pieces), _Known(learn, " ", pieces)
-
-    def _marked(self, t: str) -> bool:
-        return any(m in t for m in self.marks)
+        marks = sorted({t["content"][:2] for t in spec.get("added_tokens", [])}) if special else []
+        if any(c.isalpha() or not c.isascii() for m in marks for c in m):  # a normalizer may make them
+            self.cut = "whole"
+        #: A text with a match is encoded whole.
+        self.whole = "|".join(([_UNSAFE] if self.cut == "led" else []) + [re.escape(m) for m in marks])
+        self.known = _Known(self._learn, pieces)
+
+    def _learn(self, piece: str) -> bytes:
+        """A word of letters goes through the merges alone; marks after it have ids of their own."""
+        lead, x = (" ", piece[1:]) if piece[:1] == " " else ("", piece)
+        merge, lower = self.tokenizer.model.tokenize, self.cut == "dropped"
+        if not x and lower:
+            return b""
+        if x.isascii() and x.islower() and x.isalpha():  # bytes are written as the letters that they are
+            return array(self.code, [t.id for t in merge((_LETTERS[32] + x) if lead else x)]).tobytes()
+        m = _MARKED.fullmatch(x)
+        if m is None:
+            return self._ids([piece])[0]
+        word, marks = m.groups()
+        if lower:
+            word = word.lower()
+        if marks:
+            return self.known[lead + word] + self.known[marks]
+        if word != x:
+            return self.known[lead + word]
+        return array(self.code, [t.id for t in merge(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, offsets) of chunks: the ids of a string column's texts one after the other; nulls are empty."""
         collects = gc.isenabled()
         gc.disable()  # many new strings, no cycles
         try:
-            return self._encode(texts)
+            for a, b, data, off in tx.chunks(column, CHUNK_BYTES):
+                yield a, b, *self._chunk(column.slice(a, b - a).fill_null(""), data, off)
         finally:
             if collects:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "whole":
-            return self._ids(texts)
-        self.heads.turn()
-        self.tails.turn()
-        head, tail = self.heads.__getitem__, self.tails.__getitem__
-        if self.kind == "dropped":
-            return [self._ids([t])[0] if self._marked(t) else b"".join(map(head, t.replace("\n", " ").split(" "))) for t in texts]
-        out = []
-        for t in texts:
-            if _unsafe(t) or self._marked(t):
-                out += self._ids([t])
-                continue
-            ids = []
-            for line in t.split("\n"):
-                first, *rest = line.split(" ")
-                ids.append(head(first) + b"".join(map(tail, rest)))
-            out.append(ids[0] if len(ids) == 1 else head("\n").join(ids))
-        return out
-
-
-def _unsafe(t: str) -> bool:
-    """Whether a blank or line end stands at an end, or white space beside white space, or any other kind occurs."""
-    return t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or _OTHER_SPACE.search(t) is not None
-
-
-class _Known(dict):
-    """Ids of pieces, of bounded number: those used since it last filled up, and as a reserve those before."""
-
-    def __init__(self, learn: Callable[[_Known, str, str], bytes], lead: str, pieces: int):
-        super().__init__()
-        self.learn, self.lead, self.pieces, self.before = learn, lead, pieces, {}
-
-    def __missing__(self, x: str) -> bytes:
-        ids = self.before.get(x)
-        if ids is None:
-            ids = self.learn(self, self.lead, x)
-        self[x] = ids
-        return ids
-
-    def turn(self) -> None:
-        if len(self) > self.pieces:
-            self.before = dict(self)
-            self.clear()
+    def _chunk(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.ones(len(texts), bool)
+        if self.cut != "whole":
+            apart = pc.match_substring_regex(texts, self.whole).to_numpy(False) if self.whole else np.zeros(len(texts), bool)
+            if apart.any():
+                data, off = tx.string_parts(pc.if_else(pa.array(apart), "", texts))
+            ids, at = self._pieces(data, off)
+            if not apart.any():
+                return ids, at
+        rows = iter(self._ids(texts.filter(pa.array(apart)).to_pylist()))
+        found = [np.frombuffer(next(rows), self.kind) if w else ids[at[k] : at[k + 1]] for k, w in enumerate(apart.tolist())]
+        return np.concatenate(found) if found else np.zeros(0, self.kind), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+
+    def _pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of texts that are cut: before each blank, and before and after each line end."""
+        line = data == 10
+        begin = (data == 32) | line
+        if self.cut == "dropped":
+            data = np.where(line, np.uint8(32), data)
+        else:
+            begin[1:] |= line[:-1]
+        begin[off[:-1][off[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begin)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(off), np.int64)
+        ends = np.append(starts, len(data))
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        own = pieces.dictionary.to_numpy(False).tolist()
+        if self.cut == "dropped":
+            own = [x[1:] if x[:1] == " " else x for x in own]
+        self.known.turn()
+        gathered = pa.array(list(map(self.known.__getitem__, own)), pa.large_binary()).take(pieces.indices)
+        _, at, ids = gathered.buffers()
+        at = np.frombuffer(at, np.int64)[: len(starts) + 1] // np.dtype(self.kind).itemsize
+        ids = np.frombuffer(ids, self.kind)[: at[-1]] if ids is not None and at[-1] else np.zeros(0, self.kind)
+        return ids, at[np.searchsorted(starts, off)]
 
 
 def encoder(path: str, short: bool = False, pieces: int = CACHE_PIECES) -> PieceEncoder:
     """This worker's encoder of a tokenizer file."""
     key = (path, short, pieces)
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(*key, special=True)
+        _encoders[key] = PieceEncoder(*key)
     return _encoders[key]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = END_ID, rows: int = 256, short: bool = False, pieces: int = CACHE_PIECES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch with the ids of its column 1; nulls are empty, ``end_id`` closes each text."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = END_ID, short: bool = False, pieces: int = CACHE_PIECES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with the ids of column 1 and their offsets; nulls are empty, ``end_id`` closes each text."""
     enc = encoder(path, short, pieces)
-    end = b"" if end_id is None else array(enc.code, [end_id]).tobytes()
-    for batch in tx.pieces(batches, rows):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        yield batch, [x + end for x in enc.encode(texts)]
+    for batch in batches:
+        for a, b, ids, at in enc.encode(batch.column(1)):
+            if end_id is not None:
+                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            yield batch.slice(a, b - a), ids, at
+
+
+def binary(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary array of each row's ids, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(id, n_tokens): the encoded length of each row's whole text."""
+    """(id, n_tokens): the encoded length of each row's whole text.
+
+    Null and empty texts hold the end alone; null ids stay null, and repeated rows
+    are counted as often as they occur.  Other columns of ``docs`` are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded(batches, path, end_id):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["id", "n_tokens"])
+        for batch, _, at in encoded(batches, path, end_id):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at))], names=["id", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long")

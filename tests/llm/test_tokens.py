@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -15,21 +17,31 @@ ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n b", "a \nb", "it's o'clock
 
 
 def direct(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def encode(enc, texts):
+    """The ids of each text, over all chunks of the column."""
+    out = []
+    for a, b, ids, at in enc.encode(pa.array(texts, pa.string())):
+        assert len(at) == b - a + 1 and a == len(out)
+        out += [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_pieces_equal_whole_texts(path):
+@pytest.mark.parametrize("special", [True, False])
+def test_pieces_equal_whole_texts(path, special, monkeypatch):
     rng = random.Random(3)
-    alphabet = ["a", "Be", "'s", " ", " ", "\n", "1", "é", ".", "　", "\t", "word", "́"]
+    alphabet = ["a", "Be", "'s", " ", " ", "\n", "1", "é", ".", "　", "\t", "word", "́", "<|endoftext|>"]
     texts = ODD + ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(400)]
-    enc = PieceEncoder(path)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    t.encode_special_tokens = not special
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    enc = PieceEncoder(path, special=special, pieces=20)
+    assert encode(enc, texts) == want and encode(enc, [None, *texts][1:]) == want and encode(enc, []) == []
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 100)
+    assert encode(PieceEncoder(path, short=True, special=special), texts) == want and encode(enc, [None, "a"]) == [[], direct(path, "a")]
 
 
 def rows():
@@ -92,11 +104,31 @@ def test_packing(spark):
     assert empty.collect() == []
 
 
+def test_tails_of_tasks_are_packed_together(spark):
+    """However many tasks there are, all but the last few sequences are whole."""
+    want = [(d, direct(BYTE, t or "") + [1]) for d, t in rows()]
+    p = packing.Packing(length=256, window=400)
+    pieces = packing.pack(docs(spark).repartition(40), BYTE, p).collect()
+    check_packing(pieces, want, 256)
+    size = {}
+    for r in pieces:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    short = [n for n in size.values() if n < 256]
+    assert len(size) > 100 and len(short) <= 8 and len(set(short)) == len(short)
+
+
+def test_packer_is_linear_in_a_text():
+    packer = packing.Packer(packing.Packing())
+    packer.add(1, np.arange(3_000_001, dtype="<u4"))
+    packer.finish()
+    assert b"".join(r[3] for r in packer.out) == np.arange(3_000_001, dtype="<u4").tobytes()
+
+
 def test_packer_balances_cost():
     rng = random.Random(1)
     packer = packing.Packer(packing.Packing(length=2048, window=64))
     for d in range(500):
-        packer.add(d, np.full(rng.choice([20, 200, 700, 1500]), d, "<u4").tobytes())
+        packer.add(d, np.full(rng.choice([20, 200, 700, 1500]), d, "<u4"))
     packer.finish()
     assert sum(r[2] for r in packer.out) == sum(len(np.frombuffer(r[3], "<u4")) for r in packer.out)
     whole = {}
@@ -130,15 +162,34 @@ def test_code_lengths_are_optimal_and_limited():
 
 
 @pytest.mark.parametrize("sizes", [[], [0], [1], [2, 0, 127], [128], [129, 1, 1], [1000, 256, 3], [4096, 5]])
-def test_blocks(sizes):
+def test_blocks(sizes, monkeypatch):
     n = sum(sizes)
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.02, n), 900)
     lengths = huffman.code_lengths(np.bincount(ids, minlength=1000))
     code = huffman.Code(lengths)
-    records = huffman.encode_documents(ids, np.array(sizes, np.int64), code.words(), lengths, 128)
-    block = huffman.join_block(records, 128)
-    assert huffman.decode_block(block, sizes, *code.tables()).tolist() == ids.tolist()
+    blocks = [huffman.encode_block(ids, np.array(sizes, np.int64), code.words(), lengths, 128)]
+    monkeypatch.setattr(huffman, "RUN_IDS", 256)
+    blocks.append(huffman.encode_block(ids, np.array(sizes, np.int64), code.words(), lengths, 128))
+    for block in blocks:
+        for lanes in (1, 3, 8192):
+            assert huffman.decode_block(block, sizes, *code.tables(), lanes_at_once=lanes).tolist() == ids.tolist()
+
+
+def test_files_are_in_order_of_ids(spark, tmp_path):
+    """Files by name, blocks by number: documents in ascending order, over many parts, one of a shared id among them."""
+    many = docs(spark).unionByName(spark.createDataFrame([(50, f"of the tree {k}", 0, 0) for k in range(400)], "doc_id long, text string, start int, ids int"))
+    huffman.write_ids(many, f"file://{tmp_path}/x", WORD, block_ids=300, part_ids=2000)
+    seen, parts = [], []
+    for f in sorted((tmp_path / "x" / "blocks").glob("part-*.parquet")):
+        rows_of = pq.read_table(f).to_pylist()
+        assert [r["block"] for r in rows_of] == list(range(len(rows_of))) and len({r["part"] for r in rows_of}) <= 1
+        seen += [d for r in rows_of for d in r["doc_ids"]]
+        parts += [r["part"] for r in rows_of]
+    order = [(d is not None, d or 0) for d in seen]
+    assert order == sorted(order) and len(order) == len(rows()) + 400
+    shared = {p for p, r in zip(parts, spark.read.parquet(f"file://{tmp_path}/x/blocks").orderBy("part", "block").collect(), strict=True) if 50 in r.doc_ids}
+    assert len(set(parts)) > 8 and parts == sorted(parts) and len(shared) > 1
 
 
 def test_huffman_files(spark):
@@ -160,6 +211,6 @@ def test_strings_of_added_tokens(spark, path):
     texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|startoftext|>of the<|endoftext|>\n", "<|ENDOFTEXT|> a", "<| endoftext|>", "a <b |> c", "plain words"]
     t = Tokenizer.from_file(path)
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path).encode(texts)] == want
+    assert encode(tokens.encoder(path), texts) == want
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert dict(map(tuple, tokens.token_counts(docs, path).collect())) == {k: len(x) + 1 for k, x in enumerate(want)}
