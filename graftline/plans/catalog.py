@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import domain, domain_sql
 from . import relational as r
 
 FLAGSHIP = "cluster_summary"
@@ -47,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         r.length_stats,
         r.mode_value,
         r.left_and_anti,
+        *domain.QUERIES,
     )
 }
 
@@ -88,7 +90,7 @@ def _summary(key: str) -> str:
         SELECT * FROM base JOIN copies USING ({key}) JOIN seqs USING ({key}) JOIN modes USING ({key})"""
 
 
-ORACLE: dict[str, str] = {
+ORACLE: dict[str, str] = domain_sql.ORACLE | {
     "site_evidence": f"""WITH {_READS}, by_site AS (
         SELECT contig, pos, count(DISTINCT name) FILTER (WHERE orient = '5p') AS clips_5p,
                count(DISTINCT name) FILTER (WHERE orient = '3p') AS clips_3p

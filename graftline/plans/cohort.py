@@ -90,6 +90,14 @@ def best_evidence(pairs: DataFrame, clusterseq: DataFrame) -> DataFrame:
     return best.select(*PAIR, "contig", "pos_3p", "pos_5p", "seqid", "cluster", "group", "conf").distinct()
 
 
+def null_genotypes(pairs: list[DataFrame], clusterseq: DataFrame) -> DataFrame:
+    """One row (candidates, with_inference, without_inference): distinct pairs, with and without an inferred sequence."""
+    every = union_all(pairs).select(*PAIR).distinct()
+    found = clusterseq.select(*PAIR).distinct().withColumn("_found", F.lit(True))
+    has = F.col("_found").isNotNull()
+    return every.join(found, PAIR, "left").agg(F.count("*").alias("candidates"), F.count_if(has).alias("with_inference"), F.count_if(~has).alias("without_inference"))
+
+
 def _n_clusters(rows: DataFrame) -> DataFrame:
     """Rows with the number of their pair's clusters."""
     return rows.withColumn("_n", F.size(F.collect_set("cluster").over(Window.partitionBy(*PAIR))))

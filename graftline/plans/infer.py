@@ -97,14 +97,15 @@ def nearest_pairs(rows: DataFrame, shift: int = 0) -> DataFrame:
     Nearest: the smallest reverse end above the forward start, and the greatest
     forward start below the reverse end, both inside the context of ``shift``.  Each
     direction is one window over the placements of a pair on a contig.  Among
-    placements at one position the best score stands, then the later start.
+    placements at one position the best score stands, then the later start, then the
+    greatest in all fields.
     """
     held = F.struct(*_HELD)
     keys = ["sample", "pair_id", "contig"]
     base = rows.select(*keys, "mate", "reverse", held.alias("x"), F.when(F.col("reverse"), F.col("end") - shift).otherwise(F.col("start") + shift).alias("at"))
     # A forward placement of mate m looks for reverse ones of the other mate.
     base = base.withColumn("lane", F.when(F.col("reverse"), 3 - F.col("mate")).otherwise(F.col("mate")))
-    tie = F.struct(F.col("x.score"), F.col("x.start"), F.col("x.end"))
+    tie = F.struct(F.col("x.score"), F.col("x.start"), F.col("x.end"), F.col("x"))
     best = base.groupBy(*keys, "lane", "reverse", "at").agg(F.max_by("x", tie).alias("best"))
     base = base.join(best, [*keys, "lane", "reverse", "at"])
     lane = Window.partitionBy(*keys, "lane")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import cigar as cg
-from ..functions.sequence import phred
+from ..functions.sequence import phred, phred_string
 from ..schemas import ALIGNMENTS, SEQUENCES
 
 
@@ -43,8 +43,13 @@ def read_path_list(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq): the name is the header's first word; line ends inside a sequence go."""
-    rows = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    """(name, seq): the name is the header's first word; line ends inside a sequence go.
+
+    A record begins at a ``>`` that begins a line; any other is part of its header.
+    Files are split at these, so a large one has many readers.
+    """
+    # The first record's ``>`` has no line end before it.  A carriage return stays with the line before it.
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.length(F.trim("value")) > 0)
     head, body = F.split_part("value", F.lit("\n"), F.lit(1)), F.expr("substring(value, instr(value, '\\n') + 1)")
     seq = F.when(F.instr("value", "\n") > 0, F.regexp_replace(body, "\\s", "")).otherwise(F.lit(""))
     return rows.select(F.regexp_extract(head, "^\\s*(\\S*)", 1).alias("name"), seq.alias("seq")).to(SEQUENCES)
@@ -120,6 +125,40 @@ def read_sam(spark: SparkSession, path: str, sample: str) -> DataFrame:
     return parse_sam(spark.read.text(path), sample)
 
 
+def sam_lines(alignments: DataFrame) -> DataFrame:
+    """(value): alignments as lines of SAM text without a header; mates' places aren't known and stay empty."""
+    c = lambda n, none: F.coalesce(F.col(n).cast("string"), F.lit(none))
+    cigar = F.when(F.size("cigar") > 0, F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), x["op"])), "")).otherwise("*")
+    flag = F.coalesce("flag", F.lit(0))
+    for bit, name in ((0x10, "is_reverse"), (0x4, "is_unmapped"), (0x8, "mate_is_unmapped")):
+        flag = flag.bitwiseAND(F.lit(0xFFFF ^ bit)).bitwiseOR(F.when(F.coalesce(name, F.lit(False)), bit).otherwise(0))
+    quals = F.when(F.size("quals") > 0, phred_string("quals")).otherwise("*")
+    tag = lambda name, kind, col: F.when(F.col(col).isNotNull(), F.concat(F.lit(f"{name}:{kind}:"), F.col(col).cast("string")))
+    tags = [tag("MD", "Z", "md"), tag("NM", "i", "nm"), tag("AS", "i", "as_score"), tag("MT", "Z", "mate_seq"), tag("MQ", "Z", "mate_quals")]
+    start = F.coalesce(F.col("ref_start") + 1, F.lit(0)).cast("string")
+    fields = [c("read_name", "*"), flag.cast("string"), c("contig", "*"), start, c("mapq", "0"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), c("seq", "*"), quals]
+    return alignments.select(F.concat_ws("\t", *fields, *tags).alias("value"))
+
+
+def write_sam(alignments: DataFrame, path: str, contigs: DataFrame | None = None) -> None:
+    """SAM text in coordinate order; ``contigs`` (contig, length) gives the header's order, else names do.
+
+    Files are ranges of (contig, place), so reading them by name gives the order of the whole.
+    """
+    spark = alignments.sparkSession
+    rows = alignments.withColumn("_contig", F.col("contig"))
+    if contigs is not None:
+        order = contigs.withColumn("_number", F.monotonically_increasing_id()) if "number" not in contigs.columns else contigs.withColumnRenamed("number", "_number")
+        rows = rows.join(order.select("contig", "_number"), "contig", "left")
+        header = [f"@SQ\tSN:{r['contig']}\tLN:{r['length']}" for r in order.orderBy("_number").collect()]
+        spark.createDataFrame([(k, x) for k, x in enumerate(["@HD\tVN:1.6\tSO:coordinate", *header])], "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(f"{path}.header")
+        key = [F.asc_nulls_last("_number"), F.asc_nulls_last("ref_start"), F.asc("read_name"), F.asc("flag")]
+    else:
+        key = [F.asc_nulls_last("_contig"), F.asc_nulls_last("ref_start"), F.asc("read_name"), F.asc("flag")]
+    ordered = rows.orderBy(*key)
+    sam_lines(ordered).write.mode("overwrite").text(path)
+
+
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     """(contig, length) of a SAM header."""
     rows = spark.read.text(path).filter(F.col("value").startswith("@SQ"))
