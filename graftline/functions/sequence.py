@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -126,6 +124,36 @@ def merge_overlap(a: str, b: str, min_score: int, min_identity: float) -> tuple[
     return a[: i + own] + b[j + own :], f"seq_5p:{i}-{k};seq_3p:{j}-{m}"
 
 
+def edit_distance_within(a: str, b: str, most: int) -> int:
+    """The edit distance, or most + 1 if it is greater: bit-parallel over a's characters."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if not a:
+        return min(len(b), most + 1)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for n, c in enumerate(b, 1):
+        eq = where.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        plus = down | (full & ~(x | up))
+        minus = up & x
+        if plus & last:
+            score += 1
+        elif minus & last:
+            score -= 1
+        if score - (len(b) - n) > most:
+            return most + 1
+        plus = (plus << 1 | 1) & full
+        minus = (minus << 1) & full
+        y = eq | down
+        up = minus | (full & ~(y | plus))
+        down = plus & y
+    return min(score, most + 1)
+
+
 _OVERLAP = "merged string, loc string"
 
 
@@ -145,49 +173,81 @@ IR_MATCH, IR_MISMATCH, IR_GAP, IR_THRESHOLD, IR_SPACER = 3, -4, -12, 15, 20
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
-def inverted_repeat(five: str, three: str, distance: int = 15) -> tuple[str, str] | None:
-    """(5p arm, 3p arm) of the best inverted repeat near both outer ends, or None.
+def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, lengths): one row a text, 1 to 4 for A, C, G and T, 0 for any other character and past the end."""
+    out = np.zeros((len(texts), max(map(len, texts), default=0)), np.uint8)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("ascii", "replace"), np.uint8)
+    return _BASE_CODES[out], np.array([len(t) for t in texts], np.int32)
+
+
+_BASE_CODES = np.zeros(256, np.uint8)
+for _k, _c in enumerate("ACGT"):
+    _BASE_CODES[ord(_c)] = _k + 1
+
+
+def inverted_repeat_batch(fives: list[str], threes: list[str], distance: int = 15) -> list[tuple[str, str] | None]:
+    """(5p arm, 3p arm) of the best inverted repeat near both outer ends of each pair, or None.
 
     A local alignment of the 5p terminus with the reverse complement of the 3p
-    terminus; N matches nothing.  Arms must begin, and end, within ``distance`` of
-    the outer ends.  The longest 5p arm of the best score stands, first by place.
+    terminus, cell by cell for all pairs at once; N matches nothing.  Arms must begin
+    within ``distance`` of the outer ends.  The longest 5p arm of the best score
+    stands, first by place.
     """
-    x, y = five.upper(), three.upper()[::-1].translate(_COMPLEMENT)
-    if not x or not y:
-        return None
-    score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    back = [[(0, 0)] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            same = x[i - 1] == y[j - 1] and x[i - 1] in "ACGT"
-            options = ((score[i - 1][j - 1] + (IR_MATCH if same else IR_MISMATCH), 1), (score[i - 1][j] + IR_GAP, 2), (score[i][j - 1] + IR_GAP, 3))
-            top, move = max(options, key=lambda o: o[0])
-            if top <= 0:
-                back[i][j] = (i, j)
-                continue
-            score[i][j] = top
-            i0, j0 = ((i - 1, j - 1), (i - 1, j), (i, j - 1))[move - 1]
-            back[i][j] = back[i0][j0] if score[i0][j0] else (i0, j0)
-    best = None
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            a, b = back[i][j]
+    xs, ys = [x.upper() for x in fives], [y.upper()[::-1].translate(_COMPLEMENT) for y in threes]
+    (x, nx), (y, ny) = _matrix(xs), _matrix(ys)
+    rows, width = len(xs), y.shape[1]
+    score = np.zeros((2, width + 1, rows), np.int32)
+    begin = np.zeros((2, 2, width + 1, rows), np.int32)  # of the 5p arm, of the 3p arm
+    big = max(x.shape[1], width) + 2
+    best, place = np.zeros(rows, np.int64), np.zeros((4, rows), np.int32)
+    for i in range(1, x.shape[1] + 1):
+        was, now = (i - 1) % 2, i % 2
+        score[now, 0] = 0
+        inside = i <= nx
+        for j in range(1, width + 1):
+            same = (x[:, i - 1] == y[:, j - 1]) & (x[:, i - 1] > 0)
+            over, up, left = score[was, j - 1] + np.where(same, IR_MATCH, IR_MISMATCH), score[was, j] + IR_GAP, score[now, j - 1] + IR_GAP
+            top = np.maximum(np.maximum(over, up), left)
+            live = (top > 0) & inside & (j <= ny)
+            # Of equal moves the diagonal comes first, then the gap in the 3p arm.
+            by_over, by_up = over == top, up == top
+            a = np.where(by_over, np.where(score[was, j - 1] > 0, begin[was, 0, j - 1], i - 1), np.where(by_up, np.where(score[was, j] > 0, begin[was, 0, j], i - 1), np.where(score[now, j - 1] > 0, begin[now, 0, j - 1], i)))
+            b = np.where(by_over, np.where(score[was, j - 1] > 0, begin[was, 1, j - 1], j - 1), np.where(by_up, np.where(score[was, j] > 0, begin[was, 1, j], j), np.where(score[now, j - 1] > 0, begin[now, 1, j - 1], j - 1)))
+            score[now, j] = np.where(live, top, 0)
+            begin[now, 0, j], begin[now, 1, j] = a, b
             # Places are counted from 1, as repeat finders print them.
-            if score[i][j] >= IR_THRESHOLD and a + 1 <= distance and b <= distance:
-                key = (score[i][j], i - a, -a)
-                if best is None or key > best[0]:
-                    best = (key, x[a:i], three.upper()[len(y) - j : len(y) - b])
-    return best[1:] if best else None
+            key = np.where(live & (top >= IR_THRESHOLD) & (a + 1 <= distance) & (b <= distance), (top.astype(np.int64) * big + (i - a)) * big + (big - a), 0)
+            better = key > best
+            if better.any():
+                best[better] = key[better]
+                for k, v in enumerate((a, i, b, j)):
+                    place[k, better] = v[better] if isinstance(v, np.ndarray) else v
+    return [(xs[k][a:i], threes[k].upper()[len(ys[k]) - j : len(ys[k]) - b]) if best[k] else None for k, (a, i, b, j) in enumerate(place.T.tolist())]
+
+
+def inverted_repeat(five: str, three: str, distance: int = 15) -> tuple[str, str] | None:
+    """The inverted repeat of one pair."""
+    return inverted_repeat_batch([five], [three], distance)[0]
+
+
+def _repeats(x: pd.Series, y: pd.Series, distance: int, step: int = 2048) -> pd.DataFrame:
+    out: list[tuple] = [(None, None)] * len(x)
+    known = [k for k, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
+    known.sort(key=lambda k: (len(x.iloc[k]), len(y.iloc[k])))
+    for a in range(0, len(known), step):
+        part = known[a : a + step]
+        for k, found in zip(part, inverted_repeat_batch([x.iloc[k] for k in part], [y.iloc[k] for k in part], distance), strict=True):
+            out[k] = found or (None, None)
+    return pd.DataFrame(out, columns=["IR_5p", "IR_3p"])
 
 
 def inverted_repeats(five: Column | str, three: Column | str, distance: int = 15) -> Column:
     """struct(IR_5p, IR_3p), null where there is none."""
 
     @F.pandas_udf("IR_5p string, IR_3p string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for x, y in batches:
-            rows = [inverted_repeat(p, q, distance) or (None, None) if p is not None and q is not None else (None, None) for p, q in zip(x, y, strict=True)]
-            yield pd.DataFrame(rows, columns=["IR_5p", "IR_3p"])
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return _repeats(x, y, distance)
 
     return run(col(five), col(three))
 
@@ -205,7 +265,7 @@ def register_all(spark: SparkSession) -> None:
 
     @F.pandas_udf("IR_5p string, IR_3p string")
     def repeat(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([inverted_repeat(p, q) or (None, None) if p is not None and q is not None else (None, None) for p, q in zip(x, y, strict=True)], columns=["IR_5p", "IR_3p"])
+        return _repeats(x, y, 15)
 
     spark.udf.register("gl_overlap", overlap)
     spark.udf.register("gl_inverted_repeat", repeat)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import edit_distance_within
 from .unions import union_all
 
 
@@ -47,15 +48,16 @@ def ordered_concat(rows: DataFrame, keys: list[str], pos: str, value: str, out:
 def prefix_similarity(a: str, b: str) -> float:
     """1 - edit distance / m over the first m characters of both, m the shorter length."""
     m = min(len(a), len(b))
+    return 1 - edit_distance_within(a[:m], b[:m], m) / m if m else 0.0
+
+
+def _alike(a: str, b: str, similarity: float) -> bool:
+    """Whether ``prefix_similarity`` is at least so much; the distance is followed no further than that allows."""
+    m = min(len(a), len(b))
     if not m:
-        return 0.0
-    row = list(range(m + 1))
-    for i, x in enumerate(a[:m], 1):
-        new = [i]
-        for j, y in enumerate(b[:m], 1):
-            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return 1 - row[m] / m
+        return similarity <= 0
+    most = int((1 - similarity) * m + 1e-9)
+    return edit_distance_within(a[:m], b[:m], most) <= most
 
 
 def site_consensus(words: list[tuple[str, list[int], int]], similarity: float = 0.75, min_support: int = 2) -> list[tuple[str, int]]:
@@ -79,7 +81,7 @@ def site_consensus(words: list[tuple[str, list[int], int]], similarity: float =
 
     for i in range(len(leaves)):
         for j in range(i):
-            if root(i) != root(j) and prefix_similarity(leaves[i], leaves[j]) >= similarity:
+            if root(i) != root(j) and _alike(leaves[i], leaves[j], similarity):
                 group[max(root(i), root(j))] = min(root(i), root(j))
     out = []
     for r in sorted({root(k) for k in range(len(leaves))}):

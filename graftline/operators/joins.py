@@ -7,13 +7,15 @@ or sort, and a long contig is spread over many keys.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .unions import apart
 
 
-def _fresh(*frames: DataFrame) -> str:
+def fresh(*frames: DataFrame) -> str:
     """A column prefix that no frame uses."""
     taken = {c for f in frames for c in f.columns}
     name = "_bin"
@@ -28,7 +30,7 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str,
     Bins are ``below`` wide, so a left row meets exactly two of them and a right
     row one; no pair comes twice.  The frames share no other column names.
     """
-    b = _fresh(left, right)
+    b = fresh(left, right)
     bin_of = lambda c: F.floor(F.col(c) / F.lit(below)).cast("long")
     left = left.withColumn(b, F.explode(F.array(bin_of(left_pos), bin_of(left_pos) - 1)))
     right = right.withColumn(b, bin_of(right_pos))
@@ -36,23 +38,41 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str,
     return pairs.drop(b)
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int = 1024) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int = 1024, levels: int = 0) -> DataFrame:
     """Pairs of rows with equal keys whose half-open spans [start, end) overlap.
 
-    Both sides are exploded over the bins they cover; a pair stands in the bin of
-    the later start alone, so it comes once.  Empty spans overlap nothing.
+    Both sides are dealt to the bins they cover, and a pair stands in the bin of the
+    later start alone, so it comes once.  Empty spans overlap nothing.
+
+    Where spans can be far longer than ``width``, further ``levels`` of bins, each
+    eight times as wide as the one below, keep a span from making a row for every
+    ``width`` positions: a span's own level is the first whose bins are as long as it
+    is, it is dealt to this and the wider ones, and a pair stands at the higher of
+    its two levels.  A row then makes at most ``levels`` + 2 rows, or one more for
+    each of the widest bins that it covers.
     """
-    b = _fresh(left, right)
+    b = fresh(left, right)
     ls, le = left_span
     rs, re = right_span
+    step, top = 8, levels
+
+    def level(s: str, e: str) -> Column:
+        if not top:
+            return F.lit(0)
+        length = (F.col(e) - F.col(s)).cast("double")
+        return F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(1.0)) / width) / math.log(step) - 1e-12).cast("int"))).cast("int")
+
+    def size(k: Column) -> Column:
+        return F.lit(width).cast("long") * F.round(F.pow(F.lit(float(step)), k)).cast("long")
 
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        first, last = F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)
-        return df.filter(F.col(s) < F.col(e)).withColumn(b, F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    def binned(df: DataFrame, s: str, e: str, own: str) -> DataFrame:
+        rows = df.filter(F.col(s) < F.col(e)).withColumn(own, level(s, e))
+        return rows.withColumn(b + "k", F.explode(F.sequence(F.col(own), F.lit(top)))).withColumn(b, F.explode(F.sequence(F.floor(F.col(s) / size(F.col(b + "k"))).cast("long"), F.floor((F.col(e) - 1) / size(F.col(b + "k"))).cast("long"))))
 
-    pairs = binned(left, ls, le).join(binned(right, rs, re), [*keys, b])
-    later = F.floor(F.greatest(F.col(ls), F.col(rs)) / width)
-    return pairs.filter((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col(b) == later)).drop(b)
+    pairs = binned(left, ls, le, b + "l").join(binned(right, rs, re, b + "r"), [*keys, b + "k", b])
+    later = F.floor(F.greatest(F.col(ls), F.col(rs)) / size(F.col(b + "k"))).cast("long")
+    pairs = pairs.filter((F.col(b + "k") == F.greatest(b + "l", b + "r")) & (F.col(b) == later) & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
+    return pairs.drop(b, b + "k", b + "l", b + "r")
 
 
 def nearest_within(sites: DataFrame, keys: list[str], pos: str, is_5p: Column, is_3p: Column, distance: int, out_5p: str = "near_5p", out_3p: str = "near_3p", width: int | None = None) -> DataFrame:
@@ -63,7 +83,7 @@ def nearest_within(sites: DataFrame, keys: list[str], pos: str, is_5p: Column, i
     next to it, so one long contig does not end in one task.
     """
     width = width or max(64 * distance, 4096)
-    b = _fresh(sites)
+    b = fresh(sites)
     own = F.floor(F.col(pos) / width).cast("long")
     at = F.col(pos) - own * width
     bins = F.array_compact(F.array(own, F.when(at < distance, own - 1), F.when(at >= width - distance, own + 1)))
@@ -89,7 +109,7 @@ def asof(probe: DataFrame, build: DataFrame, keys: list[str], probe_pos: str, bu
     greatest ``tie`` stands (by all values, if none is named).  Unmatched probes
     get nulls.  ``values`` are build columns whose names probe does not use.
     """
-    side, held, at = _fresh(probe, build) + "side", _fresh(probe, build) + "held", _fresh(probe, build) + "at"
+    side, held, at = fresh(probe, build) + "side", fresh(probe, build) + "held", fresh(probe, build) + "at"
     best = build.groupBy(*keys, F.col(build_pos).alias(at)).agg(F.max_by(F.struct(build_pos, *values), F.struct(*([tie] if tie else []), *values)).alias(held))
     left = probe.select(*keys, F.col(probe_pos).alias(at), F.lit(0).alias(side), F.struct(*probe.columns).alias("_row"))
     right = best.select(*keys, at, F.lit(1).alias(side), held)

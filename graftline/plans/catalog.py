@@ -58,10 +58,10 @@ _READS = """reads AS (
            l_returnflag AS base, CAST(l_quantity AS BIGINT) AS qual
     FROM lineitem)"""
 
-_FOLDED = """folded AS (
-    SELECT l_suppkey % 5 AS contig, l_partkey % 500 AS pos, l_orderkey AS name,
-           CASE WHEN l_linestatus = 'O' THEN '5p' ELSE '3p' END AS orient
-    FROM lineitem)"""
+_BY_DAY = """sites AS (
+    SELECT l_suppkey AS contig, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS pos,
+           CASE WHEN l_linestatus = 'O' THEN '5p' ELSE '3p' END AS orient, count(DISTINCT l_orderkey) AS n
+    FROM lineitem GROUP BY ALL)"""
 
 _PLACED = """placed AS (
     SELECT o_custkey AS sample, l_orderkey AS pair_id, l_suppkey AS contig, l_partkey AS pos,
@@ -103,11 +103,18 @@ ORACLE: dict[str, str] = domain_sql.ORACLE | {
         SELECT * FROM sites s WHERE EXISTS (
             SELECT 1 FROM sites t WHERE t.contig = s.contig AND t.orient <> s.orient
             AND CASE WHEN s.orient = '5p' THEN s.pos - t.pos ELSE t.pos - s.pos END BETWEEN 1 AND {r.MATE_DISTANCE})""",
-    "pair_candidates": f"""WITH {_FOLDED}, sites AS (
-        SELECT contig, pos, orient, count(DISTINCT name) AS n FROM folded GROUP BY ALL HAVING count(DISTINCT name) >= 2)
+    "pair_candidates": f"""WITH {_BY_DAY}
         SELECT a.contig, a.pos AS pos_5p, b.pos AS pos_3p, a.n AS n_5p, b.n AS n_3p
         FROM sites a JOIN sites b ON a.contig = b.contig AND a.orient = '5p' AND b.orient = '3p'
              AND b.pos >= a.pos - {r.MAX_REPEAT} AND b.pos < a.pos""",
+    "greedy_pairs": f"""WITH RECURSIVE {_BY_DAY}, pairs AS (
+        SELECT a.contig, struct_pack(d := abs(a.n - b.n), r := a.pos - b.pos, f := a.pos, t := b.pos, n := a.n, m := b.n) AS p
+        FROM sites a JOIN sites b ON a.contig = b.contig AND a.orient = '5p' AND b.orient = '3p' AND b.pos >= a.pos - {r.MAX_REPEAT} AND b.pos < a.pos),
+        greedy(contig, todo, p) AS (
+            SELECT contig, list(p ORDER BY p), CASE WHEN false THEN any_value(p) END FROM pairs GROUP BY contig
+            UNION ALL
+            SELECT contig, list_filter(todo, lambda x: x.f <> todo[1].f AND x.t <> todo[1].t), todo[1] FROM greedy WHERE len(todo) > 0)
+        SELECT contig, p.f AS pos_5p, p.t AS pos_3p, p.n AS n_5p, p.m AS n_3p FROM greedy WHERE p IS NOT NULL""",
     "event_pairs_interval": """SELECT a.user_id, a.event_id AS purchase_id, b.event_id AS click_id, epoch_us(a.ts) - epoch_us(b.ts) AS gap_us
         FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click'
              AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 6 HOUR""",
@@ -162,6 +169,17 @@ ORACLE: dict[str, str] = domain_sql.ORACLE | {
             UNION
             SELECT b.v, r.label FROM reach r JOIN both_ways b ON b.u = r.node WHERE r.label < b.v)
         SELECT node AS cluster, min(label) AS group_label FROM reach GROUP BY node""",
+    "overlap_merge": """WITH pairs AS (SELECT a.conv_id, a.turn, a.text AS x, CASE WHEN a.turn % 2 = 0 THEN right(a.text, 12 + a.turn % 3 * 9) ELSE '' END || b.text AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+        xs AS (SELECT conv_id, turn, x, y, unnest(string_split(x, '')) AS c, unnest(range(length(x))) AS p FROM pairs),
+        ys AS (SELECT conv_id, turn, x, y, unnest(string_split(y, '')) AS c, unnest(range(length(y))) AS q FROM pairs),
+        shifts AS (SELECT conv_id, turn, x, y, p - q AS shift, count(*) AS same FROM xs JOIN ys USING (conv_id, turn, x, y, c) GROUP BY ALL),
+        scored AS (SELECT *, n - same AS miss FROM (SELECT *, greatest(shift, 0) AS i, greatest(-shift, 0) AS j, least(length(x) - greatest(shift, 0), length(y) - greatest(-shift, 0)) AS n FROM shifts)),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY conv_id, turn, x, y ORDER BY n - 2 * miss DESC, shift DESC) = 1),
+        merged AS (SELECT conv_id, turn, n >= 1 AND n - 2 * miss >= 10 AND 1 - miss / CAST(n AS DOUBLE) > 0.9 AS good, i, j, n,
+                          left(x, i + least(n, greatest(0, (i + length(y) - j) // 2 + 1 - i))) || substr(y, j + least(n, greatest(0, (i + length(y) - j) // 2 + 1 - i)) + 1) AS m FROM best)
+        SELECT p.conv_id, p.turn, CASE WHEN good THEN CAST(length(m) AS INTEGER) END AS merged_length,
+               CASE WHEN good THEN 'seq_5p:' || i || '-' || (i + n) || ';seq_3p:' || j || '-' || (j + n) END AS loc, CASE WHEN good THEN md5(m) END AS merged_md5
+        FROM pairs p LEFT JOIN merged USING (conv_id, turn)""",
     "flank_slice": f"""WITH t AS (SELECT doc_id, text, regexp_replace({_UP}, 'N+$', '') AS five, regexp_replace({_UP}, '^N+', '') AS three FROM documents)
         SELECT doc_id, CAST(length(five) AS INTEGER) AS length_5p, CAST(length(three) AS INTEGER) AS length_3p,
                left(five, 40) AS trunc_5p, right(three, 40) AS trunc_3p, substring(text, 6, 21) AS direct_repeat FROM t""",

@@ -58,7 +58,13 @@ def with_groups(rows: DataFrame) -> DataFrame:
     edges = rows.join(first, PAIR).select("u", F.col("cluster").alias("v")).filter("u <> v").distinct()
     found = connected_components(edges, rows.select(F.col("cluster").alias("node")))
     roots = found.select("component").distinct()
-    numbers = roots.select("component", F.concat(F.lit("g"), F.row_number().over(Window.orderBy(F.length("component"), "component")).cast("string")).alias("group"))
+    # Numbers in order of length, then name: within buckets of names alike but for their end, after those of the buckets before.
+    bucket = F.struct(F.length("component").alias("n"), F.expr("substring(component, 1, greatest(length(component) - 4, 0))").alias("start"))
+    roots = stash(roots.withColumn("_bucket", bucket), "roots")
+    sizes = roots.groupBy("_bucket").agg(F.count("*").alias("_c"))
+    sizes = sizes.select("_bucket", F.coalesce(F.sum("_c").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("component"))
+    numbers = roots.join(sizes, "_bucket").select("component", F.concat(F.lit("g"), place.cast("string")).alias("group"))
     return rows.join(found.join(numbers, "component").select(F.col("node").alias("cluster"), "group"), "cluster")
 
 

@@ -2,8 +2,8 @@
 
 A flank is extended where its far end occurs in other reads of its site: the
 overhangs are read base by base, the base of the greatest summed quality standing,
-as long as enough reads go on.  There is no assembly graph; a repeat inside the
-insertion ends the extension at ``most`` bases at the latest.
+as long as enough reads go on.  There is no assembly graph; the extension ends where
+a flank's end comes back, as it would inside a repeat.
 """
 
 from __future__ import annotations
@@ -29,35 +29,41 @@ class Extension:
     support: int = 2
     #: Bases beside the site in which mates of mapped reads are looked for.
     search: int = 500
-    most: int = 2000
 
 
-def extend_flank(seq: str, reads: list[tuple[str, int]], p: Extension = Extension()) -> str:
-    """``seq`` grown at its end; ``reads`` are (sequence, weight) that read in the same direction."""
-    start = len(seq)
-    while len(seq) >= p.overlap and len(seq) - start < p.most:
-        tail = seq[-p.overlap :]
-        overhangs = []
-        for text, weight in reads:
+def extend_flank(seq: str, reads: list[tuple[str, int, int]], p: Extension = Extension()) -> str:
+    """``seq`` grown at its end; ``reads`` are (sequence, summed weight, number) that read in the same direction.
+
+    A base stands by the summed weight of all reads that go on with it, and as long
+    as ``support`` reads do; a tie ends the extension, and so does an end that was
+    one before.
+    """
+    ends: set[str] = set()
+    while len(seq) >= p.overlap and (tail := seq[-p.overlap :]) not in ends:
+        ends.add(tail)
+        live = []
+        for text, weight, n in reads:
             at = text.find(tail)
             if at >= 0 and at + p.overlap < len(text):
-                overhangs.append((text[at + p.overlap :], weight))
-        grown = ""
+                live.append((text[at + p.overlap :], weight, n))
+        grown = []
         while True:
-            here = [(o[len(grown)], w) for o, w in overhangs if len(o) > len(grown) and o.startswith(grown)]
-            if len(here) < p.support:
+            live = [(o, w, n) for o, w, n in live if len(o) > len(grown)]
+            if sum(n for *_, n in live) < p.support:
                 break
             sums: dict[str, int] = {}
-            for c, w in here:
-                sums[c] = sums.get(c, 0) + w
-            best = sorted(sums, key=lambda c: (-sums[c], c))
-            if len(best) > 1 and sums[best[0]] == sums[best[1]]:
+            for o, w, _ in live:
+                sums[o[len(grown)]] = sums.get(o[len(grown)], 0) + w
+            most = max(sums.values())
+            best = [c for c, w in sums.items() if w == most]
+            if len(best) > 1:
                 break
-            grown += best[0]
+            live = [x for x in live if x[0][len(grown)] == best[0]]
+            grown.append(best[0])
         if not grown:
             break
-        seq += grown
-    return seq[: start + p.most]
+        seq += "".join(grown)
+    return seq
 
 
 def site_reads(alignments: DataFrame, sites: DataFrame, p: Extension = Extension()) -> DataFrame:
@@ -92,8 +98,7 @@ def extend_pairs(pairs: DataFrame, alignments: DataFrame, p: Extension = Extensi
         *_, orient, flank = key
         rows = [(s, int(w), int(n)) for s, w, n in zip(pdf["seq"], pdf["weight"], pdf["n"], strict=True) if isinstance(s, str)]
         turn = (lambda s: s[::-1]) if orient == "3p" else (lambda s: s)
-        # Each of n equal reads supports by itself.
-        long = extend_flank(turn(flank), [(turn(s), max(1, w // n)) for s, w, n in rows for _ in range(min(n, p.support))], p)
+        long = extend_flank(turn(flank), [(turn(s), w, n) for s, w, n in rows], p)
         return pd.DataFrame([(*key, turn(long))], columns=[*KEYS, "flank", "extended"])
 
     done = joined.groupBy(*KEYS, "flank").applyInPandas(run, schema)
@@ -106,6 +111,11 @@ def extend_pairs(pairs: DataFrame, alignments: DataFrame, p: Extension = Extensi
 
 
 def prefix_counts(words: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, prefix, reads): the words of each key that begin with a prefix; words are matched by their first characters of its length."""
-    sized = words.crossJoin(F.broadcast(asked.select(F.length("prefix").alias("_n")).distinct())).withColumn("prefix", F.expr("substring(word, 1, _n)")).filter("length(prefix) = _n")
-    return sized.join(asked.select("prefix").distinct(), "prefix").groupBy(*keys, "prefix").agg(F.count("*").alias("reads"))
+    """(keys, prefix, reads): the words of each key that begin with a prefix.
+
+    Both sides meet by equal prefixes: a word has as many as it has characters, so
+    no pair is made that doesn't count.  Words of one key are summed before.
+    """
+    counted = words.groupBy(*keys, "word").agg(F.count("*").alias("_n"))
+    begun = counted.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), lambda k: F.substring("word", F.lit(1), k))))
+    return begun.join(asked.select("prefix").distinct(), "prefix").groupBy(*keys, "prefix").agg(F.sum("_n").alias("reads"))

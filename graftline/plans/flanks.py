@@ -84,7 +84,7 @@ def evidence(alignments: DataFrame, sites: DataFrame, p: FindFlanks, contigs: Da
     reads = rows.select("sample", "contig", "read_name", "ref_start", "ref_end", cg.blocks("cigar", "ref_start").alias("blocks"), cg.clip_site("cigar", "md", "ref_start", "ref_end", "left").alias("_left"), cg.clip_site("cigar", "md", "ref_start", "ref_end", "right").alias("_right"))
     own = sites.select(*SITE).withColumn("_from", F.greatest(F.col("pos") - 1, F.lit(0))).withColumn("_to", F.col("pos") + 2)
     if contigs is not None:
-        own = own.join(F.broadcast(contigs), "contig", "left").withColumn("_to", F.least(F.col("_to"), F.coalesce("length", F.col("_to")))).withColumn("_last", F.col("length") - 1).drop("length")
+        own = own.join(contigs.select("contig", "length"), "contig", "left").withColumn("_to", F.least(F.col("_to"), F.coalesce("length", F.col("_to")))).withColumn("_last", F.col("length") - 1).drop("length")
     else:
         own = own.withColumn("_last", F.lit(None).cast("int"))
     near = joins.interval_join(own, reads, ["sample", "contig"], ("_from", "_to"), ("ref_start", "ref_end"))
@@ -172,17 +172,24 @@ def find_flanks(alignments: DataFrame, p: FindFlanks = FindFlanks(), contigs: Da
     sites = sites.join(per_site, SITE).withColumn("keep_5p", F.col("_c5")).withColumn("keep_3p", F.col("_c3")).drop("_c5", "_c3")
     sites = mate_filter(sites, p)
     flat = sites.join(found, SITE).filter(F.when(F.col("orient") == "5p", F.col("keep_5p")).otherwise(F.col("keep_3p")))
-    number = Window.partitionBy("sample").orderBy("contig", "pos", "orient")
+    # Contigs in their own order (number) where it is known, else by name.
+    if contigs is not None and "number" in contigs.columns:
+        flat = flat.join(contigs.select("contig", F.col("number").alias("_number")), "contig", "left")
+    else:
+        flat = flat.withColumn("_number", F.lit(0))
+    number = Window.partitionBy("sample").orderBy(F.asc_nulls_last("_number"), "contig", "pos", "orient")
     return flat.withColumn("flank_id", F.row_number().over(number)).select([F.col(f.name).cast(f.dataType) for f in FLANKS])
 
 
 def recall(alignments: DataFrame, asked: DataFrame, p: FindFlanks = FindFlanks(), contigs: DataFrame | None = None) -> DataFrame:
     """The ten counts and their total at given sites, a 5p and a 3p row for each.
 
-    ``asked`` has contig, pos_5p and pos_3p; repeated sites collapse.
+    ``asked`` has contig, pos_5p and pos_3p; repeated sites collapse.  Every sample
+    has a row at every site, so the samples' names, a cohort's worth, go to the driver.
     """
-    names = alignments.select("sample").distinct()
-    at = asked.select("contig", F.explode(F.array("pos_5p", "pos_3p")).alias("pos")).distinct().join(F.broadcast(names))
+    names = [r["sample"] for r in alignments.select("sample").distinct().collect()]
+    samples = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    at = asked.select("contig", F.explode(F.array("pos_5p", "pos_3p")).alias("pos")).distinct().withColumn("sample", F.explode(samples))
     rows = clips(alignments, p)
     counted = rows.groupBy(*SITE).agg(F.countDistinct(F.when(F.col("orient") == "5p", F.col("read_name"))).alias("softclip_count_5p"), F.countDistinct(F.when(F.col("orient") == "3p", F.col("read_name"))).alias("softclip_count_3p"))
     sites = at.join(counted, SITE, "left").fillna(0, ["softclip_count_5p", "softclip_count_3p"])

@@ -52,13 +52,14 @@ def nearest_mate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.filter(F.when(F.col("orient") == "5p", F.col("near_5p")).otherwise(F.col("near_3p"))).select("contig", "pos", "orient", "n_names")
 
 
-def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads on five contigs of 500 positions, so that flanks lie close together at any size."""
-    return reads(spark, sf_dir).withColumn("contig", F.col("contig") % 5).withColumn("pos", F.col("pos") % 500)
+def reads_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads placed at their day of shipment, where sites of both orientations lie close together at any size."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.col("l_suppkey").alias("contig"), F.datediff("l_shipdate", F.lit("1995-01-01")).alias("pos"), F.col("l_orderkey").alias("name"), F.when(F.col("l_linestatus") == "O", "5p").otherwise("3p").alias("orient"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    own = sites(rows)
+    own = sites(rows, 1)
     five = own.filter("orient = '5p'").select("contig", F.col("pos").alias("pos_5p"), F.col("n_names").alias("n_5p"))
     three = own.filter("orient = '3p'").select("contig", F.col("pos").alias("pos_3p"), F.col("n_names").alias("n_3p"))
     return joins.band_join(five, three, ["contig"], "pos_5p", "pos_3p", MAX_REPEAT)
@@ -66,13 +67,13 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 def pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5p and 3p sites of a contig with the 3p site at most 21 below."""
-    return candidates(_folded(spark, sf_dir)).select("contig", "pos_5p", "pos_3p", "n_5p", "n_3p")
+    return candidates(reads_by_day(spark, sf_dir)).select("contig", "pos_5p", "pos_3p", "n_5p", "n_3p")
 
 
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairing of the candidates: least difference in support, then shortest repeat."""
     order = [F.abs(F.col("n_5p") - F.col("n_3p")), F.col("pos_5p") - F.col("pos_3p"), F.col("contig"), F.col("pos_5p")]
-    return matching.greedy_match(candidates(_folded(spark, sf_dir)), ["contig", "pos_5p"], ["contig", "pos_3p"], order).select("contig", "pos_5p", "pos_3p", "n_5p", "n_3p")
+    return matching.greedy_match(candidates(reads_by_day(spark, sf_dir)), ["contig", "pos_5p"], ["contig", "pos_3p"], order).select("contig", "pos_5p", "pos_3p", "n_5p", "n_3p")
 
 
 def event_pairs_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def spanning_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reads(spark, sf_dir)
     spans = rows.groupBy("contig", "name").agg(F.min("pos").alias("ref_start"), (F.max("pos") + 1).alias("ref_end"))
     own = sites(rows, 1).select("contig", "pos").distinct().withColumn("site_end", F.col("pos") + 1)
-    over = joins.interval_join(own, spans, ["contig"], ("pos", "site_end"), ("ref_start", "ref_end"))
+    over = joins.interval_join(own, spans, ["contig"], ("pos", "site_end"), ("ref_start", "ref_end"), levels=3)
     return over.filter("ref_start < pos - 1 and ref_end > pos + 2").groupBy("contig", "pos").agg(F.countDistinct("name").alias("spanning_count"))
 
 
@@ -228,10 +229,15 @@ def shared_pair_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive turns of a conversation merged where the end of one overlaps the start of the next."""
+    """Consecutive turns of a conversation merged where the end of one overlaps the start of the next.
+
+    Every other next turn is given the end of the turn before it, so that there is something to merge.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
-    pairs = rows.join(nxt, ["conv_id", "turn"]).withColumn("m", sq.overlap_merge("text", "next_text"))
+    n = 12 + F.col("turn") % 3 * 9
+    given = F.when(F.col("turn") % 2 == 0, F.concat(F.substring("text", -n, n), F.col("next_text"))).otherwise(F.col("next_text"))
+    pairs = rows.join(nxt, ["conv_id", "turn"]).withColumn("m", sq.overlap_merge(F.col("text"), given))
     return pairs.select("conv_id", "turn", F.length("m.merged").alias("merged_length"), F.col("m.loc").alias("loc"), F.md5(F.col("m.merged").cast("binary")).alias("merged_md5"))
 
 

@@ -160,13 +160,14 @@ def write_sam(alignments: DataFrame, path: str, contigs: DataFrame | None = None
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, length) of a SAM header."""
-    rows = spark.read.text(path).filter(F.col("value").startswith("@SQ"))
-    return rows.select(F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", "\tLN:(\\d+)", 1).cast("int").alias("length"))
+    """(contig, length, number) of a SAM header, numbered in its order."""
+    rows = spark.read.text(path).withColumn("number", F.monotonically_increasing_id()).filter(F.col("value").startswith("@SQ"))
+    return rows.select(F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", "\tLN:(\\d+)", 1).cast("int").alias("length"), "number")
 
 
 def contigs_of(genome: DataFrame) -> DataFrame:
-    return genome.select(F.col("name").alias("contig"), F.length("seq").alias("length"))
+    """(contig, length, number) of a genome's sequences, numbered in the order of its file."""
+    return genome.select(F.col("name").alias("contig"), F.length("seq").alias("length"), F.monotonically_increasing_id().alias("number"))
 
 
 def format_alignments(alignments: DataFrame) -> DataFrame:

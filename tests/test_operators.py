@@ -1,6 +1,7 @@
 import random
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,10 @@ def test_band_and_interval_joins(spark, seed):
     b = [(k, i, p, p + rng.choice([0, 1, 5, 90])) for k, i, p in b]
     left, right = spark.createDataFrame(a, "k string, i int, s int, e int"), spark.createDataFrame(b, "k string, j int, t int, f int")
     got = sorted((r.i, r.j) for r in joins.interval_join(left, right, ["k"], ("s", "e"), ("t", "f"), 16).collect())
-    assert got == sorted((i, j) for k, i, s, e in a for m, j, t, f in b if k == m and s < f and t < e and s < e and t < f)
+    want = sorted((i, j) for k, i, s, e in a for m, j, t, f in b if k == m and s < f and t < e and s < e and t < f)
+    assert got == want
+    for levels in (1, 2):
+        assert sorted((r.i, r.j) for r in joins.interval_join(left, right, ["k"], ("s", "e"), ("t", "f"), 4, levels).collect()) == want
 
 
 def test_nearest_within_equals_search(spark):
@@ -51,8 +55,11 @@ def test_greedy_match_equals_sequential(spark, seed):
     rng = random.Random(seed)
     pairs = sorted({(rng.randrange(8), rng.randrange(8)) for _ in range(30)})
     rows = [(a, b, rng.randrange(3)) for a, b in pairs]
-    df = spark.createDataFrame(rows, "a int, b int, w int")
-    got = {(r.a, r.b) for r in matching.greedy_match(df, ["a"], ["b"], [F.col("w"), F.col("a"), F.col("b")]).collect()}
+    df = spark.createDataFrame([*rows, (None, 1, 0), (1, None, 0)], "a int, b int, w int").withColumn("_binrank", F.lit(1))
+    order = [F.col("w"), F.col("a"), F.col("b")]
+    got = {(r.a, r.b) for r in matching.greedy_match(df, ["a"], ["b"], order, rest=seed * 5).collect()}
+    all_ = matching.greedy_match(df, ["a"], ["b"], order)
+    assert all_.columns == df.columns and {(r.a, r.b) for r in all_.collect()} == got
     left, right, want = set(), set(), set()
     for a, b, _ in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
         if a not in left and b not in right:
@@ -64,7 +71,8 @@ def test_greedy_match_equals_sequential(spark, seed):
 
 
 def test_cascade_and_ties(spark):
-    df = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (1, 1, "c"), (2, 3, "d")], "k int, r int, v string")
+    df = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (1, 1, "c"), (2, 3, "d")], "k int, r int, v string").withColumn("_rank", F.lit(7)).withColumn("_most", F.lit(8))
+    assert matching.cascade(df, ["k"], F.col("r")).columns == df.columns == matching.ties_at_max(df, ["k"], F.col("r")).columns
     assert sorted(r.v for r in matching.cascade(df, ["k"], F.col("r")).collect()) == ["b", "c", "d"]
     assert sorted(r.v for r in matching.ties_at_max(df, ["k"], F.col("r")).collect()) == ["a", "d"]
 
@@ -169,6 +177,49 @@ def test_identity_clusters(spark):
     assert sorted((r.first, r.copies) for r in dedupe.dedupe(seqs, "seq", F.col("id")).collect()) == [(1, 3), (4, 1)]
 
 
+def greedy_brute(rows, p):
+    reps, out = [], {}
+    for i, s in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
+        out[i] = next((r for r, t in reps if s and t and dedupe.same_cluster(t, s, p)), i)
+        if out[i] == i:
+            reps.append((i, s))
+    return out
+
+
+def test_identity_clusters_against_all_pairs(spark):
+    """Families of near copies at many lengths: clusters as greedy over all pairs gives them, and the recall of candidates."""
+    rng, p = random.Random(5), dedupe.Identity()
+    rows = []
+    for n in (30, 60, 90, 340, 400, 460, 700):
+        for _ in range(4):
+            base = "".join(rng.choices("ACGT", k=n))
+            for _ in range(5):
+                s = list(base)
+                for k in rng.sample(range(n), int(n * rng.choice([0, 0.03, 0.06, 0.09]))):
+                    s[k] = rng.choice("ACGT")
+                s = "".join(s)[: n - rng.randrange(n // 12)]
+                rows.append((len(rows), dedupe._revcomp(s) if rng.random() < 0.3 else s))
+    got = {r.id: r.rep for r in dedupe.identity_clusters(spark.createDataFrame(rows, "id int, seq string"), "id", "seq", p).collect()}
+    want = greedy_brute(rows, p)
+    assert len(got) == len(rows) and sum(got[k] == want[k] for k in want) >= 0.97 * len(rows)
+
+
+def test_candidates_of_short_sequences():
+    """Pairs of 60 and 100 bases at the edit limit share a word."""
+    rng, p = random.Random(6), dedupe.Identity()
+    for n, least in ((60, 0.96), (100, 0.99), (300, 0.99)):
+        shared = pairs = 0
+        while pairs < 150:
+            a = "".join(rng.choices("ACGT", k=n))
+            b = list(a)
+            for k in rng.sample(range(n), int(0.1 * n)):
+                b[k] = rng.choice("ACGT".replace(b[k], ""))
+            if dedupe.same_cluster(a, "".join(b), p):
+                pairs += 1
+                shared += len(np.intersect1d(dedupe.minimum_words(a, p), dedupe.minimum_words("".join(b), p))) > 0
+        assert shared >= least * pairs, (n, shared)
+
+
 def test_positional_consensus_prefers_the_reference(spark):
     bases = spark.createDataFrame([(1, 0, "A", 1), (1, 1, "C", 5), (1, 1, "G", 5)], "k int, pos int, base string, q int")
     ref = spark.createDataFrame([(1, 0, "T"), (1, 1, "T"), (1, 2, "T")], "k int, pos int, base string")
