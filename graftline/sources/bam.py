@@ -114,3 +114,35 @@ def read_bam(spark: SparkSession, path: str, sample: str | None = None, rows: in
 
     lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "value string, path string")
     return parse_sam(lines, F.col("path") if sample is None else sample)
+
+
+def read_contigs(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, length, number) of BAM files' headers, numbered in their order; of several files' the first by name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame([(name, c, n, k) for k, (c, n) in enumerate(contigs(data))], columns=["path", "contig", "length", "number"])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, contig string, length int, number long")
+    return found.groupBy("contig").agg(F.min(F.struct("path", "number", "length")).alias("m")).select("contig", "m.length", "m.number")
+
+
+def contigs(data: bytes) -> list[tuple[str, int]]:
+    """(name, length) of the contigs of a BAM file's header."""
+    blocks, held = inflate(data), bytearray()
+
+    def take(n: int) -> bytes:
+        while len(held) < n:
+            held.extend(next(blocks))
+        out = bytes(held[:n])
+        del held[:n]
+        return out
+
+    take(4)
+    take(struct.unpack("<i", take(4))[0])
+    out = []
+    for _ in range(struct.unpack("<i", take(4))[0]):
+        name = take(struct.unpack("<i", take(4))[0]).rstrip(b"\0").decode()
+        out.append((name, struct.unpack("<i", take(4))[0]))
+    return out

@@ -1,25 +1,32 @@
-"""The whole cohort as one lazy plan, and a command line for single stages.
+"""The whole cohort as one lazy plan, and a command line.
 
 Every stage is a function of DataFrames; ``run`` chains them over all samples at
-once, so what was a process and a file for each sample is one plan here.  Flanks
-are aligned by ``operators.align``; alignments of another aligner can be given instead.
+once, so what was a process and a file for each sample is one plan here, and
+``run_directory`` does so for every genome of a working directory.  Flanks are
+aligned by ``operators.align``; alignments of another aligner can be given instead.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import logging
+import os
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schemas
 from .operators.align import Aligner, align
 from .operators.stash import stash
-from .params import Workflow
+from .operators.unions import union_all
+from .params import SHORT, ClusterSeq, FindFlanks, Genotype, InferAligned, InferDatabase, InferOverlap, MakeDatabase, PairFlanks, Workflow, long_name
 from .plans import cohort, extend, flanks, infer, pairs
-from .sources import files
+from .sources import bam, files
+
+log = logging.getLogger("graftline")
 
 
 #: Elements are looked for with a lower least score.
@@ -32,6 +39,7 @@ class Inputs:
 
     alignments: DataFrame
     genome: DataFrame
+    #: (name, seq), or (sample, name, seq) where each sample has an assembly of its own.
     assembly: DataFrame | None = None
     to_reference: DataFrame | None = None
     to_assembly: DataFrame | None = None
@@ -60,8 +68,7 @@ def run(x: Inputs, w: Workflow = Workflow()) -> Outputs:
     aligned = lambda given, queries, targets: given if given is not None else stash(align(queries, targets), "aligned")
     parts = [infer.infer_overlap(paired, w.inferseq_overlap), infer.infer_reference(aligned(x.to_reference, plain, x.genome), x.genome, w.inferseq)]
     if x.assembly is not None:
-        in_context = infer.flank_sequences_in_context(paired, x.alignments, x.genome, w.inferseq)
-        parts.append(infer.infer_assembly(aligned(x.to_assembly_in_context, in_context, x.assembly), aligned(x.to_assembly, plain, x.assembly), x.assembly, w.inferseq))
+        parts.append(assembled(x, paired, w))
     if x.database is not None:
         parts.append(infer.infer_database(x.to_database if x.to_database is not None else stash(align(plain, x.database, DATABASE_ALIGNER), "aligned"), x.database, w.inferseq_database))
     parts = [stash(p, "inferred") for p in parts]
@@ -71,6 +78,70 @@ def run(x: Inputs, w: Workflow = Workflow()) -> Outputs:
     return Outputs(found, paired, inferred, clustered, typed, cohort.summarize(typed, clustered), cohort.summarize(typed, clustered, "group"), cohort.cluster_fasta(typed, clustered))
 
 
+def assembled(x: Inputs, paired: DataFrame, w: Workflow) -> DataFrame:
+    """Insertions found in the assembly; with a sample column, in that of their own sample."""
+    own, targets = "sample" in x.assembly.columns, x.assembly
+    mark = F.concat(F.col("sample"), F.lit("|"))
+    if own:  # contigs of one name in several assemblies
+        targets = stash(x.assembly.withColumn("name", F.concat(mark, "name")), "assembly")
+    plain = infer.flank_sequences(paired)
+    in_context = infer.flank_sequences_in_context(paired, x.alignments, x.genome, w.inferseq_assembly)
+    aligned = lambda given, queries: given if given is not None else stash(align(queries, targets), "aligned")
+    found = infer.infer_assembly(aligned(x.to_assembly_in_context, in_context), aligned(x.to_assembly, plain), targets.select("name", "seq"), w.inferseq_assembly)
+    return found.withColumn("loc", F.when(F.startswith("loc", mark), F.expr("substring(loc, length(sample) + 2)")).otherwise(F.col("loc"))) if own else found
+
+
+# --- a working directory ---------------------------------------------------------------------------------------------
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of any store that Spark reaches; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def run_directory(spark: SparkSession, workdir: str, w: Workflow = Workflow()) -> dict[str, Outputs]:
+    """Every genome of a working directory over all its samples; tables are written beside their inputs.
+
+    ``{genome_dir}/{genome}.fna``, ``{bam_dir}/{sample}.{genome}.bam`` (or .sam, or
+    .parquet) and, where there is one, ``{assembly_dir}/{sample}.fna`` are read.  A
+    first pass over overlap, reference and assembly makes the genome's database of
+    elements; the second adds what the database gives.  Stage tables are partitioned by sample.
+    """
+    at = lambda *parts: "/".join([workdir.rstrip("/"), *parts])
+    genomes = {n.rpartition(".")[0]: n for n in _listed(spark, at(w.genome_dir)) if n.endswith(".fna")}
+    assemblies = {n.rpartition(".")[0]: n for n in _listed(spark, at(w.assembly_dir)) if n.endswith(".fna")}
+    out = {}
+    for genome, file in genomes.items():
+        reads = {}
+        for n in _listed(spark, at(w.bam_dir)):
+            sample, _, rest = n.partition("." + genome + ".")
+            if rest in ("bam", "sam", "parquet"):
+                reads[sample] = at(w.bam_dir, n)
+        if not reads:
+            log.info("no alignments for genome %s", genome)
+            continue
+        alignments = stash(union_all([_alignments(spark, path, sample).withColumn("sample", F.lit(sample)) for sample, path in reads.items()]), "alignments")
+        own = [files.read_fasta(spark, at(w.assembly_dir, assemblies[s])).withColumn("sample", F.lit(s)) for s in reads if s in assemblies]
+        x = Inputs(alignments, files.read_fasta(spark, at(w.genome_dir, file)), assembly=union_all(own) if own else None)
+        log.info("genome %s: %d samples, %d assemblies", genome, len(reads), len(own))
+        first = run(x, w)
+        database = stash(cohort.make_database([first.inferred], w.makedatabase), "database")
+        files.write_fasta(database, at(w.database_dir, genome))
+        y = run(replace(x, database=database), w)
+        for number, (name, table) in enumerate((("findflanks", y.flanks), ("pairflanks", y.pairs), ("inferseq", y.inferred)), 1):
+            table.write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").csv(at(w.stages_dir, genome, f"{number:02d}.{name}"))
+        for number, (name, table) in enumerate((("clusterseq", y.clusterseq), ("genotype", y.genotypes), ("summarize.clusters", y.clusters), ("summarize.groups", y.groups)), 1):
+            files.write_tsv(table, at(w.results_dir, genome, f"{number:02d}.{name}"))
+        files.write_fasta(y.fasta, at(w.results_dir, genome, "05.makefasta"))
+        out[genome] = y
+    return out
+
+
+# --- command line ----------------------------------------------------------------------------------------------------
+
+
 def _table(spark: SparkSession, paths: Sequence[str], schema) -> DataFrame:
     """Parquet folders, or TSV files or lists of them, of a known schema."""
     paths = files.read_path_list(spark, list(paths)) if not paths[0].endswith(".parquet") else list(paths)
@@ -81,81 +152,162 @@ def _alignments(spark: SparkSession, path: str, sample: str) -> DataFrame:
     if path.endswith(".sam"):
         return files.read_sam(spark, path, sample)
     if path.endswith(".bam"):
-        from .sources.bam import read_bam
-
-        return read_bam(spark, path, sample)
+        return bam.read_bam(spark, path, sample)
     return spark.read.schema(schemas.ALIGNMENTS).parquet(path)
 
 
-def main(argv: Sequence[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="graftline")
-    parser.add_argument("--config", help="JSON file of parameter blocks")
-    parser.add_argument("--sample", default="sample")
-    parser.add_argument("--output", required=True)
-    sub = parser.add_subparsers(dest="command", required=True)
-    for name, args in {
-        "findflanks": ["alignments"],
-        "recall": ["sites", "alignments"],
-        "pairflanks": ["flanks", "alignments", "genome"],
-        "inferseq-overlap": ["pairs"],
-        "inferseq-reference": ["pairs", "genome"],
-        "inferseq-assembly": ["pairs", "alignments", "assembly", "genome"],
-        "inferseq-database": ["pairs", "database"],
-        "formatbam": ["alignments"],
-        "makedatabase": ["inferred+"],
-        "clusterseq": ["inferred+"],
-        "genotype": ["clusterseq", "pairs+"],
-        "summarize": ["clusterseq", "genotypes"],
-        "makefasta": ["clusterseq", "genotypes"],
-        "extendpairs": ["pairs", "alignments"],
-    }.items():
-        one = sub.add_parser(name)
+def _contigs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The contigs of an alignment file's header; Parquet has none."""
+    if path.endswith(".sam"):
+        return files.read_contigs(spark, path)
+    return bam.read_contigs(spark, path) if path.endswith(".bam") else None
+
+
+#: Positional arguments (+ for several), blocks of parameters, and the default output of each command, in order of a run.
+COMMANDS: dict[str, tuple[list[str], tuple[type, ...], str]] = {
+    "workflow": (["workdir"], (), ""),
+    "getworkflow": ([], (), "config.yml"),
+    "findflanks": (["alignments"], (FindFlanks,), "graftline.findflanks.tsv"),
+    "pairflanks": (["flanks", "alignments", "genome"], (PairFlanks,), "graftline.pairflanks.tsv"),
+    "inferseq-assembly": (["pairs", "alignments", "assembly", "genome"], (InferAligned,), "graftline.inferseq_assembly.tsv"),
+    "inferseq-reference": (["pairs", "genome"], (InferAligned,), "graftline.inferseq_reference.tsv"),
+    "inferseq-overlap": (["pairs"], (InferOverlap,), "graftline.inferseq_overlap.tsv"),
+    "makedatabase": (["inferred+"], (MakeDatabase,), "graftline.database"),
+    "inferseq-database": (["pairs", "database"], (InferDatabase,), "graftline.inferseq_database.tsv"),
+    "clusterseq": (["inferred+"], (ClusterSeq,), "graftline.clusterseq.tsv"),
+    "genotype": (["clusterseq", "pairs+"], (Genotype,), "graftline.genotype.tsv"),
+    "summarize": (["clusterseq", "genotypes"], (), "graftline.summarize"),
+    "makefasta": (["clusterseq", "clusters"], (), "graftline.makefasta"),
+    "formatbam": (["alignments", "out"], (), ""),
+    "recall": (["sites", "alignments"], (FindFlanks,), "graftline.recall.tsv"),
+    "extendpairs": (["pairs", "alignments"], (extend.Extension,), "graftline.extendpairs.tsv"),
+}
+_SHORT_SIZES = {"min_inferseq_size": "minsize", "minimum_size": "minsize", "max_inferseq_size": "maxsize", "maximum_size": "maxsize"}
+
+
+def parser() -> argparse.ArgumentParser:
+    """One command for each stage; parameters have their long and short names and the defaults of ``params``."""
+    out = argparse.ArgumentParser(prog="graftline")
+    sub = out.add_subparsers(dest="command", required=True)
+    short = {v: k for k, v in SHORT.items()} | _SHORT_SIZES
+    for name, (args, blocks, default) in COMMANDS.items():
+        one = sub.add_parser(name, formatter_class=argparse.ArgumentDefaultsHelpFormatter)
         for a in args:
             one.add_argument(a.rstrip("+"), nargs="+" if a.endswith("+") else None)
-    a = parser.parse_args(argv)
-    w = Workflow()
-    spark = SparkSession.builder.appName("graftline").getOrCreate()
-    if a.config:
-        w = Workflow.from_dict(json.loads("\n".join(r.value for r in spark.read.text(a.config).collect())))
+        one.add_argument("--config", "-c", help="JSON or YAML file of parameter blocks, which options override")
+        one.add_argument("--cores", "--threads", "-t", type=int, help="local cores, where no cluster is set")
+        one.add_argument("--memory", "-m", type=int, help="megabytes of the driver, where no cluster is set")
+        if default:
+            one.add_argument("--output_file", "--output_dir", "--output_prefix", "-o", dest="output", default=default)
+        if name == "findflanks":
+            one.add_argument("--sample_id", "-id", help="the output's path by default")
+        if name == "formatbam":
+            one.add_argument("--single-end", action="store_true", help="reads have no mates")
+        for block in blocks:
+            for f in fields(block):
+                names = [f"--{f.name}", *([f"-{short[f.name]}"] if f.name in short else [])]
+                kind = argparse.BooleanOptionalAction if isinstance(f.default, bool) else None
+                # Nothing unless it is given, so that a configuration file's value stands; the help shows the default.
+                own = {"action": kind} if kind else {"type": type(f.default)}
+                one.add_argument(*(n for n in names if not kind or n.startswith("--")), dest=f"p_{f.name}", default=argparse.SUPPRESS, help=f"default: {f.default}", **own)
+    return out
+
+
+def configured(spark: SparkSession, path: str | None) -> Workflow:
+    """The parameters of a JSON or YAML file, or the defaults."""
+    if not path:
+        return Workflow()
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    try:
+        return Workflow.from_dict(json.loads(text))
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as error:
+            raise RuntimeError("a configuration that isn't JSON needs PyYAML") from error
+        return Workflow.from_dict(yaml.safe_load(text) or {})
+
+
+def template(w: Workflow = Workflow()) -> str:
+    """A configuration file with every parameter's default, in the part of YAML that is plain mappings."""
+    lines = []
+    for name, own in w.to_dict().items():
+        lines += [f"{name}:", *(f"  {k}: {json.dumps(v)}" for k, v in own.items())] if isinstance(own, dict) else [f"{name}: {json.dumps(own)}"]
+    return "\n".join(lines) + "\n"
+
+
+def main(argv: Sequence[str] | None = None) -> None:
+    a = parser().parse_args(argv)
+    logging.basicConfig(level=logging.INFO, format="%(message)s")
+    log.info("parameters\n%s", "\n".join(f"{k.removeprefix('p_')}: {v}" for k, v in sorted(vars(a).items())))
+    if a.command == "getworkflow":
+        with open(a.output, "w", encoding="utf-8") as f:
+            f.write(template())
+        return
+    builder = SparkSession.builder.appName("graftline")
+    if a.cores and "SPARK_REMOTE" not in os.environ:
+        builder = builder.master(f"local[{a.cores}]")
+    if a.memory:
+        builder = builder.config("spark.driver.memory", f"{a.memory}m")
+    spark = builder.getOrCreate()
+    w, given = configured(spark, a.config), {k[2:]: v for k, v in vars(a).items() if k.startswith("p_")}
+    own = lambda block: replace(block, **{long_name(k, type(block)): v for k, v in given.items()})
     s = schemas
     tsv = lambda df: files.write_tsv(df, a.output)
     table = lambda paths, schema: _table(spark, [paths] if isinstance(paths, str) else paths, schema)
-    aligned = lambda path: _alignments(spark, path, a.sample)
+    sample = getattr(a, "sample_id", None) or os.path.abspath(getattr(a, "output", "") or ".")
+    aligned = lambda path: _alignments(spark, path, sample)
     fasta = lambda path: files.read_fasta(spark, path)
-    if a.command == "findflanks":
-        tsv(flanks.find_flanks(aligned(a.alignments), w.findflanks))
+    if a.command == "workflow":
+        run_directory(spark, a.workdir, w)
+    elif a.command == "findflanks":
+        tsv(flanks.find_flanks(aligned(a.alignments), own(w.findflanks), _contigs(spark, a.alignments)))
     elif a.command == "recall":
-        tsv(flanks.recall(aligned(a.alignments), table(a.sites, s.RECALL_SITES), w.findflanks))
+        tsv(flanks.recall(aligned(a.alignments), table(a.sites, s.RECALL_SITES), own(w.findflanks), _contigs(spark, a.alignments)))
     elif a.command == "pairflanks":
-        tsv(pairs.pair_flanks(table(a.flanks, s.FLANKS), aligned(a.alignments), fasta(a.genome), w.pairflanks))
+        found = table(a.flanks, s.FLANKS)
+        # Reads of one file are of the one sample that the flanks name.
+        name = found.select("sample").first()
+        tsv(pairs.pair_flanks(found, _alignments(spark, a.alignments, name["sample"] if name else sample), fasta(a.genome), own(w.pairflanks)))
     elif a.command == "inferseq-overlap":
-        tsv(infer.infer_overlap(table(a.pairs, s.PAIRS), w.inferseq_overlap))
+        tsv(infer.infer_overlap(table(a.pairs, s.PAIRS), own(w.inferseq_overlap)))
     elif a.command == "inferseq-reference":
         genome = fasta(a.genome)
-        tsv(infer.infer_reference(align(infer.flank_sequences(table(a.pairs, s.PAIRS)), genome), genome, w.inferseq))
+        tsv(infer.infer_reference(align(infer.flank_sequences(table(a.pairs, s.PAIRS)), genome), genome, own(w.inferseq)))
     elif a.command == "inferseq-assembly":
-        paired, contigs = table(a.pairs, s.PAIRS), fasta(a.assembly)
-        context = infer.flank_sequences_in_context(paired, aligned(a.alignments), fasta(a.genome), w.inferseq)
-        tsv(infer.infer_assembly(align(context, contigs), align(infer.flank_sequences(paired), contigs), contigs, w.inferseq))
+        paired = table(a.pairs, s.PAIRS)
+        name = paired.select("sample").first()
+        reads = _alignments(spark, a.alignments, name["sample"] if name else sample)
+        tsv(assembled(Inputs(reads, fasta(a.genome), assembly=fasta(a.assembly)), paired, replace(w, inferseq_assembly=own(w.inferseq_assembly))))
     elif a.command == "inferseq-database":
         known = fasta(a.database)
-        tsv(infer.infer_database(align(infer.flank_sequences(table(a.pairs, s.PAIRS)), known, DATABASE_ALIGNER), known, w.inferseq_database))
+        tsv(infer.infer_database(align(infer.flank_sequences(table(a.pairs, s.PAIRS)), known, DATABASE_ALIGNER), known, own(w.inferseq_database)))
     elif a.command == "extendpairs":
-        tsv(extend.extend_pairs(table(a.pairs, s.PAIRS), aligned(a.alignments)))
+        paired = table(a.pairs, s.PAIRS)
+        name = paired.select("sample").first()
+        tsv(extend.extend_pairs(paired, _alignments(spark, a.alignments, name["sample"] if name else sample), own(extend.Extension())))
     elif a.command == "formatbam":
-        files.write_alignments(files.format_alignments(aligned(a.alignments)), a.output)
+        rows = _alignments(spark, a.alignments, sample)
+        rows = rows.filter(F.col("flag").bitwiseAND(0x900) == 0) if a.single_end else files.format_alignments(rows)
+        write = files.write_sam if a.out.endswith(".sam") else files.write_alignments
+        write(rows, a.out, _contigs(spark, a.alignments)) if a.out.endswith(".sam") else write(rows, a.out)
     elif a.command == "makedatabase":
-        files.write_fasta(cohort.make_database([table(a.inferred, s.INFERRED)], w.makedatabase), a.output)
+        files.write_fasta(cohort.make_database([table(a.inferred, s.INFERRED)], own(w.makedatabase)), a.output)
     elif a.command == "clusterseq":
-        tsv(cohort.cluster_sequences([table(a.inferred, s.INFERRED)], w.clusterseq))
+        tsv(cohort.cluster_sequences([table(a.inferred, s.INFERRED)], own(w.clusterseq)))
     elif a.command == "genotype":
-        tsv(cohort.genotype([table(a.pairs, s.PAIRS)], table(a.clusterseq, s.CLUSTERSEQ), w.genotype))
+        paired, clustered = table(a.pairs, s.PAIRS), table(a.clusterseq, s.CLUSTERSEQ)
+        n = cohort.null_genotypes([paired], clustered).first()
+        log.info("of %d candidate insertions, %d have an inferred sequence and %d have none", *n)
+        tsv(cohort.genotype([paired], clustered, own(w.genotype)))
     elif a.command == "summarize":
         clustered, typed = table(a.clusterseq, s.CLUSTERSEQ), table(a.genotypes, s.GENOTYPES)
         files.write_tsv(cohort.summarize(typed, clustered), f"{a.output}.clusters")
         files.write_tsv(cohort.summarize(typed, clustered, "group"), f"{a.output}.groups")
     else:
-        files.write_fasta(cohort.cluster_fasta(table(a.genotypes, s.GENOTYPES), table(a.clusterseq, s.CLUSTERSEQ)), a.output)
+        # Genotypes or a summary: any table with a column of clusters.
+        named = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(a.clusters).select("cluster")
+        files.write_fasta(cohort.cluster_fasta(named, table(a.clusterseq, s.CLUSTERSEQ)), a.output)
 
 
 if __name__ == "__main__":

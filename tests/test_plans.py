@@ -262,12 +262,51 @@ def test_command_line(spark, tables, tmp_path):
     alignments.write.parquet(str(tmp_path / "reads.parquet"))
     files.write_fasta(genome, str(tmp_path / "genome.fna"))
     at = lambda x: str(tmp_path / x)
-    workflow.main(["--output", at("flanks"), "findflanks", at("reads.parquet")])
-    workflow.main(["--output", at("pairs"), "pairflanks", at("flanks"), at("reads.parquet"), at("genome.fna")])
+    workflow.main(["findflanks", at("reads.parquet"), "-o", at("flanks"), "-minlen", "9", "--min_softclip_ratio", "0.1"])
+    workflow.main(["pairflanks", at("flanks"), at("reads.parquet"), at("genome.fna"), "-o", at("pairs"), "-maxdr", "20"])
     files.write_fasta(spark.createDataFrame([("e", ELEMENT)], schemas.SEQUENCES), str(tmp_path / "db.fna"))
-    workflow.main(["--output", at("inferred"), "inferseq-database", at("pairs"), at("db.fna")])
-    workflow.main(["--output", at("clusterseq"), "clusterseq", at("inferred")])
+    workflow.main(["inferseq-database", at("pairs"), at("db.fna"), "-o", at("inferred")])
+    workflow.main(["clusterseq", at("inferred"), "-o", at("clusterseq"), "-minsize", "70"])
     assert files.read_tsv(spark, at("clusterseq"), schemas.CLUSTERSEQ).count() == 2
+    workflow.main(["findflanks", at("reads.parquet"), "-o", at("none"), "-minlen", "90"])
+    assert files.read_tsv(spark, at("none"), schemas.FLANKS).count() == 0
+    workflow.main(["genotype", at("clusterseq"), at("pairs"), "-o", at("typed"), "--no-filter_clusters_inferred_assembly"])
+    workflow.main(["makefasta", at("clusterseq"), at("typed"), "-o", at("fasta")])
+    assert [r.seq for r in files.read_fasta(spark, at("fasta")).collect()] == [ELEMENT]
+
+
+def test_configuration(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    workflow.main(["getworkflow", "-o", at("config.yml")])
+    assert workflow.configured(spark, at("config.yml")) == workflow.Workflow() == workflow.configured(spark, None)
+    (tmp_path / "own.yml").write_text("bam_dir: reads\nmemory: 16000\nfindflanks:\n  minlen: 11\n  maxir: 0.05\ninferseq_reference:\n  maxsize: 5000\nclusterseq:\n  minsize: 80\ngenotype:\n  filter_clusters: False\n")
+    w = workflow.configured(spark, at("own.yml"))
+    assert (w.bam_dir, w.findflanks.min_softclip_length, w.findflanks.max_indel_ratio, w.findflanks.min_softclip_count) == ("reads", 11, 0.05, 2)
+    assert (w.inferseq.max_inferseq_size, w.clusterseq.minimum_size, w.genotype.filter_clusters_inferred_assembly) == (5000, 80, False)
+    defaults = {"findflanks": "8 2 20 21 22 0.1 0.03 30 2", "pairflanks": "20 20 21 0.15 30", "inferseq": "0.95 0.05 30 200000", "inferseq_overlap": "10 0.9 30", "inferseq_database": "0.9 0.05 10", "makedatabase": "30 200000", "clusterseq": "70 200000", "genotype": "True"}
+    for name, want in defaults.items():
+        got = [str(v) for v in vars(getattr(workflow.Workflow(), name)).values()]
+        assert set(want.split()) <= set(got), name
+    with pytest.raises(KeyError):
+        workflow.Workflow.from_dict({"findflanks": {"nothing": 1}})
+
+
+def test_working_directory(spark, tables, tmp_path):
+    """Two samples of one genome, one of them with an assembly, by the folder convention."""
+    alignments, genome = tables
+    end = SITE + REPEAT
+    for s in ("a", "b"):
+        alignments.filter(F.col("sample") == s).write.parquet(str(tmp_path / "00.bam" / f"{s}.g1.parquet"))
+    files.write_fasta(genome, str(tmp_path / "00.genome" / "g1.fna"))
+    files.write_fasta(spark.createDataFrame([("chr", GENOME[:end] + ELEMENT + GENOME[SITE:])], schemas.SEQUENCES), str(tmp_path / "00.assembly" / "a.fna"))
+    workflow.main(["workflow", str(tmp_path)])
+    typed = files.read_tsv(spark, str(tmp_path / "03.results/g1/02.genotype"), schemas.GENOTYPES).collect()
+    assert {(r["sample"], r.conf) for r in typed} == {("a", "IAwFC"), ("b", "IDB")}
+    inferred = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "01.stages/g1/03.inferseq"))
+    found = {(r["sample"], r.method): r["loc"] for r in inferred.collect()}
+    assert found["a", schemas.FULL_CONTEXT].startswith("chr:") and ("b", schemas.FULL_CONTEXT) not in found
+    assert [r.seq for r in files.read_fasta(spark, str(tmp_path / "03.results/g1/05.makefasta")).collect()] == [ELEMENT]
+    assert (tmp_path / "03.results/g1/03.summarize.clusters").exists() and (tmp_path / "01.stages/g1/01.findflanks/sample=a").exists()
 
 
 def test_clip_filters(spark):

@@ -23,7 +23,12 @@ def test_sam(spark, tmp_path):
     r = got[0]
     assert (r.contig, r.ref_start, r.ref_end, r.nm, r.md, r.as_score, r.is_reverse, r.quals[0]) == ("chr1", 10, 15, 1, "5", 42, False, 40)
     assert [tuple(x) for x in r.cigar] == [("S", 5), ("M", 5)] and got[3].is_unmapped and got[3].contig is None and got[2].seq is None
-    assert files.read_contigs(spark, str(path)).collect() == [("chr1", 1000)]
+    assert files.read_contigs(spark, str(path)).select("contig", "length").collect() == [("chr1", 1000)]
+    files.write_sam(files.read_sam(spark, str(path), "s"), str(tmp_path / "y.sam"), files.read_contigs(spark, str(path)))
+    again = files.read_sam(spark, str(tmp_path / "y.sam"), "s").collect()
+    key = lambda r: (r.read_name, r.flag)
+    assert sorted(again, key=key) == sorted(got, key=key) and [r.ref_start for r in again[:3]] == [10, 20, 30]
+    assert files.read_contigs(spark, str(tmp_path / "y.sam.header")).select("contig", "length").collect() == [("chr1", 1000)]
     made = {(x.read_name, x.flag): x for x in files.format_alignments(files.read_sam(spark, str(path), "s")).collect()}
     assert set(made) == {("r1", 99), ("r1", 147)}
     assert made["r1", 99].mate_seq == "T" * 10 and made["r1", 99].mate_quals == "5" * 10 and made["r1", 147].mate_seq == "ACGTACGTAC"
