@@ -29,36 +29,50 @@ def histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     by = stash(by, "lengths")  # one row for each length; what follows reads it several times
     by = by.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("bin", F.floor(F.col("n_tokens") / BIN))
     bins = by.groupBy("bin").agg(F.sum("docs").alias("bin_docs"), F.sum("tokens").alias("bin_tokens"))
+    # A row for each bin of lengths: few at any size of corpus.
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    none = lambda x: F.coalesce(x, F.lit(0))
     bins = bins.select(
-        "bin", F.coalesce(F.sum("bin_docs").over(above), F.lit(0)).alias("docs_above"), F.coalesce(F.sum("bin_tokens").over(above), F.lit(0)).alias("tokens_above"), F.sum("bin_docs").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)).alias("docs_below")
+        "bin", none(F.sum("bin_docs").over(above)).alias("docs_above"), none(F.sum("bin_tokens").over(above)).alias("tokens_above"), none(F.sum("bin_docs").over(below)).alias("docs_below"), F.sum("bin_tokens").over(all_).alias("total")
     )
     down = Window.partitionBy("bin").orderBy(F.desc("n_tokens"))
     up = Window.partitionBy("bin").orderBy("n_tokens")
     out = by.join(bins, "bin").select(
-        "n_tokens", "docs", "tokens", (F.sum("docs").over(down) + F.col("docs_above")).alias("docs_at_least"), (F.sum("tokens").over(down) + F.col("tokens_above")).alias("tokens_at_least"), (F.sum("docs").over(up) + F.coalesce("docs_below", F.lit(0))).alias("docs_up_to"), F.lit(0).alias("_")
+        "n_tokens", "docs", "tokens", (F.sum("docs").over(down) + F.col("docs_above")).alias("docs_at_least"), (F.sum("tokens").over(down) + F.col("tokens_above")).alias("tokens_at_least"), (F.sum("docs").over(up) + F.col("docs_below")).alias("docs_up_to"), "total"
     )
-    total = by.agg(F.sum("tokens").alias("total"))
-    out = out.crossJoin(F.broadcast(total)).drop("_")
     kept = F.col("total") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")
     return out.select("n_tokens", "docs", "tokens", "docs_at_least", "tokens_at_least", kept.alias("truncated_total"), (F.col("total") - kept).alias("cut_tokens"), "docs_up_to")
 
 
+def _answers(row: DataFrame, asked: list, names: str, kinds: str) -> DataFrame:
+    """One row of many columns as one row for each question; no join is needed."""
+    columns = ", ".join(f"CAST({x} AS {kinds}), {', '.join(f'{n}{k}' for n in ('a', 'b'))}" for k, x in enumerate(asked))
+    return row.selectExpr(f"stack({len(asked)}, {columns}) AS ({names})")
+
+
 def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, truncated_total, docs_cut) for any limits, from the histogram alone."""
-    spark = hist.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    over = F.col("n_tokens") > F.col("context_limit")
-    return (
-        asked.join(hist)
-        .groupBy("context_limit")
-        .agg(F.sum(F.col("docs") * F.least("n_tokens", "context_limit")).alias("truncated_total"), F.sum(F.when(over, F.col("docs")).otherwise(0)).alias("docs_cut"))
-    )
+    """(context_limit, truncated_total, docs_cut) for any limits, from the histogram alone.
+
+    One pass over the histogram answers all of them; an empty one gives zeros, and no limits no rows.
+    """
+    limits = sorted({int(x) for x in limits})
+    if not limits:
+        return hist.sparkSession.createDataFrame([], "context_limit long, truncated_total long, docs_cut long")
+    sums = []
+    for k, x in enumerate(limits):
+        sums.append(F.coalesce(F.sum(F.col("docs") * F.least(F.col("n_tokens"), F.lit(x))), F.lit(0)).cast("long").alias(f"a{k}"))
+        sums.append(F.coalesce(F.sum(F.when(F.col("n_tokens") > x, F.col("docs"))), F.lit(0)).cast("long").alias(f"b{k}"))
+    return _answers(hist.agg(*sums), limits, "context_limit, truncated_total, docs_cut", "BIGINT")
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, n_tokens): the smallest length that at least this share of documents don't exceed."""
-    spark = hist.sparkSession
-    asked = spark.createDataFrame([(float(x),) for x in shares], "share double")
-    n = hist.agg(F.sum("docs").alias("n"))
-    return asked.join(F.broadcast(n)).join(hist).filter(F.col("docs_up_to") >= F.ceil(F.col("share") * F.col("n"))).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    """(share, n_tokens): the smallest length that at least this share of documents don't exceed; null without documents."""
+    shares = sorted({float(x) for x in shares})
+    if not shares:
+        return hist.sparkSession.createDataFrame([], "share double, n_tokens long")
+    n = hist.agg(F.sum("docs").alias("n")).first()["n"] or 0
+    least = [F.min(F.when(F.col("docs_up_to") >= F.ceil(F.lit(x) * F.lit(n)), F.col("n_tokens"))) for x in shares]
+    row = hist.agg(*[c for k, x in enumerate(least) for c in (x.alias(f"a{k}"), F.lit(None).alias(f"b{k}"))])
+    return _answers(row, shares, "share, n_tokens, _none", "DOUBLE").drop("_none")
