@@ -8,9 +8,10 @@ with c the word's training count, N_g and V_g the class's tokens and distinct wo
 
 Counts of words and the expected counts of each Baum-Welch round are summed in each
 task, then shuffled by word and by observation.  Counts of frequent words go to the
-tasks as a table of bounded size; all other words are joined by their hash.
-Training cuts long texts into segments, all of which count; scores are exact over
-whole texts.
+tasks as a table of bounded size; all other words are joined by their hash.  Every
+round reads all training rows.  Training and scores are exact over whole texts:
+long ones are worked through in segments, with the forward and backward messages
+carried from one to the next, so memory is bounded by a segment.
 """
 
 from __future__ import annotations
@@ -35,14 +36,11 @@ class Hmm:
     states: int = 16
     #: Words, seen twice at least, that are observations of their own, at most.
     vocabulary: int = 32_000
-    #: Words whose counts every task holds, at most.
+    #: Words whose counts every task holds, about; where counts tie, those of the least hashes.
     held_words: int = 400_000
-    #: Training rows of the first guess, and Baum-Welch rounds on them.
-    first_rows: int = 256
-    first_rounds: int = 30
-    #: Baum-Welch rounds over all training rows.
-    rounds: int = 3
-    #: Tokens of a training segment, and of a batch that is computed at once.
+    #: Baum-Welch rounds, each over all training rows.
+    rounds: int = 5
+    #: Tokens of a segment of a text, and of a batch that is computed at once.
     segment: int = 1024
     batch_tokens: int = 1 << 19
     #: Weight of the overall distribution in each state's own.
@@ -103,8 +101,9 @@ class Words:
     #: log10(N_g + V_g + 1) of each class.
     class_norm: np.ndarray
     ends: int
-    #: Words of at least this count are all held.
-    least_held: int
+    #: Words of at least the second count are held, and of those of at least the first the share of the lower hashes.
+    border: tuple[int, int]
+    share: float
 
     @property
     def symbols(self) -> int:
@@ -119,6 +118,13 @@ class Words:
         return float(np.log10(self.tokens + self.distinct + 1))
 
 
+def is_held(border: tuple[int, int], share: float) -> Column:
+    """Whether a word of the count table is held."""
+    c, at = F.col("c"), int(share * 2**64) - 2**63
+    low = F.col("h").bitwiseXOR(F.lit(-(2**63)).cast("long")) < F.lit(min(at, 2**63 - 1)).cast("long")
+    return (c >= border[1]) | ((c >= border[0]) & low)
+
+
 class Reader:
     """Looks words up by their hash's upper bits, then along the few that share them."""
 
@@ -148,19 +154,21 @@ def frequent(counts: DataFrame, p: Hmm, train_rows: int) -> Words:
     """The held words of a count table.
 
     The least count held is found from a histogram of counts with ten significant
-    bits, which has at most some tens of thousands of rows at any size of corpus.
+    bits, which has at most some tens of thousands of rows at any size of corpus.  Of
+    the counts at the border, so many words are held as there is room, by their hash.
     """
     power = F.greatest(F.lit(0), F.floor(F.log2(F.col("c").cast("double"))).cast("int") - 9)
     coarse = F.pow(F.lit(2.0), power).cast("long")
     hist = counts.groupBy((F.floor(F.col("c") / coarse) * coarse).cast("long").alias("at")).agg(F.count("*").alias("n")).orderBy(F.desc("at")).collect()
-    least, seen = 1 << 62, 0
+    low, high, share, room = 1 << 62, 1 << 62, 0.0, p.held_words
     for r in hist:
-        seen += r["n"]
-        if seen > p.held_words:
+        low, share = r["at"], min(1.0, room / r["n"])
+        room -= r["n"]
+        if room < 0:
             break
-        least = r["at"]
+        high = r["at"]
     by_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    held = counts.filter(F.col("c") >= least).toArrow()
+    held = counts.filter(is_held((low, high), share)).toArrow()
     h, c, kind = held["h"].to_numpy().view(np.uint64), held["c"].to_numpy(), held["class"].to_numpy()
     order = np.argsort(h)
     h, c, kind = h[order], c[order], kind[order]
@@ -175,7 +183,7 @@ def frequent(counts: DataFrame, p: Hmm, train_rows: int) -> Words:
     tokens, distinct = int(n_g.sum()) + train_rows, int(v_g.sum()) + (train_rows > 0)
     n_g -= np.bincount(kind[ranked], c[ranked], CLASSES)
     v_g -= np.bincount(kind[ranked], minlength=CLASSES)
-    return Words(h, c, rank, size, tokens, distinct, np.log10(n_g + v_g + 1), train_rows, least)
+    return Words(h, c, rank, size, tokens, distinct, np.log10(n_g + v_g + 1), train_rows, (low, high), share)
 
 
 SEQUENCES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_all double, log_class double, symbols binary, far binary"
@@ -226,7 +234,6 @@ def sequences(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: s
 @dataclass
 class Model:
     start: np.ndarray
-    within: np.ndarray  # states where a segment goes on in a text
     step: np.ndarray
     emit: np.ndarray  # observations x states
 
@@ -246,8 +253,7 @@ def normalised(c: Counts, share: np.ndarray, p: Hmm) -> Model:
     """The model of expected counts; ``share`` is the overall distribution of observations."""
     emit = c.emit + p.smoothing * share[:, None]
     step = c.step + 0.1
-    within = c.emit.sum(axis=0) + 1e-3
-    return Model((c.start + 0.1) / (c.start + 0.1).sum(), within / within.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return Model((c.start + 0.1) / (c.start + 0.1).sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def _in_step(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,40 +275,62 @@ def _by_step(seqs: list[np.ndarray], order: np.ndarray, first: np.ndarray) -> tu
     return obs, who
 
 
-def expect(seqs: list[np.ndarray], begins: np.ndarray, m: Model, c: Counts) -> None:
-    """Add the expected counts of segments; ``begins`` marks those that begin a text."""
-    if not seqs:
-        return
-    order, alive, first = _in_step(np.array([len(s) for s in seqs]))
-    obs, _ = _by_step(seqs, order, first)
-    emit, step = m.emit.astype(np.float32)[obs], m.step.astype(np.float32)
-    begins = begins[order]
-    alpha, scale = np.empty_like(emit), np.empty(len(obs), np.float32)
-    for t, n in enumerate(alive):
-        a, b = first[t], first[t + 1]
-        before = np.where(begins[:, None], m.start, m.within).astype(np.float32) if t == 0 else alpha[first[t - 1] : first[t - 1] + n] @ step
-        now = before * emit[a:b]
-        total = now.sum(axis=1)
-        np.divide(now, total[:, None], out=alpha[a:b])
-        scale[a:b] = total
-    emit /= scale[:, None]
-    back = np.ones((alive[-1], step.shape[0]), np.float32)
-    backward = step.T.copy()
-    moves = np.zeros_like(m.step)
-    for t in range(len(alive) - 1, -1, -1):
-        a, b = first[t], first[t + 1]
-        if t < len(alive) - 1:
-            n = alive[t + 1]
-            ahead = emit[first[t + 1] : first[t + 2]] * back
-            moves += alpha[a : a + n].T @ ahead
+def expect(seqs: list[np.ndarray], m: Model, c: Counts, size: int = 1024) -> None:
+    """Add the expected counts of whole sequences.
+
+    A first pass keeps the forward message at the end of each segment of ``size``
+    steps; from the last segment on, each is then run forward again from there, and
+    backward from the message of the segment after it.
+    """
+    seqs = sorted(seqs, key=len, reverse=True)
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    emit, step = m.emit.astype(np.float32), m.step.astype(np.float32)
+    start, backward = m.start.astype(np.float32), step.T.copy()
+    borders: list[np.ndarray] = []  # the message at the end of each segment but the last, of sequences that go on
+    for k in range(int(lengths.max(initial=0) - 1) // size):
+        n = int((lengths > (k + 1) * size).sum())
+        body, state = np.stack([s[k * size : (k + 1) * size] for s in seqs[:n]], axis=1), borders[-1][:n] if borders else None
+        for t in range(size):
+            state = (state @ step if state is not None else start) * emit[body[t]]
+            state /= state.sum(axis=1, keepdims=True)
+        borders.append(state)
+    moves, carried = np.zeros_like(m.step), None
+    for k in range(len(borders), -1, -1):
+        live = int((lengths > k * size).sum())
+        if not live:
+            break
+        cut = [s[k * size : (k + 1) * size] for s in seqs[:live]]
+        order, alive, first = _in_step(np.array([len(s) for s in cut]))
+        obs, _ = _by_step(cut, order, first)
+        own = emit[obs]
+        alpha, scale = np.empty_like(own), np.empty(len(obs), np.float32)
+        for t in range(len(alive)):
+            a, b = first[t], first[t + 1]
+            if t:
+                before = alpha[first[t - 1] : first[t - 1] + b - a] @ step
+            else:
+                before = borders[k - 1][:live] @ step if k else start
+            now = before * own[a:b]
+            total = now.sum(axis=1)
+            np.divide(now, total[:, None], out=alpha[a:b])
+            scale[a:b] = total
+        own /= scale[:, None]
+        ahead = carried
+        for t in range(len(alive) - 1, -1, -1):
+            a, b = first[t], first[t + 1]
             back = np.ones((b - a, step.shape[0]), np.float32)
-            back[:n] = ahead @ backward
-        if t == 0:
-            c.start += (alpha[a:b] * back)[begins].sum(axis=0)
-        alpha[a:b] *= back  # now the states' posterior
+            if ahead is not None:
+                n = len(ahead)
+                moves += alpha[a : a + n].T @ ahead
+                back[:n] = ahead @ backward
+            ahead = own[a:b] * back
+            if t == 0 and k == 0:
+                c.start += (alpha[a:b] * back).sum(axis=0)
+            alpha[a:b] *= back  # now the states' posterior
+        carried = ahead
+        for s in range(step.shape[0]):
+            c.emit[:, s] += np.bincount(obs, alpha[:, s], len(c.emit))
     c.step += moves * m.step
-    for s in range(step.shape[0]):
-        c.emit[:, s] += np.bincount(obs, alpha[:, s], len(c.emit))
 
 
 def log_likelihoods(seqs: list[np.ndarray], m: Model) -> np.ndarray:
@@ -322,16 +350,6 @@ def log_likelihoods(seqs: list[np.ndarray], m: Model) -> np.ndarray:
     return out
 
 
-def segments(seqs: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sequences cut into segments, and which of these begin a sequence."""
-    cut, begins = [], []
-    for s in seqs:
-        for a in range(0, len(s), size):
-            cut.append(s[a : a + size])
-            begins.append(a == 0)
-    return cut, np.array(begins, bool)
-
-
 def _arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
@@ -351,17 +369,33 @@ def _batched(batches: Iterator[pa.RecordBatch], col: int, bytes_each: int, most:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], kind: str, segment: int, most: int) -> Iterator[list[np.ndarray]]:
+    """The sequences of column 0 in groups of about ``most`` observations.
+
+    Those longer than a segment go among themselves, four times as many at once: a
+    group is worked through segment by segment.
+    """
+    held: list[list[np.ndarray]] = [[], []]
+    size = [0, 0]
+    for batch in batches:
+        for x in _arrays(batch.column(0), kind):
+            k = int(len(x) > segment)
+            held[k].append(x.copy())
+            size[k] += len(x)
+            if size[k] >= (most, 4 * most)[k]:
+                yield held[k]
+                held[k], size[k] = [], 0
+    yield from (x for x in held if x)
+
+
 def train(seqs: DataFrame, words: Words, p: Hmm) -> Model:
-    """Baum-Welch over all training rows of ``seqs``.
+    """Baum-Welch over all training rows of ``seqs``, from a random first guess.
 
-    The first guess comes from rounds on ``first_rows`` rows, first in order of a
-    hash of the id.  A round's expected counts reach the driver as one row for each
-    observation and state, a number that the vocabulary bounds.
+    A round's expected counts reach the driver as one row for each observation and
+    state, a number that the vocabulary bounds.  Without training rows the guess stands.
     """
-    kind, width = ("<u2", 2) if words.symbols <= 1 << 16 else ("<u4", 4)
+    kind = "<u2" if words.symbols <= 1 << 16 else "<u4"
     rng = np.random.Generator(np.random.PCG64(5))
-    rows = seqs.filter("not held_out")
-    few = _arrays(rows.orderBy(F.xxhash64("doc_id", "row"), "row").limit(p.first_rows).select("symbols").toArrow()["symbols"], kind)
     share = np.full(words.symbols, 0.01)
     held = words.rank < words.size
     share[words.rank[held]] += words.counts[held]
@@ -373,27 +407,20 @@ def train(seqs: DataFrame, words: Words, p: Hmm) -> Model:
     guess.step += np.eye(p.states) * 50 + 1
     guess.start += 1
     m = normalised(guess, share, p)
-    cut, begins = segments(few, p.segment)
-    for _ in range(p.first_rounds if few else 0):
-        c = Counts.zero(p.states, words.symbols)
-        expect(cut, begins, m, c)
-        m = normalised(c, share, p)
-
-    names = [f"s{k}" for k in range(p.states)]
-    for _ in range(p.rounds if few else 0):
+    names, symbols = [f"s{k}" for k in range(p.states)], words.symbols
+    rows = seqs.filter("not held_out").select("symbols")
+    for _ in range(p.rounds if words.ends else 0):
         sent = seqs.sparkSession.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            c = Counts.zero(p.states, words.symbols)
-            for batch in _batched(batches, 0, width, p.batch_tokens):
-                expect(*segments(_arrays(batch.column(0), kind), p.segment), sent.value, c)
+            c = Counts.zero(p.states, symbols)
+            for group in _grouped(batches, kind, p.segment, p.batch_tokens):
+                expect(group, sent.value, c, p.segment)
             table = np.concatenate([c.emit, c.step, c.start[None]])
             seen = np.flatnonzero(table.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), *(pa.array(table[seen, k]) for k in range(p.states))], names=["at", *names])
 
-        del sent
-        symbols = words.symbols
-        made = rows.select("symbols").mapInArrow(run, "at long, " + ", ".join(f"{n} double" for n in names))
+        made = rows.mapInArrow(run, "at long, " + ", ".join(f"{n} double" for n in names))
         got = made.groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
         table = np.zeros((symbols + p.states + 1, p.states))
         table[got["at"].to_numpy()] = np.stack([got[n].to_numpy() for n in names], axis=1)
@@ -429,7 +456,7 @@ def score(docs: DataFrame, p: Hmm = Hmm(), id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(h), pa.array(np.concatenate([n for _, n in own]).astype(np.int32))], names=["row", "h", "n"])
 
     own = seqs.select("symbols", "row", "doc_id", "held_out", "n_tokens", "n_known", "log_all", "log_class").mapInArrow(forward, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_all double, log_class double, forward double")
-    rest = seqs.filter(F.length("far") > 0).select("row", "far").mapInArrow(far, "row long, h long, n int").join(counts.filter(F.col("c") < words.least_held).select("h", "c"), "h")
+    rest = seqs.filter(F.length("far") > 0).select("row", "far").mapInArrow(far, "row long, h long, n int").join(counts.filter(~is_held(words.border, words.share)).select("h", "c"), "h")
     rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("log_far"), F.sum("n").alias("known_far"))
     zero = F.lit(0)
     out = own.join(rest, "row", "left")
