@@ -7,6 +7,10 @@ with its reference and expanded token count recorded as an attachment.
 Every control string has a ``<`` or ``[`` that no backslash follows.  Escaping puts
 one backslash after each ``<`` and ``[`` of a text and unescaping takes it away, so
 no text can form a control string and every text comes back as it was.
+
+A conversation's text is its formatted turns one after the other.  It is written in
+rows of a fixed number of characters, whose borders have nothing to do with turns;
+reading it back finds the turns by the template's marks alone.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stash import stash
+from ..operators.stash import new_path
+from ..operators.unions import union_all
 
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,duration_ms:long,pages:int>>"
 ATTACHMENTS = "array<struct<kind:string,ref:string,position:long,tokens:long>>"
@@ -118,55 +123,178 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return rows.mapInArrow(run, f"conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments {ATTACHMENTS}, expanded_tokens long")
 
 
-def parse_turn(formatted: str) -> tuple[str, str]:
-    """(role, text) of a formatted turn; placeholders stay in the text."""
-    for role, (before, after) in MARKS.items():
-        if formatted.startswith(before) and formatted.endswith(after):
-            return role, unescape(formatted[len(before) : len(formatted) - len(after)])
-    if formatted.startswith("<<ROLE>>") and formatted.endswith("\n<</TURN>>"):
-        role, _, rest = formatted[8:].partition("<</ROLE>>\n")
-        return unescape(role), unescape(rest[: -len("\n<</TURN>>")])
-    raise ValueError("not a formatted turn")
+#: Characters of a conversation's text in one row.
+CHUNK_CHARS = 1 << 20
+TEXTS = "conv_id long, chunk long, whole boolean, last boolean, text string, loss array<struct<start:long,end:long>>"
+_LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+class _Writer:
+    """One conversation's text, cut into chunks, with the spans of its loss mask."""
+
+    def __init__(self, conv: int | None, size: int):
+        self.conv, self.size, self.base, self.number, self.held = conv, size, 0, 0, 0
+        self.parts: list[str] = []
+        self.spans: list[tuple[int, int]] = []
+
+    def add(self, text: str, a: int, b: int) -> Iterator[tuple]:
+        if b > a:
+            self.spans.append((self.base + self.held + a, self.base + self.held + b))
+        self.parts.append(text)
+        self.held += len(text)
+        if self.held > self.size:
+            whole = "".join(self.parts)
+            cut = (self.held - 1) // self.size * self.size  # at least one character stays for the last row
+            for k in range(0, cut, self.size):
+                yield self.row(whole[k : k + self.size], False)
+            self.parts, self.held = [whole[cut:]], self.held - cut
+
+    def row(self, text: str, last: bool) -> tuple:
+        end = self.base + len(text)
+        loss = [{"start": max(a, self.base), "end": min(b, end)} for a, b in self.spans if a < end]
+        self.spans = [x for x in self.spans if x[1] > end]
+        out = (self.conv, self.number, last and not self.number, last, text, loss)
+        self.base, self.number = end, self.number + 1
+        return out
 
+    def close(self) -> tuple:
+        return self.row("".join(self.parts), True)
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from formatted turns.
 
-    A conversation's turns stream through one task in order; it holds two hash
-    states and no texts.  Turns with the same number follow by their formatted text.
+def conversations(formatted: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(conv_id, chunk, whole, last, text, loss): each conversation's text in rows of ``chunk_chars`` characters.
+
+    Turns follow in order of turn; those of one number by their formatted text, null
+    numbers first.  Turns without a conversation are one.  ``whole`` marks rows that
+    hold a whole conversation; ``loss`` has the loss mask's spans in code points of
+    the conversation.  A task streams its turns and holds one row's text at a time.
     """
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), _LOSS]
+    names = ["conv_id", "chunk", "whole", "last", "text", "loss"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list | None = None
+        now: _Writer | None = None
+        for batch in batches:
+            done: list[tuple] = []
+            for conv, text, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if now is None or now.conv != conv:
+                    if now is not None:
+                        done.append(now.close())
+                    now = _Writer(conv, chunk_chars)
+                for row in now.add(text, a, b):
+                    done.append(row)
+                    if len(done) >= 16 and len(row[4]) == chunk_chars:
+                        yield batch_of(done)
+                        done = []
+            yield batch_of(done)
+        if now is not None:
+            yield batch_of([now.close()])
+
+    rows = formatted.select("conv_id", "formatted", "loss_start", "loss_end", "turn")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    return ordered.mapInArrow(run, TEXTS)
+
+
+def next_turn(text: str, at: int, resume: int = 0) -> tuple[str, int, int, int] | None:
+    """(role, content start, content end, end) of the turn that begins at a place, or None if the text ends within it.
 
-        def close(s: list) -> tuple:
-            return s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]
+    The end mark is looked for from ``resume`` on.
+    """
+    if text.startswith("<<ROLE>>", at):
+        close = text.find("<</ROLE>>\n", at)
+        if close < 0:
+            return None
+        role, begin, after = unescape(text[at + 8 : close]), close + 10, "\n<</TURN>>"
+    else:
+        for role, (before, after) in MARKS.items():
+            if text.startswith(before, at):
+                begin = at + len(before)
+                break
+        else:
+            if any(m.startswith(text[at : at + 8]) for m in ("<<ROLE>>", *(b for b, _ in MARKS.values()))):
+                return None
+            raise ValueError("not a formatted conversation")
+    end = text.find(after, max(begin, resume))
+    return None if end < 0 else (role, begin, end, end + len(after))
+
+
+def parse_turn(formatted: str) -> tuple[str, str]:
+    """(role, text) of a formatted turn; placeholders stay in the text."""
+    found = next_turn(formatted, 0)
+    if found is None or found[3] != len(formatted):
+        raise ValueError("not a formatted turn")
+    return found[0], unescape(formatted[found[1] : found[2]])
+
+
+class _Reader:
+    """Reads one conversation's chunks in order: turns by their marks, the masked text by the loss spans."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.text, self.base, self.resume = conv, "", 0, 0
+        self.turns, self.loss_chars = 0, 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.spans: list[list[int]] = []
+
+    def add(self, text: str, spans: list[dict]) -> None:
+        for s in spans:
+            if self.spans and self.spans[-1][1] == s["start"]:
+                self.spans[-1][1] = s["end"]  # a span that a row's end has cut
+            else:
+                self.spans.append([s["start"], s["end"]])
+        self.text += text
+        at = 0
+        while at < len(self.text) and (found := next_turn(self.text, at, self.resume)):
+            role, a, b, end = found
+            self.turns += 1
+            self.said.update(f"{role}\n{unescape(self.text[a:b])}\n".encode())
+            while self.spans and self.spans[0][0] < self.base + end:
+                x, y = self.spans.pop(0)
+                masked = unescape(self.text[x - self.base : y - self.base])
+                self.loss_chars += len(masked)
+                self.loss.update(masked.encode())
+            at, self.resume = end, 0
+        self.base, self.text = self.base + at, self.text[at:]
+        self.resume = max(0, len(self.text) - 16)  # no mark is longer
+
+    def close(self) -> tuple:
+        if self.text:
+            raise ValueError("a conversation ends within a turn")
+        return self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.base
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from conversations' texts.
+
+    ``texts`` are rows of ``conversations``.  Rows that hold a whole conversation are
+    read where they are; only chunks of longer ones are shuffled, and stream through
+    one task in order, which holds two hash states and one turn.  Empty in, empty out.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Reader | None = None
         for batch in batches:
             done = []
-            for conv, text, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if state is None or state[0] != conv:
-                    if state is not None:
-                        done.append(close(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, content = parse_turn(text)
-                state[1] += 1
-                state[2].update(f"{role}\n{content}\n".encode())
-                masked = unescape(text[a:b])
-                state[3] += len(masked)
-                state[4].update(masked.encode())
-                state[5] += len(text)
+            for conv, last, text, loss in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                now = now or _Reader(conv)
+                now.add(text, loss)
+                if last:
+                    done.append(now.close())
+                    now = None
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [()] * 6, kinds, strict=True)], names=names)
-        if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(close(state), kinds, strict=True)], names=names)
 
-    rows = formatted.select("conv_id", "formatted", "loss_start", "loss_end", "turn")
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    needed = ["conv_id", "last", "text", "loss"]
+    parts = texts.filter("not whole").select(*needed, "chunk").repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
+    return union_all([texts.filter("whole").select(needed).mapInArrow(run, schema), parts.select(needed).mapInArrow(run, schema)])
 
 
-def format_and_read_back(turns: DataFrame) -> DataFrame:
-    """Format, write, read back and digest."""
-    return digests(stash(format_turns(turns), "chat"))
+def format_and_read_back(turns: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Format, write the conversations' texts to the shared folder, read them back and digest."""
+    spark, path = turns.sparkSession, new_path(turns.sparkSession, "chat")
+    conversations(format_turns(turns), chunk_chars).write.partitionBy("whole").parquet(path)
+    return digests(spark.read.schema(TEXTS).parquet(path))

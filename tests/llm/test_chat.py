@@ -33,11 +33,39 @@ def test_parts_and_roles(spark):
     assert first.formatted == "[INST] see <\\|image|><|image|><|audio|><|document|> [/INST]"
     assert [(a.kind, a.ref, a.tokens, first.formatted[a.position :][: len(a.kind) + 4]) for a in first.attachments] == [("image", "a.png", 3, "<|image|>"), ("audio", "b", 3, "<|audio|>"), ("document", "c.pdf", 1024, "<|document|>")]
     assert first.expanded_tokens == 1030
-    d = {r.conv_id: r for r in chat.digests(turns).collect()}
+    d = {r.conv_id: r for r in chat.digests(chat.conversations(turns)).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert d[1].n_turns == 3 and d[1].loss_chars == 8 and d[1].loss_sha256 == sha("</s></s>")
     assert d[2].turns_sha256 == sha("\n\ntool <x>\n[INST]\n") and d[None].turns_sha256 == sha("system\n\n")
-    assert chat.digests(turns.limit(0)).collect() == []
+    assert chat.digests(chat.conversations(turns.limit(0))).collect() == []
+    text = "".join(r.formatted for r in sorted(turns.filter("conv_id = 1").collect(), key=lambda r: (r.turn, r.formatted)))
+    for n in (1, 7, 10_000):
+        rows = sorted(chat.conversations(turns, n).filter("conv_id = 1").collect(), key=lambda r: r.chunk)
+        assert "".join(r.text for r in rows) == text and [r.chunk for r in rows] == list(range(len(rows)))
+        assert [r.whole for r in rows] == [n > len(text)] * len(rows) and [r.last for r in rows] == [False] * (len(rows) - 1) + [True]
+
+
+def test_conversations_come_back_from_their_text(spark):
+    """Turns, texts and the masked text against the rows, however the text is cut into rows."""
+    rng = random.Random(3)
+    odd = ["", "\n", " ", "</s>", "[/INST]", " [/INST]", "<s>", "\n<</SYS>>", "<<ROLE>>x<</ROLE>>\n", "\n<</TURN>>", "<", "[", "\\", "<\\", "[\\", "é<", "日[", "<|image|>", "a " * 50]
+    rows = []
+    for conv in range(40):
+        for turn in range(rng.choice([1, 2, 5, 30])):
+            rows.append((conv, turn, rng.choice(["user", "assistant", "assistant", "system", "tool <s>", ""]), "".join(rng.choices(odd, k=rng.randint(0, 6)))))
+    rows += [(7000, 0, "assistant", "x<" * 5000), (7000, 1, "user", None), (None, 0, "user", "a")]
+    df = spark.createDataFrame([(*r, 0, "z") for r in rows], "conv_id long, turn long, role string, text string, chunk int, loss string").repartition(3).withColumn("parts", chat.text_part())
+    want = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        said, loss = "".join(f"{role}\n{t or ''}\n" for *_, role, t in own), "".join(t or "" for *_, role, t in own if role == "assistant")
+        want[conv] = (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for n in (3, 64, 1 << 20):
+        got = chat.format_and_read_back(df, n).collect()
+        assert {r.conv_id: tuple(r)[1:5] for r in got} == want and len(got) == len(want)
+        assert next(r.formatted_chars for r in got if r.conv_id == 7000) == 3 + 15_000 + 4 + 7 + 8
+    with pytest.raises(ValueError):
+        chat.next_turn("no mark", 0)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
