@@ -6,7 +6,9 @@ shares at least n - q + 1 - q * e of its q-grams, all within e diagonals of each
 other.  So the q-grams shared with a text are counted in overlapping diagonal bands
 and there for each window; windows that reach the bound are regions, and each region
 is verified by banded alignment.  Any excerpt of window + stride - 1 characters holds
-a whole window, so it is found wherever in the benchmark text it begins.
+a whole window, so it is found wherever in the benchmark text it begins.  A window
+that several benchmark texts share is held once, for the first of them, with the
+number of texts that hold it; so a preamble common to all of them costs no more than one.
 
 Characters are bytes of the UTF-8 text, with A-Z in lower case and each white space
 as one blank.  The query set (the benchmark) is held in blocks of bounded size, and
@@ -71,15 +73,16 @@ class Index:
     #: Characters of each text's windows, and q-grams that a match of one shares.
     size: np.ndarray
     bound: np.ndarray
-    #: Text and start of each window.
+    #: Text and start of each window, and the benchmark texts that hold it.
     source: np.ndarray
     begin: np.ndarray
+    shared: np.ndarray
     grams: np.ndarray
     first: np.ndarray
     owner: np.ndarray
     place: np.ndarray
-    #: The items of each short text, and the sorted hashes and distinct lengths of the short texts.
-    short: dict[bytes, list[int | None]]
+    #: The first item and the number of items of each short text, and the sorted hashes and distinct lengths of the short texts.
+    short: dict[bytes, list]
     short_hashes: np.ndarray
     short_lengths: list[int]
 
@@ -98,21 +101,38 @@ class Index:
 
     @staticmethod
     def build(items: list[tuple[int | None, str]], p: Decontam) -> Index:
+        """The index of benchmark texts in order: where windows or short texts are equal, the first item stands."""
         ids, body, short = [], [], {}
-        grams, owner, place, source, begin = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))
-        for i, t in items:
+        grams, owner, place, source, begin = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int32)] for _ in range(4))
+        seen: dict[bytes, list[int]] = {}  # window: its number, the items that hold it, the last of these
+        for number, (i, t) in enumerate(items):
             low = _BLANK[np.frombuffer(t.encode(), np.uint8)]
             if len(low) < max(p.least_chars, p.q):
                 if own := low.tobytes().strip():
-                    short.setdefault(own, []).append(i)
+                    held = short.setdefault(own, [i, 0])
+                    held[1] += 1
                 continue
-            starts = [0] if len(low) <= p.window else sorted({*range(0, len(low) - p.window + 1, p.stride), len(low) - p.window})
-            h = _qgrams(low, p.q)
-            grams.append(h)
-            owner.append(np.full(len(h), len(ids)))
-            place.append(np.arange(len(h)))
-            source.append(np.full(len(starts), len(ids)))
-            begin.append(np.array(starts, np.int64))
+            n = min(len(low), p.window)
+            starts = []
+            for a in sorted({*range(0, len(low) - n + 1, p.stride), len(low) - n}):
+                held = seen.get(w := low[a : a + n].tobytes())
+                if held is None:
+                    seen[w] = [len(seen), 1, number]
+                    starts.append(a)
+                elif held[2] != number:
+                    held[1], held[2] = held[1] + 1, number
+            if not starts:
+                continue
+            # Only q-grams inside windows that this text holds first.
+            inside = np.zeros(len(low) + 1, np.int32)
+            np.add.at(inside, starts, 1)
+            np.add.at(inside, np.array(starts) + (n - p.q + 1), -1)
+            at = np.flatnonzero(np.cumsum(inside)[: len(low) - p.q + 1])
+            grams.append(_qgrams(low, p.q)[at])
+            owner.append(np.full(len(at), len(ids), np.int32))
+            place.append(at.astype(np.int32))
+            source.append(np.full(len(starts), len(ids), np.int32))
+            begin.append(np.array(starts, np.int32))
             ids.append(i)
             body.append(low)
         h, own, at, of, starts = (np.concatenate(x) for x in (grams, owner, place, source, begin))
@@ -121,7 +141,8 @@ class Index:
         size = np.array([min(len(x), p.window) for x in body], np.int64)
         bound = np.array([p.bound(n) for n in size.tolist()], np.int64)
         brief, ends = np.frombuffer(b"".join(short), np.uint8), np.cumsum([0, *map(len, short)])
-        return Index(p, ids, body, size, bound, of, starts, values, np.append(first, len(h)), own[order], at[order], short, np.unique(tx.span_hashes(brief, ends[:-1], ends[1:])), sorted({*map(len, short)}))
+        shared = np.array([n for _, n, _ in seen.values()], np.int64)
+        return Index(p, ids, body, size, bound, of.astype(np.int64), starts.astype(np.int64), shared, values, np.append(first, len(h)).astype(np.int32), own[order], at[order], short, np.unique(tx.span_hashes(brief, ends[:-1], ends[1:])), sorted({*map(len, short)}))
 
 
 def _align(windows: list[np.ndarray], texts: list[np.ndarray], band: int) -> np.ndarray:
@@ -157,8 +178,8 @@ def _cut(low: np.ndarray, start: int, end: int, least: int, most: int) -> np.nda
     return np.concatenate([np.full(least - start, -1, np.int16), body]) if start < least else body
 
 
-def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int]]:
-    """(document, item, start, end, edits) of verified regions of a chunk."""
+def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int, int]]:
+    """(document, item, items, start, end, edits) of verified regions of a chunk."""
     p, mask = index.p, np.uint64(len(maybe) - 1)
     h = _qgrams(low, p.q)
     at = np.flatnonzero(maybe[h & mask])
@@ -174,9 +195,10 @@ def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray)
     at, k, doc = at[enough], k[enough], doc[enough]
     if not len(at):
         return
-    size = index.first[k + 1] - index.first[k]
-    post = np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    at, doc, text, place = np.repeat(at, size), np.repeat(doc, size), index.owner[post], index.place[post]
+    head = index.first[k].astype(np.int64)
+    size = index.first[k + 1] - head
+    post = np.repeat(head - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    at, doc, text, place = np.repeat(at, size), np.repeat(doc, size), index.owner[post].astype(np.int64), index.place[post].astype(np.int64)
     shift = max(map(len, index.body))
     diagonal = at - place + shift  # not negative
     reach = max(p.edits(p.window), 1)
@@ -213,14 +235,14 @@ def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray)
         own = [index.window(x) for x in ww]
         texts = [_cut(low, s, s + len(x) + width, off[y], off[y + 1]) for s, x, y in zip(start, own, dd, strict=True)]
         edits = _align(own, texts, width)
-        for y, x, s, e, n in zip(dd.tolist(), index.source[ww].tolist(), start.tolist(), edits.tolist(), map(len, own), strict=True):
+        for y, x, m, s, e, n in zip(dd.tolist(), index.source[ww].tolist(), index.shared[ww].tolist(), start.tolist(), edits.tolist(), map(len, own), strict=True):
             if e <= p.edits(n):
                 s += reach
-                yield y, index.ids[x], max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e
+                yield y, index.ids[x], m, max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e
 
 
-def _exact(low: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int, int | None, int, int, int]]:
-    """(document, item, start, end, 0) of the places of short benchmark texts, which no letter or digit goes on."""
+def _exact(low: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int, int | None, int, int, int, int]]:
+    """(document, item, items, start, end, 0) of the places of short benchmark texts, which no letter or digit goes on."""
     if not index.short or not len(low):
         return
     letter = _LETTER[low]
@@ -240,8 +262,31 @@ def _exact(low: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int
         k = np.minimum(np.searchsorted(index.short_hashes, h), len(index.short_hashes) - 1)
         hit = index.short_hashes[k] == h
         for d, a in zip(own[hit].tolist(), at[hit].tolist(), strict=True):
-            for item in index.short.get(low[a : a + n].tobytes(), ()):
-                yield d, item, a, a + n, 0
+            if held := index.short.get(low[a : a + n].tobytes()):
+                yield d, *held, a, a + n, 0
+
+
+def _best(regions: Iterator[tuple[int, int | None, int, int, int, int]], p: Decontam) -> Iterator[tuple[int, int | None, int, int, int, int]]:
+    """The regions without those that better ones of other items cover, but for what edits and the stride leave open.
+
+    Regions count in order of their edits; so where benchmark texts are alike, the
+    nearest of them stands for a place.
+    """
+    by_doc: dict[int, list] = {}
+    for r in regions:
+        by_doc.setdefault(r[0], []).append(r)
+    for own in by_doc.values():
+        if len({r[1] for r in own}) == 1:
+            yield from own
+            continue
+        first = min(r[3] for r in own)
+        covered, taken = bytearray(max(r[4] for r in own) - first), set()
+        for r in sorted(own, key=lambda r: r[5]):
+            _, item, _, a, b, _ = r
+            if item in taken or covered.count(0, a - first, b - first) > 2 * p.edits(b - a) + p.stride:
+                taken.add(item)
+                covered[a - first : b - first] = b"\1" * (b - a)
+                yield r
 
 
 class _Finder:
@@ -249,22 +294,22 @@ class _Finder:
 
     def __init__(self, index: Index):
         self.index = index
-        bits = max(16, int(np.ceil(np.log2(max(1, len(index.grams)) * 32))))
+        bits = max(16, int(np.ceil(np.log2(max(1, len(index.grams)) * 16))))
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[index.grams & np.uint64((1 << bits) - 1)] = True
 
     def __call__(self, column: pa.Array) -> dict[tuple[int, int | None], list[int]]:
-        """(row, item): [regions, start, end, edits], in code points."""
+        """(row, item): [items, regions, start, end, edits], in code points."""
         found: dict[tuple[int, int | None], list[int]] = {}
         for a, _, data, off in tx.chunks(column):
             letter = None
             low = _BLANK[data]
-            for d, item, start, end, e in chain(_regions(low, off, self.index, self.maybe), _exact(low, off, self.index)):
+            for d, item, items, start, end, e in chain(_best(_regions(low, off, self.index, self.maybe), self.index.p), _exact(low, off, self.index)):
                 if letter is None:
                     letter = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 s, t = (int(letter[x] - letter[off[d]]) for x in (start, end))
-                was = found.setdefault((a + d, item), [0, s, t, e])
-                was[:] = [was[0] + 1, min(was[1], s), max(was[2], t), min(was[3], e)]
+                was = found.setdefault((a + d, item), [items, 0, s, t, e])
+                was[:] = [max(was[0], items), was[1] + 1, min(was[2], s), max(was[3], t), min(was[4], e)]
         return found
 
 
@@ -274,15 +319,19 @@ def _indexes(benchmark: DataFrame, p: Decontam) -> Iterator[Index]:
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // p.block_chars))
     for block in range(blocks):
-        own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text")
+        own = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy(F.asc_nulls_last("item_id"), "text")
         index = Index.build([(r["item_id"], r["text"]) for r in own.collect()], p)
         if index.ids or index.short:
             yield index
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, regions, start, end, edits): one row for each document row and benchmark text found in it.
+    """(doc_id, item_id, items, regions, start, end, edits): one row for each document row and benchmark text found in it.
 
+    A window or short text that several benchmark texts share counts as found for the
+    first of them in order of id, and items says how many share it (in a block of the
+    benchmark).  A region that nearer matches of other items cover is theirs alone; so
+    what all benchmark texts begin with gives one row a document.
     start and end span the matched windows in code points (to within the edit
     budget), edits is the best window's.  A benchmark text under ``least_chars`` bytes
     is found where it stands exactly (letter case and kind of white space aside) and no
@@ -292,7 +341,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "doc_id long, item_id long, regions long, start long, end long, edits int"
+    schema = "doc_id long, item_id long, items long, regions long, start long, end long, edits int"
     out = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, p):
         held = spark.sparkContext.broadcast(index)
@@ -302,15 +351,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
             for batch in tx.pieces(batches, 1024):
                 found = find(batch.column(1))
                 at = pa.array([k for k, _ in found], pa.int64())
-                columns = [batch.column(0).take(at), pa.array([i for _, i in found], pa.int64()), *(pa.array([v[k] for v in found.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32())))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "regions", "start", "end", "edits"])
+                columns = [batch.column(0).take(at), pa.array([i for _, i in found], pa.int64()), *(pa.array([v[k] for v in found.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "items", "regions", "start", "end", "edits"])
 
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark text by the rules of ``leaks``, all columns as they are."""
+    """The rows of ``docs`` that hold no benchmark text by the rules of ``leaks``, all columns as they are.
+
+    Null and empty texts stay; repeated rows stay or go together.  Empty in, empty out.
+    """
     at = docs.columns.index(text_col)
     for index in _indexes(benchmark, p):
         held = docs.sparkSession.sparkContext.broadcast(index)

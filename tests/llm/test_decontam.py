@@ -93,10 +93,40 @@ def test_short_and_nameless_items(spark):
     docs = [(1, "Q: how far\tis MARS?No"), (2, "how far is marsh?"), (3, "cats, bobcat, né9"), (4, "a cat."), (5, "x=7"), (6, "cat"), (7, long.upper()), (8, "a Zebra crossing"), (9, "zebra"), (10, None), (11, "n"), (12, "ééé cat né")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {(1, 1), (4, 3), (4, 4), (5, 2), (6, 3), (6, 4), (7, None), (8, None), (12, 3), (12, 4), (12, 6)}
+    want = {(1, 1), (4, 3), (5, 2), (6, 3), (7, None), (8, None), (12, 3), (12, 6)}
     for p in (Decontam(), Decontam(block_chars=20)):
         got = leaks(df, bench, p).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert {(r.doc_id, r.item_id) for r in got if r.item_id != 4} == want
+        assert p.block_chars == 20 or ({r.items for r in got if r.item_id == 3} == {2} and 4 not in {r.item_id for r in got})
         place = next(r for r in got if (r.doc_id, r.item_id) == (12, 6))
         assert (place.start, place.end, place.edits) == (8, 10, 0)
         assert {r.doc_id for r in without_leaks(df, bench, p).collect()} == {2, 3, 9, 10, 11}
+
+
+def test_a_common_preamble_gives_one_row(spark):
+    """What all benchmark texts begin with is found once a document; what is their own is found for each."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n))
+    preamble = prose(240)
+    items = [(i, preamble + prose(200)) for i in range(60)]
+    docs = [(d, prose(100) + preamble + prose(100)) for d in range(20)] + [(100 + i, prose(50) + items[i][1][240:] + prose(50)) for i in range(60)] + [(500, prose(900))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = leaks(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.items) for r in got if r.doc_id < 100) == [(d, 0, 60) for d in range(20)]
+    assert {(r.doc_id, r.item_id, r.items) for r in got if r.doc_id >= 100} == {(100 + i, i, 1) for i in range(60)}
+
+
+def test_recall_of_passages(spark):
+    """Edited passages of benchmark texts, against semi-global edit distance over all their windows."""
+    rng, p = random.Random(12), Decontam()
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n))
+    items, docs, near = [(i, prose(300)) for i in range(6)], [], set()
+    for d in range(120):
+        a, n = rng.randrange(150), rng.randrange(100, 150)
+        piece = edit(items[d % 6][1][a : a + n], rng.choice([0, 2, 4, 6, 9]), rng)
+        docs.append((d, prose(80) + piece + prose(80)))
+        if any(semi_global(items[d % 6][1][k : k + 96], piece) <= p.edits(96) for k in range(max(0, a - 8), min(205, a + n))):
+            near.add(d)
+    found = {r.doc_id for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found <= near and len(found) >= 0.9 * len(near) and len(near) > 60
