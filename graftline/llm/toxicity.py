@@ -3,7 +3,8 @@
 P(grade <= k) = sigmoid(cut_k - w . x): one weight vector is shared by all ordered
 cuts.  x marks the distinct words (runs of letters) and word beginnings of the whole
 text that the model knows, over the root of their number, so that long texts score
-little higher.  The model knows words that lean to toxic rows.  The
+little higher.  The model knows every feature of the sample that leans to toxic rows
+with enough of a log-likelihood ratio, however many these are.  The
 expected severity is the sum over k >= 1 of P(grade >= k).
 
 The fit uses a bounded sample of labelled rows (``per_grade`` rows of each toxic
@@ -33,9 +34,8 @@ class Ordinal:
     clean_rows: int = 12_000
     #: Bytes of a word's beginning that make a feature of their own.
     prefix: int = 5
-    #: Features kept: those that lean to toxic rows with so high a log-likelihood ratio, the highest first.
+    #: Features kept: those that lean to toxic rows with so high a log-likelihood ratio.
     least_ratio: float = 12.0
-    most_features: int = 60_000
     #: Weight of the penalty on squared weights, against one sampled row.
     l2: float = 0.2
     steps: int = 500
@@ -70,7 +70,7 @@ def row_features(column: pa.Array, prefix: int) -> Iterator[tuple[int, np.ndarra
             yield a + k, np.unique(np.concatenate([whole[i:j], begun[at[i] : at[j]]]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ordinal) -> tuple[DataFrame, dict[int, float]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, float]]:
     """((grade, features) of the sampled rows, written; the labelled rows that each row of a grade stands for).
 
     Grade 0 is not toxic, 1 toxic, 2 toxic and of poor quality; rows without a
@@ -90,20 +90,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ordinal) -> tuple[Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["grade", "features"])
 
     # The sample has at most clean_rows + (grades - 1) * per_grade rows of two numbers, so it can be broadcast.
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
     sample = stash(texts.mapInArrow(run, "grade int, features array<long>"), "sample")
     seen = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     return sample, {g: totals[g] / n for g, n in seen.items()}
 
 
 def telling_features(sample: DataFrame, p: Ordinal) -> np.ndarray:
-    """The sorted hashes of the features kept: at most ``most_features``, by log-likelihood ratio against the toxic share."""
+    """The sorted hashes of the features kept, by log-likelihood ratio against the toxic share; the sample bounds their number."""
     rows = sample.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("grade") > 0).cast("int")), F.lit(0.0)).alias("r")).first()
     rate = min(max(rows["r"], 1e-6), 1 - 1e-6)
     by = sample.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("features").alias("h")).groupBy("h").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).filter("n > 1")
     part = lambda k, share: k * F.log(F.greatest(k, F.lit(1e-9)) / (F.col("n") * share))
     ratio = 2 * (part(F.col("k").cast("double"), rate) + part((F.col("n") - F.col("k")).cast("double"), 1 - rate))
-    kept = by.select("h", ratio.alias("ratio"), (F.col("k") > rate * F.col("n")).alias("over")).filter((F.col("ratio") >= p.least_ratio) & F.col("over")).orderBy(F.desc("ratio"), "h").limit(p.most_features).select("h").toArrow()
+    kept = by.select("h", ratio.alias("ratio"), (F.col("k") > rate * F.col("n")).alias("over")).filter((F.col("ratio") >= p.least_ratio) & F.col("over")).select("h").toArrow()
     return np.sort(kept["h"].to_numpy().view(np.uint64))
 
 
@@ -148,8 +148,14 @@ def fit(values: np.ndarray, index: np.ndarray, row: np.ndarray, grades: np.ndarr
     return Model(values, state[: n], cut, p)
 
 
-def train(docs: DataFrame, labels: DataFrame, p: Ordinal = Ordinal()) -> Model:
-    sample, share = labelled_sample(docs, labels, p)
+def train(docs: DataFrame, labels: DataFrame, p: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of a bounded sample of labelled rows; ``labels`` has doc_id, quality and toxic.
+
+    Labels without an id or a toxic mark are left out; of several labels of one
+    document the most toxic and the poorest count.  Null and empty texts have no
+    features; rows that share a labelled id all count.  Without labelled rows nothing is toxic.
+    """
+    sample, share = labelled_sample(docs, labels, p, id_col, text_col)
     values = telling_features(sample, p)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +214,11 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model doesn't call toxic, all columns as they are."""
+    """The rows of ``docs`` that the model doesn't call toxic, all columns as they are.
+
+    Null and empty texts have no features and stay unless most labels are toxic;
+    repeated rows stay or go together.  Empty in, empty out.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
