@@ -2,8 +2,11 @@
 
 Features of a clip: polyphase resampling to the analysis rate, overlapped log-mel
 filterbanks, and hysteresis segmentation of the frame energy.  The filterbank
-frames are cut into tensors of one fixed shape (``frames`` x ``mels`` float32, the
-last one filled up with zeros), each with its time span.
+frames are cut into tensors of one fixed shape (``frames`` x ``mels`` float16, the
+last one filled up with zeros), each with its time span.  Tasks store a clip's
+tensors as an Arrow stream whose column has Arrow's fixed-shape tensor type, and
+every later reader works from the stored streams.  Clips are computed in blocks of
+frames, so a long one needs little more memory than its bytes and its tensors.
 """
 
 from __future__ import annotations
@@ -85,20 +88,29 @@ def _branches(up: int, down: int, taps: int) -> np.ndarray:
     return np.ascontiguousarray(h.reshape(taps, up).T[:, ::-1]).astype(np.float32)
 
 
-def resample(x: np.ndarray, rate: int, target: int, taps: int = 16) -> np.ndarray:
-    """Polyphase resampling: output m is phase (m * down) % up at input (m * down) // up."""
+def resample(x: np.ndarray, rate: int, target: int, taps: int = 16, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Polyphase resampling: output m is phase (m * down) % up at input (m * down) // up.
+
+    ``first`` and ``count`` ask for a part of the outputs; bytes are read as unsigned 8-bit samples.
+    """
     g = math.gcd(rate, target)
     up, down = target // g, rate // g
+    count = -(-len(x) * up // down) - first if count is None else count
+    if count <= 0:
+        return np.zeros(0, np.float32)
+    branch, half = _branches(up, down, taps), taps // 2
+    low, high = first * down // up - (taps - 1 - half), (first + count - 1) * down // up + half + 1
+    part = x[max(0, low) : high]
+    part = (part.astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else part.astype(np.float32)
+    part = np.pad(part, (max(0, -low), max(0, high - len(x))))
     if up == down:
-        return x.astype(np.float32)
-    branch = _branches(up, down, taps)
-    n = -(-len(x) * up // down)
-    half = taps // 2
-    view = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float32), (taps - 1 - half, half + 1)), taps)
-    out = np.empty(n, np.float32)
-    for first in range(min(up, n)):
-        at = first * down
-        out[first::up] = view[at // up :: down][: len(out[first::up])] @ branch[at % up]
+        return part[taps - 1 - half :][:count].copy()
+    view = np.lib.stride_tricks.sliding_window_view(part, taps)
+    out = np.empty(count, np.float32)
+    for k in range(min(up, count)):
+        at = (first + k) * down
+        own = out[k::up]
+        own[:] = view[at // up - first * down // up :: down][: len(own)] @ branch[at % up]
     return out
 
 
@@ -112,19 +124,25 @@ def _mel_bank(target: int, fft: int, mels: int) -> np.ndarray:
     return np.ascontiguousarray(bank.T).astype(np.float32)
 
 
-def log_mel(x: np.ndarray, p: AudioFeatures) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x mels log energies, frame energy in dB); a short clip gives one frame."""
-    if len(x) < p.window:
-        x = np.pad(x, (0, p.window - len(x)))
-    view = np.lib.stride_tricks.sliding_window_view(x, p.window)[:: p.hop]
+def log_mel(samples: np.ndarray, rate: int, p: AudioFeatures, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x mels log energies as float16, frame energy in dB), so many frames at once.
+
+    Every sample is in a frame; the last frame is filled up with silence.
+    """
+    g = math.gcd(rate, p.target)
+    total = -(-len(samples) * (p.target // g) // (rate // g))
+    n = 1 + max(0, -(-(total - p.window) // p.hop))
     hann = np.hanning(p.window).astype(np.float32)
     bank = _mel_bank(p.target, p.fft, p.mels)
-    mel, energy = np.empty((len(view), p.mels), np.float32), np.empty(len(view), np.float32)
-    for a in range(0, len(view), 1024):
-        frames = view[a : a + 1024] * hann
+    mel, energy = np.empty((n, p.mels), np.float16), np.empty(n, np.float32)
+    for a in range(0, n, block):
+        b = min(n, a + block)
+        first, size = a * p.hop, (b - 1 - a) * p.hop + p.window
+        x = resample(samples, rate, p.target, p.taps, first, min(size, total - first))
+        frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, size - len(x))), p.window)[:: p.hop] * hann
         power = np.abs(np.fft.rfft(frames, p.fft, axis=1)).astype(np.float32) ** 2
-        mel[a : a + 1024] = np.log(power @ bank + 1e-6)
-        energy[a : a + 1024] = 10 * np.log10((frames * frames).mean(axis=1) + 1e-9)
+        mel[a:b] = np.log(power @ bank + 1e-6)
+        energy[a:b] = 10 * np.log10((frames * frames).mean(axis=1) + 1e-9)
     return mel, energy
 
 
@@ -138,8 +156,35 @@ def segments(energy: np.ndarray, p: AudioFeatures) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
 
 
+def to_arrow(mel: np.ndarray, p: AudioFeatures) -> bytes:
+    """An Arrow stream of (start_ms, end_ms, valid, tensor): the frames cut into tensors of one fixed shape."""
+    n, ms = -(-len(mel) // p.frames), 1000 / p.target
+    body = np.zeros((n * p.frames, p.mels), np.float16)
+    body[: len(mel)] = mel
+    first = np.arange(n) * p.frames
+    valid = np.minimum(p.frames, len(mel) - first)
+    tensors = pa.FixedSizeListArray.from_arrays(pa.array(body.ravel()), p.frames * p.mels)
+    kind = pa.fixed_shape_tensor(pa.float16(), (p.frames, p.mels))
+    columns = [pa.array(first * p.hop * ms), pa.array(((first + valid - 1) * p.hop + p.window) * ms), pa.array(valid.astype(np.int32)), pa.ExtensionArray.from_storage(kind, tensors)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["start_ms", "end_ms", "valid", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_arrow(stored: bytes | pa.Buffer) -> pa.RecordBatch:
+    """The batch of a stored stream; its tensor column's ``to_numpy_ndarray`` is tensors x frames x mels."""
+    return pa.ipc.open_stream(stored).read_next_batch()
+
+
 def media_table(docs: DataFrame, rate: int = 16_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's payload as a stored WAV file, written to the shared folder."""
+    """(doc_id, n_bytes, media): each text's payload as a WAV file, written to the shared folder.
+
+    Null and empty texts give one unit of fill; repeated rows are stored as often as
+    they occur, null ids stay null, and an empty table gives an empty one.  Other
+    columns of ``docs`` are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.pieces(batches, 256):
@@ -151,49 +196,67 @@ def media_table(docs: DataFrame, rate: int = 16_000, id_col: str = "doc_id", tex
     return stash(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-FEATURES = (
-    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, mel_mean array<float>, "
-    "segments array<struct<start_ms:double,end_ms:double>>, tensors array<struct<start_ms:double,end_ms:double,valid:int,values:array<float>>>"
-)
+_SPANS = "array<struct<start_ms:double,end_ms:double>>"
+_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long"
+STORED = f"{_DIGEST}, segments {_SPANS}, tensors binary"
 
 
 def features(media: DataFrame, p: AudioFeatures = AudioFeatures()) -> DataFrame:
-    """Columns ``doc_id``, ``n_bytes`` and those of ``FEATURES``, from the stored bytes alone.
+    """The columns of ``STORED``, computed from the stored media alone and written to the shared folder.
 
-    Equal media give equal rows: every clip is computed by itself.  Empty texts
-    were stored as one unit of fill.  An empty table gives an empty result.
+    ``tensors`` is an Arrow stream of fixed-shape tensors with their time spans
+    (``from_arrow``), ``segments`` the spans of the hysteresis segmentation.  Equal
+    media give equal rows: every clip is computed by itself.  An empty table gives an
+    empty result.
     """
-    tensor = pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("valid", pa.int32()), ("values", pa.list_(pa.float32()))])
-    span = pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())])
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(span), pa.list_(tensor)]
+    span = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), span, pa.binary()]
+    names = [f.split()[0] for f in STORED.split(", ")]
     ms = 1000 / p.target
 
     def one(clip: bytes) -> tuple:
         rate, samples = from_wav(clip)
-        x = resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128, rate, p.target, p.taps)
-        mel, energy = log_mel(x, p)
-        cut = []
-        for a in range(0, len(mel), p.frames):
-            part = np.zeros((p.frames, p.mels), np.float32)
-            valid = min(p.frames, len(mel) - a)
-            part[:valid] = mel[a : a + valid]
-            cut.append({"start_ms": a * p.hop * ms, "end_ms": ((a + valid - 1) * p.hop + p.window) * ms, "valid": valid, "values": part.ravel()})
+        mel, energy = log_mel(np.frombuffer(samples, np.uint8), rate, p)
         spoken = [{"start_ms": a * p.hop * ms, "end_ms": ((b - 1) * p.hop + p.window) * ms} for a, b in segments(energy, p)]
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(clip), hashlib.sha256(clip).hexdigest(), len(mel), mel.mean(axis=0), spoken, cut
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(clip), hashlib.sha256(clip).hexdigest(), len(mel), spoken, to_arrow(mel, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.pieces(batches, 64):
             rows = [one(m.as_buffer().to_pybytes()) for m in batch.column(2)]
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "n_bytes", *(f.split()[0] for f in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "mel_mean", "segments", "tensors"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
+
+    return stash(media.select("doc_id", "n_bytes", "media").mapInArrow(run, STORED), "tensors")
+
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, {FEATURES}")
+def summary(stored: DataFrame) -> DataFrame:
+    """Stored rows with (n_tensors, mel_mean) in place of the tensors, read back from their Arrow streams."""
+    kept = [f.split()[0] for f in f"{_DIGEST}, segments {_SPANS}".split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.pieces(batches, 64):
+            count, mean = [], []
+            for x in batch.column(len(kept)):
+                own = from_arrow(x.as_buffer())
+                frames = own.column(3).to_numpy_ndarray()
+                real = np.arange(frames.shape[1]) < own.column(2).to_numpy()[:, None]
+                count.append(len(frames))
+                mean.append(frames[real].mean(axis=0, dtype=np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(count, pa.int32()), pa.array(mean, pa.list_(pa.float64()))], names=[*kept, "n_tensors", "mel_mean"])
 
-def tensor_table(rows: DataFrame, p: AudioFeatures = AudioFeatures()) -> Iterator[pa.RecordBatch]:
-    """Arrow batches (doc_id, start_ms, end_ms, valid, tensor) whose tensor column is a fixed-shape tensor."""
-    flat = rows.select("doc_id", F.explode("tensors").alias("t")).select("doc_id", "t.start_ms", "t.end_ms", "t.valid", "t.values")
-    kind = pa.fixed_shape_tensor(pa.float32(), (p.frames, p.mels))
-    for batch in flat.toArrow().to_batches():
-        fixed = pa.FixedSizeListArray.from_arrays(batch.column(4).flatten(), p.frames * p.mels)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ExtensionArray.from_storage(kind, fixed)], names=["doc_id", "start_ms", "end_ms", "valid", "tensor"])
+    return stored.select(*kept, "tensors").mapInArrow(run, f"{_DIGEST}, segments {_SPANS}, n_tensors int, mel_mean array<double>")
+
+
+def tensor_rows(stored: DataFrame) -> DataFrame:
+    """(doc_id, start_ms, end_ms, valid, values), one row for each stored tensor, its values row after row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, x in zip(batch.column(0), batch.column(1), strict=True):
+                own = from_arrow(x.as_buffer())
+                values = own.column(3).storage
+                flat = pa.array(np.asarray(values.flatten()).astype(np.float32))
+                lists = pa.ListArray.from_arrays(np.arange(len(own.column(0)) + 1, dtype=np.int32) * values.type.list_size, flat)
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(lists), pa.int64()), *own.columns[:3], lists], names=["doc_id", "start_ms", "end_ms", "valid", "values"])
+
+    return stored.select("doc_id", "tensors").mapInArrow(run, "doc_id long, start_ms double, end_ms double, valid int, values array<float>")

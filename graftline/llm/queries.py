@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stash import discard
 from . import audio, chat, decontam, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity
 from .near_dedup import NearDedup, near_duplicates
 
@@ -55,10 +56,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as a stored 8-bit WAV file, read back, with a digest of its audio features."""
-    rows = audio.features(audio.media_table(_table(spark, sf_dir, "documents")))
+    """Every document's bytes as a stored 8-bit WAV file, read back, with a digest of its stored feature tensors."""
+    media = audio.media_table(_table(spark, sf_dir, "documents"))
+    stored = audio.features(media)
+    discard(media)
+    rows = audio.summary(stored)
     bands = F.array_join(F.transform("mel_mean", lambda x: F.format_string("%.2f", x)), ",")
-    feature = F.concat_ws(";", F.col("n_frames"), F.size("tensors"), F.size("segments"), bands)
+    feature = F.concat_ws(";", F.col("n_frames"), F.col("n_tensors"), F.size("segments"), bands)
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
@@ -84,7 +88,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secret_spans", lambda s: s["kind"] != "markov")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("markov").alias("n_markov"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secret_spans").alias("spans"), count("markov").alias("n_markov"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
