@@ -11,7 +11,8 @@ each bucket every class is first compared with one center only: the member that
 meets the most others over all buckets.  A second round compares, in bounded
 blocks, just those members around a center which the first round has left in
 different components, and gives only links that join components.  So a large group
-of near copies makes about one row a member, and no joining link is lost.
+of near copies makes about one row a member, and no joining link is lost.  Around a
+center with many such members, only sets whose sizes allow the similarity meet.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from ..operators.graph import connected_components
 from ..operators.stash import discard, stash
 from . import text as tx
 
-_rng = np.random.Generator(np.random.PCG64(77041))
-
 
 @dataclass(frozen=True)
 class NearDedup:
@@ -151,29 +150,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
 
 
 def _blocks(members: DataFrame, p: NearDedup, extra: list[str]) -> DataFrame:
-    """Members (center, rep, label, sketch, ...) dealt to pairs of blocks of a center's members.
+    """Members (center, rep, n, label, sketch, ...) dealt to pairs of blocks of a center's members.
 
-    A center with over ``block`` members has several blocks; each pair of them is a
-    group of its own, so no group holds more than about two blocks.
+    Sets of similarity t have sizes within a factor of t.  So members of a center
+    with over ``block`` of them go by classes of size, a factor of t wide: group g has
+    the members of class g and, as upper ones, those of class g + 1, and only pairs
+    with a member of class g count.  A group of over ``block`` members has several
+    blocks; each pair of them is dealt by itself, so no task holds more than two blocks.
     """
-    sizes = members.groupBy("center").agg(F.ceil(F.count("*") / p.block).cast("int").alias("cut"))
-    own = F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int")
-    dealt = members.join(sizes, "center").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    dealt = dealt.select("center", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "sketch", *extra)
-    return dealt.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j")
+    # Only centers, and groups, that need it are joined, from a written table: a few rows, which Spark may broadcast by their size.
+    many = stash(members.groupBy("center").agg(F.count("*").alias("_n")).filter(F.col("_n") > p.block).select("center", F.lit(True).alias("many")), "many")
+    own_class = F.floor(F.log(F.col("n").cast("double")) / (float(np.log(100 / p.percent)) + 1e-6)).cast("int")
+    place = lambda g, upper: F.struct(g.alias("g"), F.lit(upper).alias("upper"))
+    places = F.when(F.col("many"), F.array(place(own_class, False), place(own_class - 1, True))).otherwise(F.array(place(F.lit(0), False)))
+    sized = members.join(many, "center", "left").withColumn("_at", F.explode(places)).select("*", "_at.g", "_at.upper").drop("_at", "many")
+    cuts = stash(sized.groupBy("center", "g").agg(F.ceil(F.count("*") / p.block).cast("int").alias("cut")).filter("cut > 1"), "cuts")
+    cut = F.coalesce("cut", F.lit(1))
+    dealt = sized.join(cuts, ["center", "g"], "left").withColumn("own", F.pmod(F.xxhash64("rep"), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
+    dealt = dealt.select("center", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "upper", "rep", "label", "sketch", *extra)
+    return dealt.repartition("center", "g", "i", "j").sortWithinPartitions("center", "g", "i", "j")
 
 
 class _Group:
     """One pair of blocks in memory."""
 
     def __init__(self, rows: list[tuple], p: NearDedup):
-        self.p, (self.center, self.i, self.j) = p, rows[0][:3]
-        self.own = np.array([r[3] for r in rows])
-        self.rep = np.array([r[4] for r in rows], np.int64)
-        self.label = np.array([r[5] for r in rows], np.int64)
+        self.p, (self.center, _, self.i, self.j) = p, rows[0][:4]
+        self.own = np.array([r[4] for r in rows])
+        self.upper = np.array([r[5] for r in rows], bool)
+        self.rep = np.array([r[6] for r in rows], np.int64)
+        self.label = np.array([r[7] for r in rows], np.int64)
         # Unsigned, because bitwise_count counts the bits of the absolute value.
-        self.sketch = np.array([r[6] for r in rows], np.int64).view(np.uint64)
-        self.sets = [np.frombuffer(r[7], np.uint64) for r in rows] if len(rows[0]) > 7 else []
+        self.sketch = np.array([r[8] for r in rows], np.int64).view(np.uint64)
+        self.sets = [np.frombuffer(r[9], np.uint64) for r in rows] if len(rows[0]) > 9 else []
 
     def near(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each left member with the right members of other labels whose sketches are near enough."""
@@ -181,7 +190,7 @@ class _Group:
         right = left if self.i == self.j else np.flatnonzero(self.own == self.j)
         for k, x in enumerate(left):
             y = right[k + 1 :] if self.i == self.j else right
-            y = y[self.label[y] != self.label[x]]
+            y = y[(self.label[y] != self.label[x]) & ~(self.upper[y] & self.upper[x])]
             far = np.bitwise_count(self.sketch[y] ^ self.sketch[x]).sum(axis=1)
             if (far <= self.p.most_flips).any():
                 yield x, y[far <= self.p.most_flips]
@@ -231,7 +240,7 @@ def _compare(members: DataFrame, p: NearDedup, exact: bool) -> DataFrame:
         for batch in batches:
             done: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
+                if held and held[0][:4] != row[:4]:
                     done += close()
                     held = []
                 held.append(row)
@@ -256,9 +265,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     """
     sig = stash(signatures(docs, p, id_col, text_col), "signatures")
     real = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join reads both sides anew and a class of very many copies can be split.
+    classes = stash(real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     member = stash(real.select("doc_id", "set_a", "set_b", "n_shingles").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep").distinct(), "members")
-    reps = real.join(classes.select("rep", "set_a", "set_b"), [real.doc_id == F.col("rep"), real.set_a == classes.set_a, real.set_b == classes.set_b]).select("rep", "bands", "sketch")
+    reps = real.join(classes.select("rep", "set_a", "set_b"), [real.doc_id == F.col("rep"), real.set_a == classes.set_a, real.set_b == classes.set_b]).select("rep", "n_shingles", "bands", "sketch")
     buckets = stash(reps.select("rep", F.explode("bands").alias("key")).distinct(), "buckets")
     sketches = reps.select("rep", "sketch")
 
@@ -276,12 +286,13 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
 
     labelled = around.join(first, around.rep == first.node, "left").select("center", "rep", F.coalesce("component", "rep").alias("label"))
     split = labelled.groupBy("center").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("center")
-    members = stash(labelled.join(split, "center").join(sketches, "rep").select("center", "rep", "label", "sketch"), "split")
+    members = stash(labelled.join(split, "center").join(reps.select("rep", F.col("n_shingles").alias("n"), "sketch").distinct(), "rep").select("center", "rep", "n", "label", "sketch"), "split")
     flagged = stash(_compare(members, p, exact=False).select(F.col("u").alias("center"), F.col("v").alias("rep")), "flagged")
     sets2 = stash(shingle_sets(docs, flagged.select("rep").distinct(), p, id_col, text_col), "sets")
-    more = _compare(members.join(flagged, ["center", "rep"]).join(sets2, "rep"), p, exact=True)
+    sized = sets2.withColumn("n", (F.length("set") / 8).cast("long"))
+    more = _compare(members.join(flagged, ["center", "rep"]).join(sized, ["rep", "n"]), p, exact=True)
     comp = stash(connected_components(linked.unionByName(more)), "components")
-    discard(buckets, met, around, star, sets, linked, first, members, flagged, sets2)
+    discard(classes, buckets, met, around, star, sets, linked, first, members, flagged, sets2)
 
     found = member.join(comp, member.rep == comp.node, "left").select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
     found = found.groupBy("doc_id", "n").agg(F.min("component_id").alias("component_id"))

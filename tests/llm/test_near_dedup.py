@@ -82,9 +82,9 @@ def test_near_counts_all_flips():
     rows = []
     for k in range(80):
         own = np.where(rng.random(p.samples) < 0.1, rng.integers(0, 2**32, p.samples, dtype=np.uint32), base)
-        rows.append((0, 0, 0, 0, k, k, odd_sketch(own, p.sketch_words).tolist()))
+        rows.append((0, 0, 0, 0, 0, False, k, k, odd_sketch(own, p.sketch_words).tolist()))
     got = {(int(x), int(k)) for x, y in _Group(rows, p).near() for k in y}
-    flips = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(rows[x][6], rows[y][6], strict=True))
+    flips = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(rows[x][8], rows[y][8], strict=True))
     assert got == {(x, y) for y in range(80) for x in range(y) if flips(x, y) <= p.most_flips}
 
 
@@ -103,3 +103,21 @@ def test_many_near_copies(spark):
     want = brute(rows, 4, 80)
     assert len({r[2] for r in want}) > 20
     assert sorted(map(tuple, got), key=str) == want
+
+
+def test_classes_of_size(spark):
+    """Texts that share a long beginning, of many lengths: only those of like sizes meet around their center, and no link is lost."""
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(3000)]
+    common, rows = [rng.choice(vocab) for _ in range(60)], []
+    for i in range(160):
+        n = rng.choice([8, 12, 30, 45, 60])
+        own = [rng.choice(vocab) for _ in range(n)] if i % 4 or i < 8 else list(rows[rng.randrange(i)][1].split()[60:])
+        if i % 4 == 0 and own:
+            own[rng.randrange(len(own))] = "zz"
+        rows.append((i, " ".join(common + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 4, 80)
+    assert len({r[2] for r in want}) > 20
+    for block in (3, 1024):
+        assert sorted(map(tuple, near_duplicates(docs, NearDedup(width=4, block=block)).collect()), key=str) == want

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from graftline.llm import decontam, secrets, toxicity
+from graftline.operators.stash import stash
 
 WORDS = [f"{a}{b}{c}{d}" for a in "bdfgklm" for b in "aeiou" for c in ("na", "ri", "to", "lem", "shu") for d in ("", "x", "ky")]
 
@@ -20,6 +21,8 @@ def tables(tmp, spark):
             labels.append((i, 1, int(toxic)))
         rows.append((i, t))
     rows += [(900, rows[1][1]), (901, rows[2][1] + " one more"), (902, prose(40) + " " + bench[2][1]), (903, prose(20) + " token=abcdefgh12"), (904, None), (905, ""), (906, ""), (None, prose(9)), (907, rows[3][1]), (907, rows[3][1]), (7, rows[7][1])]
+    # Unrelated texts under one id, one of them a copy of another document's; the same without an id.
+    rows += [(950, prose(60)), (950, prose(70)), (950, rows[4][1]), (None, prose(50)), (None, rows[6][1])]
     full = [(d, t, "en", "s", len(t or "")) for d, t in rows]
     spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp}/labels.parquet")
@@ -34,13 +37,15 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path)).persist()
+        docs = stash(stage(spark, docs, str(tmp_path)), name)
         assert docs.columns == columns
         kept.append({(r.doc_id, r.text) for r in docs.collect()})
+        if name == "near_duplicates":
+            assert docs.filter("doc_id = 7").count() == 1 and docs.filter("doc_id = 950").count() >= 2
     toxic = {d for d, t in rows if t and "vilewordish" in t}
     assert kept[0] == {(d, t) for d, t in rows if d not in toxic}
-    want = {(d, t) for d, t in kept[0] if d not in (900, 901, 907)}
-    assert kept[1] == want and docs.filter("doc_id = 7").count() == 1
+    want = {(d, t) for d, t in kept[0] if d not in (900, 901, 907) and (d, t) not in ((950, rows[4][1]), (None, rows[6][1]))}
+    assert kept[1] == want and len([t for d, t in want if d == 950]) == 2
     assert kept[2] == {(d, t) for d, t in want if d != 902}
     changed = {d for d, t in kept[3] if (d, t) not in kept[2]}
     assert changed == {903} and {d for d, _ in kept[3]} == {d for d, _ in kept[2]}
