@@ -120,3 +120,44 @@ def test_long_path_list(spark, tmp_path):
     listing = tmp_path / "list.txt"
     listing.write_text(f"{one}\n" * 100_001)
     assert len(files.read_path_list(spark, [str(listing)])) == 100_001
+
+
+def bgzf(data, size):
+    """Blocks as the usual writers make them, with an empty one at the end."""
+    out = b""
+    for a in [*range(0, len(data), size), None]:
+        part = data[a : a + size] if a is not None else b""
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        out += bam._BLOCK + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def test_bam_in_splits(spark, tmp_path):
+    """A file far larger than a split, and blocks that end anywhere in a record, give every record once."""
+    import random
+
+    rng = random.Random(3)
+    lines = []
+    for k in range(3000):
+        n = rng.choice([5, 30, 100, 300])
+        seq = "".join(rng.choices("ACGT", k=n))
+        lines.append(f"read{k}\t{rng.choice([0, 16, 99])}\tchr1\t{rng.randint(1, 900)}\t60\t{n}M\t=\t{rng.randint(1, 900)}\t0\t{seq}\t{'I' * n}\tNM:i:{k % 7}\tMD:Z:{n}")
+    sam = "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:1000\n" + "\n".join(lines) + "\n"
+    raw = b"".join(bam.inflate(as_bam(sam)))
+    (tmp_path / "x.sam").write_text(sam)
+    want = sorted(files.read_sam(spark, str(tmp_path / "x.sam"), "s").collect(), key=lambda r: r.read_name)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size, split in ((700, 20_000), (60_000, 30_000), (5_000, 1 << 27)):
+            path = tmp_path / f"x{size}.bam"
+            path.write_bytes(bgzf(raw, size))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = bam.read_bam(spark, str(path), "s")
+            assert sorted(got.collect(), key=lambda r: r.read_name) == want
+            assert bam.read_contigs(spark, str(path)).collect() == [("chr1", 1000, 0)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(list(tmp_path.glob("*.bam"))) == 3
