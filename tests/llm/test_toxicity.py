@@ -39,6 +39,37 @@ def test_held_out_accuracy(spark):
     assert severity(docs.limit(0), model).collect() == []
 
 
+def test_scores_by_hand(spark):
+    """Every document's probabilities, word by word."""
+    import re
+
+    import pyarrow as pa
+
+    data = rows(400, 3)
+    data = [(d, t + (" Straße né\u00e9 x-y1z Ünï" if d % 3 else ""), y, q) for d, t, y, q in data] + [(900, "", 0, 1)]
+    docs = spark.createDataFrame([(d, t) for d, t, _, _ in data], "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(d, q, y) for d, _, y, q in data], "doc_id long, quality int, toxic int"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+
+    def names(word):
+        """The hashes of a word and of its beginning, each as a text of its own."""
+        out = {int(h) for _, own in toxicity.row_features(pa.array([word]), 10**6) for h in own}
+        beginning = word[: model.p.prefix]
+        if len(word) > model.p.prefix:
+            mark = np.uint64(0x5DEECE66D)
+            low = np.frombuffer(beginning, np.uint8)
+            out.add(int(toxicity.tx.mix(toxicity.tx.span_hashes(low, np.array([0]), np.array([len(low)])) ^ mark)[0]))
+        return out
+
+    got = {r.doc_id: r for r in severity(docs, model).collect()}
+    for d, t, _, _ in data:
+        words = {w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", t.encode())}
+        known = [weight[h] for h in set().union(*map(names, words), set()) if h in weight]
+        f = sum(known) / max(1, len(known)) ** 0.5
+        over = [1 / (1 + np.exp(c - f)) for c in model.cuts]
+        assert abs(got[d].p_toxic - over[0]) < 1e-9 and abs(got[d].expected_severity - sum(over)) < 1e-9
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
