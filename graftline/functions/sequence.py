@@ -253,7 +253,11 @@ def inverted_repeats(five: Column | str, three: Column | str, distance: int = 15
 
 
 def register_all(spark: SparkSession) -> None:
-    """SQL functions: gl_revcomp, gl_canonical, gl_overlap, gl_inverted_repeat."""
+    """SQL functions: gl_revcomp, gl_canonical, gl_overlap, gl_inverted_repeat, and gl_consensus of one site's words and qualities.
+
+    gl_consensus(collect_list(word), collect_list(quals)) gives the site's clusters as
+    array<struct<consensus, n_reads>>; a null word is left out.
+    """
     define = "CREATE OR REPLACE TEMPORARY FUNCTION"
     upper = f"translate(s, '{_LOWER}', '{_UPPER}')"
     spark.sql(f"{define} gl_revcomp(s STRING) RETURNS STRING RETURN translate(reverse({upper}), 'ACGT', 'TGCA')")
@@ -267,5 +271,20 @@ def register_all(spark: SparkSession) -> None:
     def repeat(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         return _repeats(x, y, 15)
 
+    @F.pandas_udf("array<struct<consensus:string,n_reads:long>>")
+    def consensus(words: pd.Series, quals: pd.Series) -> pd.Series:
+        from ..operators.consensus import site_consensus
+
+        def one(own, marks) -> list[dict]:
+            sums: dict[str, list] = {}
+            for w, q in zip(own if own is not None else [], marks if marks is not None else [], strict=False):
+                if w is not None:
+                    held = sums.setdefault(w, [[0] * len(w), 0])
+                    held[0], held[1] = [a + int(b) for a, b in zip(held[0], q, strict=False)], held[1] + 1
+            return [{"consensus": c, "n_reads": n} for c, n in site_consensus([(w, q, n) for w, (q, n) in sums.items()])]
+
+        return pd.Series([one(w, q) for w, q in zip(words, quals, strict=True)])
+
+    spark.udf.register("gl_consensus", consensus)
     spark.udf.register("gl_overlap", overlap)
     spark.udf.register("gl_inverted_repeat", repeat)

@@ -192,7 +192,7 @@ def media_table(docs: DataFrame, rate: int = 16_000, id_col: str = "doc_id", tex
             media = [to_wav(payload(t), rate) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = tx.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return stash(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 

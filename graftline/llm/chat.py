@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stash import new_path
+from ..operators.stash import stash
 from ..operators.unions import union_all
+from . import text as tx
 
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,duration_ms:long,pages:int>>"
 ATTACHMENTS = "array<struct<kind:string,ref:string,position:long,tokens:long>>"
@@ -119,7 +120,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             columns = [pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [()] * 5, [pa.string(), pa.int64(), pa.int64(), attached, pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments", "expanded_tokens"])
 
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(parts_col).alias("parts"))
+    rows = tx.bounded(turns).select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(parts_col).alias("parts"))
     return rows.mapInArrow(run, f"conv_id long, turn long, formatted string, loss_start long, loss_end long, attachments {ATTACHMENTS}, expanded_tokens long")
 
 
@@ -295,6 +296,4 @@ def digests(texts: DataFrame) -> DataFrame:
 
 def format_and_read_back(turns: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Format, write the conversations' texts to the shared folder, read them back and digest."""
-    spark, path = turns.sparkSession, new_path(turns.sparkSession, "chat")
-    conversations(format_turns(turns), chunk_chars).write.partitionBy("whole").parquet(path)
-    return digests(spark.read.schema(TEXTS).parquet(path))
+    return digests(stash(conversations(format_turns(turns), chunk_chars), "chat"))

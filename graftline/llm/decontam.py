@@ -340,7 +340,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
     side stays null.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = tx.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, item_id long, items long, regions long, start long, end long, edits int"
     out = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, p):
@@ -374,5 +374,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(
                 keep[[k for k, _ in find(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = tx.bounded(docs).mapInArrow(run, docs.schema)
     return docs

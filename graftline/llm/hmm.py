@@ -435,7 +435,7 @@ def score(docs: DataFrame, p: Hmm = Hmm(), id_col: str = "doc_id", text_col: str
     end.  Words never trained on have count 0.  Repeated rows count and are scored
     as often as they occur; with no training rows every count is 0.
     """
-    train_docs = docs.filter(~held_out(id_col))
+    train_docs = tx.bounded(docs).filter(~held_out(id_col))
     texts = train_docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = stash(word_counts(texts), "counts")
     words = frequent(counts, p, train_docs.count())

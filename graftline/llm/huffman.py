@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stash import discard, new_path, stash
+from . import text as tx
 from .tokens import END_ID, binary, encoded, encoder
 
 LIMIT = 16
@@ -218,7 +219,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), binary(ids, at), pa.nulls(len(at) - 1, pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([_packed_counts(total)], pa.binary())], names=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = tx.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = stash(source.mapInArrow(tokenise, "doc_id long, n long, ids binary, counts binary"), "ids")
     counts = sum_counts(both.select("counts").filter("counts is not null"), vocab)
     lengths = code_lengths(counts)

@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     returned with a null component, and kept.  An empty table gives an empty one.
     Other columns of ``docs`` are not read.
     """
-    sig = stash(signatures(docs, p, id_col, text_col), "signatures")
+    sig = stash(signatures(tx.bounded(docs), p, id_col, text_col), "signatures")
     real = sig.filter("n_shingles > 0 and doc_id is not null")
     # Written, so that the join reads both sides anew and a class of very many copies can be split.
     classes = stash(real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")

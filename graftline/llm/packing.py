@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stash import new_path
+from ..operators.stash import stash
 from ..operators.unions import union_all
+from . import text as tx
 from .tokens import END_ID, encoded
 
 
@@ -148,15 +149,13 @@ def pack(docs: DataFrame, path: str, p: Packing = Packing(), id_col: str = "doc_
     empty table gives no pieces.  Other columns of ``docs`` are not read.  Packed
     pieces are written to the shared folder and read from there.
     """
-    spark = docs.sparkSession
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(p, TaskContext.get().partitionId() << 40)
         for batch, ids, at in encoded(batches, path, end_id):
             cut = at.tolist()
             for k, doc in enumerate(batch.column(0).to_pylist()):
                 packer.add(doc, ids[cut[k] : cut[k + 1]])
-                if len(packer.out) >= 4096:
+                if len(packer.out) >= 1024:
                     yield packer.take()
             if packer.out:
                 yield packer.take()
@@ -174,11 +173,10 @@ def pack(docs: DataFrame, path: str, p: Packing = Packing(), id_col: str = "doc_
         packer.finish()
         yield packer.take()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
-    at = new_path(spark, "pieces")
-    rows.withColumn("tail", F.col("sequence_id").isNull()).write.option("compression", "zstd").partitionBy("tail").parquet(at)
-    written = spark.read.schema(f"{PIECES}, tail boolean").parquet(at)
-    left = written.filter("tail").select("doc_id", "start", "ids", "doc_tokens", "length")
+    rows = tx.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    # A task's tails come last in its file, so that only the last pages are read for them.
+    written = stash(rows, "pieces")
+    left = written.filter("sequence_id is null").select("doc_id", "start", "ids", "doc_tokens", "length")
     tokens = left.agg(F.sum("length").alias("n")).first()["n"] or 0
     again = left.repartition(max(1, -(-tokens // (p.window * p.length)))).select("doc_id", "start", "ids", "doc_tokens").mapInArrow(tails, PIECES)
-    return union_all([written.filter("not tail").drop("tail"), again])
+    return union_all([written.filter("sequence_id is not null"), again])

@@ -124,7 +124,7 @@ def scan(docs: DataFrame, model: Markov, text_col: str = "text", out_col: str =
     names = [c for c in docs.columns if c not in (out_col, redacted_col)]
     schema = [f for f in docs.schema.fields if f.name in names]
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    rows_in = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
+    rows_in = tx.bounded(docs).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.pieces(batches, 512):

@@ -7,10 +7,12 @@ bijective mixer; all words of a chunk are hashed by one running sum.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at once; a longer single text forms a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -121,6 +123,19 @@ def document_shingles(column: pa.Array, width: int) -> Iterator[tuple[int, np.nd
             yield a + k, shingles(h[first[k] : first[k + 1]], width)
 
 
+def bounded(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``df``, with its session's Arrow batches bounded to so many bytes.
+
+    A batch of 64 MB, Spark's default, stands several times in an executor and its
+    Python worker; of long texts that would be most of a small executor's memory.
+    """
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or not 0 < int(now[1]) <= most:
+        spark.conf.set(name, str(most))
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows."""
     for batch in batches:

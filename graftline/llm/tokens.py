@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 #: Pieces that a worker's dictionary holds since it was last full; as many older ones may stay.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
 #: Bytes of text encoded at once; a longer single text forms a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 END_ID = 1
 
 #: A word of letters that are such in every version of Unicode, and ASCII marks after it.
@@ -205,4 +205,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch, _, at in encoded(batches, path, end_id):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at))], names=["id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long")
+    return tx.bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long")

@@ -90,7 +90,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Ordinal, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["grade", "features"])
 
     # The sample has at most clean_rows + (grades - 1) * per_grade rows of two numbers, so it can be broadcast.
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    texts = tx.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text")
     sample = stash(texts.mapInArrow(run, "grade int, features array<long>"), "sample")
     seen = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     return sample, {g: totals[g] / n for g, n in seen.items()}
@@ -209,7 +209,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             over = score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(over[:, 0]), pa.array(over.sum(axis=1)), pa.array(over[:, 0] >= model.p.threshold)], names=["doc_id", "p_toxic", "expected_severity", "toxic"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = tx.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, p_toxic double, expected_severity double, toxic boolean")
 
 
@@ -226,4 +226,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in tx.pieces(batches, 512):
             yield batch.filter(pa.array(score(batch.column(at))[:, 0] < model.p.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return tx.bounded(docs).mapInArrow(run, docs.schema)

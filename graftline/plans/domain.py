@@ -190,6 +190,13 @@ def prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extend.prefix_counts(words, asked, ["pos"])
 
 
+def found_flanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flank discovery as a whole, for single reads: clips, mates, evidence, ratios, consensus, numbers."""
+    p = FindFlanks(min_softclip_length=3, min_softclip_count=1, min_count_consensus=1)
+    rows = alignments(spark, sf_dir)
+    return flanks.find_flanks(rows, p, files.contigs_of(genome(spark, sf_dir)).drop("number")).drop("flank_id")
+
+
 # --- pairs -----------------------------------------------------------------------------------------------------------
 
 
@@ -258,6 +265,16 @@ def infer_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inferred(infer.infer_database(placed_flanks(spark, sf_dir), targets(spark, sf_dir), InferDatabase(max_edge_distance=900, max_internal_softclip_prop=0.2)))
 
 
+def inferred_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insertions that both flanks span: each order's flanks share their end and their start."""
+    rows = lines(spark, sf_dir).filter("l_linenumber = 1").select("l_orderkey", "q", "d", "x", bases(F.md5(F.concat_ws("-", "l_orderkey", "l_partkey", "q").cast("binary"))).alias("t"), bases(F.md5(F.concat_ws("+", "l_orderkey", "l_suppkey", "q").cast("binary"))).alias("u"))
+    five = F.concat("u", F.substring("t", F.lit(1), 6 + F.col("q") % 25))
+    start = F.substring("t", F.lit(1), 6 + F.col("q") % 25)
+    three = F.concat(F.when(F.col("d") == 3, F.concat(F.lit("N"), F.expr("substring(t, 2, 5 + q % 25)"))).otherwise(start), F.substring(F.reverse("u"), F.lit(1), 4 + F.col("x")))
+    made = rows.select(F.lit("s").alias("sample"), F.col("l_orderkey").cast("int").alias("pair_id"), five.alias("seq_5p"), three.alias("seq_3p"))
+    return infer.infer_overlap(made).select("pair_id", "method", "loc", "inferred_seq_length", "inferred_seq")
+
+
 # --- cohort ----------------------------------------------------------------------------------------------------------
 
 
@@ -335,6 +352,26 @@ def shared_pair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.with_groups(rows).select("cluster", "group").distinct()
 
 
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inferred sequences in families: one for each size, with a changed base, a lost end or the other strand in some lines."""
+    rows = lines(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    seq = bases(F.repeat(F.md5(F.col("p_size").cast("string").cast("binary")), 3))
+    own = F.when(F.col("d") == 1, F.concat(F.expr("substring(_s, 1, 40 + x)"), F.lit("A"), F.expr("substring(_s, 42 + x, 100)"))).when(F.col("d") == 2, F.expr("substring(_s, 1, 96 - x)")).when(F.col("d") == 3, sq.revcomp("_s")).otherwise(F.col("_s"))
+    out = rows.withColumn("_s", seq).withColumn("_t", own)
+    return out.select(F.lit("s").alias("sample"), F.col("l_orderkey").cast("int").alias("pair_id"), _method((F.col("q") + F.col("d")) % 6).alias("method"), F.lit("").alias("loc"), F.length("_t").alias("inferred_seq_length"), F.col("_t").alias("inferred_seq"))
+
+
+def clustered_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those sequences numbered longest first, clustered by near identity, and grouped by shared pairs."""
+    rows = cohort.cluster_sequences([families(spark, sf_dir).filter("method <> 'inferred_database'")])
+    return rows.groupBy("seqid", "cluster", "group").agg(F.count("*").alias("n"), F.min("inferred_seq_length").alias("length"))
+
+
+def element_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One representative of each family of near-identical sequences."""
+    return cohort.make_database([families(spark, sf_dir)]).select("name", F.length("seq").alias("length"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
@@ -403,6 +440,7 @@ QUERIES = (
     merged_clip_words,
     prefix_consensus,
     prefix_counts,
+    found_flanks,
     junction_spanning,
     region_consensus,
     inverted_repeats,
@@ -411,12 +449,15 @@ QUERIES = (
     infer_in_context,
     element_filter,
     infer_database,
+    inferred_overlaps,
     genotype,
     genotype_summary,
     cluster_fasta,
     null_genotypes,
     evidence_methods,
     shared_pair_groups,
+    clustered_sequences,
+    element_database,
     fasta_round_trip,
     tsv_round_trip,
     sam_round_trip,

@@ -41,9 +41,9 @@ _CLIPS = """clips AS (
            list_transform(range(ll - 1, -1, -1), lambda i: 20 + (i + q) % 20) FROM good WHERE ll > 0)"""
 
 
-def _site_counts(least: int = 2, sample: str = "sample") -> str:
+def _site_counts(least: int = 2, sample: str = "sample", length: int = 8) -> str:
     return f"""counted AS (
-    SELECT *, coalesce(long_5p >= 8, false) AND softclip_count_5p >= {least} AS keep_5p, coalesce(long_3p >= 8, false) AND softclip_count_3p >= {least} AS keep_3p
+    SELECT *, coalesce(long_5p >= {length}, false) AND softclip_count_5p >= {least} AS keep_5p, coalesce(long_3p >= {length}, false) AND softclip_count_3p >= {least} AS keep_3p
     FROM (SELECT {sample} AS sample, contig, pos, count(DISTINCT read_name) FILTER (WHERE orient = '5p') AS softclip_count_5p,
                  count(DISTINCT read_name) FILTER (WHERE orient = '3p') AS softclip_count_3p,
                  max(clip_len) FILTER (WHERE orient = '5p') AS long_5p, max(clip_len) FILTER (WHERE orient = '3p') AS long_3p
@@ -77,8 +77,42 @@ _COUNTED = [f"{k[:-3]}_count{k[-3:]}" if k[-1] == "p" else f"{k}_count" for k in
 _ZEROED = ", ".join(f"coalesce({c}, 0) AS {c}" for c in _COUNTED)
 _TOTAL = "softclip_count_5p + softclip_count_3p + " + " + ".join(f"coalesce({c}, 0)" for c in _COUNTED[:6])
 
+def _near(name: str, sites: str, distance: int = 22) -> str:
+    """Sites whose keep flags hold only where a site of the other orientation is near."""
+    other = lambda o, low, high: f"EXISTS (SELECT 1 FROM {sites} t WHERE t.sample = s.sample AND t.contig = s.contig AND t.softclip_count_{o} > 0 AND t.pos BETWEEN s.pos {low} AND s.pos {high})"
+    return f"""{name} AS (SELECT * FROM (SELECT * REPLACE (keep_5p AND {other("3p", f"- {distance}", "- 1")} AS keep_5p, keep_3p AND {other("5p", "+ 1", f"+ {distance}")} AS keep_3p) FROM {sites} s) WHERE keep_5p OR keep_3p)"""
+
+
+_RATIOS = """ratios AS (SELECT * FROM (SELECT * REPLACE (
+            keep_5p AND (softclip_count_5p + large_insertion_count_5p + large_insertion_count_3p) / CAST(total_count AS DOUBLE) >= 0.1 AND (small_insertion_count_5p + deletion_count) / CAST(total_count AS DOUBLE) <= 0.03 AS keep_5p,
+            keep_3p AND (softclip_count_3p + large_insertion_count_5p + large_insertion_count_3p) / CAST(total_count AS DOUBLE) >= 0.1 AND (small_insertion_count_3p + deletion_count) / CAST(total_count AS DOUBLE) <= 0.03 AS keep_3p) FROM counts)
+        WHERE (keep_5p OR keep_3p) AND upstream_deletion_count / CAST(total_count AS DOUBLE) <= 0.03 AND downstream_deletion_count / CAST(total_count AS DOUBLE) <= 0.03)"""
+
+
+def _clusters(keys: str, least: int) -> str:
+    """Consensus words of ``words`` (keys, word, quals): leaves, their clusters, and the walk along their beginnings."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys.split(", "))
+    return f"""own AS (SELECT DISTINCT {keys}, word FROM words),
+        leaves AS (SELECT * FROM own a WHERE NOT EXISTS (SELECT 1 FROM own b WHERE {on("b", "a")} AND length(b.word) > length(a.word) AND starts_with(b.word, a.word))),
+        edges AS (SELECT {of("a")}, a.word AS u, b.word AS v FROM leaves a JOIN leaves b ON {on("a", "b")} AND a.word <> b.word
+                  WHERE 1 - levenshtein(left(a.word, least(length(a.word), length(b.word))), left(b.word, least(length(a.word), length(b.word)))) / CAST(least(length(a.word), length(b.word)) AS DOUBLE) >= 0.75),
+        reach({keys}, word, label) AS (
+            SELECT {keys}, word, word FROM leaves
+            UNION SELECT {of("e")}, e.v, r.label FROM reach r JOIN edges e ON {on("e", "r")} AND e.u = r.word WHERE r.label < e.v),
+        member AS (SELECT {keys}, word, min(label) AS root FROM reach GROUP BY ALL),
+        begins AS (SELECT DISTINCT {keys}, root, left(word, CAST(k AS INTEGER)) AS start FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM member)),
+        spots AS (SELECT {of("w")}, root, k, w.word[CAST(k AS INTEGER)] AS c, quals[CAST(k AS INTEGER)] AS qu
+               FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM words) w JOIN begins b ON {on("b", "w")} AND b.start = left(w.word, CAST(k AS INTEGER))),
+        chars AS (SELECT {keys}, root, k, c, sum(qu) AS w, sum(count(*)) OVER (PARTITION BY {keys}, root, k) AS n FROM spots GROUP BY {keys}, root, k, c),
+        calls AS (SELECT {keys}, root, k, CASE WHEN count(*) FILTER (WHERE w = m) > 1 THEN 'N' ELSE max(c) FILTER (WHERE w = m) END AS c
+                  FROM (SELECT *, max(w) OVER (PARTITION BY {keys}, root, k) AS m FROM chars WHERE n >= {least}) GROUP BY ALL),
+        texts AS (SELECT {keys}, root, string_agg(c, '' ORDER BY k) AS consensus FROM calls GROUP BY ALL),
+        reads_of AS (SELECT {of("w")}, root, count(*) AS n_reads FROM words w JOIN begins b ON {on("b", "w")} AND b.start = w.word GROUP BY ALL)"""
+
+
 _WORDS = f"""words AS (
-    SELECT pos, orient, q, left(CASE WHEN d = 9 THEN left(t, 4) || 'T' || substr(t, 6, 40) ELSE t END, 6 + q % 20) AS word
+    SELECT pos, orient, list_transform(range(6 + q % 20), lambda i: 10 + (i * 7 + q) % 30) AS quals, left(CASE WHEN d = 9 THEN left(t, 4) || 'T' || substr(t, 6, 40) ELSE t END, 6 + q % 20) AS word
     FROM (SELECT l_partkey AS pos, l_linestatus AS orient, q, d, {_bases("md5((x % 2) || '-' || l_partkey)")} AS t FROM lines))"""
 
 _TARGETS = f"""targets AS (SELECT 'c' || l_returnflag AS contig, {_bases(f"repeat(md5(l_returnflag), {DIGESTS})")} AS target FROM lineitem GROUP BY l_returnflag)"""
@@ -151,6 +185,26 @@ _GENOTYPES = f"""{_CLUSTERSEQ}, insertions AS (
     UNION ALL SELECT sample, pair_id, contig, pos_5p, seqid, cluster, "group", 'ArML' FROM seen WHERE ns <> 1 AND nl = 1 AND NOT lenient
     UNION ALL SELECT sample, pair_id, contig, pos_5p, string_agg(DISTINCT seqid, ';' ORDER BY seqid), string_agg(DISTINCT cluster, ';' ORDER BY cluster), "group", 'A' FROM rest GROUP BY sample, pair_id, contig, pos_5p, "group")"""
 
+_FAMILIES = f"""{_LINES}, family AS (
+    SELECT pair_id, method, seq, md5(least(seq, {_REVCOMP.format("seq")})) AS key FROM (
+        SELECT pair_id, method, CASE d WHEN 1 THEN substr(s, 1, 40 + x) || 'A' || substr(s, 42 + x, 100) WHEN 2 THEN substr(s, 1, 96 - x) WHEN 3 THEN {_REVCOMP.format("s")} ELSE s END AS seq
+        FROM (SELECT l_orderkey AS pair_id, d, x, {_METHOD} AS method, {_bases("repeat(md5(CAST(p_size AS VARCHAR)), 3)")} AS s FROM lines JOIN part ON l_partkey = p_partkey)))"""
+
+
+def _greedy(rows: str, least: int, identity: float, coverage: float) -> str:
+    """``clustered`` (k, key, seq, rep): greedy clusters of the distinct sequences, numbered longest first."""
+    return f"""numbered AS (SELECT row_number() OVER (ORDER BY length(seq) DESC, key) AS k, key, seq FROM (SELECT key, min(seq) AS seq FROM family WHERE {rows} AND length(seq) BETWEEN {least} AND 200000 GROUP BY key)),
+        pairs AS (SELECT a.k AS u, b.k AS v FROM numbered a JOIN numbered b ON a.k < b.k AND length(b.seq) >= {coverage} * length(a.seq)
+                  WHERE least(levenshtein(b.seq, a.seq), levenshtein({_REVCOMP.format("b.seq")}, a.seq)) <= floor((1 - {identity}) * length(b.seq) + 1e-9) + length(a.seq) - length(b.seq)),
+        before AS (SELECT n.k, coalesce(list(u ORDER BY u) FILTER (WHERE u IS NOT NULL), []) AS us FROM numbered n LEFT JOIN pairs ON v = n.k GROUP BY n.k),
+        walk(k, rep, reps) AS (
+            SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), [CAST(1 AS BIGINT)]
+            UNION ALL
+            SELECT k, rep, CASE WHEN rep = k THEN list_append(reps, k) ELSE reps END FROM (
+                SELECT b.k, coalesce(list_min(list_filter(us, lambda u: list_contains(reps, u))), b.k) AS rep, reps FROM walk w JOIN before b ON b.k = w.k + 1)),
+        clustered AS (SELECT n.k, key, seq, rep FROM numbered n JOIN walk USING (k))"""
+
+
 _ONE_QUAL = "list_sum(list_transform({}, lambda i: 20 + (i + q) % 20))"
 
 ORACLE: dict[str, str] = {
@@ -173,10 +227,21 @@ ORACLE: dict[str, str] = {
         FROM sites s) SELECT * FROM near WHERE keep_5p OR keep_3p""",
     "site_evidence_classes": f"""WITH {_READS}, {_CLIPS}, {_site_counts()}, {_evidence("sites", "r.sample", f"least(t.pos + 2, {_LENGTH})", f"pos < {_LENGTH} - 1")},
         counts AS (SELECT sample, contig, pos, softclip_count_5p, softclip_count_3p, keep_5p, keep_3p, {_ZEROED}, {_TOTAL} AS total_count FROM sites LEFT JOIN evidence USING (sample, contig, pos)),
-        ratios AS (SELECT * REPLACE (
-            keep_5p AND (softclip_count_5p + large_insertion_count_5p + large_insertion_count_3p) / CAST(total_count AS DOUBLE) >= 0.1 AND (small_insertion_count_5p + deletion_count) / CAST(total_count AS DOUBLE) <= 0.03 AS keep_5p,
-            keep_3p AND (softclip_count_3p + large_insertion_count_5p + large_insertion_count_3p) / CAST(total_count AS DOUBLE) >= 0.1 AND (small_insertion_count_3p + deletion_count) / CAST(total_count AS DOUBLE) <= 0.03 AS keep_3p) FROM counts)
-        SELECT * FROM ratios WHERE (keep_5p OR keep_3p) AND upstream_deletion_count / CAST(total_count AS DOUBLE) <= 0.03 AND downstream_deletion_count / CAST(total_count AS DOUBLE) <= 0.03""",
+        {_RATIOS} SELECT * FROM ratios""",
+    "found_flanks": f"""WITH RECURSIVE {_READS}, {_CLIPS}, {_site_counts(1, length=3)}, {_near("near_1", "sites")}, {_evidence("near_1", "r.sample", f"least(t.pos + 2, {_LENGTH})", f"pos < {_LENGTH} - 1")},
+        counts AS (SELECT sample, contig, pos, softclip_count_5p, softclip_count_3p, keep_5p, keep_3p, {_ZEROED}, {_TOTAL} AS total_count FROM near_1 LEFT JOIN evidence USING (sample, contig, pos)),
+        {_RATIOS}, {_near("near_2", "ratios")},
+        single AS (SELECT sample, contig, pos, orient, read_name, i, word[CAST(i AS INTEGER)] AS b, quals[CAST(i AS INTEGER)] AS qu FROM (
+            SELECT c.*, unnest(range(1, length(word) + 1)) AS i FROM clips c JOIN near_2 n USING (sample, contig, pos) WHERE CASE WHEN orient = '5p' THEN keep_5p ELSE keep_3p END)),
+        words AS (SELECT sample, contig, pos, orient, read_name, string_agg(b, '' ORDER BY i) AS word, list(qu ORDER BY i) AS quals
+                  FROM (SELECT * FROM single QUALIFY row_number() OVER (PARTITION BY sample, contig, pos, orient, read_name, i ORDER BY qu DESC, b) = 1) GROUP BY sample, contig, pos, orient, read_name),
+        {_clusters("sample, contig, pos, orient", 1)},
+        top AS (SELECT sample, contig, pos, orient, consensus, n_reads FROM reads_of JOIN texts USING (sample, contig, pos, orient, root) WHERE length(consensus) >= 3
+                QUALIFY row_number() OVER (PARTITION BY sample, contig, pos, orient ORDER BY n_reads DESC, length(consensus) DESC, consensus) = 1),
+        flagged AS (SELECT * REPLACE (has_5p AS keep_5p, has_3p AS keep_3p) FROM near_2 JOIN (SELECT sample, contig, pos, bool_or(orient = '5p') AS has_5p, bool_or(orient = '3p') AS has_3p FROM top GROUP BY ALL) USING (sample, contig, pos)),
+        {_near("near_3", "flagged")}
+        SELECT * EXCLUDE (keep_5p, keep_3p, has_5p, has_3p, consensus, n_reads), n_reads AS consensus_softclip_count, CASE WHEN orient = '3p' THEN reverse(consensus) ELSE consensus END AS consensus_seq
+        FROM near_3 JOIN top USING (sample, contig, pos) WHERE CASE WHEN orient = '5p' THEN keep_5p ELSE keep_3p END""",
     "recall_counts": f"""WITH {_READS}, {_CLIPS}, asked AS (SELECT DISTINCT 's' AS sample, 'c' || l_suppkey AS contig, unnest([day, day - 5]) AS pos FROM lines WHERE q = 50),
         wanted AS (SELECT DISTINCT 'c' || l_suppkey AS contig, day AS pos, '5p' AS orient FROM lines WHERE q = 50 UNION SELECT DISTINCT 'c' || l_suppkey, day - 5, '3p' FROM lines WHERE q = 50),
         counted AS (SELECT contig, pos, count(DISTINCT read_name) FILTER (WHERE orient = '5p') AS softclip_count_5p, count(DISTINCT read_name) FILTER (WHERE orient = '3p') AS softclip_count_3p FROM clips GROUP BY contig, pos),
@@ -186,23 +251,8 @@ ORACLE: dict[str, str] = {
     "merged_clip_words": f"""WITH {_READS}, {_CLIPS}, spots AS (SELECT contig, pos, orient, read_name, i, word[CAST(i AS INTEGER)] AS b, quals[CAST(i AS INTEGER)] AS qu FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM clips)),
         best AS (SELECT * FROM spots QUALIFY row_number() OVER (PARTITION BY contig, pos, orient, read_name, i ORDER BY qu DESC, b) = 1)
         SELECT contig, pos, orient, read_name, string_agg(b, '' ORDER BY i) AS word, CAST(sum(qu) AS INTEGER) AS quality FROM best GROUP BY contig, pos, orient, read_name""",
-    "prefix_consensus": f"""WITH RECURSIVE {_LINES}, {_WORDS}, own AS (SELECT DISTINCT pos, orient, word FROM words),
-        leaves AS (SELECT * FROM own a WHERE NOT EXISTS (SELECT 1 FROM own b WHERE b.pos = a.pos AND b.orient = a.orient AND length(b.word) > length(a.word) AND starts_with(b.word, a.word))),
-        edges AS (SELECT a.pos, a.orient, a.word AS u, b.word AS v FROM leaves a JOIN leaves b ON a.pos = b.pos AND a.orient = b.orient AND a.word <> b.word
-                  WHERE 1 - levenshtein(left(a.word, least(length(a.word), length(b.word))), left(b.word, least(length(a.word), length(b.word)))) / CAST(least(length(a.word), length(b.word)) AS DOUBLE) >= 0.75),
-        reach(pos, orient, word, label) AS (
-            SELECT pos, orient, word, word FROM leaves
-            UNION SELECT e.pos, e.orient, e.v, r.label FROM reach r JOIN edges e ON e.pos = r.pos AND e.orient = r.orient AND e.u = r.word WHERE r.label < e.v),
-        member AS (SELECT pos, orient, word, min(label) AS root FROM reach GROUP BY ALL),
-        begins AS (SELECT DISTINCT pos, orient, root, left(word, CAST(k AS INTEGER)) AS start FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM member)),
-        spots AS (SELECT w.pos, w.orient, root, k, w.word[CAST(k AS INTEGER)] AS c, 10 + ((k - 1) * 7 + q) % 30 AS qu
-               FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM words) w JOIN begins b ON b.pos = w.pos AND b.orient = w.orient AND b.start = left(w.word, CAST(k AS INTEGER))),
-        chars AS (SELECT pos, orient, root, k, c, sum(qu) AS w, sum(count(*)) OVER (PARTITION BY pos, orient, root, k) AS n FROM spots GROUP BY pos, orient, root, k, c),
-        calls AS (SELECT pos, orient, root, k, CASE WHEN count(*) FILTER (WHERE w = m) > 1 THEN 'N' ELSE max(c) FILTER (WHERE w = m) END AS c
-                  FROM (SELECT *, max(w) OVER (PARTITION BY pos, orient, root, k) AS m FROM chars WHERE n >= 2) GROUP BY ALL),
-        texts AS (SELECT pos, orient, root, string_agg(c, '' ORDER BY k) AS consensus FROM calls GROUP BY ALL),
-        counts AS (SELECT w.pos, w.orient, root, count(*) AS n_reads FROM words w JOIN begins b ON b.pos = w.pos AND b.orient = w.orient AND b.start = w.word GROUP BY ALL)
-        SELECT pos, orient, coalesce(consensus, '') AS consensus, n_reads FROM counts LEFT JOIN texts USING (pos, orient, root)""",
+    "prefix_consensus": f"""WITH RECURSIVE {_LINES}, {_WORDS}, {_clusters("pos, orient", 2)}
+        SELECT pos, orient, coalesce(consensus, '') AS consensus, n_reads FROM reads_of LEFT JOIN texts USING (pos, orient, root)""",
     "prefix_counts": f"""WITH {_LINES}, {_WORDS}, asked AS (SELECT DISTINCT left(word, CAST(k AS INTEGER)) AS prefix FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words WHERE pos = 1))
         SELECT pos, prefix, count(*) AS reads FROM words JOIN asked ON starts_with(word, prefix) GROUP BY pos, prefix""",
     "junction_spanning": f"""WITH {_READS}, {_CLIPS}, {_site_counts(1, "'s'")},
@@ -260,6 +310,26 @@ ORACLE: dict[str, str] = {
         top AS (SELECT * FROM ends QUALIFY f.score + r.score = max(f.score + r.score) OVER (PARTITION BY pair_id)),
         {_TARGETS}, sized AS (SELECT *, f.left_seq || substr(target, f."start" + 1, greatest(0, r."end" - f."start")) || r.right_seq AS whole_seq FROM top JOIN targets USING (contig))
         {_finished("whole_seq", "'inferred_database'", "sized")} WHERE length(whole_seq) > 0""",
+    "inferred_overlaps": f"""WITH {_LINES}, made AS (SELECT l_orderkey AS pair_id, row_number() OVER () AS id, {_bases("md5(l_orderkey || '-' || l_partkey || '-' || q)")} AS t, {_bases("md5(l_orderkey || '+' || l_suppkey || '+' || q)")} AS u, q, d, x FROM lines WHERE l_linenumber = 1),
+        pairs AS (SELECT pair_id, id, u || left(t, 6 + q % 25) AS a, CASE WHEN d = 3 THEN 'N' || substr(t, 2, 5 + q % 25) ELSE left(t, 6 + q % 25) END || left(reverse(u), 4 + x) AS b FROM made),
+        shifts AS (SELECT *, unnest(range(1 - length(b), length(a))) AS shift FROM pairs),
+        places AS (SELECT *, greatest(shift, 0) AS i, greatest(-shift, 0) AS j, least(length(a) - greatest(shift, 0), length(b) - greatest(-shift, 0)) AS n FROM shifts),
+        scored AS (SELECT *, hamming(substr(a, i + 1, n), substr(b, j + 1, n)) AS miss FROM places),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY n - 2 * miss DESC, shift DESC) = 1),
+        merged AS (SELECT *, least(n, greatest(0, (i + length(b) - j) // 2 + 1 - i)) AS k FROM best WHERE n - 2 * miss >= 10 AND 1 - miss / CAST(n AS DOUBLE) > 0.9)
+        SELECT CAST(pair_id AS INTEGER) AS pair_id, 'inferred_overlap' AS method, 'seq_5p:' || i || '-' || (i + n) || ';seq_3p:' || j || '-' || (j + n) AS loc,
+               CAST(i + length(b) - j AS INTEGER) AS inferred_seq_length, left(a, i + k) || substr(b, j + k + 1) AS inferred_seq FROM merged WHERE i + length(b) - j >= 30""",
+    "clustered_sequences": f"""WITH RECURSIVE {_FAMILIES}, {_greedy("method <> 'inferred_database'", 70, 0.9, 0.85)},
+        labelled AS (SELECT f.pair_id, 's' || c.k AS seqid, 'c' || c.rep AS cluster, length(f.seq) AS n FROM family f JOIN clustered c ON c.key = f.key WHERE method <> 'inferred_database'),
+        firsts AS (SELECT pair_id, min(cluster) AS u FROM labelled GROUP BY pair_id),
+        links AS (SELECT DISTINCT u, cluster AS v FROM labelled JOIN firsts USING (pair_id) WHERE u <> cluster),
+        both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+        reach(node, label) AS (SELECT DISTINCT cluster, cluster FROM labelled UNION SELECT b.v, r.label FROM reach r JOIN both_ways b ON b.u = r.node WHERE r.label < b.v),
+        roots AS (SELECT node, min(label) AS root FROM reach GROUP BY node),
+        numbers AS (SELECT root, 'g' || row_number() OVER (ORDER BY length(root), root) AS "group" FROM (SELECT DISTINCT root FROM roots))
+        SELECT seqid, cluster, "group", count(*) AS n, CAST(min(n) AS INTEGER) AS length FROM labelled JOIN roots ON node = cluster JOIN numbers USING (root) GROUP BY seqid, cluster, "group\"""",
+    "element_database": f"""WITH RECURSIVE {_FAMILIES}, {_greedy("true", 30, 0.99, 0.99)}
+        SELECT 'e' || left(key, 12) AS name, CAST(length(seq) AS INTEGER) AS length, md5(seq) AS seq_md5 FROM clustered WHERE rep = k""",
     "genotype": f"""WITH {_GENOTYPES}
         SELECT sample, CAST(pair_id AS INTEGER) AS pair_id, contig, CAST(pos_5p - 6 AS INTEGER) AS pos_3p, CAST(pos_5p AS INTEGER) AS pos_5p, seqid, cluster, "group", conf FROM typed""",
     "genotype_summary": f"""WITH {_GENOTYPES}, opened AS (SELECT * REPLACE (unnest(string_split(cluster, ';')) AS cluster) FROM typed),

@@ -61,6 +61,33 @@ def write_fasta(rows: DataFrame, path: str, name: str | None = "name", seq: str
     rows.select(F.concat(F.lit(">"), label, F.lit("\n"), F.col(seq)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_fasta_with_quals(rows: DataFrame, path: str, name: str = "name", seq: str = "seq", quals: str = "quals") -> None:
+    """Sequences under ``path``.seq and their qualities, as numbers with blanks between, under ``path``.qual, in one order.
+
+    This is what local assemblers take; reads without qualities have a 0 for each base.
+    """
+    label = F.concat(F.lit(">"), F.col(name).cast("string"))
+    numbers = F.array_join(F.coalesce(F.col(quals), F.array_repeat(F.lit(0), F.length(seq))), " ")
+    for end, body in (("seq", F.col(seq)), ("qual", numbers)):
+        rows.select(F.concat(label, F.lit("\n"), body).alias("value")).write.mode("overwrite").text(f"{path}.{end}")
+
+
+def parse_repeat_arms(lines: DataFrame) -> DataFrame:
+    """(name, start_5p, end_5p, arm_5p, start_3p, end_3p, arm_3p) of a repeat finder's FASTA output.
+
+    Consecutive records are the two arms of a repeat; a record's name ends in
+    ``_start_end``.  The output is of one pair of flanks; its lines are numbered in one task.
+    """
+    numbered = lines.filter(F.length("value") > 0).withColumn("_n", F.monotonically_increasing_id())
+    record = F.sum(F.when(F.col("value").startswith(">"), 1).otherwise(0)).over(Window.orderBy("_n"))
+    rows = numbered.withColumn("_r", record).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("all"))
+    head, body = F.col("all")[0]["value"], F.array_join(F.transform(F.slice("all", 2, 1 << 30), lambda x: x["value"]), "")
+    part = lambda k: F.regexp_extract(head, "^>(.*)_(\\d+)_(\\d+)", k)
+    arm = F.struct(part(1).alias("name"), part(2).cast("int").alias("start"), part(3).cast("int").alias("end"), body.alias("seq"))
+    arms = rows.select(F.floor((F.col("_r") - 1) / 2).alias("k"), (F.col("_r") % 2 == 1).alias("first"), arm.alias("a")).groupBy("k").agg(F.max(F.when(F.col("first"), F.col("a"))).alias("a"), F.max(F.when(~F.col("first"), F.col("a"))).alias("b"))
+    return arms.filter("b is not null").select("a.name", *[F.col(f"{x}.{c}").alias(f"{n}_{o}") for x, o in (("a", "5p"), ("b", "3p")) for c, n in (("start", "start"), ("end", "end"), ("seq", "arm"))])
+
+
 def read_tsv(spark: SparkSession, paths: list[str] | str, schema: StructType) -> DataFrame:
     """Tables with a header, by explicit schema; only an empty field of a non-string column is null."""
     out = []

@@ -62,6 +62,14 @@ def cigar_row(spark, cigar, md=None, start=100):
     return spark.createDataFrame([(cigar, md, start)], "c string, md string, s int").withColumn("cigar", cg.parse_cigar("c"))
 
 
+def test_consensus_in_sql(spark):
+    sq.register_all(spark)
+    rows = [(1, "ACGT", [9, 9, 9, 9]), (1, "ACG", [1, 1, 1]), (1, "ACGA", [9, 9, 9, 9]), (1, None, None), (2, "T", [3]), (3, None, None)]
+    spark.createDataFrame(rows, "k int, word string, quals array<int>").createOrReplaceTempView("clip_words")
+    got = spark.sql("select k, inline(gl_consensus(collect_list(word), collect_list(quals))) from clip_words group by k").collect()
+    assert {tuple(r) for r in got} == {(1, "ACGN", 3), (2, "", 1)}
+
+
 def test_clips(spark):
     for cigar, md, side, strict, lenient, site in [
         ("90M10S", "90", "right", 10, 10, 190),

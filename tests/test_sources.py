@@ -161,3 +161,21 @@ def test_bam_in_splits(spark, tmp_path):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(list(tmp_path.glob("*.bam"))) == 3
+
+
+def test_headers_with_marks(spark, tmp_path):
+    """Only a mark that begins a line begins a record."""
+    path = tmp_path / "x.fna"
+    path.write_text(">c1 gene A>B fusion\nACGT\r\nAC>GT\n>c2>x\nTT\n")
+    assert sorted(map(tuple, files.read_fasta(spark, str(path)).collect())) == [("c1", "ACGTAC>GT"), ("c2>x", "TT")]
+
+
+def test_assembler_and_repeat_files(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "ACG", [40, 2, 7]), ("r2", "TT", None)], "name string, seq string, quals array<int>")
+    files.write_fasta_with_quals(rows, str(tmp_path / "reads"))
+    assert sorted(map(tuple, files.read_fasta(spark, str(tmp_path / "reads.seq")).collect())) == [("r1", "ACG"), ("r2", "TT")]
+    text = "\n".join(sorted(r.value for r in spark.read.text(str(tmp_path / "reads.qual")).collect()))
+    assert text == "0 0\n40 2 7\n>r1\n>r2"
+    (tmp_path / "arms").write_text(">p_1_3_17\nACGT\nAC\n>p_1_60_74\nGT\n>p_2_1_4\nAAAA\n>p_2_9_12\nTTTT\n")
+    got = sorted(map(tuple, files.parse_repeat_arms(spark.read.text(str(tmp_path / "arms"))).collect()))
+    assert got == [("p_1", 3, 17, "ACGTAC", 60, 74, "GT"), ("p_2", 1, 4, "AAAA", 9, 12, "TTTT")]
