@@ -125,9 +125,14 @@ def merge_overlap(a: str, b: str, min_score: int, min_identity: float) -> tuple[
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int:
-    """The edit distance, or most + 1 if it is greater: bit-parallel over a's characters."""
+    """The edit distance, or most + 1 if it is greater: bit-parallel over a's characters.
+
+    Now and then the column is written out; no way through it within ``most`` edits ends the work.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if a == b:
+        return 0
     if not a:
         return min(len(b), most + 1)
     where: dict[str, int] = {}
@@ -135,6 +140,8 @@ def edit_distance_within(a: str, b: str, most: int) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
+    place, step, size = np.arange(1, len(a) + 1), max(64, len(a) // 16), -(-len(a) // 8)
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little")[: len(a)].astype(np.int64)
     for n, c in enumerate(b, 1):
         eq = where.get(c, 0)
         x = (((eq & up) + up) ^ up) | eq
@@ -151,6 +158,11 @@ def edit_distance_within(a: str, b: str, most: int) -> int:
         y = eq | down
         up = minus | (full & ~(y | plus))
         down = plus & y
+        if n % step == 0:
+            rest = len(a) - (len(b) - n)
+            column = n + np.cumsum(bits(up) - bits(down)) + np.abs(rest - place)
+            if min(int(column.min()), n + abs(rest)) > most:
+                return most + 1
     return min(score, most + 1)
 
 
