@@ -47,14 +47,16 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     Where spans can be far longer than ``width``, further ``levels`` of bins, each
     eight times as wide as the one below, keep a span from making a row for every
     ``width`` positions: a span's own level is the first whose bins are as long as it
-    is, it is dealt to this and the wider ones, and a pair stands at the higher of
-    its two levels.  A row then makes at most ``levels`` + 2 rows, or one more for
-    each of the widest bins that it covers.
+    is, it is dealt to this and the wider ones, and a pair meets at the higher of
+    its two levels alone: wider copies of a row meet only rows whose own level that is.
+    A row then makes at most ``levels`` + 2 rows, or one more for each of the widest
+    bins that it covers.
     """
     b = fresh(left, right)
     ls, le = left_span
     rs, re = right_span
     step, top = 8, levels
+    at, side = b + "k", b + "m"
 
     def level(s: str, e: str) -> Column:
         if not top:
@@ -62,17 +64,19 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
         length = (F.col(e) - F.col(s)).cast("double")
         return F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log(F.greatest(length, F.lit(1.0)) / width) / math.log(step) - 1e-12).cast("int"))).cast("int")
 
-    def size(k: Column) -> Column:
-        return F.lit(width).cast("long") * F.round(F.pow(F.lit(float(step)), k)).cast("long")
+    size = F.element_at(F.array(*[F.lit(width * step**k).cast("long") for k in range(top + 1)]), F.col(at) + 1)
 
-    def binned(df: DataFrame, s: str, e: str, own: str) -> DataFrame:
+    def binned(df: DataFrame, s: str, e: str, own: str, met: Column) -> DataFrame:
         rows = df.filter(F.col(s) < F.col(e)).withColumn(own, level(s, e))
-        return rows.withColumn(b + "k", F.explode(F.sequence(F.col(own), F.lit(top)))).withColumn(b, F.explode(F.sequence(F.floor(F.col(s) / size(F.col(b + "k"))).cast("long"), F.floor((F.col(e) - 1) / size(F.col(b + "k"))).cast("long"))))
-
-    pairs = binned(left, ls, le, b + "l").join(binned(right, rs, re, b + "r"), [*keys, b + "k", b])
-    later = F.floor(F.greatest(F.col(ls), F.col(rs)) / size(F.col(b + "k"))).cast("long")
-    pairs = pairs.filter((F.col(b + "k") == F.greatest(b + "l", b + "r")) & (F.col(b) == later) & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
-    return pairs.drop(b, b + "k", b + "l", b + "r")
+        rows = rows.withColumn(at, F.explode(F.sequence(F.col(own), F.lit(top)))).withColumn(side, F.explode(met))
+        return rows.withColumn(own, F.floor(F.col(s) / size).cast("long")).withColumn(b, F.explode(F.sequence(F.col(own), F.floor((F.col(e) - 1) / size).cast("long"))))
+
+    # Meeting 0: a right row at its own level; meeting 1: a left row at its own level and a right row of a lower one.
+    lefts = binned(left, ls, le, b + "l", F.when((F.col(at) == F.col(b + "l")) & (F.col(at) > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rights = binned(right, rs, re, b + "r", F.array(F.when(F.col(at) == F.col(b + "r"), F.lit(0)).otherwise(F.lit(1))))
+    pairs = lefts.join(rights, [*keys, at, side, b])
+    pairs = pairs.filter((F.col(b) == F.greatest(b + "l", b + "r")) & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
+    return pairs.drop(b, at, side, b + "l", b + "r")
 
 
 def nearest_within(sites: DataFrame, keys: list[str], pos: str, is_5p: Column, is_3p: Column, distance: int, out_5p: str = "near_5p", out_3p: str = "near_3p", width: int | None = None) -> DataFrame:
