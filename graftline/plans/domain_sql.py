@@ -193,16 +193,16 @@ _FAMILIES = f"""{_LINES}, family AS (
 
 def _greedy(rows: str, least: int, identity: float, coverage: float) -> str:
     """``clustered`` (k, key, seq, rep): greedy clusters of the distinct sequences, numbered longest first."""
-    return f"""numbered AS (SELECT row_number() OVER (ORDER BY length(seq) DESC, key) AS k, key, seq FROM (SELECT key, min(seq) AS seq FROM family WHERE {rows} AND length(seq) BETWEEN {least} AND 200000 GROUP BY key)),
-        pairs AS (SELECT a.k AS u, b.k AS v FROM numbered a JOIN numbered b ON a.k < b.k AND length(b.seq) >= {coverage} * length(a.seq)
+    return f"""numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY length(seq) DESC, key) AS k, key, seq FROM (SELECT key, min(seq) AS seq FROM family WHERE {rows} AND length(seq) BETWEEN {least} AND 200000 GROUP BY key)),
+        pairs AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM numbered a JOIN numbered b ON a.k < b.k AND length(b.seq) >= {coverage} * length(a.seq)
                   WHERE least(levenshtein(b.seq, a.seq), levenshtein({_REVCOMP.format("b.seq")}, a.seq)) <= floor((1 - {identity}) * length(b.seq) + 1e-9) + length(a.seq) - length(b.seq)),
-        before AS (SELECT n.k, coalesce(list(u ORDER BY u) FILTER (WHERE u IS NOT NULL), []) AS us FROM numbered n LEFT JOIN pairs ON v = n.k GROUP BY n.k),
+        before AS MATERIALIZED (SELECT n.k, coalesce(list(u ORDER BY u) FILTER (WHERE u IS NOT NULL), []) AS us FROM numbered n LEFT JOIN pairs ON v = n.k GROUP BY n.k),
         walk(k, rep, reps) AS (
             SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), [CAST(1 AS BIGINT)]
             UNION ALL
             SELECT k, rep, CASE WHEN rep = k THEN list_append(reps, k) ELSE reps END FROM (
                 SELECT b.k, coalesce(list_min(list_filter(us, lambda u: list_contains(reps, u))), b.k) AS rep, reps FROM walk w JOIN before b ON b.k = w.k + 1)),
-        clustered AS (SELECT n.k, key, seq, rep FROM numbered n JOIN walk USING (k))"""
+        clustered AS MATERIALIZED (SELECT n.k, key, seq, rep FROM numbered n JOIN walk USING (k))"""
 
 
 _ONE_QUAL = "list_sum(list_transform({}, lambda i: 20 + (i + q) % 20))"

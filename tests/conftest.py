@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+TEST_SECONDS = 300
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
@@ -23,3 +25,17 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def time_limit(request):
+    """No test runs longer than five minutes: the suite ends even where one query does not."""
+
+    def stop(*_):
+        raise TimeoutError(f"{request.node.nodeid} took over {TEST_SECONDS} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(TEST_SECONDS)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
