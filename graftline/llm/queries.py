@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stash import discard
-from . import audio, chat, decontam, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity
+from . import audio, chat, decontam, exact_dedup, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity
 from .near_dedup import NearDedup, near_duplicates
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +91,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secret_spans").alias("spans"), count("markov").alias("n_markov"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the largest id of those of the same text."""
+    found = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_huffman_ids": op9_huffman_ids,
     "op10_secret_scan": op10_secret_scan,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 #: DuckDB's replace() has no patterns here, so each turn's formatted length is counted from its marks.
@@ -134,4 +141,8 @@ ORACLE: dict[str, str] = {
             UNION SELECT b.v, r.label FROM reach r JOIN both_ways b ON b.u = r.node WHERE r.label < b.v)
         SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept
         FROM s JOIN (SELECT node, min(label) AS c FROM reach GROUP BY node) ON node = s.doc_id""",
+    "op11_exact_dedup": r"""
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
