@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stash import discard
-from . import audio, chat, decontam, exact_dedup, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity
+from . import audio, chat, decontam, exact_dedup, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity, whitening
 from .near_dedup import NearDedup, near_duplicates
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +97,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first 16 components of unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_huffman_ids": op9_huffman_ids,
     "op10_secret_scan": op10_secret_scan,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_whitening": op12_whitening,
 }
 
 #: DuckDB's replace() has no patterns here, so each turn's formatted length is counted from its marks.
