@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stash import discard
-from . import audio, chat, decontam, exact_dedup, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity, whitening
+from . import alignment, audio, chat, decontam, exact_dedup, hmm, huffman, length_histogram, packing, secrets, tokens, toxicity, whitening
 from .near_dedup import NearDedup, near_duplicates
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +103,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of byte-level and sentencepiece tokens of all documents, with their counts over all documents."""
+    return alignment.align(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontamination": op2_decontamination,
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_whitening": op12_whitening,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: DuckDB's replace() has no patterns here, so each turn's formatted length is counted from its marks.
