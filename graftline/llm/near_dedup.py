@@ -12,7 +12,9 @@ meets the most others over all buckets.  A second round compares, in bounded
 blocks, just those members around a center which the first round has left in
 different components, and gives only links that join components.  So a large group
 of near copies makes about one row a member, and no joining link is lost.  Around a
-center with many such members, only sets whose sizes allow the similarity meet.
+center with many such members, only sets whose sizes allow the similarity meet, and
+of a block's sets only those are confirmed that share one of their rarest shingles,
+as sets of that similarity must: texts that share just a long preamble don't.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ class NearDedup:
     sketch_words: int = 8
     #: Similarity estimated by the odd sketch below which a candidate goes (five standard errors under 0.8).
     estimate: float = 0.62
-    #: Members around a center that are compared in one block.
+    #: Members around a center that are compared in one block, and bytes of their sets.
     block: int = 1024
+    block_bytes: int = 16 << 20
 
     @property
     def samples(self) -> int:
@@ -156,7 +159,8 @@ def _blocks(members: DataFrame, p: NearDedup, extra: list[str]) -> DataFrame:
     with over ``block`` of them go by classes of size, a factor of t wide: group g has
     the members of class g and, as upper ones, those of class g + 1, and only pairs
     with a member of class g count.  A group of over ``block`` members has several
-    blocks; each pair of them is dealt by itself, so no task holds more than two blocks.
+    blocks, and so has one whose sets have over ``block_bytes``; each pair of blocks is
+    dealt by itself, so no task holds more than two.
     """
     # Only centers, and groups, that need it are joined, from a written table: a few rows, which Spark may broadcast by their size.
     many = stash(members.groupBy("center").agg(F.count("*").alias("_n")).filter(F.col("_n") > p.block).select("center", F.lit(True).alias("many")), "many")
@@ -164,7 +168,7 @@ def _blocks(members: DataFrame, p: NearDedup, extra: list[str]) -> DataFrame:
     place = lambda g, upper: F.struct(g.alias("g"), F.lit(upper).alias("upper"))
     places = F.when(F.col("many"), F.array(place(own_class, False), place(own_class - 1, True))).otherwise(F.array(place(F.lit(0), False)))
     sized = members.join(many, "center", "left").withColumn("_at", F.explode(places)).select("*", "_at.g", "_at.upper").drop("_at", "many")
-    cuts = stash(sized.groupBy("center", "g").agg(F.ceil(F.count("*") / p.block).cast("int").alias("cut")).filter("cut > 1"), "cuts")
+    cuts = stash(sized.groupBy("center", "g").agg(F.ceil(F.greatest(F.count("*") / p.block, F.sum("n") * 8 / p.block_bytes)).cast("int").alias("cut")).filter("cut > 1"), "cuts")
     cut = F.coalesce("cut", F.lit(1))
     dealt = sized.join(cuts, ["center", "g"], "left").withColumn("own", F.pmod(F.xxhash64("rep"), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
     dealt = dealt.select("center", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "upper", "rep", "label", "sketch", *extra)
@@ -195,6 +199,31 @@ class _Group:
             if (far <= self.p.most_flips).any():
                 yield x, y[far <= self.p.most_flips]
 
+    def sharing(self) -> np.ndarray | None:
+        """Which members share one of their rarest shingles; None if nearly all do, so that this saves nothing.
+
+        A set of n of similarity t with another has ceil(t * n) shingles in common
+        with it, so in any one order of all shingles the first n - ceil(t * n) + 1 of
+        both have one in common.  The order is from rare to frequent in this group.
+        """
+        size = np.array([len(s) for s in self.sets])
+        owner = np.repeat(np.arange(len(size)), size)
+        _, which, times = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        order = np.lexsort((which, times[which], owner))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        early = order[place < np.repeat(size - -(-size * self.p.percent // 100) + 1, size)]
+        by = early[np.argsort(which[early], kind="stable")]
+        cuts = np.flatnonzero(np.diff(which[by])) + 1
+        groups = [g for g in np.split(owner[by], cuts) if len(g) > 1]
+        if sum(len(g) ** 2 for g in groups) > 4 * len(size) ** 2:
+            groups = list({g.tobytes(): g for g in groups}.values())  # often the same members, for a run of shingles
+            if sum(len(g) ** 2 for g in groups) > 16 * len(size) ** 2:
+                return None
+        out = np.zeros((len(size), len(size)), bool)
+        for g in groups:
+            out[np.ix_(g, g)] = True
+        return out
+
     def flagged(self) -> list[tuple[int, int]]:
         hit = np.zeros(len(self.rep), bool)
         for x, y in self.near():
@@ -204,8 +233,10 @@ class _Group:
 
     def links(self) -> list[tuple[int, int]]:
         """Confirmed links that join labels which nothing in the group has joined before."""
-        out, size = [], np.array([len(s) for s in self.sets])
+        out, size, may = [], np.array([len(s) for s in self.sets]), self.sharing()
         for x, y in self.near():
+            if may is not None:
+                y = y[may[x, y]]
             y = y[(self.label[y] != self.label[x]) & (100 * np.minimum(size[y], size[x]) >= self.p.percent * np.maximum(size[y], size[x]))]
             for a in range(0, len(y), 256):
                 part = y[a : a + 256]

@@ -121,3 +121,38 @@ def test_classes_of_size(spark):
     assert len({r[2] for r in want}) > 20
     for block in (3, 1024):
         assert sorted(map(tuple, near_duplicates(docs, NearDedup(width=4, block=block)).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 20_000])
+def test_shared_preamble(spark, block_bytes):
+    """Texts just below the threshold because of one long beginning, a few of them linked by what follows it."""
+    rng = random.Random(7)
+    preamble, rows = [f"p{i}" for i in range(150)], []
+    for i in range(240):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(45)]
+        if i % 6 == 5:
+            own = rows[-1][1].split()[150:]
+            own[rng.randrange(20, 45)] = "changed"
+        rows.append((i, " ".join(preamble + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 4, 80)
+    assert len({r[2] for r in want}) == 200
+    assert sorted(map(tuple, near_duplicates(docs, NearDedup(width=4, block_bytes=block_bytes)).collect()), key=str) == want
+
+
+def test_sharing_loses_no_similar_pair():
+    rng, p = np.random.Generator(np.random.PCG64(11)), NearDedup()
+    sets = []
+    for k in range(120):
+        base = sets[rng.integers(0, k)] if k % 3 else rng.integers(0, 5000, 80).astype(np.uint64)
+        keep = base[rng.random(len(base)) > rng.choice([0.02, 0.08, 0.2])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 5000, rng.integers(0, 12)).astype(np.uint64)])))
+    group = _Group([(0, 0, 0, 0, 0, False, k, k, [0] * p.sketch_words, s.tobytes()) for k, s in enumerate(sets)], p)
+    may, similar = group.sharing(), 0
+    for x in range(120):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                similar += 1
+                assert may[x, y]
+    assert similar > 50 and may.mean() < 0.9
