@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions import sequence as sq
+from ..operators import assembly
 from ..operators import consensus as cs
 from ..operators.joins import band_join
 from ..operators.stash import new_path, stash
@@ -216,6 +217,13 @@ def junction_spanning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.spanning_counts(candidates, rows, PairFlanks()).select("contig", "pos_5p", "pos_3p", "softclip_count_5p", "softclip_count_3p", "spanning_count")
 
 
+def junction_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those pairs of which few reads run through the junction, measured by the clips of both sides."""
+    rows, candidates = _paired_sites(spark, sf_dir)
+    counted = pairs.spanning_counts(candidates.withColumn("total_count_5p", F.col("softclip_count_5p")).withColumn("total_count_3p", F.col("softclip_count_3p")), rows, PairFlanks())
+    return pairs.junction_filter(counted, PairFlanks()).select("contig", "pos_5p", "pos_3p", "softclip_count_5p", "softclip_count_3p", "spanning_count")
+
+
 def region_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consensus of reads and reference around every line of quantity 7."""
     regions = lines(spark, sf_dir).filter("q = 7").select(F.col("l_orderkey").alias("pair_id"), F.concat(F.lit("c"), F.col("l_suppkey")).alias("contig"), (F.col("day") - 5).alias("start"), (F.col("day") + 5).alias("end")).distinct()
@@ -231,6 +239,42 @@ def inverted_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ir", sq.inverted_repeats("five", "three")).select("p_partkey", F.col("ir.IR_5p").alias("ir_5p"), F.col("ir.IR_3p").alias("ir_3p"))
 
 
+# --- assembly --------------------------------------------------------------------------------------------------------
+
+#: Bases of each supplier's element, of a read, and of a word.
+ELEMENT, READ, WORD = 256, 40, 12
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, element): the sequence that a supplier's reads are of."""
+    digests = [F.md5(F.concat(F.col("s_suppkey").cast("string"), F.lit(f"-{j}")).cast("binary")) for j in range(ELEMENT // 32)]
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), bases(F.concat(*digests)).alias("element"))
+
+
+def element_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, seq, quals): a read for each line at a place of its supplier's element, with a wrong base of low quality where the discount is 1 %."""
+    rows = lines(spark, sf_dir).withColumn("at", 1 + (F.col("l_partkey") * 7 + F.col("l_linenumber")) % (ELEMENT - READ + 1))
+    rows = rows.join(elements(spark, sf_dir), F.col("l_suppkey") == F.col("site"))
+    right = F.substring("element", F.col("at"), F.lit(READ))
+    wrong = F.concat(F.substring(right, F.lit(1), 9 + F.col("x")), F.translate(F.substring(right, 10 + F.col("x"), F.lit(1)), "ACGT", "CGTA"), F.substring(right, 11 + F.col("x"), F.lit(READ)))
+    bad = F.col("d") == 1
+    quals = F.transform(F.sequence(F.lit(0), F.lit(READ - 1)), lambda i: F.when(bad & (i == 9 + F.col("x")), 2).otherwise(20 + (i + F.col("q")) % 20))
+    return rows.select("site", F.when(bad, wrong).otherwise(right).alias("seq"), quals.alias("quals"))
+
+
+def local_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contigs of every supplier's reads."""
+    found = assembly.assemble(element_reads(spark, sf_dir), ["site"], assembly.Assembly(word=WORD))
+    return found.select("site", "seq", "length", F.round("support", 6).alias("support"), "circular")
+
+
+def flank_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty bases of every supplier's element, drawn out along the graph of its reads."""
+    p = assembly.Assembly(word=WORD)
+    flanks_ = elements(spark, sf_dir).select("site", F.substring("element", 1 + (F.col("site") % 200).cast("int"), F.lit(30)).alias("flank"))
+    return assembly.walk(flanks_, ["site"], assembly.build(element_reads(spark, sf_dir), ["site"], p), p)
+
+
 # --- inference -------------------------------------------------------------------------------------------------------
 
 
@@ -442,8 +486,11 @@ QUERIES = (
     prefix_counts,
     found_flanks,
     junction_spanning,
+    junction_filter,
     region_consensus,
     inverted_repeats,
+    local_assembly,
+    flank_extension,
     flank_prefilter,
     infer_reference,
     infer_in_context,

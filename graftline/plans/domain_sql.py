@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..params import PairFlanks
 from ..schemas import FULL_CONTEXT, HALF_CONTEXT, METHODS, REFERENCE
-from .domain import DIGESTS
+from .domain import DIGESTS, ELEMENT, READ, WORD
 
 _LENGTH = 32 * DIGESTS
 
@@ -205,6 +206,38 @@ def _greedy(rows: str, least: int, identity: float, coverage: float) -> str:
         clustered AS MATERIALIZED (SELECT n.k, key, seq, rep FROM numbered n JOIN walk USING (k))"""
 
 
+#: Candidate pairs of clip sites with the reads that run through them.
+_SPANNING = f"""{_READS}, {_CLIPS}, {_site_counts(1, "'s'")},
+        pairs AS (SELECT a.contig, a.pos AS pos_5p, b.pos AS pos_3p, a.softclip_count_5p, b.softclip_count_3p FROM sites a JOIN sites b ON a.contig = b.contig AND a.keep_5p AND b.keep_3p AND b.pos >= a.pos - 21 AND b.pos < a.pos),
+        through AS (SELECT p.contig, pos_5p, pos_3p, count(DISTINCT read_name) AS n FROM pairs p JOIN good r ON r.contig = p.contig AND r.s < pos_3p - 10 AND r.e > pos_5p + 11
+                    WHERE NOT (ins >= 30 AND (b2 IN (pos_5p, pos_3p) OR b2 - 1 IN (pos_5p, pos_3p))) GROUP BY p.contig, pos_5p, pos_3p),
+        spanning AS (SELECT contig, pos_5p, pos_3p, softclip_count_5p, softclip_count_3p, coalesce(n, 0) AS spanning_count FROM pairs LEFT JOIN through USING (contig, pos_5p, pos_3p))"""
+
+#: Reads of the suppliers' elements, their words as a graph, and its contigs, followed from word to word.
+_CONTIGS = f"""{_LINES},
+        elements AS (SELECT s_suppkey AS site, {_bases(" || ".join(f"md5(s_suppkey || '-{j}')" for j in range(ELEMENT // 32)))} AS element FROM supplier),
+        own AS (SELECT site, q, d, x, substr(element, 1 + (l_partkey * 7 + l_linenumber) % {ELEMENT - READ + 1}, {READ}) AS s FROM lines JOIN elements ON l_suppkey = site),
+        pieces AS (SELECT site, q, d, x, CASE WHEN d = 1 THEN left(s, 9 + x) || translate(substr(s, 10 + x, 1), 'ACGT', 'CGTA') || substr(s, 11 + x) ELSE s END AS seq, unnest(range({READ - WORD})) AS i FROM own),
+        weighed AS (SELECT site, substr(seq, i + 1, {WORD}) AS node, substr(seq, i + {WORD} + 1, 1) AS base,
+                           least(CASE WHEN d = 1 AND i = 9 + x THEN 2 ELSE 20 + (i + q) % 20 END, CASE WHEN d = 1 AND i + {WORD} = 9 + x THEN 2 ELSE 20 + (i + {WORD} + q) % 20 END) AS w FROM pieces),
+        summed AS (SELECT site, node, base, substr(node, 2) || base AS after, count(*) AS n, sum(w) AS w FROM weighed GROUP BY ALL HAVING count(*) >= 2),
+        kept AS (SELECT * FROM summed QUALIFY 5 * w >= max(w) OVER (PARTITION BY site, node) AND 5 * w >= max(w) OVER (PARTITION BY site, after)),
+        edges AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY site, node) AS n_out, count(*) OVER (PARTITION BY site, after) AS n_in FROM kept),
+        simple AS MATERIALIZED (SELECT site, node, after, n FROM edges WHERE n_out = 1 AND n_in = 1 AND node <> after),
+        nodes AS MATERIALIZED (SELECT site, node FROM edges UNION SELECT site, after FROM edges),
+        heads AS MATERIALIZED (SELECT * FROM nodes ANTI JOIN (SELECT site, after AS node FROM simple) USING (site, node)),
+        steps(site, head, node, spot, n) AS (
+            SELECT site, node, node, 0, NULL::BIGINT FROM heads
+            UNION ALL SELECT t.site, t.head, s.after, t.spot + 1, s.n FROM steps t JOIN simple s ON s.site = t.site AND s.node = t.node),
+        rings(site, head, node, spot, n) AS (
+            SELECT site, node, node, 0, NULL::BIGINT FROM (SELECT site, node FROM nodes ANTI JOIN (SELECT DISTINCT site, node FROM steps) USING (site, node))
+            UNION ALL SELECT t.site, t.head, s.after, t.spot + 1, s.n FROM rings t JOIN simple s ON s.site = t.site AND s.node = t.node WHERE s.after <> t.head),
+        places AS MATERIALIZED (
+            SELECT *, false AS circular FROM steps
+            UNION ALL SELECT *, true FROM rings WHERE (site, head) IN (SELECT (site, head) FROM rings GROUP BY site, head HAVING min(node) = head)),
+        contigs AS MATERIALIZED (
+            SELECT site, head, head || coalesce(string_agg(right(node, 1), '' ORDER BY spot) FILTER (WHERE spot > 0), '') AS seq, arg_max(node, spot) AS tail, coalesce(avg(n), 0) AS support, circular FROM places GROUP BY site, head, circular)"""
+
 _ONE_QUAL = "list_sum(list_transform({}, lambda i: 20 + (i + q) % 20))"
 
 ORACLE: dict[str, str] = {
@@ -255,11 +288,20 @@ ORACLE: dict[str, str] = {
         SELECT pos, orient, coalesce(consensus, '') AS consensus, n_reads FROM reads_of LEFT JOIN texts USING (pos, orient, root)""",
     "prefix_counts": f"""WITH {_LINES}, {_WORDS}, asked AS (SELECT DISTINCT left(word, CAST(k AS INTEGER)) AS prefix FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words WHERE pos = 1))
         SELECT pos, prefix, count(*) AS reads FROM words JOIN asked ON starts_with(word, prefix) GROUP BY pos, prefix""",
-    "junction_spanning": f"""WITH {_READS}, {_CLIPS}, {_site_counts(1, "'s'")},
-        pairs AS (SELECT a.contig, a.pos AS pos_5p, b.pos AS pos_3p, a.softclip_count_5p, b.softclip_count_3p FROM sites a JOIN sites b ON a.contig = b.contig AND a.keep_5p AND b.keep_3p AND b.pos >= a.pos - 21 AND b.pos < a.pos),
-        through AS (SELECT p.contig, pos_5p, pos_3p, count(DISTINCT read_name) AS n FROM pairs p JOIN good r ON r.contig = p.contig AND r.s < pos_3p - 10 AND r.e > pos_5p + 11
-                    WHERE NOT (ins >= 30 AND (b2 IN (pos_5p, pos_3p) OR b2 - 1 IN (pos_5p, pos_3p))) GROUP BY p.contig, pos_5p, pos_3p)
-        SELECT contig, pos_5p, pos_3p, softclip_count_5p, softclip_count_3p, coalesce(n, 0) AS spanning_count FROM pairs LEFT JOIN through USING (contig, pos_5p, pos_3p)""",
+    "junction_spanning": f"""WITH {_SPANNING} SELECT * FROM spanning""",
+    "junction_filter": f"""WITH {_SPANNING} SELECT * FROM spanning WHERE spanning_count < {PairFlanks().max_junction_spanning_prop} * (softclip_count_5p + softclip_count_3p) / 2.0""",
+    "local_assembly": f"""WITH RECURSIVE {_CONTIGS} SELECT site, seq, CAST(length(seq) AS INTEGER) AS length, round(support, 6) AS support, circular FROM contigs WHERE length(seq) >= {2 * WORD}""",
+    "flank_extension": f"""WITH RECURSIVE {_CONTIGS},
+        flanks AS (SELECT site, substr(element, 1 + site % 200, 30) AS flank FROM elements),
+        words AS (SELECT site, flank, i, substr(flank, CAST(i AS INTEGER), {WORD}) AS node FROM (SELECT *, unnest(range(1, length(flank) - {WORD - 2})) AS i FROM flanks)),
+        anchors AS (SELECT site, flank, i, head, spot FROM words JOIN places USING (site, node) QUALIFY row_number() OVER (PARTITION BY site, flank ORDER BY i DESC) = 1),
+        walk(site, flank, text, tail, been) AS (
+            SELECT a.site, flank, left(flank, i + {WORD - 1}) || substr(seq, spot + {WORD + 1}), tail, [a.head] FROM anchors a JOIN contigs c ON c.site = a.site AND c.head = a.head
+            UNION ALL
+            SELECT w.site, flank, text || substr(seq, {WORD}), c.tail, list_append(been, c.head)
+            FROM walk w JOIN edges e ON e.site = w.site AND e.node = w.tail AND e.n_out = 1 JOIN contigs c ON c.site = w.site AND c.head = e.after WHERE NOT list_contains(been, c.head)),
+        longest AS (SELECT site, flank, arg_max(text, len(been)) AS text FROM walk GROUP BY site, flank)
+        SELECT site, flank, CASE WHEN length(text) > length(flank) THEN text ELSE flank END AS extended FROM flanks LEFT JOIN longest USING (site, flank)""",
     "region_consensus": f"""WITH {_READS}, regions AS (SELECT DISTINCT l_orderkey AS pair_id, 'c' || l_suppkey AS contig, day - 5 AS a, day + 5 AS b FROM lines WHERE q = 7),
         genome AS (SELECT 'c' || s_suppkey AS contig, {_bases(f"repeat(md5(CAST(s_suppkey AS VARCHAR)), {DIGESTS})")} AS g FROM supplier),
         seeds AS (SELECT pair_id, contig, a, b, unnest(range(greatest(a, 0), least(b, {_LENGTH}))) AS p, g FROM regions JOIN genome USING (contig)),

@@ -1,22 +1,22 @@
-"""Flank extension: flanks grown into the insertion by clipped reads and unmapped mates.
+"""Flank extension: flanks grown into the insertion through an assembly of their sites' reads.
 
-A flank is extended where its far end occurs in other reads of its site: the
-overhangs are read base by base, the base of the greatest summed quality standing,
-as long as enough reads go on.  There is no assembly graph; the extension ends where
-a flank's end comes back, as it would inside a repeat.
+The clipped reads of a site and the unmapped mates beside it are assembled, all sites
+in one plan (``operators.assembly``), a flank is laid on the graph by the last of its
+words that is there, and follows the graph as long as there is one way on.  What ways there are
+is decided by the qualities of the bases, one by one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
-from ..functions.sequence import revcomp
-from ..operators import joins
+from ..functions.sequence import phred, revcomp
+from ..operators import assembly, joins
+from ..operators.stash import stash
 from ..operators.unions import apart, union_all
 
 KEYS = ["sample", "contig", "pos", "orient"]
@@ -24,84 +24,49 @@ KEYS = ["sample", "contig", "pos", "orient"]
 
 @dataclass(frozen=True)
 class Extension:
-    #: Bases of the flank's end that another read must hold, and reads that must go on.
+    #: Bases that neighbouring reads must share, and reads that must go on.
     overlap: int = 15
     support: int = 2
+    #: A way goes if another one at its place has over this many times its summed quality.
+    share: int = 5
     #: Bases beside the site in which mates of mapped reads are looked for.
     search: int = 500
 
-
-def extend_flank(seq: str, reads: list[tuple[str, int, int]], p: Extension = Extension()) -> str:
-    """``seq`` grown at its end; ``reads`` are (sequence, summed weight, number) that read in the same direction.
-
-    A base stands by the summed weight of all reads that go on with it, and as long
-    as ``support`` reads do; a tie ends the extension, and so does an end that was
-    one before.
-    """
-    ends: set[str] = set()
-    while len(seq) >= p.overlap and (tail := seq[-p.overlap :]) not in ends:
-        ends.add(tail)
-        live = []
-        for text, weight, n in reads:
-            at = text.find(tail)
-            if at >= 0 and at + p.overlap < len(text):
-                live.append((text[at + p.overlap :], weight, n))
-        grown = []
-        while True:
-            live = [(o, w, n) for o, w, n in live if len(o) > len(grown)]
-            if sum(n for *_, n in live) < p.support:
-                break
-            sums: dict[str, int] = {}
-            for o, w, _ in live:
-                sums[o[len(grown)]] = sums.get(o[len(grown)], 0) + w
-            most = max(sums.values())
-            best = [c for c, w in sums.items() if w == most]
-            if len(best) > 1:
-                break
-            live = [x for x in live if x[0][len(grown)] == best[0]]
-            grown.append(best[0])
-        if not grown:
-            break
-        seq += "".join(grown)
-    return seq
+    @property
+    def assembly(self) -> assembly.Assembly:
+        return assembly.Assembly(word=self.overlap, support=self.support, share=self.share)
 
 
 def site_reads(alignments: DataFrame, sites: DataFrame, p: Extension = Extension()) -> DataFrame:
-    """(site, orient, seq, weight): clipped reads at a site and unmapped mates beside it, in reference direction."""
+    """(site, orient, seq, quals): clipped reads at a site and unmapped mates beside it, in reference direction."""
     mapped = alignments.filter(~F.coalesce("is_unmapped", F.lit(False)))
-    weight = F.coalesce(F.aggregate("quals", F.lit(0), lambda a, x: a + x), F.length("seq"))
     ends = F.array_compact(F.array(*[F.when(cg.leniently_clipped("cigar", "md", side), F.struct(F.lit(o).alias("orient"), cg.clip_site("cigar", "md", "ref_start", "ref_end", side).alias("pos"))) for side, o in (("right", "5p"), ("left", "3p"))]))
-    clipped = mapped.select("sample", "contig", F.explode(ends).alias("e"), F.upper("seq").alias("seq"), weight.alias("weight")).select("sample", "contig", "e.pos", "e.orient", "seq", "weight")
+    clipped = mapped.select("sample", "contig", F.explode(ends).alias("e"), F.upper("seq").alias("seq"), "quals").select("sample", "contig", "e.pos", "e.orient", "seq", "quals")
     clipped = clipped.join(sites.select(*KEYS).distinct(), KEYS, "left_semi")
     five = F.col("orient") == "5p"
     windows = sites.select(*KEYS).distinct().withColumn("_s", F.when(five, F.greatest(F.col("pos") - p.search, F.lit(0))).otherwise(F.col("pos"))).withColumn("_e", F.when(five, F.col("pos") + 1).otherwise(F.col("pos") + 1 + p.search))
-    mates = mapped.filter(F.col("mate_is_unmapped") & F.col("mate_seq").isNotNull()).select("sample", "contig", "ref_start", "ref_end", "is_reverse", "mate_seq")
+    mates = mapped.filter(F.col("mate_is_unmapped") & F.col("mate_seq").isNotNull()).select("sample", "contig", "ref_start", "ref_end", "is_reverse", "mate_seq", "mate_quals")
     near = joins.interval_join(windows, mates, ["sample", "contig"], ("_s", "_e"), ("ref_start", "ref_end")).filter(F.col("is_reverse") == (F.col("orient") == "3p"))
     # A forward read's mate was read on the other strand.
+    own = phred("mate_quals")
     turned = F.when(F.col("is_reverse"), F.upper("mate_seq")).otherwise(revcomp("mate_seq"))
-    return clipped.unionByName(apart(near.select(*KEYS, turned.alias("seq"), F.length("mate_seq").alias("weight"))))
+    quals = F.when(F.col("is_reverse"), own).otherwise(F.reverse(own))
+    return clipped.unionByName(apart(near.select(*KEYS, turned.alias("seq"), quals.alias("quals"))))
 
 
-def extend_pairs(pairs: DataFrame, alignments: DataFrame, p: Extension = Extension()) -> DataFrame:
-    """``pairs`` with extended_5p and extended_3p; a flank that can't be extended stays as it is.
+def _turned(c: Column | str, kind: str) -> Column:
+    """What reads into the insertion: 3p flanks and their reads from right to left."""
+    return F.when(F.col("orient") == "3p", F.reverse(c)).otherwise(F.col(c)).alias(kind)
 
-    Equal reads of a site are summed before they meet in one task.
-    """
+
+def extend_pairs(pairs: DataFrame, alignments: DataFrame, p: Extension = Extension()) -> DataFrame:
+    """``pairs`` with extended_5p and extended_3p; a flank that can't be extended stays as it is."""
     side = lambda o: pairs.select("sample", "contig", F.col(f"pos_{o}").alias("pos"), F.lit(o).alias("orient"), F.upper(f"seq_{o}").alias("flank"))
-    flanks = union_all([side("5p"), side("3p")]).filter("flank is not null").distinct()
-    reads = site_reads(alignments, flanks, p).groupBy(*KEYS, "seq").agg(F.sum("weight").cast("long").alias("weight"), F.count("*").alias("n"))
-    joined = flanks.join(reads, KEYS, "left")
-    kinds = {f.name: f.dataType.simpleString() for f in flanks.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*KEYS, "flank"]) + ", extended string"
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        *_, orient, flank = key
-        rows = [(s, int(w), int(n)) for s, w, n in zip(pdf["seq"], pdf["weight"], pdf["n"], strict=True) if isinstance(s, str)]
-        turn = (lambda s: s[::-1]) if orient == "3p" else (lambda s: s)
-        long = extend_flank(turn(flank), [(turn(s), w, n) for s, w, n in rows], p)
-        return pd.DataFrame([(*key, turn(long))], columns=[*KEYS, "flank", "extended"])
-
-    done = joined.groupBy(*KEYS, "flank").applyInPandas(run, schema)
+    flanks = stash(union_all([side("5p"), side("3p")]).filter("flank is not null").distinct(), "flanks")
+    reads = site_reads(alignments, flanks, p).select(*KEYS, _turned("seq", "seq"), _turned("quals", "quals"))
+    graph = assembly.build(reads, KEYS, p.assembly)
+    long = assembly.walk(flanks.select(*KEYS, _turned("flank", "flank")), KEYS, graph, p.assembly)
+    done = stash(long.select(*KEYS, _turned("flank", "flank"), _turned("extended", "extended")), "extended")
     out = pairs
     for o in ("5p", "3p"):
         own = done.filter(F.col("orient") == o).select("sample", "contig", F.col("pos").alias(f"pos_{o}"), F.col("flank").alias(f"_flank_{o}"), F.col("extended").alias(f"extended_{o}"))

@@ -1,63 +1,11 @@
 import random
 
 from graftline import schemas
-from graftline.plans.extend import Extension, extend_flank, extend_pairs, prefix_counts
+from graftline.plans.extend import extend_pairs, prefix_counts
 
 RC = str.maketrans("ACGT", "TGCA")
 
 
-def test_extend_flank():
-    rng = random.Random(3)
-    whole = "".join(rng.choices("ACGT", k=200))
-    reads = [(whole[k : k + 60], 30, 1) for k in range(0, 141, 7)]
-    assert extend_flank(whole[:40], reads) == whole[:193]  # the last bases have one read only
-    assert extend_flank(whole[:40], []) == whole[:40] and extend_flank("ACG", reads) == "ACG"
-    assert extend_flank("A" * 20, [("A" * 60, 3, 3)]) == "A" * 65  # the same end again: a repeat
-    tie = [(whole[:40] + "A", 5, 2), (whole[:40] + "C", 5, 2)]
-    assert extend_flank(whole[:40], tie) == whole[:40]
-    long = "".join(rng.choices("ACGT", k=6000))
-    reads = [(long[k : k + 100], 30, 2) for k in range(0, 5901, 20)]
-    assert extend_flank(long[:40], reads) == long  # however far
-
-
-def brute(seq, reads, p):
-    """The same rule from every single read, base by base."""
-    singles = [(t, w / n) for t, w, n in reads for _ in range(n)]
-    seen = set()
-    while len(seq) >= p.overlap and seq[-p.overlap :] not in seen:
-        seen.add(seq[-p.overlap :])
-        tail, grown = seq[-p.overlap :], ""
-        while True:
-            here = []
-            for t, w in singles:
-                at = t.find(tail)
-                if at >= 0 and t[at + p.overlap :].startswith(grown) and len(t) > at + p.overlap + len(grown):
-                    here.append((t[at + p.overlap + len(grown)], w))
-            sums = {c: sum(w for d, w in here if d == c) for c, _ in here}
-            top = [c for c in sums if abs(sums[c] - max(sums.values())) < 1e-9]
-            if len(here) < p.support or len(top) > 1:
-                break
-            grown += top[0]
-        if not grown:
-            break
-        seq += grown
-    return seq
-
-
-def test_equal_reads_weigh_by_their_number():
-    p = Extension(overlap=4)
-    reads = [("ACGTAAAA", 3000, 100), ("ACGTCGTA", 40, 1), ("ACGTCGTC", 40, 1), ("ACGTCGTG", 40, 1)]
-    assert extend_flank("TTACGT", reads, p) == "TTACGTAAAA"
-    rng = random.Random(9)
-    for _ in range(300):
-        reads = {}
-        for _ in range(rng.randint(1, 9)):
-            n = rng.randint(1, 4)
-            reads["".join(rng.choices("AC", k=rng.randint(3, 12)))] = (n * rng.randint(1, 5), n)
-        rows, flank = [(t, w, n) for t, (w, n) in reads.items()], "".join(rng.choices("AC", k=8))
-        assert extend_flank(flank, rows, p) == brute(flank, rows, p)
-
-
 def test_extend_pairs(spark):
     rng = random.Random(4)
     genome, element = ("".join(rng.choices("ACGT", k=n)) for n in (600, 300))
@@ -83,6 +31,20 @@ def test_extend_pairs(spark):
     assert (got[2].extended_5p, got[2].extended_3p) == ("ACGT", "ACGT")
 
 
+def test_bases_weigh_by_their_own_quality(spark):
+    """One long read of poor bases doesn't outvote two short ones of good bases, whatever its length."""
+    rng = random.Random(8)
+    genome, inside, wrong = ("".join(rng.choices("ACGT", k=n)) for n in (400, 60, 260))
+    end, rows = 205, []
+    for k in range(3):
+        left = 25 + k
+        rows.append(("s", f"good{k}", 0, "c", end - left, end, 60, False, False, False, [("M", left), ("S", 50)], genome[end - left : end] + inside[:50], [35] * (left + 50), str(left), 0, 0, None, None))
+        rows.append(("s", f"bad{k}", 0, "c", end - 40, end, 60, False, False, False, [("M", 40), ("S", 260)], genome[end - 40 : end] + inside[:20] + wrong[:240], [35] * 60 + [3] * 240, "40", 0, 0, None, None))
+    pairs = spark.createDataFrame([("s", 1, "c", end, 199, 1, 1, 1, 1, 0, False, 0, None, None, inside[:20], None, "", "")], schemas.PAIRS)
+    got = extend_pairs(pairs, spark.createDataFrame(rows, schemas.ALIGNMENTS)).first()
+    assert got.extended_5p == inside[:50] and got.extended_3p is None
+
+
 def test_prefix_counts(spark):
     words = spark.createDataFrame([(1, "ACGT"), (1, "ACG"), (2, "AC")], "k int, word string")
     asked = spark.createDataFrame([("AC",), ("ACG",), ("T",)], "prefix string")
