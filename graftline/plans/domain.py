@@ -19,7 +19,7 @@ from ..operators.joins import band_join
 from ..operators.stash import new_path, stash
 from ..params import FindFlanks, InferAligned, InferDatabase, PairFlanks
 from ..schemas import ALIGNMENTS, CLUSTERSEQ, METHODS
-from ..sources import files
+from ..sources import files, indexed
 from . import cohort, extend, flanks, infer, pairs
 from .relational import table
 
@@ -443,6 +443,30 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_name", "flag", "contig", "ref_start", "ref_end", "mapq", "is_unmapped", F.size("cigar").alias("operations"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.aggregate("quals", F.lit(0), lambda a, x: a + x).alias("quality"), "md", "nm", "as_score")
 
 
+def _parsed(rows: DataFrame) -> DataFrame:
+    """What was read of alignments, field by field."""
+    return rows.select("read_name", "flag", "contig", "ref_start", "ref_end", "mapq", "is_unmapped", F.size("cigar").alias("operations"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.aggregate("quals", F.lit(0), lambda a, x: a + x).alias("quality"), "md", "nm", "as_score")
+
+
+def _as_bam(spark: SparkSession, sf_dir: str) -> str:
+    """The alignments as a folder of indexed BAM files."""
+    path = new_path(spark, "bam")
+    contigs = genome(spark, sf_dir).select(F.col("name").alias("contig"), F.length("seq").alias("length"))
+    indexed.write_bam(alignments(spark, sf_dir), path, contigs)
+    return path
+
+
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as indexed BAM files in order of place, and read back whole."""
+    return _parsed(indexed.read_indexed(spark, _as_bam(spark, sf_dir), "s"))
+
+
+def region_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads over a window of 20 days on every second supplier's contig, fetched through the index."""
+    asked = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("c"), F.col("s_suppkey")).alias("c"), (F.col("s_suppkey") * 37 % 2000).cast("int").alias("a")).collect()
+    return _parsed(indexed.read_indexed(spark, _as_bam(spark, sf_dir), "s", [(r["c"], r["a"], r["a"] + 20) for r in asked]))
+
+
 def formatted_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Primary alignments with their mate's sequence and qualities."""
     rows = files.format_alignments(alignments(spark, sf_dir).withColumn("sample", F.lit("s")))
@@ -508,6 +532,8 @@ QUERIES = (
     fasta_round_trip,
     tsv_round_trip,
     sam_round_trip,
+    bam_round_trip,
+    region_fetch,
     formatted_alignments,
     cluster_listing,
     poisson_tail,

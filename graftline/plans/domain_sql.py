@@ -400,11 +400,11 @@ ORACLE: dict[str, str] = {
         SELECT node AS cluster, "group" FROM roots JOIN numbers USING (root)""",
     "fasta_round_trip": r"""SELECT CAST(item_id AS VARCHAR) AS name, CAST(length(regexp_replace(text, '\s', '', 'g')) AS INTEGER) AS length, md5(regexp_replace(text, '\s', '', 'g')) AS seq_md5 FROM benchmark""",
     "tsv_round_trip": f"""WITH {_CLUSTERSEQ} SELECT cluster, method, count(*) AS n, CAST(sum(pair_id) AS BIGINT) AS pairs, CAST(sum(length(inferred_seq)) AS BIGINT) AS bases, min(seqid) AS least_seqid FROM clusterseq GROUP BY cluster, method""",
-    "sam_round_trip": f"""WITH {_READS}
+    **{name: f"""WITH {_READS}
         SELECT read_name, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 128 ELSE 64 END + CASE WHEN l_linenumber = 7 THEN 256 ELSE 0 END + CASE WHEN l_returnflag = 'R' THEN 16 ELSE 0 END + CASE WHEN unmapped THEN 4 ELSE 0 END + CASE WHEN x = 1 THEN 8 ELSE 0 END AS INTEGER) AS flag,
                contig, s AS ref_start, e AS ref_end, mapq, unmapped AS is_unmapped, CAST(1 + CAST(ln > 0 AS INTEGER) + CAST(rn > 0 AS INTEGER) + CASE WHEN m2 > 0 THEN 2 ELSE 0 END AS INTEGER) AS operations, md5(seq) AS seq_md5,
                CAST({_ONE_QUAL.format("range(len)")} AS INTEGER) AS quality,
-               CASE WHEN lmis THEN '0A' || (m1 + m2 - 1) WHEN rmis THEN (m1 + m2 - 1) || 'A0' ELSE CAST(m1 + m2 AS VARCHAR) END AS md, x % 3 AS nm, q AS as_score FROM reads""",
+               CASE WHEN lmis THEN '0A' || (m1 + m2 - 1) WHEN rmis THEN (m1 + m2 - 1) || 'A0' ELSE CAST(m1 + m2 AS VARCHAR) END AS md, x % 3 AS nm, q AS as_score FROM reads {which}""" for name, which in (("sam_round_trip", ""), ("bam_round_trip", ""), ("region_fetch", "WHERE l_suppkey % 2 = 0 AND s < l_suppkey * 37 % 2000 + 20 AND e > l_suppkey * 37 % 2000"))},
     "formatted_alignments": f"""WITH {_READS}, rows AS (
             SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS mate, array_to_string(list_transform(range(len), lambda i: chr(CAST(53 + (i + q) % 20 AS INTEGER))), '') AS qs FROM reads WHERE l_linenumber <> 7),
         other AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY read_name, mate ORDER BY contig, s, seq) = 1)
