@@ -12,16 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .unions import apart
-
-
-def fresh(*frames: DataFrame) -> str:
-    """A column prefix that no frame uses."""
-    taken = {c for f in frames for c in f.columns}
-    name = "_bin"
-    while any(c.startswith(name) for c in taken):
-        name = "_" + name
-    return name
+from . import scan
+from .unions import apart, fresh
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, below: int, how: str = "inner") -> DataFrame:
@@ -108,18 +100,20 @@ def filter_by_mate(sites: DataFrame, keys: list[str], pos: str, keep_5p: str, ke
 def asof(probe: DataFrame, build: DataFrame, keys: list[str], probe_pos: str, build_pos: str, values: list[str], direction: str = "backward", tie: str | None = None) -> DataFrame:
     """Each probe row with the build row of the greatest position strictly below (or the smallest strictly above).
 
-    Both sides are sorted once by key and position and the nearest build row is
-    carried along; no pair is made.  Of build rows at one position the one with the
-    greatest ``tie`` stands (by all values, if none is named).  Unmatched probes
-    get nulls.  ``values`` are build columns whose names probe does not use.
+    Both sides are dealt to ranges of key and position and the nearest build row is
+    carried along (``scan.carried_last``); no pair is made, and a key with very many
+    rows is many tasks.  Of build rows at one position the one with the greatest
+    ``tie`` stands (by all values, if none is named).  Unmatched probes get nulls.
+    ``values`` are build columns whose names probe does not use.
     """
-    side, held, at = fresh(probe, build) + "side", fresh(probe, build) + "held", fresh(probe, build) + "at"
+    name = fresh(probe, build)
+    side, held, at, row, near = (name + x for x in ("side", "held", "at", "row", "near"))
     best = build.groupBy(*keys, F.col(build_pos).alias(at)).agg(F.max_by(F.struct(build_pos, *values), F.struct(*([tie] if tie else []), *values)).alias(held))
-    left = probe.select(*keys, F.col(probe_pos).alias(at), F.lit(0).alias(side), F.struct(*probe.columns).alias("_row"))
+    left = probe.select(*keys, F.col(probe_pos).alias(at), F.lit(0).alias(side), F.struct(*probe.columns).alias(row))
     right = best.select(*keys, at, F.lit(1).alias(side), held)
     both = left.unionByName(apart(right), allowMissingColumns=True)
     # At one position probes come before build rows, so that only strictly nearer ones count.
-    order = F.col(at).asc() if direction == "backward" else F.col(at).desc()
-    window = Window.partitionBy(*keys).orderBy(order, F.col(side)).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("_near", F.last(held, ignorenulls=True).over(window)).filter(F.col(side) == 0)
-    return found.select("_row.*", *[F.col(f"_near.{c}").alias(c) for c in (build_pos, *values)])
+    order = F.asc(at) if direction == "backward" else F.desc(at)
+    ends = "max_by" if direction == "backward" else "min_by"
+    found = scan.carried_last(both, keys, [order, F.asc(side)], ends, at, held, near).filter(F.col(side) == 0)
+    return found.select(f"{row}.*", *[F.col(f"{near}.{c}").alias(c) for c in (build_pos, *values)])

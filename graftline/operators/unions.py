@@ -1,4 +1,4 @@
-"""Unions that promise no partitioning."""
+"""Unions that promise no partitioning, and names that no frame uses."""
 
 from __future__ import annotations
 
@@ -21,3 +21,12 @@ def apart(rows: DataFrame) -> DataFrame:
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows of frames of the same columns, by name."""
     return reduce(lambda a, b: a.unionByName(apart(b)), frames)
+
+
+def fresh(*frames: DataFrame) -> str:
+    """A column prefix that no frame uses."""
+    taken = {c for f in frames for c in f.columns}
+    name = "_bin"
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import cigar as cg
 from ..functions.sequence import phred, phred_string
+from ..operators import scan
 from ..schemas import ALIGNMENTS, SEQUENCES
 
 
@@ -62,25 +63,25 @@ def write_fasta(rows: DataFrame, path: str, name: str | None = "name", seq: str
 
 
 def write_fasta_with_quals(rows: DataFrame, path: str, name: str = "name", seq: str = "seq", quals: str = "quals") -> None:
-    """Sequences under ``path``.seq and their qualities, as numbers with blanks between, under ``path``.qual, in one order.
+    """Sequences under ``path``.seq and their qualities, as numbers with blanks between, under ``path``.qual, both in order of name, sequence and qualities.
 
     This is what local assemblers take; reads without qualities have a 0 for each base.
     """
     label = F.concat(F.lit(">"), F.col(name).cast("string"))
     numbers = F.array_join(F.coalesce(F.col(quals), F.array_repeat(F.lit(0), F.length(seq))), " ")
+    ordered = rows.orderBy(label, seq, numbers)
     for end, body in (("seq", F.col(seq)), ("qual", numbers)):
-        rows.select(F.concat(label, F.lit("\n"), body).alias("value")).write.mode("overwrite").text(f"{path}.{end}")
+        ordered.select(F.concat(label, F.lit("\n"), body).alias("value")).write.mode("overwrite").text(f"{path}.{end}")
 
 
 def parse_repeat_arms(lines: DataFrame) -> DataFrame:
     """(name, start_5p, end_5p, arm_5p, start_3p, end_3p, arm_3p) of a repeat finder's FASTA output.
 
     Consecutive records are the two arms of a repeat; a record's name ends in
-    ``_start_end``.  The output is of one pair of flanks; its lines are numbered in one task.
+    ``_start_end``.  Lines are numbered by a segmented scan, so a long output is many tasks.
     """
-    numbered = lines.filter(F.length("value") > 0).withColumn("_n", F.monotonically_increasing_id())
-    record = F.sum(F.when(F.col("value").startswith(">"), 1).otherwise(0)).over(Window.orderBy("_n"))
-    rows = numbered.withColumn("_r", record).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("all"))
+    numbered = lines.filter(F.length("value") > 0).select("value", F.monotonically_increasing_id().alias("_n"), F.when(F.col("value").startswith(">"), 1).otherwise(0).alias("_head"))
+    rows = scan.running_sum(numbered, [], ["_n"], "_head", "_r").filter("_r > 0").groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("_n", "value"))).alias("all"))
     head, body = F.col("all")[0]["value"], F.array_join(F.transform(F.slice("all", 2, 1 << 30), lambda x: x["value"]), "")
     part = lambda k: F.regexp_extract(head, "^>(.*)_(\\d+)_(\\d+)", k)
     arm = F.struct(part(1).alias("name"), part(2).cast("int").alias("start"), part(3).cast("int").alias("end"), body.alias("seq"))
@@ -221,11 +222,10 @@ def write_alignments(alignments: DataFrame, path: str) -> None:
 def parse_clusters(lines: DataFrame) -> DataFrame:
     """(member, rep) of a cluster listing: ``>Cluster n`` lines, members with ``>name...``, the representative ends in ``*``.
 
-    The listing is an outside tool's small summary; its lines are numbered in one task.
+    Lines are numbered by a segmented scan, so a long listing is many tasks.
     """
-    numbered = lines.withColumn("_n", F.monotonically_increasing_id())
-    run = F.sum(F.when(F.col("value").startswith(">"), 1).otherwise(0)).over(Window.orderBy("_n"))
-    rows = numbered.withColumn("cluster", run).filter(~F.col("value").startswith(">"))
+    numbered = lines.select("value", F.monotonically_increasing_id().alias("_n"), F.when(F.col("value").startswith(">"), 1).otherwise(0).alias("_head"))
+    rows = scan.running_sum(numbered, [], ["_n"], "_head", "cluster").filter(~F.col("value").startswith(">"))
     rows = rows.select("cluster", F.regexp_extract("value", ">(.+?)\\.\\.\\.", 1).alias("member"), F.rtrim("value").endswith("*").alias("is_rep"))
     reps = rows.filter("is_rep").select("cluster", F.col("member").alias("rep"))
     return rows.join(reps, "cluster").select("member", "rep")
