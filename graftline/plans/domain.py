@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions import sequence as sq
-from ..operators import assembly
+from ..operators import align, assembly
 from ..operators import consensus as cs
 from ..operators.joins import band_join
 from ..operators.stash import new_path, stash
@@ -275,6 +275,16 @@ def flank_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.walk(flanks_, ["site"], assembly.build(element_reads(spark, sf_dir), ["site"], p), p)
 
 
+def flank_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places where 45 bases of each supplier's contig, every second on the other strand, align without a difference."""
+    contigs = genome(spark, sf_dir)
+    cut = F.expr("substring(seq, 1 + cast(substring(name, 2) as int) * 13 % 2000, 45)")
+    odd = F.expr("cast(substring(name, 2) as int) % 2 = 1")
+    flanks_ = contigs.select(F.lit("s").alias("sample"), F.concat(F.lit("f"), F.expr("substring(name, 2)")).alias("name"), F.when(odd, sq.revcomp(cut)).otherwise(cut).alias("seq"))
+    found = align.align(flanks_, contigs).filter("nm = 0 and size(cigar) = 1")
+    return found.select("read_name", "contig", "ref_start", "ref_end", "is_reverse", "as_score")
+
+
 # --- inference -------------------------------------------------------------------------------------------------------
 
 
@@ -515,6 +525,7 @@ QUERIES = (
     inverted_repeats,
     local_assembly,
     flank_extension,
+    flank_places,
     flank_prefilter,
     infer_reference,
     infer_in_context,

@@ -302,6 +302,12 @@ ORACLE: dict[str, str] = {
             FROM walk w JOIN edges e ON e.site = w.site AND e.node = w.tail AND e.n_out = 1 JOIN contigs c ON c.site = w.site AND c.head = e.after WHERE NOT list_contains(been, c.head)),
         longest AS (SELECT site, flank, arg_max(text, len(been)) AS text FROM walk GROUP BY site, flank)
         SELECT site, flank, CASE WHEN length(text) > length(flank) THEN text ELSE flank END AS extended FROM flanks LEFT JOIN longest USING (site, flank)""",
+    "flank_places": f"""WITH genome AS (SELECT s_suppkey AS k, {_bases(f"repeat(md5(CAST(s_suppkey AS VARCHAR)), {DIGESTS})")} AS g FROM supplier),
+        flanks AS (SELECT k, CASE WHEN k % 2 = 1 THEN {_REVCOMP.format("f")} ELSE f END AS f FROM (SELECT k, substr(g, CAST(1 + k * 13 % 2000 AS BIGINT), 45) AS f FROM genome)),
+        strands AS (SELECT k, f AS s, false AS reverse FROM flanks UNION ALL SELECT k, {_REVCOMP.format("f")}, true FROM flanks),
+        places AS (SELECT k, g, unnest(range({_LENGTH - 44})) AS p FROM genome)
+        SELECT 'f' || s.k AS read_name, 'c' || t.k AS contig, CAST(p AS INTEGER) AS ref_start, CAST(p + 45 AS INTEGER) AS ref_end, reverse AS is_reverse, 90 AS as_score
+        FROM places t JOIN strands s ON s.s = substr(g, CAST(p + 1 AS BIGINT), 45)""",
     "region_consensus": f"""WITH {_READS}, regions AS (SELECT DISTINCT l_orderkey AS pair_id, 'c' || l_suppkey AS contig, day - 5 AS a, day + 5 AS b FROM lines WHERE q = 7),
         genome AS (SELECT 'c' || s_suppkey AS contig, {_bases(f"repeat(md5(CAST(s_suppkey AS VARCHAR)), {DIGESTS})")} AS g FROM supplier),
         seeds AS (SELECT pair_id, contig, a, b, unnest(range(greatest(a, 0), least(b, {_LENGTH}))) AS p, g FROM regions JOIN genome USING (contig)),
