@@ -56,18 +56,15 @@ class Visitor:
 
     def visit(self, part: dict) -> None:
         kind = part.get("kind") or "text"
-        visit = getattr(self, f"visit_{kind}", None)
-        if visit is None:
-            raise ValueError(f"unknown content part {kind!r}")
-        visit(part)
+        getattr(self, f"visit_{kind}", self.visit_other)(part)
 
     def _add(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
 
-    def _attach(self, kind: str, part: dict, tokens: int) -> None:
+    def _attach(self, kind: str, part: dict, tokens: int, mark: str | None = None) -> None:
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "position": self.length, "tokens": tokens})
-        self._add(f"<|{kind}|>")
+        self._add(f"<|{mark or kind}|>")
 
     def visit_text(self, part: dict) -> None:
         self._add(escape(part.get("text") or ""))
@@ -82,6 +79,15 @@ class Visitor:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, max(1, part.get("pages") or 0) * self.page_tokens)
 
+    def visit_other(self, part: dict) -> None:
+        """A kind without a visitor: a placeholder of no tokens, its kind and reference kept."""
+        self._attach(str(part.get("kind")), part, 0, "attachment")
+
+
+def placeholder(kind: str) -> str:
+    """What stands in the text for an attachment of a kind."""
+    return f"<|{kind if kind in ('image', 'audio', 'document') else 'attachment'}|>"
+
 
 def marks(role: str | None) -> tuple[str, str]:
     """The markers of a role; roles without their own are named in the marker."""
@@ -101,10 +107,10 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     A conversation's text is its turns' ``formatted`` in order of turn.  The loss
     mask of a turn is [loss_start, loss_end) in code points: an assistant's content,
     empty for other roles.  Null content is empty; a null role is an unnamed one.
+    A part of an unknown kind is a placeholder of no tokens, with its kind and reference recorded.
     Turns are formatted one by one, so a conversation of any length needs no more memory.
+    Other columns of ``turns``, whatever their names, are not read; empty in, empty out.
     """
-    attached = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("position", pa.int64()), ("tokens", pa.int64())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: list[tuple] = []
@@ -117,7 +123,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 start, end = (len(before), v.length) if role == "assistant" else (0, 0)
                 v._add(after)
                 done.append(("".join(v.out), start, end, v.attachments, sum(a["tokens"] for a in v.attachments)))
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [()] * 5, [pa.string(), pa.int64(), pa.int64(), attached, pa.int64()], strict=True)]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [()] * 5, [pa.string(), pa.int64(), pa.int64(), _ATTACHED, pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["conv_id", "turn", "formatted", "loss_start", "loss_end", "attachments", "expanded_tokens"])
 
     rows = tx.bounded(turns).select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(parts_col).alias("parts"))
@@ -126,19 +132,22 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 #: Characters of a conversation's text in one row.
 CHUNK_CHARS = 1 << 20
-TEXTS = "conv_id long, chunk long, whole boolean, last boolean, text string, loss array<struct<start:long,end:long>>"
+TEXTS = f"conv_id long, chunk long, whole boolean, last boolean, text string, loss array<struct<start:long,end:long>>, attachments {ATTACHMENTS}"
+_ATTACHED = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("position", pa.int64()), ("tokens", pa.int64())]))
 _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 class _Writer:
-    """One conversation's text, cut into chunks, with the spans of its loss mask."""
+    """One conversation's text, cut into chunks, with the spans of its loss mask and its attachments."""
 
     def __init__(self, conv: int | None, size: int):
         self.conv, self.size, self.base, self.number, self.held = conv, size, 0, 0, 0
         self.parts: list[str] = []
         self.spans: list[tuple[int, int]] = []
+        self.attachments: list[dict] = []
 
-    def add(self, text: str, a: int, b: int) -> Iterator[tuple]:
+    def add(self, text: str, a: int, b: int, attachments: list[dict]) -> Iterator[tuple]:
+        self.attachments += [x | {"position": x["position"] + self.base + self.held} for x in attachments]
         if b > a:
             self.spans.append((self.base + self.held + a, self.base + self.held + b))
         self.parts.append(text)
@@ -154,7 +163,9 @@ class _Writer:
         end = self.base + len(text)
         loss = [{"start": max(a, self.base), "end": min(b, end)} for a, b in self.spans if a < end]
         self.spans = [x for x in self.spans if x[1] > end]
-        out = (self.conv, self.number, last and not self.number, last, text, loss)
+        attachments = [x for x in self.attachments if x["position"] < end]
+        self.attachments = self.attachments[len(attachments) :]
+        out = (self.conv, self.number, last and not self.number, last, text, loss, attachments)
         self.base, self.number = end, self.number + 1
         return out
 
@@ -163,29 +174,30 @@ class _Writer:
 
 
 def conversations(formatted: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(conv_id, chunk, whole, last, text, loss): each conversation's text in rows of ``chunk_chars`` characters.
+    """(conv_id, chunk, whole, last, text, loss, attachments): each conversation's text in rows of ``chunk_chars`` characters.
 
     Turns follow in order of turn; those of one number by their formatted text, null
     numbers first.  Turns without a conversation are one.  ``whole`` marks rows that
     hold a whole conversation; ``loss`` has the loss mask's spans in code points of
-    the conversation.  A task streams its turns and holds one row's text at a time.
+    the conversation, and ``attachments`` are those whose placeholder begins in the row, with its place
+    in the conversation.  A task streams its turns and holds one row's text at a time.
     """
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), _LOSS]
-    names = ["conv_id", "chunk", "whole", "last", "text", "loss"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), _LOSS, _ATTACHED]
+    names = ["conv_id", "chunk", "whole", "last", "text", "loss", "attachments"]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Writer | None = None
         for batch in batches:
             done: list[tuple] = []
-            for conv, text, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for conv, text, a, b, attachments in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if now is None or now.conv != conv:
                     if now is not None:
                         done.append(now.close())
                     now = _Writer(conv, chunk_chars)
-                for row in now.add(text, a, b):
+                for row in now.add(text, a, b, attachments):
                     done.append(row)
                     if len(done) >= 16 and len(row[4]) == chunk_chars:
                         yield batch_of(done)
@@ -194,7 +206,7 @@ def conversations(formatted: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataF
         if now is not None:
             yield batch_of([now.close()])
 
-    rows = formatted.select("conv_id", "formatted", "loss_start", "loss_end", "turn")
+    rows = formatted.select("conv_id", "formatted", "loss_start", "loss_end", "attachments", "turn")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     return ordered.mapInArrow(run, TEXTS)
 
@@ -235,11 +247,15 @@ class _Reader:
 
     def __init__(self, conv: int | None):
         self.conv, self.text, self.base, self.resume = conv, "", 0, 0
-        self.turns, self.loss_chars = 0, 0
+        self.turns, self.loss_chars, self.attached, self.tokens = 0, 0, 0, 0
+        self.marks: list[tuple[int, str]] = []
         self.said, self.loss = hashlib.sha256(), hashlib.sha256()
         self.spans: list[list[int]] = []
 
-    def add(self, text: str, spans: list[dict]) -> None:
+    def add(self, text: str, spans: list[dict], attachments: list[dict]) -> None:
+        self.attached += len(attachments)
+        self.tokens += sum(x["tokens"] for x in attachments)
+        self.marks += [(x["position"], placeholder(x["kind"])) for x in attachments]
         for s in spans:
             if self.spans and self.spans[-1][1] == s["start"]:
                 self.spans[-1][1] = s["end"]  # a span that a row's end has cut
@@ -250,6 +266,10 @@ class _Reader:
         while at < len(self.text) and (found := next_turn(self.text, at, self.resume)):
             role, a, b, end = found
             self.turns += 1
+            while self.marks and self.marks[0][0] < self.base + end:
+                place, mark = self.marks.pop(0)
+                if not self.text.startswith(mark, place - self.base):
+                    raise ValueError("an attachment without its placeholder")
             self.said.update(f"{role}\n{unescape(self.text[a:b])}\n".encode())
             while self.spans and self.spans[0][0] < self.base + end:
                 x, y = self.spans.pop(0)
@@ -263,33 +283,35 @@ class _Reader:
     def close(self) -> tuple:
         if self.text:
             raise ValueError("a conversation ends within a turn")
-        return self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.base
+        return self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.base, self.attached, self.tokens
 
 
 def digests(texts: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from conversations' texts.
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, expanded_tokens), parsed from conversations' texts.
+
+    Attachments are those of the stored conversation, each held against the placeholder at its place.
 
     ``texts`` are rows of ``conversations``.  Rows that hold a whole conversation are
     read where they are; only chunks of longer ones are shuffled, and stream through
     one task in order, which holds two hash states and one turn.  Empty in, empty out.
     """
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Reader | None = None
         for batch in batches:
             done = []
-            for conv, last, text, loss in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for conv, last, text, loss, attachments in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 now = now or _Reader(conv)
-                now.add(text, loss)
+                now.add(text, loss, attachments)
                 if last:
                     done.append(now.close())
                     now = None
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [()] * 6, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else [()] * 8, kinds, strict=True)], names=names)
 
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    needed = ["conv_id", "last", "text", "loss"]
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
+    needed = ["conv_id", "last", "text", "loss", "attachments"]
     parts = texts.filter("not whole").select(*needed, "chunk").repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
     return union_all([texts.filter("whole").select(needed).mapInArrow(run, schema), parts.select(needed).mapInArrow(run, schema)])
 

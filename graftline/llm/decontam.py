@@ -77,11 +77,13 @@ class Index:
     source: np.ndarray
     begin: np.ndarray
     shared: np.ndarray
+    #: Of windows that several texts hold: the items of the others.
+    others: dict[int, list[int | None]]
     grams: np.ndarray
     first: np.ndarray
     owner: np.ndarray
     place: np.ndarray
-    #: The first item and the number of items of each short text, and the sorted hashes and distinct lengths of the short texts.
+    #: The first item, the number of items and the other items of each short text, and the sorted hashes and distinct lengths of the short texts.
     short: dict[bytes, list]
     short_hashes: np.ndarray
     short_lengths: list[int]
@@ -105,12 +107,15 @@ class Index:
         ids, body, short = [], [], {}
         grams, owner, place, source, begin = [np.zeros(0, np.uint64)], *([np.zeros(0, np.int32)] for _ in range(4))
         seen: dict[bytes, list[int]] = {}  # window: its number, the items that hold it, the last of these
+        others: dict[int, list[int | None]] = {}
         for number, (i, t) in enumerate(items):
             low = _BLANK[np.frombuffer(t.encode(), np.uint8)]
             if len(low) < max(p.least_chars, p.q):
                 if own := low.tobytes().strip():
-                    held = short.setdefault(own, [i, 0])
+                    held = short.setdefault(own, [i, 0, []])
                     held[1] += 1
+                    if held[1] > 1:
+                        held[2].append(i)
                 continue
             n = min(len(low), p.window)
             starts = []
@@ -121,6 +126,7 @@ class Index:
                     starts.append(a)
                 elif held[2] != number:
                     held[1], held[2] = held[1] + 1, number
+                    others.setdefault(held[0], []).append(i)
             if not starts:
                 continue
             # Only q-grams inside windows that this text holds first.
@@ -142,7 +148,7 @@ class Index:
         bound = np.array([p.bound(n) for n in size.tolist()], np.int64)
         brief, ends = np.frombuffer(b"".join(short), np.uint8), np.cumsum([0, *map(len, short)])
         shared = np.array([n for _, n, _ in seen.values()], np.int64)
-        return Index(p, ids, body, size, bound, of.astype(np.int64), starts.astype(np.int64), shared, values, np.append(first, len(h)).astype(np.int32), own[order], at[order], short, np.unique(tx.span_hashes(brief, ends[:-1], ends[1:])), sorted({*map(len, short)}))
+        return Index(p, ids, body, size, bound, of.astype(np.int64), starts.astype(np.int64), shared, others, values, np.append(first, len(h)).astype(np.int32), own[order], at[order], short, np.unique(tx.span_hashes(brief, ends[:-1], ends[1:])), sorted({*map(len, short)}))
 
 
 def _align(windows: list[np.ndarray], texts: list[np.ndarray], band: int) -> np.ndarray:
@@ -178,7 +184,7 @@ def _cut(low: np.ndarray, start: int, end: int, least: int, most: int) -> np.nda
     return np.concatenate([np.full(least - start, -1, np.int16), body]) if start < least else body
 
 
-def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int, int]]:
+def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray) -> Iterator[Region]:
     """(document, item, items, start, end, edits) of verified regions of a chunk."""
     p, mask = index.p, np.uint64(len(maybe) - 1)
     h = _qgrams(low, p.q)
@@ -235,14 +241,14 @@ def _regions(low: np.ndarray, off: np.ndarray, index: Index, maybe: np.ndarray)
         own = [index.window(x) for x in ww]
         texts = [_cut(low, s, s + len(x) + width, off[y], off[y + 1]) for s, x, y in zip(start, own, dd, strict=True)]
         edits = _align(own, texts, width)
-        for y, x, m, s, e, n in zip(dd.tolist(), index.source[ww].tolist(), index.shared[ww].tolist(), start.tolist(), edits.tolist(), map(len, own), strict=True):
+        for y, v, x, m, s, e, n in zip(dd.tolist(), ww.tolist(), index.source[ww].tolist(), index.shared[ww].tolist(), start.tolist(), edits.tolist(), map(len, own), strict=True):
             if e <= p.edits(n):
                 s += reach
-                yield y, index.ids[x], m, max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e
+                yield y, index.ids[x], m, max(s, int(off[y])), min(s + n + reach, int(off[y + 1])), e, tuple(index.others.get(v, ()))
 
 
-def _exact(low: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int, int | None, int, int, int, int]]:
-    """(document, item, items, start, end, 0) of the places of short benchmark texts, which no letter or digit goes on."""
+def _exact(low: np.ndarray, off: np.ndarray, index: Index) -> Iterator[Region]:
+    """(document, item, items, start, end, 0, other items) of the places of short benchmark texts, which no letter or digit goes on."""
     if not index.short or not len(low):
         return
     letter = _LETTER[low]
@@ -263,14 +269,19 @@ def _exact(low: np.ndarray, off: np.ndarray, index: Index) -> Iterator[tuple[int
         hit = index.short_hashes[k] == h
         for d, a in zip(own[hit].tolist(), at[hit].tolist(), strict=True):
             if held := index.short.get(low[a : a + n].tobytes()):
-                yield d, *held, a, a + n, 0
+                item, items, others = held
+                yield d, item, items, a, a + n, 0, tuple(others)
 
 
-def _best(regions: Iterator[tuple[int, int | None, int, int, int, int]], p: Decontam) -> Iterator[tuple[int, int | None, int, int, int, int]]:
-    """The regions without those that better ones of other items cover, but for what edits and the stride leave open.
+#: (document, item, items, start, end, edits, other items) of a matched window.
+Region = tuple[int, int | None, int, int, int, int, tuple]
+
+
+def _best(regions: Iterator[Region], p: Decontam) -> Iterator[Region]:
+    """The regions with those that better ones of other items cover, but for what edits and the stride leave open, told among these items' others.
 
     Regions count in order of their edits; so where benchmark texts are alike, the
-    nearest of them stands for a place.
+    nearest of them stands for a place, and names the rest.
     """
     by_doc: dict[int, list] = {}
     for r in regions:
@@ -280,13 +291,28 @@ def _best(regions: Iterator[tuple[int, int | None, int, int, int, int]], p: Deco
             yield from own
             continue
         first = min(r[3] for r in own)
-        covered, taken = bytearray(max(r[4] for r in own) - first), set()
+        size = max(r[4] for r in own) - first
+        covered, by = bytearray(size), np.full(size, -1, np.int64)
+        taken: dict[int | None, list[Region]] = {}
+        named: dict[int | None, set] = {}
+        items: list[int | None] = []
         for r in sorted(own, key=lambda r: r[5]):
-            _, item, _, a, b, _ = r
-            if item in taken or covered.count(0, a - first, b - first) > 2 * p.edits(b - a) + p.stride:
-                taken.add(item)
-                covered[a - first : b - first] = b"\1" * (b - a)
-                yield r
+            _, item, _, a, b, _, others = r
+            a, b = a - first, b - first
+            if item in taken or covered.count(0, a, b) > 2 * p.edits(b - a) + p.stride:
+                taken.setdefault(item, []).append(r)
+                free = by[a:b] < 0
+                by[a:b][free] = len(items)
+                items.append(item)
+                covered[a:b] = b"\1" * (b - a)
+            else:  # of the items that cover it, the one that covers the most
+                over = by[a:b]
+                stands = items[int(np.bincount(over[over >= 0]).argmax())]
+                named.setdefault(stands, set()).update((item, *others))
+        for item, rows in taken.items():
+            more = tuple(named.get(item, ()))
+            for k, r in enumerate(rows):
+                yield (*r[:6], r[6] + more) if not k else r
 
 
 class _Finder:
@@ -298,18 +324,19 @@ class _Finder:
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[index.grams & np.uint64((1 << bits) - 1)] = True
 
-    def __call__(self, column: pa.Array) -> dict[tuple[int, int | None], list[int]]:
-        """(row, item): [items, regions, start, end, edits], in code points."""
-        found: dict[tuple[int, int | None], list[int]] = {}
+    def __call__(self, column: pa.Array) -> dict[tuple[int, int | None], list]:
+        """(row, item): [items, regions, start, end, edits, other items], in code points."""
+        found: dict[tuple[int, int | None], list] = {}
         for a, _, data, off in tx.chunks(column):
             letter = None
             low = _BLANK[data]
-            for d, item, items, start, end, e in chain(_best(_regions(low, off, self.index, self.maybe), self.index.p), _exact(low, off, self.index)):
+            for d, item, items, start, end, e, others in chain(_best(_regions(low, off, self.index, self.maybe), self.index.p), _exact(low, off, self.index)):
                 if letter is None:
                     letter = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 s, t = (int(letter[x] - letter[off[d]]) for x in (start, end))
-                was = found.setdefault((a + d, item), [items, 0, s, t, e])
-                was[:] = [max(was[0], items), was[1] + 1, min(was[2], s), max(was[3], t), min(was[4], e)]
+                was = found.setdefault((a + d, item), [items, 0, s, t, e, set()])
+                was[5].update(x for x in others if x is not None and x != item)
+                was[:5] = [max(was[0], items), was[1] + 1, min(was[2], s), max(was[3], t), min(was[4], e)]
         return found
 
 
@@ -326,12 +353,14 @@ def _indexes(benchmark: DataFrame, p: Decontam) -> Iterator[Index]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, items, regions, start, end, edits): one row for each document row and benchmark text found in it.
+    """(doc_id, item_id, items, regions, start, end, edits, also): the benchmark texts found in each document row.
 
     A window or short text that several benchmark texts share counts as found for the
     first of them in order of id, and items says how many share it (in a block of the
-    benchmark).  A region that nearer matches of other items cover is theirs alone; so
-    what all benchmark texts begin with gives one row a document.
+    benchmark).  A region that nearer matches of other items cover is counted as theirs; so
+    what all benchmark texts begin with gives one row a document.  ``also`` names, in order, the
+    other benchmark texts that share a row's windows or whose regions it covers: every
+    pair of a document and a benchmark text found in it is a row's item_id or in its also.
     start and end span the matched windows in code points (to within the edit
     budget), edits is the best window's.  A benchmark text under ``least_chars`` bytes
     is found where it stands exactly (letter case and kind of white space aside) and no
@@ -341,7 +370,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
     """
     spark = docs.sparkSession
     rows = tx.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "doc_id long, item_id long, items long, regions long, start long, end long, edits int"
+    schema = "doc_id long, item_id long, items long, regions long, start long, end long, edits int, also array<long>"
     out = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, p):
         held = spark.sparkContext.broadcast(index)
@@ -352,7 +381,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_co
                 found = find(batch.column(1))
                 at = pa.array([k for k, _ in found], pa.int64())
                 columns = [batch.column(0).take(at), pa.array([i for _, i in found], pa.int64()), *(pa.array([v[k] for v in found.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "items", "regions", "start", "end", "edits"])
+                columns.append(pa.array([sorted(v[5]) for v in found.values()], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "items", "regions", "start", "end", "edits", "also"])
 
         out = out.unionByName(rows.mapInArrow(run, schema))
     return out

@@ -136,7 +136,8 @@ ORACLE: dict[str, str] = {
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(text) + length(text) - length(replace(replace(text, '<', ''), '[', ''))
-                   + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 ELSE 7 END) AS BIGINT) AS formatted_chars
+                   + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 ELSE 7 END) AS BIGINT) AS formatted_chars,
+               CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
         FROM t GROUP BY conv_id""",
     "op8_near_dedup": r"""
         WITH RECURSIVE w AS (

@@ -45,6 +45,20 @@ def test_parts_and_roles(spark):
         assert [r.whole for r in rows] == [n > len(text)] * len(rows) and [r.last for r in rows] == [False] * (len(rows) - 1) + [True]
 
 
+def test_attachments_are_stored_with_the_conversation(spark):
+    """References, places and token counts come with the stored text, whatever its rows; a kind without a visitor has a placeholder too."""
+    part = lambda kind, **x: (kind, x.get("text"), x.get("ref"), x.get("width"), x.get("height"), x.get("duration_ms"), x.get("pages"))
+    rows = [(1, 0, "user", [part("text", text="a<b"), part("image", ref="a.png", width=57, height=28), part("video", ref="v", duration_ms=9)]), (1, 1, "assistant", [part("audio", ref="b", duration_ms=100), part("text", text="[x]")]), (2, 0, "user", [part(None, text="t")])]
+    turns = chat.format_turns(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}"))
+    for n in (5, 1 << 20):
+        texts = chat.conversations(turns, n)
+        own = sorted(texts.filter("conv_id = 1").collect(), key=lambda r: r.chunk)
+        text, found = "".join(r.text for r in own), [a for r in own for a in r.attachments]
+        assert [(a.kind, a.ref, a.tokens) for a in found] == [("image", "a.png", 3), ("video", "v", 0), ("audio", "b", 3)]
+        assert [text[a.position :].startswith(m) for a, m in zip(found, ("<|image|>", "<|attachment|>", "<|audio|>"), strict=True)] == [True] * 3
+        assert {r.conv_id: (r.n_attachments, r.expanded_tokens) for r in chat.digests(texts).collect()} == {1: (3, 6), 2: (0, 0)}
+
+
 def test_conversations_come_back_from_their_text(spark):
     """Turns, texts and the masked text against the rows, however the text is cut into rows."""
     rng = random.Random(3)

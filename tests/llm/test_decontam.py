@@ -117,6 +117,20 @@ def test_a_common_preamble_gives_one_row(spark):
     assert {(r.doc_id, r.item_id, r.items) for r in got if r.doc_id >= 100} == {(100 + i, i, 1) for i in range(60)}
 
 
+def test_links_of_like_items_are_all_named(spark):
+    """Two benchmark texts that differ in two characters, a third that shares the first half: a document of one names all it holds."""
+    rng = random.Random(31)
+    prose = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n))
+    a = prose(260)
+    b = a[:100] + "QQ".lower() + a[102:]
+    items = {1: a, 2: b, 3: a[:130] + prose(130), 4: prose(260)}
+    docs = [(10, prose(50) + a + prose(50)), (11, prose(50) + b), (12, a[130:] + prose(40)), (13, prose(300)), (14, prose(20) + items[3])]
+    df, names = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), "item_id long, text string"
+    links = {(r.doc_id, i) for r in leaks(df, spark.createDataFrame(list(items.items()), names)).collect() for i in (r.item_id, *r.also)}
+    alone = {(r.doc_id, i) for i, t in items.items() for r in leaks(df, spark.createDataFrame([(i, t)], names)).collect()}
+    assert links == alone and {(10, 1), (10, 2), (10, 3), (11, 1), (12, 2), (14, 1)} <= links
+
+
 def test_recall_of_passages(spark):
     """Edited passages of benchmark texts, against semi-global edit distance over all their windows."""
     rng, p = random.Random(12), Decontam()
