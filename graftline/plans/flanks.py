@@ -31,8 +31,8 @@ COUNTS = (
 SITE = ["sample", "contig", "pos"]
 
 
-def clips(alignments: DataFrame, p: FindFlanks) -> DataFrame:
-    """One row for each clipped end of a read that passes: site, orientation, clipped word and qualities outwards."""
+def clips(alignments: DataFrame, p: FindFlanks = FindFlanks(), also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each clipped end of a read that passes: site, orientation, clipped word and qualities outwards, and the columns in ``also``."""
     rows = alignments.filter(~F.coalesce("is_unmapped", F.lit(False))).filter(cg.passes_read_filters(p.min_alignment_quality, p.min_alignment_inner_length))
     ends = []
     for side, orient in (("right", "5p"), ("left", "3p")):
@@ -52,7 +52,7 @@ def clips(alignments: DataFrame, p: FindFlanks) -> DataFrame:
                 ),
             )
         )
-    return rows.select("sample", "contig", "read_name", F.explode(F.array_compact(F.array(*ends))).alias("clip")).select("sample", "contig", "clip.pos", "clip.orient", "read_name", "clip.clip_len", "clip.word", "clip.quals")
+    return rows.select("sample", "contig", "read_name", *also, F.explode(F.array_compact(F.array(*ends))).alias("clip")).select("sample", "contig", "clip.pos", "clip.orient", "read_name", "clip.clip_len", "clip.word", "clip.quals", *also)
 
 
 def clip_counts(rows: DataFrame, p: FindFlanks) -> DataFrame:

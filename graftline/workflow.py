@@ -12,8 +12,8 @@ import argparse
 import json
 import logging
 import os
-from collections.abc import Sequence
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from .operators.unions import union_all
 from .params import SHORT, ClusterSeq, FindFlanks, Genotype, InferAligned, InferDatabase, InferOverlap, MakeDatabase, PairFlanks, Workflow, long_name
 from .plans import cohort, extend, flanks, infer, pairs
 from .sources import bam, files
+from .stages import Stages
 
 log = logging.getLogger("graftline")
 
@@ -60,22 +61,58 @@ class Outputs:
     fasta: DataFrame
 
 
-def run(x: Inputs, w: Workflow = Workflow()) -> Outputs:
-    """All stages, from alignments to the final FASTA table."""
-    found = stash(flanks.find_flanks(x.alignments, w.findflanks, files.contigs_of(x.genome)), "flanks")
-    paired = stash(pairs.pair_flanks(found, x.alignments, x.genome, w.pairflanks), "pairs")
+@dataclass
+class _Steps:
+    """Stages of one run: written tables, kept under keys where there is a folder of stages."""
+
+    stages: Stages | None
+    #: Keys of the inputs by name, and of the stages that were made.
+    keys: dict[str, str]
+
+    def __call__(self, name: str, build: Callable[[], DataFrame], after: Sequence[str], params: object = None) -> DataFrame:
+        if self.stages is None:
+            return stash(build(), name)
+        made_of = {k: self.keys[k] for k in after}
+        self.keys[name] = self.stages.key(name, list(made_of.values()), params)
+        return self.stages.table(name, self.keys[name], build, {"from": made_of, "parameters": asdict(params) if params else None})
+
+
+def _inferred(x: Inputs, w: Workflow, step: _Steps) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(flanks, pairs, inferred sequences by method); what the database gives only if there is one."""
+    found = step("findflanks", lambda: flanks.find_flanks(x.alignments, w.findflanks, files.contigs_of(x.genome)), ["alignments", "genome"], w.findflanks)
+    paired = step("pairflanks", lambda: pairs.pair_flanks(found, x.alignments, x.genome, w.pairflanks), ["findflanks", "alignments", "genome"], w.pairflanks)
     plain = infer.flank_sequences(paired)
     aligned = lambda given, queries, targets: given if given is not None else stash(align(queries, targets), "aligned")
-    parts = [infer.infer_overlap(paired, w.inferseq_overlap), infer.infer_reference(aligned(x.to_reference, plain, x.genome), x.genome, w.inferseq)]
+    parts = {
+        "inferseq_overlap": step("inferseq_overlap", lambda: infer.infer_overlap(paired, w.inferseq_overlap), ["pairflanks"], w.inferseq_overlap),
+        "inferseq_reference": step("inferseq_reference", lambda: infer.infer_reference(aligned(x.to_reference, plain, x.genome), x.genome, w.inferseq), ["pairflanks", "genome"], w.inferseq),
+    }
     if x.assembly is not None:
-        parts.append(assembled(x, paired, w))
+        parts["inferseq_assembly"] = step("inferseq_assembly", lambda: assembled(x, paired, w), ["pairflanks", "alignments", "genome", "assembly"], w.inferseq_assembly)
     if x.database is not None:
-        parts.append(infer.infer_database(x.to_database if x.to_database is not None else stash(align(plain, x.database, DATABASE_ALIGNER), "aligned"), x.database, w.inferseq_database))
-    parts = [stash(p, "inferred") for p in parts]
-    clustered = stash(cohort.cluster_sequences(parts, w.clusterseq), "clusterseq")
-    typed = stash(cohort.genotype([paired], clustered, w.genotype), "genotypes")
-    inferred = cohort.union_inferred(parts, 0, 1 << 30)
-    return Outputs(found, paired, inferred, clustered, typed, cohort.summarize(typed, clustered), cohort.summarize(typed, clustered, "group"), cohort.cluster_fasta(typed, clustered))
+        known = lambda: x.to_database if x.to_database is not None else stash(align(plain, x.database, DATABASE_ALIGNER), "aligned")
+        parts["inferseq_database"] = step("inferseq_database", lambda: infer.infer_database(known(), x.database, w.inferseq_database), ["pairflanks", "database"], w.inferseq_database)
+    return found, paired, parts
+
+
+def run(x: Inputs, w: Workflow = Workflow(), step: _Steps | None = None) -> Outputs:
+    """All stages, from alignments to the final FASTA table."""
+    step = step or _Steps(None, {})
+    found, paired, by_method = _inferred(x, w, step)
+    parts = list(by_method.values())
+    clustered = step("clusterseq", lambda: cohort.cluster_sequences(parts, w.clusterseq), list(by_method), w.clusterseq)
+    typed = step("genotype", lambda: cohort.genotype([paired], clustered, w.genotype), ["pairflanks", "clusterseq"], w.genotype)
+    last = ["genotype", "clusterseq"]
+    return Outputs(
+        found,
+        paired,
+        cohort.union_inferred(parts, 0, 1 << 30),
+        clustered,
+        typed,
+        step("summarize.clusters", lambda: cohort.summarize(typed, clustered), last),
+        step("summarize.groups", lambda: cohort.summarize(typed, clustered, "group"), last),
+        step("makefasta", lambda: cohort.cluster_fasta(typed, clustered), last),
+    )
 
 
 def assembled(x: Inputs, paired: DataFrame, w: Workflow) -> DataFrame:
@@ -107,7 +144,9 @@ def run_directory(spark: SparkSession, workdir: str, w: Workflow = Workflow()) -
     ``{genome_dir}/{genome}.fna``, ``{bam_dir}/{sample}.{genome}.bam`` (or .sam, or
     .parquet) and, where there is one, ``{assembly_dir}/{sample}.fna`` are read.  A
     first pass over overlap, reference and assembly makes the genome's database of
-    elements; the second adds what the database gives.  Stage tables are partitioned by sample.
+    elements; the second adds what the database gives, and reads all else.  Stage tables are partitioned by sample.
+    Stages lie in ``{stages_dir}/{genome}/.kept``; what is there under the same inputs and
+    parameters is not computed again, nor its output written.
     """
     at = lambda *parts: "/".join([workdir.rstrip("/"), *parts])
     genomes = {n.rpartition(".")[0]: n for n in _listed(spark, at(w.genome_dir)) if n.endswith(".fna")}
@@ -122,19 +161,27 @@ def run_directory(spark: SparkSession, workdir: str, w: Workflow = Workflow()) -
         if not reads:
             log.info("no alignments for genome %s", genome)
             continue
-        alignments = stash(union_all([_alignments(spark, path, sample).withColumn("sample", F.lit(sample)) for sample, path in reads.items()]), "alignments")
-        own = [files.read_fasta(spark, at(w.assembly_dir, assemblies[s])).withColumn("sample", F.lit(s)) for s in reads if s in assemblies]
+        stages = Stages(spark, at(w.stages_dir, genome, ".kept"))
+        step = _Steps(stages, {"reads": stages.files_key(*reads.values()), "genome": stages.files_key(at(w.genome_dir, file))})
+        alignments = step("alignments", lambda reads=reads: union_all([_alignments(spark, path, sample).withColumn("sample", F.lit(sample)) for sample, path in reads.items()]), ["reads"])
+        with_assembly = {s: at(w.assembly_dir, assemblies[s]) for s in reads if s in assemblies}
+        own = [files.read_fasta(spark, path).withColumn("sample", F.lit(s)) for s, path in with_assembly.items()]
+        step.keys["assembly"] = stages.files_key(*with_assembly.values())
         x = Inputs(alignments, files.read_fasta(spark, at(w.genome_dir, file)), assembly=union_all(own) if own else None)
         log.info("genome %s: %d samples, %d assemblies", genome, len(reads), len(own))
-        first = run(x, w)
-        database = stash(cohort.make_database([first.inferred], w.makedatabase), "database")
-        files.write_fasta(database, at(w.database_dir, genome))
-        y = run(replace(x, database=database), w)
-        for number, (name, table) in enumerate((("findflanks", y.flanks), ("pairflanks", y.pairs), ("inferseq", y.inferred)), 1):
-            table.write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").csv(at(w.stages_dir, genome, f"{number:02d}.{name}"))
+        *_, first = _inferred(x, w, step)
+        database = step("makedatabase", lambda first=first: cohort.make_database([cohort.union_inferred(list(first.values()), 0, 1 << 30)], w.makedatabase), list(first), w.makedatabase)
+        step.keys["database"] = step.keys["makedatabase"]
+        stages.once("write.database", step.keys["makedatabase"], lambda database=database, genome=genome: files.write_fasta(database, at(w.database_dir, genome)))
+        y = run(replace(x, database=database), w, step)
+        key = step.keys
+        inferred_key = stages.key("inferseq", [v for k, v in sorted(key.items()) if k.startswith("inferseq_")])
+        for number, (name, own_key, table) in enumerate((("findflanks", key["findflanks"], y.flanks), ("pairflanks", key["pairflanks"], y.pairs), ("inferseq", inferred_key, y.inferred)), 1):
+            stages.once(f"write.{name}", own_key, lambda table=table, number=number, name=name, genome=genome: table.write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").csv(at(w.stages_dir, genome, f"{number:02d}.{name}")))
         for number, (name, table) in enumerate((("clusterseq", y.clusterseq), ("genotype", y.genotypes), ("summarize.clusters", y.clusters), ("summarize.groups", y.groups)), 1):
-            files.write_tsv(table, at(w.results_dir, genome, f"{number:02d}.{name}"))
-        files.write_fasta(y.fasta, at(w.results_dir, genome, "05.makefasta"))
+            stages.once(f"write.{name}", key[name], lambda table=table, number=number, name=name, genome=genome: files.write_tsv(table, at(w.results_dir, genome, f"{number:02d}.{name}")))
+        stages.once("write.makefasta", key["makefasta"], lambda y=y, genome=genome: files.write_fasta(y.fasta, at(w.results_dir, genome, "05.makefasta")))
+        log.info("genome %s: computed %s; kept %s", genome, ", ".join(stages.computed) or "nothing", ", ".join(stages.found) or "nothing")
         out[genome] = y
     return out
 

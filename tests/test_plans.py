@@ -309,6 +309,39 @@ def test_working_directory(spark, tables, tmp_path):
     assert (tmp_path / "03.results/g1/03.summarize.clusters").exists() and (tmp_path / "01.stages/g1/01.findflanks/sample=a").exists()
 
 
+def test_a_second_run_computes_nothing(spark, tables, tmp_path, caplog):
+    """A finished directory is read; another parameter computes what depends on it; a changed file all that is made of it."""
+    alignments, genome = tables
+    for s in ("a", "b"):
+        alignments.filter(F.col("sample") == s).write.parquet(str(tmp_path / "00.bam" / f"{s}.g1.parquet"))
+    files.write_fasta(genome, str(tmp_path / "00.genome" / "g1.fna"))
+    caplog.set_level("INFO", logger="graftline")
+
+    def run(w):
+        caplog.clear()
+        out = workflow.run_directory(spark, str(tmp_path), w)["g1"]
+        said = next(r.getMessage() for r in caplog.records if "computed" in r.getMessage())
+        return out, set(said.partition("computed ")[2].partition(";")[0].split(", "))
+
+    first, computed = run(workflow.Workflow())
+    assert {"alignments", "findflanks", "pairflanks", "inferseq_database", "clusterseq", "genotype", "write.genotype"} <= computed
+    assert any(r.getMessage().startswith("findflanks: ") and " rows in " in r.getMessage() for r in caplog.records)
+    again, computed = run(workflow.Workflow())
+    assert computed == {"nothing"} and sorted(again.genotypes.collect()) == sorted(first.genotypes.collect())
+    w = workflow.Workflow.from_dict({"genotype": {"filter_clusters": False}})
+    _, computed = run(w)
+    assert computed == {"genotype", "summarize.clusters", "summarize.groups", "makefasta", "write.genotype", "write.summarize.clusters", "write.summarize.groups", "write.makefasta"}
+    kept = tmp_path / "01.stages/g1/.kept/pairflanks"
+    (key,) = kept.iterdir()
+    assert {"stage", "key", "rows", "seconds", "from", "parameters"} == set(__import__("json").loads((key / "_manifest.json").read_text()))
+    (key / "_SUCCESS").unlink()  # as a run that was broken off leaves it
+    _, computed = run(w)
+    assert computed == {"pairflanks"}
+    files.write_fasta(genome, str(tmp_path / "00.genome" / "g1.fna"))
+    _, computed = run(w)
+    assert "findflanks" in computed and "alignments" not in computed
+
+
 def test_clip_filters(spark):
     rows = []
     alignment(rows, "s", "both", 100, "40S15M40S", "A" * 95)
