@@ -1,8 +1,10 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
-from graftline.llm import toxicity
+from graftline.llm import queries, toxicity
 from graftline.llm.toxicity import Ordinal, severity, train
 
 
@@ -39,16 +41,8 @@ def test_held_out_accuracy(spark):
     assert severity(docs.limit(0), model).collect() == []
 
 
-def test_scores_by_hand(spark):
-    """Every document's probabilities, word by word."""
-    import re
-
-    import pyarrow as pa
-
-    data = rows(400, 3)
-    data = [(d, t + (" Straße né\u00e9 x-y1z Ünï" if d % 3 else ""), y, q) for d, t, y, q in data] + [(900, "", 0, 1)]
-    docs = spark.createDataFrame([(d, t) for d, t, _, _ in data], "doc_id long, text string")
-    model = train(docs, spark.createDataFrame([(d, q, y) for d, _, y, q in data], "doc_id long, quality int, toxic int"))
+def by_hand(model, text):
+    """(probability of being toxic, expected severity) of a text, word by word."""
     weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
 
     def names(word):
@@ -61,13 +55,37 @@ def test_scores_by_hand(spark):
             out.add(int(toxicity.tx.mix(toxicity.tx.span_hashes(low, np.array([0]), np.array([len(low)])) ^ mark)[0]))
         return out
 
+    words = {w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode())}
+    known = [weight[h] for h in set().union(*map(names, words), set()) if h in weight]
+    f = sum(known) / max(1, len(known)) ** 0.5
+    over = [1 / (1 + np.exp(c - f)) for c in model.cuts]
+    return over[0], sum(over)
+
+
+def test_scores_by_hand(spark):
+    """Every document's probabilities, word by word."""
+    data = rows(400, 3)
+    data = [(d, t + (" Straße né\u00e9 x-y1z Ünï" if d % 3 else ""), y, q) for d, t, y, q in data] + [(900, "", 0, 1)]
+    docs = spark.createDataFrame([(d, t) for d, t, _, _ in data], "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(d, q, y) for d, _, y, q in data], "doc_id long, quality int, toxic int"))
     got = {r.doc_id: r for r in severity(docs, model).collect()}
     for d, t, _, _ in data:
-        words = {w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", t.encode())}
-        known = [weight[h] for h in set().union(*map(names, words), set()) if h in weight]
-        f = sum(known) / max(1, len(known)) ** 0.5
-        over = [1 / (1 + np.exp(c - f)) for c in model.cuts]
-        assert abs(got[d].p_toxic - over[0]) < 1e-9 and abs(got[d].expected_severity - sum(over)) < 1e-9
+        p_toxic, expected = by_hand(model, t)
+        assert abs(got[d].p_toxic - p_toxic) < 1e-9 and abs(got[d].expected_severity - expected) < 1e-9
+
+
+def test_query_by_hand(spark):
+    """The registered query over all documents: each score from the trained model word by word, and how it stands against the labels."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model, got = train(docs, labels), {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        p_toxic, expected = by_hand(model, t or "")
+        assert abs(got[d].p_toxic - p_toxic) < 1e-6 and abs(got[d].expected_severity - expected) < 1e-6
+    clean = [got[r.doc_id].toxic for r in labels.filter("toxic = 0").collect()]
+    assert sum(clean) <= 0.05 * len(clean)
 
 
 def test_no_labels(spark):
