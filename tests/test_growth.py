@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graftline.operators import joins
+from graftline.operators.consensus import by_pieces, consensus_clusters
 from graftline.plans import domain, infer
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,19 @@ def test_dealt_join_is_the_join_and_deals_a_hot_key(spark):
 
 def test_placements_on_three_contigs_are_many_tasks(spark):
     assert heaviest(spark, lambda: infer.placements(domain.placed_flanks(spark, SF), domain.targets(spark, SF))) < 0.2
+
+
+def test_lists_are_summed_by_pieces(spark):
+    lists = [("a", list(range(1, 41))), ("a", [2] * 40), ("b", [5] * 16), ("c", [7] * 17), ("d", [])]
+    got = {}
+    for r in sorted(by_pieces(spark.createDataFrame(lists, "k string, q array<int>"), ["k"], F.size("q"), lambda i: F.get("q", i), F.sum).collect()):
+        got.setdefault(r["k"], []).append((r["_values"], r["_n"]))
+    whole = {k: [x for values, _ in v for x in values] for k, v in got.items()}
+    assert whole == {"a": [x + 2 for x in range(1, 41)], "b": [5] * 16, "c": [7] * 17}
+    # Forty places are three rows, where one row for each place was made before.
+    assert [len(v) for _, v in sorted(got.items())] == [3, 1, 2] and {n for _, n in got["a"]} == {2}
+
+
+def test_consensus_makes_no_row_for_each_base_and_no_frame_for_each_site(spark):
+    plan = consensus_clusters(domain.words_of_sites(spark, SF), ["pos", "orient"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "FlatMapGroupsInPandas" not in plan
