@@ -1,8 +1,11 @@
 """What keeps the work of one task from growing: hot keys dealt to tasks."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graftline.operators import joins
+from graftline.operators import align, assembly, joins
 from graftline.operators.consensus import by_pieces, consensus_clusters
 from graftline.plans import domain, infer
 
@@ -48,3 +51,32 @@ def test_lists_are_summed_by_pieces(spark):
 def test_consensus_makes_no_row_for_each_base_and_no_frame_for_each_site(spark):
     plan = consensus_clusters(domain.words_of_sites(spark, SF), ["pos", "orient"])._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_a_task_sums_its_words(monkeypatch):
+    random.seed(3)
+    element = "".join(random.choice("ACGT") for _ in range(120))
+    reads = [(bytes([k % 2]), element[a : a + 60] if k % 7 else element[a : a + 20] + "N" + element[a + 21 : a + 60]) for k, a in enumerate(random.choices(range(60), k=300))]
+    quals = [[20 + (i + k) % 20 for i in range(60)] for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in reads], pa.binary()), pa.array([s for _, s in reads]), pa.array(quals, pa.list_(pa.int32()))], names=["site", "seq", "w"])
+    for k in (12, 40):
+        want: dict[tuple, list[int]] = {}
+        for (site, s), w in zip(reads, quals, strict=True):
+            for i in range(len(s) - k):
+                if "N" not in s[i : i + k + 1]:
+                    held = want.setdefault((site, s[i : i + k], s[i + k]), [0, 0])
+                    held[0], held[1] = held[0] + 1, held[1] + min(w[i], w[i + k])
+        rows = [r for out in assembly._summed_words(k)(iter([batch])) for r in out.to_pylist()]
+        # One row for each word, where a row for each place of each read was made before.
+        assert {(r["site"], r["node"], r["base"]): [r["n"], r["weight"]] for r in rows} == want and len(rows) == len(want)
+        monkeypatch.setattr(assembly, "WORDS", 1000)
+        parts = [r for out in assembly._summed_words(k)(iter([batch])) for r in out.to_pylist()]
+        assert sum(r["weight"] for r in parts) == sum(w for _, w in want.values()) and len(parts) > len(want)
+        monkeypatch.undo()
+
+
+def test_a_query_in_its_window_is_not_filled_in(monkeypatch):
+    q, p = "ACGTTGCAAGGCTTAACCGA", align.Aligner()
+    windows = ["TT" + q + "CC" + q, "G" + q]
+    monkeypatch.setattr(align.np, "full", None)
+    assert align.local_alignments([q, q], windows, p) == [(40, 0, 2, 22, "20M", 0), (40, 0, 1, 21, "20M", 0)]
