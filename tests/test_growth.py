@@ -5,7 +5,8 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graftline.operators import align, assembly, joins
+from graftline.functions import sequence
+from graftline.operators import align, assembly, dedupe, joins, stash
 from graftline.operators.consensus import by_pieces, consensus_clusters
 from graftline.plans import domain, infer
 
@@ -80,3 +81,56 @@ def test_a_query_in_its_window_is_not_filled_in(monkeypatch):
     windows = ["TT" + q + "CC" + q, "G" + q]
     monkeypatch.setattr(align.np, "full", None)
     assert align.local_alignments([q, q], windows, p) == [(40, 0, 2, 22, "20M", 0), (40, 0, 1, 21, "20M", 0)]
+
+
+def test_near_copies_are_compared_with_one_preparation_of_the_longer_text(monkeypatch):
+    random.seed(11)
+    p, made, texts = dedupe.Identity(), [], {}
+    for k in range(12):
+        base = "".join(random.choice("ACGT") for _ in range(300))
+        for j in range(3):
+            s = list(base)
+            for _ in range(random.choice([0, 10, 25, 40])):
+                i, kind = random.randrange(len(s)), random.random()
+                s[i : i + (kind < 0.7)] = [] if kind < 0.2 else random.choice("ACGTN")
+            text = "".join(s)[: random.choice([300, 280, 265])]
+            texts[3 * k + j] = text if j != 1 else dedupe._revcomp(text)
+    order = sorted(texts, key=lambda k: (-len(texts[k]), k))
+    pairs = [(u, v) for n, u in enumerate(order) for v in order[n + 1 :]]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            was, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                was, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, was + (x != y))
+        return row[-1]
+
+    def same(a, b):
+        most = int((1 - p.identity) * len(b) + 1e-9) + len(a) - len(b)
+        return len(b) >= p.coverage * len(a) and min(distance(a, b), distance(a, dedupe._revcomp(b))) <= most
+
+    near = [(u, v) for u, v in pairs if u // 3 == v // 3] + pairs[::25]
+    near.sort(key=lambda x: order.index(x[0]))
+    monkeypatch.setattr(dedupe, "char_masks", lambda s: made.append(s) or sequence.char_masks(s))
+    got = dedupe.matches(texts, near, p)
+    assert got == [same(texts[u], texts[v]) for u, v in near] and True in got and False in got
+    assert len(made) <= len({u for u, _ in near})
+
+
+def test_a_text_is_not_sent_with_each_of_its_candidate_pairs(spark, monkeypatch):
+    """Thirty texts of one word family make 435 pairs; in the plan that compares them no text stands beside a pair."""
+    random.seed(12)
+    common = "".join(random.choice("ACGT") for _ in range(60))
+    rows = [(k, "".join(random.choice("ACGT") for _ in range(200)) + common + "".join(random.choice("ACGT") for _ in range(200 + k))) for k in range(30)]
+    plans = []
+
+    def kept(df, name, codec="zstd"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stash.stash(df, name, codec)
+
+    monkeypatch.setattr(dedupe, "stash", kept)
+    got = {r.id: r.rep for r in dedupe.identity_clusters(spark.createDataFrame(rows, "id int, seq string"), "id", "seq").collect()}
+    assert got == {k: k for k, _ in rows}
+    compared = [plan for name, plan in plans if name == "edges"]
+    assert compared and all("FlatMapCoGroupsInArrow" in plan and "RepartitionByExpression" in plan for plan in compared)
