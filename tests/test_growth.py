@@ -134,3 +134,21 @@ def test_a_text_is_not_sent_with_each_of_its_candidate_pairs(spark, monkeypatch)
     assert got == {k: k for k, _ in rows}
     compared = [plan for name, plan in plans if name == "edges"]
     assert compared and all("FlatMapCoGroupsInArrow" in plan and "RepartitionByExpression" in plan for plan in compared)
+
+
+def test_overlaps_of_many_pairs_are_found_at_once(monkeypatch):
+    random.seed(13)
+
+    def text(n, letters="ACGT"):
+        return "".join(random.choice(letters) for _ in range(random.randint(0, n)))
+
+    five, three = [], []
+    for k in range(400):
+        shared, letters = text(20), ("AC", "ACGT", "aé😀")[k % 3]
+        five.append(None if k == 7 else text(30, letters) + shared)
+        three.append("" if k == 9 else shared + text(1500 if k == 11 else 30, letters))
+    for least, identity in ((10, 0.9), (0, 0.0), (3, 0.5)):
+        want = [sequence.merge_overlap(a, b, least, identity) if a is not None else (None, None) for a, b in zip(five, three, strict=True)]
+        monkeypatch.setattr(sequence, "best_overlap", None)
+        assert sequence.merge_overlaps(five, three, least, identity, step=4096) == want
+        monkeypatch.undo()
