@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graftline.functions import sequence
+from graftline.functions import cigar, sequence
 from graftline.operators import align, assembly, dedupe, joins, stash
 from graftline.operators.consensus import by_pieces, consensus_clusters
 from graftline.plans import domain, infer
@@ -152,3 +152,22 @@ def test_overlaps_of_many_pairs_are_found_at_once(monkeypatch):
         monkeypatch.setattr(sequence, "best_overlap", None)
         assert sequence.merge_overlaps(five, three, least, identity, step=4096) == want
         monkeypatch.undo()
+
+
+def test_aligned_blocks_are_the_runs_of_aligned_bases(spark):
+    rows = spark.createDataFrame([("3S4M2I5M1D6=2X4S", 10), ("5H8M", 0), ("7S", 3), ("2M3N2M", 1)], "c string, s int").withColumn("c", cigar.parse_cigar("c"))
+    for r in rows.select(cigar.aligned_bases("c", "s").alias("bases"), cigar.aligned_blocks("c", "s").alias("blocks")).collect():
+        assert [(x.pos, x.at) for x in r.bases] == [(b.start + k, b.at + k) for b in r.blocks for k in range(b.end - b.start)]
+
+
+def test_region_consensus_sends_blocks_and_no_struct_for_each_base(spark):
+    found = domain.region_consensus(spark, SF)
+    exchanged = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(exchanged, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in exchanged.items():
+            spark.conf.set(k, v)
+    assert "aligned" not in plan and "_quals" in plan
