@@ -198,3 +198,24 @@ def test_pairs_of_null_clusters_have_no_genotype_and_null_places_no_support(spar
     pairs = spark.createDataFrame([("a", 1, "chr", 1, 2), ("b", 1, "chr", 1, 2), ("c", 1, None, 1, 2)], "sample string, pair_id int, contig string, pos_5p int, pos_3p int")
     got = cohort.genotype([pairs], seqs, cohort.Genotype(filter_clusters_inferred_assembly=False)).collect()
     assert {(r.sample, r.cluster) for r in got} == {("b", "c1"), ("b", None)}
+
+
+def test_clustering_turns_a_text_once_and_leaves_its_copies_where_they_are(spark, monkeypatch):
+    held, real = {}, cohort.stash
+    monkeypatch.setattr(cohort, "stash", lambda df, name: held.setdefault(name, real(df, name)))
+    random.seed(4)
+    seq = "".join(random.choices("ACGT", k=90))
+    texts = [seq, seq.lower(), seq[::-1].translate(str.maketrans("ACGT", "TGCA")), "".join(random.choices("ACGT", k=80)), None]
+    rows = spark.createDataFrame([("a", k % 50, "m", "", len(t or seq), t) for k in range(200) for t in texts], "sample string, pair_id int, method string, loc string, inferred_seq_length int, inferred_seq string")
+    got = cohort.cluster_sequences([rows]).groupBy("seqid", "cluster", "group").count().collect()
+    assert sorted(tuple(r) for r in got) == [("s1", "c1", "g1", 600), ("s2", "c2", "g1", 200)]
+    assert held["turned"].count() == len(texts) and held["ids"].count() == len(texts) - 1  # none for the null text
+    assert "Join" in (plan := domain.families(spark, SF)._jdf.queryExecution().optimizedPlan().toString()) and "md5" not in plan.split("Join")[0]
+
+
+def test_groups_link_clusters_of_a_known_pair_in_one_pass(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "x"), ("b", 1, "y"), ("b", 1, "z"), ("b", 1, "w"), (None, 1, "n"), (None, 1, "x"), ("c", None, "m"), ("c", None, "x"), ("d", 1, None), ("d", 1, "n"), ("d", 1, "m")]
+    got = cohort.with_groups(spark.createDataFrame(rows, "sample string, pair_id int, cluster string"))
+    found = {r.cluster: r.group for r in got.collect()}
+    assert got.count() == 12 and len(set(found.values())) == 2
+    assert {c for c in found if found[c] == found["x"]} == {"w", "x", "y", "z"} and {c for c in found if found[c] == found["n"]} == {"m", "n"}
