@@ -219,3 +219,40 @@ def test_groups_link_clusters_of_a_known_pair_in_one_pass(spark):
     found = {r.cluster: r.group for r in got.collect()}
     assert got.count() == 12 and len(set(found.values())) == 2
     assert {c for c in found if found[c] == found["x"]} == {"w", "x", "y", "z"} and {c for c in found if found[c] == found["n"]} == {"m", "n"}
+
+
+def test_many_texts_are_screened_at_once():
+    """No text within its edits is refused, and texts far from it are, whatever their lengths."""
+    random.seed(21)
+    words = ["".join(random.choice("abcdeäé ") for _ in range(random.randint(2, 7))) for _ in range(40)]
+    b = " ".join(random.choice(words) for _ in range(150))
+
+    def changed(share):
+        s = list(b[: len(b) - random.randint(0, 60)])
+        for i in random.sample(range(len(s)), int(share * len(s))):
+            s[i] = random.choice(["", "x", s[i] + "y", "\U0001f600"])
+        return "".join(s)[: len(b)]
+
+    texts = [changed(random.choice([0.0, 0.05, 0.09, 0.12, 0.5])) for _ in range(60)] + [" ".join(random.choice(words) for _ in range(140))[: len(b)] for _ in range(60)]
+    most = [len(t) // 10 + len(b) - len(t) for t in texts]
+    within = [sequence.edit_distance_within(t, b, m) <= m for t, m in zip(texts, most, strict=True)]
+    passed = sequence.screen_within(texts, b, most)
+    assert all(p or not w for p, w in zip(passed, within, strict=True)) and any(within)
+    assert sum(passed) <= sum(within) + 8
+
+
+def test_texts_of_common_words_meet_in_blocks(spark, monkeypatch):
+    """Where words are common, no row is made for each word that two texts share; the clusters are those of all pairs."""
+    random.seed(22)
+    words = ["".join(random.choice("abcdefgh") for _ in range(9)) for _ in range(30)]
+    texts = [" ".join(random.choice(words) for _ in range(random.randint(40, 60))) for _ in range(40)]
+    texts += [texts[k][:-20] + "x" * (k % 9) for k in range(0, 40, 4)]
+    p, names = dedupe.Identity(), []
+    monkeypatch.setattr(dedupe, "stash", lambda df, name, codec="zstd": names.append(name) or stash.stash(df, name, codec))
+    got = {r.id: r.rep for r in dedupe.identity_clusters(spark.createDataFrame(list(enumerate(texts)), "id int, seq string"), "id", "seq").collect()}
+    reps, want = [], {}
+    for i in sorted(range(len(texts)), key=lambda k: (-len(texts[k]), k)):
+        want[i] = next((r for r in reps if dedupe.same_cluster(texts[r], texts[i], p)), i)
+        reps += [i] if want[i] == i else []
+    assert got == want and len(reps) == 40
+    assert "blocks" in names and "candidates" not in names[names.index("blocks") :]
