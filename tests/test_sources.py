@@ -179,3 +179,21 @@ def test_assembler_and_repeat_files(spark, tmp_path):
     (tmp_path / "arms").write_text(">p_1_3_17\nACGT\nAC\n>p_1_60_74\nGT\n>p_2_1_4\nAAAA\n>p_2_9_12\nTTTT\n")
     got = sorted(map(tuple, files.parse_repeat_arms(spark.read.text(str(tmp_path / "arms"))).collect()))
     assert got == [("p_1", 3, 17, "ACGTAC", 60, 74, "GT"), ("p_2", 1, 4, "AAAA", 9, 12, "TTTT")]
+
+
+def test_sam_lines_are_made_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    """What is sorted is a line, not its arrays; files may be compressed."""
+    from graftline.plans import domain
+
+    plans = []
+    kind, by = type(spark.range(1)), type(spark.range(1)).orderBy
+    monkeypatch.setattr(kind, "orderBy", lambda df, *c: plans.append(df.columns) or by(df, *c))
+    rows = domain.alignments(spark, "/root/testdata/sf0.001").limit(300).cache()
+    files.write_sam(rows, str(tmp_path / "x"), compression="gzip")
+    assert plans and "value" in plans[0] and "quals" not in plans[0] and "cigar" not in plans[0]
+    assert list((tmp_path / "x").glob("*.gz"))
+    lines = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "x")).collect()]
+    places = [(x[2], int(x[3]), x[0], int(x[1])) for x in lines]
+    assert len(lines) == 300 and sorted(map(str, lines)) == sorted(str(r.value.split("\t")) for r in files.sam_lines(rows).collect())
+    one = [(r.value.split("\t")[2], int(r.value.split("\t")[3]), r.value.split("\t")[0], int(r.value.split("\t")[1])) for f in sorted((tmp_path / "x").glob("*.gz")) for r in spark.read.text(str(f)).collect()]
+    assert one == sorted(places)
