@@ -15,11 +15,13 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +105,14 @@ class Index:
             raise ValueError("not a BAM index")
         at = 8
         out = Index(struct.unpack_from("<i", data, 4)[0])
-        for k in range(len(out.bins)):
+        used, k = np.flatnonzero(np.frombuffer(data, np.uint8)), -1
+        while (k := k + 1) < len(out.bins):
+            if data[at : at + 8] == bytes(8):
+                # Most contigs of a file may be empty: all up to the next one that isn't.
+                j = int(np.searchsorted(used, at))
+                empty = min(((int(used[j]) if j < len(used) else len(data)) - at) // 8, len(out.bins) - k)
+                at, k = at + 8 * empty, k + empty - 1
+                continue
             (n,) = struct.unpack_from("<i", data, at)
             at += 4
             for _ in range(n):
@@ -201,6 +210,112 @@ def encode(row: dict, number: dict[str, int]) -> tuple[bytes, int, int, int]:
     return struct.pack("<i", len(body)) + body, contig, start, end
 
 
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, length of each) of a string array without nulls."""
+    _, ends, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(values), np.int64)
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(values.type) else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _lists(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(elements, length of each) of a list array, nulls empty."""
+    return values.flatten(), np.nan_to_num(values.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of these sizes that begin at these places, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _bins(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``bin_of`` of many ranges."""
+    last, out = np.maximum(end, start + 1) - 1, np.zeros(len(start), np.int64)
+    for level in range(_LEVELS + 1):
+        shift = _SMALLEST + 3 * (_LEVELS - level)
+        out = np.where(start >> shift == last >> shift, ((1 << 3 * level) - 1) // 7 + (start >> shift), out)
+    return out
+
+
+def encode_batch(batch: pa.RecordBatch, number: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray] | None:
+    """(records with their sizes, start, end) of alignments on contigs of these numbers; the bytes of ``encode`` for all rows at once.
+
+    None for what only a look at each row can decide: other letters than ASCII, empty names, qualities that are null or no bytes.
+    """
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    n = batch.num_rows
+    whole = lambda c, none: pc.fill_null(column(c), none).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, mapq, flag = whole("ref_start", -1), np.minimum(whole("mapq", 0), 255), whole("flag", 0)
+    for bit, c in ((0x10, "is_reverse"), (0x4, "is_unmapped"), (0x8, "mate_is_unmapped")):
+        flag = flag & ~bit | np.where(pc.fill_null(column(c), False).to_numpy(zero_copy_only=False), bit, 0)
+    ops, n_ops = _lists(column("cigar"))
+    kind = pc.index_in(ops.field("op"), value_set=pa.array(list(_OPS)))
+    seq, n_seq = _flat(pc.fill_null(column("seq"), ""))
+    quals, n_quals = _lists(column("quals"))
+    if kind.null_count or ops.field("len").null_count or ops.null_count or quals.null_count or (seq > 127).any() or (n_ops > 0xFFFF).any() or (flag < 0).any() or (flag > 0xFFFF).any() or (mapq < 0).any():
+        return None
+    kind, size, quals = kind.to_numpy(zero_copy_only=False).astype(np.int64), ops.field("len").to_numpy(zero_copy_only=False).astype(np.int64), quals.to_numpy(zero_copy_only=False)
+    if len(quals) and (quals.min() < 0 or quals.max() > 255):
+        return None
+    span = np.where(np.isin(kind, [_OPS.index(o) for o in _REFERENCE_OPS]), size, 0)
+    total = np.concatenate([[0], np.cumsum(span)])
+    first = np.concatenate([[0], np.cumsum(n_ops)])
+    end = start + total[first[1:]] - total[first[:-1]]
+    name, n_name = _flat(pc.fill_null(column("read_name"), "*"))
+    if not n_name.all():
+        return None
+    half = (n_seq + 1) // 2
+    tags = []
+    for tag, letter, c in (("MD", "Z", "md"), ("NM", "i", "nm"), ("AS", "i", "as_score"), ("MT", "Z", "mate_seq"), ("MQ", "Z", "mate_quals")):
+        there = pc.is_valid(column(c)).to_numpy(zero_copy_only=False)
+        text, sizes = _flat(pc.fill_null(column(c), "")) if letter == "Z" else (whole(c, 0).astype("<i4").view(np.uint8).reshape(n, 4)[there].ravel(), np.where(there, 4, 0))
+        tags.append((np.frombuffer((tag + letter).encode(), np.uint8), there, text, sizes, np.where(there, 3 + sizes + (letter == "Z"), 0)))
+    lengths = 36 + n_name + 1 + 4 * n_ops + half + n_seq + sum(x[4] for x in tags)
+    ends = np.cumsum(lengths)
+    begin = ends - lengths
+    out = np.zeros(int(ends[-1]) if n else 0, np.uint8)
+    fixed = np.zeros(n, np.dtype([(k, t) for k, t in zip("abcdefghijkl", ("<i4", "<i4", "<i4", "u1", "u1", "<u2", "<u2", "<u2", "<i4", "<i4", "<i4", "<i4"), strict=True)]))
+    for k, x in zip("abcdefghijkl", (lengths - 4, number, start, n_name + 1, mapq, _bins(np.maximum(start, 0), end), n_ops, flag, n_seq, -1, -1, 0), strict=True):
+        fixed[k] = x
+    out[begin[:, None] + np.arange(36)] = fixed.view(np.uint8).reshape(n, 36)
+    at = begin + 36
+    out[_within(at, n_name)] = name
+    at = at + n_name + 1
+    out[_within(at, 4 * n_ops)] = (size << 4 | kind).astype("<u4").view(np.uint8)
+    at = at + 4 * n_ops
+    padded = np.zeros(int(2 * half.sum()), np.uint8)
+    padded[_within(2 * (np.cumsum(half) - half), n_seq)] = _CODES[seq]
+    out[_within(at, half)] = padded[::2] << 4 | padded[1::2]
+    at = at + half
+    has = (n_quals == n_seq) & (n_seq > 0)
+    out[_within(at[~has], n_seq[~has])] = 255
+    out[_within(at[has], n_seq[has])] = quals[np.repeat(has, n_quals)].astype(np.uint8)
+    at = at + n_seq
+    for lead, there, text, sizes, whole_size in tags:
+        out[at[there][:, None] + np.arange(3)] = lead
+        out[_within(at + 3, sizes)] = text
+        at = at + whole_size
+    records = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(out)])
+    return records.cast(pa.binary()), start, end
+
+
+def _encoded(contigs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Alignments, whose columns _number and _start tell their places, as (_number, _start, _end, read_name, flag, record)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+            number = column("_number").to_numpy()
+            made = encode_batch(batch, np.where(number == contigs, -1, number))
+            if made is None:
+                rows = [encode(row, {row["contig"]: row["_number"]}) for row in batch.to_pylist()]
+                made = pa.array([r[0] for r in rows], pa.binary()), None, np.array([r[3] for r in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([column("_number"), column("_start"), pa.array(made[2].astype(np.int32)), column("read_name"), column("flag"), made[0]], names=["_number", "_start", "_end", "read_name", "flag", "record"])
+
+    return run
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """A task's file under its temporary name, its records, and (contig number, place) of the first and last."""
@@ -220,13 +335,22 @@ class _Writer(DataSourceArrowWriter):
     def staged(self) -> str:
         return f"_temporary/{self.run}"
 
+    def _records(self, batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
+        """(record with its size, contig number, start, end) of alignments, or of rows whose records were made before."""
+        number = {c: k for k, (c, _) in enumerate(self.contigs)} if "record" not in batch.schema.names else {}
+        if number or "record" not in batch.schema.names:
+            yield from (encode(row, number) for row in batch.to_pylist())
+        else:
+            n = len(self.contigs)
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("record", "_number", "_start", "_end")]
+            yield from ((r, -1 if k == n else k, a, b) for r, k, a, b in zip(*columns, strict=True))
+
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, top = _fs(self.path)
-        number = {c: k for k, (c, _) in enumerate(self.contigs)}
         text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in self.contigs)
         out, index, done = None, Index(len(self.contigs)), Written(None)
         for batch in batches:
-            for row in batch.to_pylist():
+            for record, contig, start, end in self._records(batch):
                 if out is None:
                     # An attempt's own name: a lost attempt leaves a file that no commit names.
                     done.name = uuid.uuid4().hex
@@ -235,8 +359,7 @@ class _Writer(DataSourceArrowWriter):
                     raw = text.encode()
                     out.write(b"BAM\1" + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(self.contigs)) + b"".join(struct.pack("<i", len(c.encode()) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in self.contigs))
                     out.flush()
-                record, contig, start, end = encode(row, number)
-                place = (contig if contig >= 0 else len(number), start)
+                place = (contig if contig >= 0 else len(self.contigs), start)
                 if done.last is not None and place < done.last:
                     raise ValueError("alignments must come in order of contig and place")
                 if len(out.held) + len(record) > BLOCK_BYTES:
@@ -314,9 +437,11 @@ class Source:
 
 
 class Part(InputPartition):
-    def __init__(self, path: str, chunks: list[tuple[int, int]], regions: dict[int, list[tuple[int, int]]], names: list[str]):
+    """Chunks of a file, none for all of it; the contigs' names, which may be many, are read from its header."""
+
+    def __init__(self, path: str, chunks: list[tuple[int, int]], regions: dict[int, list[tuple[int, int]]]):
         super().__init__(None)
-        self.path, self.chunks, self.regions, self.names = path, chunks, regions, names
+        self.path, self.chunks, self.regions = path, chunks, regions
 
 
 def records(source: Source, chunk: tuple[int, int]) -> Iterator[bytes]:
@@ -364,21 +489,22 @@ class _Reader(DataSourceReader):
         fs, top = _fs(self.path)
         single = fs.get_file_info(top).is_file
         known = {"contigs": None, "files": [{"name": None, "first": None, "last": None}]} if single else _manifest(fs, top)
-        out = []
+        out, listed, ordered = [], None, []
+        if known["contigs"] is not None:
+            listed = self._wanted([c for c, _ in known["contigs"]])
+            ordered = sorted(listed or ())
         for entry in known["files"]:
             path = self.path if single else f"{self.path.rstrip('/')}/{entry['name']}"
-            if known["contigs"] is not None:
-                names = [c for c, _ in known["contigs"]]
-                wanted = self._wanted(names)
+            source = Source(path)
+            if known["contigs"] is None:
+                wanted = self._wanted([c for c, _ in header(_Stream(b for _, b in source.blocks(0)).take)[1]])
+            elif (wanted := listed) is not None:
+                wanted = {c: listed[c] for c in ordered[bisect_left(ordered, entry["first"][0]) : bisect_right(ordered, entry["last"][0])]}
                 # A read of the range's first contig may reach over its end, so only the first place excludes, and the last contig.
-                if wanted is not None and not any(c <= entry["last"][0] and (c, b) > tuple(entry["first"]) for c, spans in wanted.items() for _, b in spans):
+                if not any((c, b) > tuple(entry["first"]) for c, spans in wanted.items() for _, b in spans):
                     continue
-            source = Source(path)
-            take = _Stream(b for _, b in source.blocks(0)).take
-            names = [c for c, _ in header(take)[1]]
-            wanted = self._wanted(names)
             if wanted is None:
-                out.append(Part(path, [], {}, names))
+                out.append(Part(path, [], {}))
             elif wanted:
                 index_fs, index_path = _fs(f"{path}.bai")
                 with index_fs.open_input_file(index_path) as file:
@@ -388,11 +514,11 @@ class _Reader(DataSourceReader):
                 held: list[tuple[int, int]] = []
                 for x in chunks:
                     if held and (x[1] >> 16) - (held[0][0] >> 16) > PARTITION_BYTES:
-                        out.append(Part(path, held, wanted, names))
+                        out.append(Part(path, held, wanted))
                         held = []
                     held.append(x)
                 if held:
-                    out.append(Part(path, held, wanted, names))
+                    out.append(Part(path, held, wanted))
             self.read_bytes += source.read_bytes
         return out
 
@@ -400,9 +526,9 @@ class _Reader(DataSourceReader):
         if partition is None:  # what Spark makes of no partitions
             return
         source = Source(partition.path)
+        stream = _Stream(b for _, b in source.blocks(0))
+        names = [c for c, _ in header(stream.take)[1]]
         if not partition.chunks:
-            stream = _Stream(b for _, b in source.blocks(0))
-            header(stream.take)
 
             def whole() -> Iterator[bytes]:
                 while head := stream.take(4):
@@ -417,7 +543,7 @@ class _Reader(DataSourceReader):
             end = start + sum(c >> 4 for c in ops if _OPS[c & 15] in _REFERENCE_OPS)
             if partition.chunks and not any(start < b and end > a for a, b in partition.regions.get(contig, ())):
                 continue
-            yield (partition.names[contig] if contig >= 0 else None, start, end, sam_line(record, partition.names))
+            yield (names[contig] if contig >= 0 else None, start, end, sam_line(record, names))
         self.read_bytes += source.read_bytes
 
 
@@ -474,11 +600,14 @@ def write_bam(alignments: DataFrame, path: str, contigs: DataFrame, files: int |
     if "number" not in contigs.columns:
         contigs = contigs.select("contig", "length", F.col("contig").alias("number"))
     listed = [(r["contig"], r["length"]) for r in contigs.orderBy("number").collect()]
-    order = alignments.sparkSession.createDataFrame([(c, k) for k, (c, _) in enumerate(listed)], "_contig string, _number int")
-    rows = alignments.join(order, F.col("contig") == F.col("_contig"), "left").drop("_contig")
+    order = alignments.sparkSession.createDataFrame(pa.table({"_contig": pa.array([c for c, _ in listed], pa.string()), "_number": pa.array(np.arange(len(listed), dtype=np.int32))}))
+    # The names' numbers are as many as a file's header holds.
+    rows = alignments.join(F.broadcast(order), F.col("contig") == F.col("_contig"), "left").drop("_contig")
     unknown = F.raise_error(F.concat(F.lit("no such contig: "), F.col("contig")))
     rows = rows.withColumn("_number", F.when(F.col("contig").isNull(), len(listed)).when(F.col("_number").isNull(), unknown.cast("int")).otherwise(F.col("_number"))).withColumn("_start", F.coalesce("ref_start", F.lit(-1)))
-    sorted_ = rows.repartitionByRange(*([files] if files else []), "_number", "_start").sortWithinPartitions("_number", "_start", "read_name", "flag").drop("_number", "_start")
+    # A record is a third of its row, so it is made before rows are sorted.
+    made = rows.drop("sample", "ref_end").mapInArrow(_encoded(len(listed)), "_number int, _start int, _end int, read_name string, flag int, record binary")
+    sorted_ = made.repartitionByRange(*([files] if files else []), "_number", "_start").sortWithinPartitions("_number", "_start", "read_name", "flag").select("_number", "_start", "_end", "record")
     alignments.sparkSession.dataSource.register(IndexedBam)
     sorted_.write.format(FORMAT).mode("overwrite").option("contigs", json.dumps(listed)).save(path)
 

@@ -156,3 +156,36 @@ def test_order_and_contigs_are_checked(spark, tmp_path):
     none = str(tmp_path / "none")
     indexed.write_bam(df.limit(0), none, spark.createDataFrame([("a", 5)], "contig string, length int"))
     assert indexed.read_indexed(spark, none, "s").count() == 0 and indexed.read_indexed(spark, none, "s", [("a", 0, 5)]).count() == 0
+
+
+def test_records_of_a_batch_are_those_of_its_rows():
+    """Records are made before rows are sorted, of all rows of a batch at once, byte for byte those of single rows."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema, number = to_arrow_schema(ALIGNMENTS), {c: k for k, (c, _) in enumerate(CONTIGS)}
+    some = [{n: [{"op": o, "len": x} for o, x in v] if n == "cigar" else v for n, v in zip(schema.names, r, strict=True)} for r in rows(300)]
+    some += [dict(some[0], read_name=None, mapq=None, flag=None, cigar=None), dict(some[1], read_name="\u00e9", quals=[1]), dict(some[2], seq=None, quals=None)]
+    at = np.array([number[r["contig"]] if r["contig"] else -1 for r in some])
+    batch = pa.RecordBatch.from_pylist(some, schema=schema)
+    for part, own, k in ((batch, some, at), (batch.slice(7, 90), some[7:97], at[7:97]), (batch.slice(0, 0), [], at[:0])):
+        records, start, end = indexed.encode_batch(part, k)
+        want = [indexed.encode(r, number) for r in own]
+        assert list(zip(records.to_pylist(), start.tolist(), end.tolist(), strict=True)) == [(w[0], w[2], w[3]) for w in want]
+    for odd in (dict(some[0], quals=[None]), dict(some[0], quals=[300]), dict(some[0], seq="\u00e9"), dict(some[0], read_name="")):
+        assert indexed.encode_batch(pa.RecordBatch.from_pylist([odd], schema=schema), at[:1]) is None
+
+
+def test_parts_hold_no_names_and_regions_of_their_file_alone(table):
+    """A table may have many contigs and regions: neither goes with every part."""
+    _, path = table
+    reader = indexed._Reader({"path": path, "regions": '[["b", 0, 400000], ["a", 0, 90000]]'})
+    parts = reader.partitions()
+    assert parts and not any(hasattr(p, "names") for p in parts)
+    assert any(set(p.regions) != {0, 1} for p in parts)
+    index = indexed.Index(5000)
+    for k in (0, 7, 4000, 4999):
+        index.add(k, 300, 350, (k + 1) << 16, (k + 2) << 16)
+    again = indexed.Index.load(index.dump())
+    assert again.bins == index.bins and again.first == index.first
