@@ -269,3 +269,26 @@ def test_placements_are_dealt_by_pair_once(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", conf)
     assert plan.count("Exchange hashpartitioning(pair_id") == 1 == plan.count("REPARTITION_BY_COL")
+
+
+def test_groups_are_drawn_in_a_task_as_by_joins(spark, monkeypatch):
+    """Chains, rings, forks and self-loops: a task draws whole groups without a join, larger groups are drawn by joins, all alike."""
+    random.seed(23)
+    rows = []
+    for g in range(12):
+        words = ["".join(x) for x in {tuple(random.choice("ACGT") for _ in range(6)) for _ in range(40)}]
+        a, b, c = sorted(random.sample(range(len(words)), 3))
+        edges = {(words[i], words[i + 1]) for i in range(len(words) - 1) if i not in (a, b, c)}
+        edges |= {(words[b], words[a + 1])} if g % 2 else {(words[a], words[c]), (words[b], words[b])}
+        into = [y for _, y in edges]
+        rows += [(bytes([g]) * 16, x, y, random.randint(2, 9), into.count(y)) for x, y in edges]
+    df = spark.createDataFrame(rows, "site binary, node string, after string, n long, n_in long")
+    names = []
+    monkeypatch.setattr(assembly, "stash", lambda df, name, codec="zstd": names.append(name) or stash.stash(df, name, codec))
+    columns = ["site", "node", "last", "left", "circular", "n", "onward"]
+    got = sorted((tuple(map(str, r)) for r in assembly.chains(df).select(columns).collect()))
+    assert names == ["places"]
+    for held in (5, 38):
+        assert sorted((tuple(map(str, r)) for r in assembly.chains(df, held).select(columns).collect())) == got
+    assert "chains" in names
+    assert {r[4] for r in got} == {"True", "False"} and len(got) == len({(r[0], x) for r in rows for x in r[1:3]})
