@@ -292,3 +292,19 @@ def test_groups_are_drawn_in_a_task_as_by_joins(spark, monkeypatch):
         assert sorted((tuple(map(str, r)) for r in assembly.chains(df, held).select(columns).collect())) == got
     assert "chains" in names
     assert {r[4] for r in got} == {"True", "False"} and len(got) == len({(r[0], x) for r in rows for x in r[1:3]})
+
+
+def test_words_of_seeds_are_hashed_where_they_are_found(spark):
+    """A seed's row holds its word's hash and no sequence; equal words have equal hashes wherever they begin, others have others."""
+    random.seed(24)
+    p = align.Aligner()
+    text = "".join(random.choice("ACGT") for _ in range(400))
+    text += "N" + text[100:300]
+    rows = align._classed(spark.createDataFrame([(1, text), (2, text[50:]), (3, None), (4, "ACG")], "k int, s string"), "s", ["k"], p, [13, 26, 52], 500)
+    assert rows.columns == ["k", "at", "class", "word"]
+    got = [(r["k"], r["at"], r["class"], r["word"]) for r in rows.collect()]
+    texts = {1: text, 2: text[50:]}
+    want = {(k, int(at), c) for k, t in texts.items() for at in align.minimizers(t[:500], p.word, p.run) for c, n in enumerate((13, 26, 52)) if at + n <= len(t)}
+    assert {x[:3] for x in got} == want and len(got) == len(want)
+    words = {x: texts[x[0]][x[1] : x[1] + (13, 26, 52)[x[2]]] for x in want}
+    assert len({(words[x[:3]], x[3]) for x in got}) == len(set(words.values())) == len({x[3] for x in got})
