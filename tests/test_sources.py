@@ -197,3 +197,15 @@ def test_sam_lines_are_made_before_they_are_sorted(spark, tmp_path, monkeypatch)
     assert len(lines) == 300 and sorted(map(str, lines)) == sorted(str(r.value.split("\t")) for r in files.sam_lines(rows).collect())
     one = [(r.value.split("\t")[2], int(r.value.split("\t")[3]), r.value.split("\t")[0], int(r.value.split("\t")[1])) for f in sorted((tmp_path / "x").glob("*.gz")) for r in spark.read.text(str(f)).collect()]
     assert one == sorted(places)
+
+
+def test_qualities_of_a_batch_are_those_of_its_rows(spark):
+    """Qualities and their texts are turned at once; nulls, empty and odd ones stay what they are."""
+    from graftline.functions import sequence
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("!5I~", [0, 40, 93]), ("", []), (None, None), ("é5", [20]), ("II", [30, 31])], "t string, q array<int>").coalesce(1)
+    odd = spark.createDataFrame([("~", [200, -33, -40, None, 10])], "t string, q array<int>")
+    for rows in (df, odd):
+        got = rows.select(files._qualities(F.col("t")).alias("q"), files._quality_text(F.col("q")).alias("t")).collect()
+        assert got == rows.select(sequence.phred("t").alias("q"), sequence.phred_string("q").alias("t")).collect()
